@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, topk
+from . import bpe, exact_dedup, mixing, sharding, shingle_join, topk
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_feistel_sharding": sharding.query,
     "op5_byte_bpe": bpe.query,
     "op7_fair_queue_mix": mixing.query,
+    "op9_signature_tree_join": shingle_join.query,
 }
 ORACLE_SQL = {
     "op1_pivot_top_k": topk.ORACLE,
     "op3_digest_index_dedup": exact_dedup.ORACLE,
     "op7_fair_queue_mix": mixing.ORACLE,
+    "op9_signature_tree_join": shingle_join.ORACLE,
 }
