@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, shingle_join, topk
+from . import bpe, exact_dedup, mixing, sharding, shingle_join, substring_dedup, topk
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
+    "op2_suffix_automaton_dedup": substring_dedup.query,
     "op3_digest_index_dedup": exact_dedup.query,
     "op4_feistel_sharding": sharding.query,
     "op5_byte_bpe": bpe.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_pivot_top_k": topk.ORACLE,
+    "op2_suffix_automaton_dedup": substring_dedup.ORACLE,
     "op3_digest_index_dedup": exact_dedup.ORACLE,
     "op7_fair_queue_mix": mixing.ORACLE,
     "op9_signature_tree_join": shingle_join.ORACLE,
