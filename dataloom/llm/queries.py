@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding, shingle_join, substring_dedup, topk
+from . import bpe, exact_dedup, html_text, mixing, sharding, shingle_join, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
@@ -10,13 +10,16 @@ QUERIES = {
     "op3_digest_index_dedup": exact_dedup.query,
     "op4_feistel_sharding": sharding.query,
     "op5_byte_bpe": bpe.query,
+    "op6_salvaging_warc": warc.query,
     "op7_fair_queue_mix": mixing.query,
     "op9_signature_tree_join": shingle_join.query,
+    "op10_template_free_text": html_text.query,
 }
 ORACLE_SQL = {
     "op1_pivot_top_k": topk.ORACLE,
     "op2_suffix_automaton_dedup": substring_dedup.ORACLE,
     "op3_digest_index_dedup": exact_dedup.ORACLE,
+    "op6_salvaging_warc": warc.ORACLE,
     "op7_fair_queue_mix": mixing.ORACLE,
     "op9_signature_tree_join": shingle_join.ORACLE,
 }
