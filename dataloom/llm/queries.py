@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, mixing, sharding, shingle_join, substring_dedup, topk, warc
+from . import bpe, exact_dedup, html_text, mixing, quality, sharding, shingle_join, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.query,
     "op6_salvaging_warc": warc.query,
     "op7_fair_queue_mix": mixing.query,
+    "op8_site_bayes_quality": quality.query,
     "op9_signature_tree_join": shingle_join.query,
     "op10_template_free_text": html_text.query,
 }
