@@ -1,0 +1,6 @@
+"""Registered queries by area; importing this module registers all of them."""
+
+from . import profile_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
