@@ -6,8 +6,10 @@
    key are joined into candidate groups. Up to EMIT parts this is the pigeonhole principle; where more would be needed,
    sets are dealt into fewer parts and EMIT of them are sent: a link at the very threshold has all of them differ with
    odds below 1e-10, far below those of a collision of two 64-bit token hashes anywhere in the corpus.
-3. The sets of a candidate group meet in one task, or, if there are more than BLOCK, in one task for each pair of its
-   blocks. There signature trees are walked and what they cannot exclude is compared token by token.
+3. The sets of a candidate group meet in one task. A group of more than a block is first held against one of its sets,
+   the pivot; what links with it needs no comparison with each other. The others are cut into blocks, and so are those
+   that link, and each pair of blocks with an unlinked set in it meets in a task. There signature trees are walked and
+   what they cannot exclude is compared token by token.
 4. Links give components, and every document gets that of its class.
 """
 
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, small_side, stash
-from .signature_tree import link
+from .signature_tree import link, linked
 from .words import chunks, mix, shingle_sets
 
 EMIT = 72
-#: Most sets of a candidate group that are compared in one task; larger groups are cut into blocks.
-BLOCK = 2_000
+#: Least and most sets of a candidate group that make a block; between them, a quarter of a partition's even share.
+LEAST_BLOCK, MOST_BLOCK = 64, 2_000
+#: Pivots, each a set, that may be broadcast; more are joined.
+MOST_PIVOTS = 500
 ROWS_OUT = 500_000
 
 
@@ -172,6 +176,30 @@ def _link_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.repartition(*where).sortWithinPartitions(*where, "block", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def _large_groups(sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """(a, b) edges that join what links within groups of more than a block."""
+    sets = stash(sets, "large-sets")
+    pivots = sets.where("doc_id = comp").groupBy("comp").agg(F.min("tokens").alias("pivot"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [linked(np.frombuffer(t.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint64), num, den) for t, p in zip(b.column("tokens"), b.column("pivot"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "doc_id", "tokens")), pa.array(near, pa.bool_())], ["comp", "doc_id", "tokens", "near"])
+
+    sided = F.broadcast(pivots) if pivots.count() <= MOST_PIVOTS else stash(pivots, "pivots")
+    held = stash(sets.join(sided, "comp").mapInArrow(compare, "comp long, doc_id long, tokens binary, near boolean"), "compared")
+    counts = stash(held.groupBy("comp").agg(F.ceil(F.count_if("near") / block).cast("int").alias("near_blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("far_blocks")).where("far_blocks > 0"), "blocks")
+    dealt = held.join(small_side(counts), "comp")
+    hashed = F.xxhash64("doc_id")
+    # Far blocks have negative numbers. Every pair of blocks of a group that isn't two near ones is a task.
+    dealt = dealt.withColumn("block", F.when(F.col("near"), F.pmod(hashed, F.greatest("near_blocks", F.lit(1)))).otherwise(-1 - F.pmod(hashed, F.col("far_blocks"))).cast("int"))
+    far = F.transform(F.sequence(F.lit(1), F.col("far_blocks")), lambda k: -k)
+    near_ones = F.when(F.col("near_blocks") > 0, F.sequence(F.lit(0), F.col("near_blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("near"), far).otherwise(F.concat(far, near_ones))))
+    pairs = _link_groups(dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "tokens"), num, den)
+    return pairs.unionByName(held.where("near and doc_id <> comp").select(F.col("comp").alias("a"), F.col("doc_id").alias("b")))
+
+
 def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -191,23 +219,25 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         .agg(F.max(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True))).alias("is_rep")).where("not is_rep").select("doc_id"), "copies")
     reps = rows.where("doc_id is not null").join(small_side(never), "doc_id", "left_anti")
     groups = _candidates(stash(set_keys(reps, n, num, den), "keys"))
-    sizes = stash(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    cut = sizes.where("blocks > 1").count()
+    share = groups.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = max(LEAST_BLOCK, min(MOST_BLOCK, share))
+    sizes = stash(groups.groupBy("component").agg(F.count("*").alias("members")), "sizes")
+    placed = stash(groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), (F.col("members") > block).alias("large")), "placed")
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.tobytes() for _, t in _sets(part, n)], pa.binary())], ["doc_id", "tokens"])
-
-    some = rows.join(small_side(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    sets = some.mapInArrow(read_sets, "doc_id long, tokens binary")
-    placed = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = stash(placed.select("doc_id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"), "placed")
-    links = stash(_link_groups(sets.join(small_side(placed), "doc_id"), num, den), "linked")
-    if cut:
-        labels = components(links)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("comp"), pa.array([t.tobytes() for _, t in _sets(part, n)], pa.binary())], ["doc_id", "comp", "tokens"])
+
+    def sets_of(which: DataFrame) -> DataFrame:
+        ids = which.select("doc_id", "comp")
+        return rows.join(small_side(ids), "doc_id").select("doc_id", "comp", "text").mapInArrow(read_sets, "doc_id long, comp long, tokens binary")
+
+    zero = F.lit(0)
+    links = _link_groups(sets_of(placed.where("not large")).select("comp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "doc_id", "tokens"), num, den)
+    if placed.where("large").limit(1).count():
+        labels = components(stash(links.unionByName(_large_groups(sets_of(placed.where("large")), block, num, den)), "linked"))
     else:  # every group was compared in one task
         labels = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     labels = labels.groupBy("node").agg(F.min("component").alias("component"))
