@@ -41,7 +41,7 @@ def write_cleaned(df: DataFrame, folder: str, stem: str, fixes_applied: bool, fm
     """Writes the dataset as <stem>.cleaned if a fix was applied, else <stem>.processed; returns the path."""
     path = f"{folder}/{stem}.{'cleaned' if fixes_applied else 'processed'}.{fmt}"
     writer = df.write.mode("overwrite")
-    (writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""') if fmt == "csv" else writer).format(fmt).save(path)
+    (writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) if fmt == "csv" else writer).format(fmt).save(path)
     return path
 
 
