@@ -138,7 +138,7 @@ def salvage(stream) -> Iterator[tuple[str, int, int, object]]:
     or a member that does not end makes it look at more.
     """
     buf, gap, why = _Buffer(stream), None, ""
-    mark = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/\d")
+    mark = re.compile(rb"\x1f\x8b\x08|WARC/\d")  # after a cut a version line may begin anywhere
     while buf.fill(1):
         got = _take(buf)
         if not isinstance(got, str):
