@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,5 +101,8 @@ def value_freq(df: DataFrame, row_id: str, columns: list[str] | None = None) ->
     return texts(df, row_id, columns).groupBy("column", "position", "value").agg(F.count("*").alias("cnt"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def with_total(freq: DataFrame) -> DataFrame:
+    """A frequency table (column, …, cnt) with each column's sum of cnt as n. The sums are a row a column; a window would put a column's whole table into one task."""
+    totals = freq.groupBy("column").agg(F.sum("cnt").alias("n"))
+    return freq.join(F.broadcast(totals), "column")
+

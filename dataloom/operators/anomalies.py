@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import col, text, try_number
+from ..functions.values import col, text, try_number, with_total
 
 FENCE, LISTED = 1.5, 50
 
@@ -48,14 +48,14 @@ def listed(outliers: DataFrame, most: int = LISTED) -> DataFrame:
 
 def rare_categories(freq: DataFrame, most: int = LISTED) -> DataFrame:
     """From value_freq of category columns: (column, rank, value, cnt, pct) of values rarer than max(3, 0.01 n), up to 50, rarest first."""
-    f = freq.where("value is not null").withColumn("n", F.sum("cnt").over(Window.partitionBy("column")))
+    f = with_total(freq.where("value is not null"))
     rare = f.where(F.col("cnt") < F.greatest(F.lit(3.0), 0.01 * F.col("n")))
     w = Window.partitionBy("column").orderBy("cnt", "value")
     return rare.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("column", "rank", "value", "cnt", F.round(100 * F.col("cnt") / F.col("n"), 4).alias("pct"))
 
 
 def top_values(freq: DataFrame, most: int = 2) -> DataFrame:
-    f = freq.where("value is not null").withColumn("n", F.sum("cnt").over(Window.partitionBy("column")))
+    f = with_total(freq.where("value is not null"))
     w = Window.partitionBy("column").orderBy(F.desc("cnt"), "value")
     return f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("column", "rank", "value", "cnt", F.round(100 * F.col("cnt") / F.col("n"), 4).alias("pct"))
 
@@ -89,6 +89,6 @@ def numeric_census(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
 
 def rare_census(freq: DataFrame) -> DataFrame:
     """From value_freq: (column, categories, rare) of columns with 2 to 60 distinct values, at most half as many as rows, that have rare ones."""
-    f = freq.where("value is not null").withColumn("n", F.sum("cnt").over(Window.partitionBy("column")))
+    f = with_total(freq.where("value is not null"))
     g = f.groupBy("column").agg(F.count("*").alias("categories"), F.max("n").alias("n"), F.count_if(F.col("cnt") < F.greatest(F.lit(3.0), 0.01 * F.col("n"))).alias("rare"))
     return g.where((F.col("categories").between(2, 60)) & (F.col("categories") <= 0.5 * F.col("n")) & (F.col("rare") > 0)).select("column", "categories", "rare")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_number
-from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, any_date, col, full_match, text, text_key, try_date, try_number
+from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, any_date, col, full_match, text, text_key, try_date, try_number, with_total
 
 FEW = 30
 DOMINANT, RARE, LEAST_VALUES = 0.85, 0.01, 5
@@ -159,7 +159,7 @@ def shape_shares(freq: DataFrame) -> DataFrame:
     """From value_freq: (column, shape, cnt, n): how many values have each shape, with the runs spelled d, U and l."""
     spelled = F.translate(shape(F.col("value")), "\u0001\u0002\u0003", "dUl")
     out = freq.where("value is not null").groupBy("column", spelled.alias("shape")).agg(F.sum("cnt").alias("cnt"))
-    return out.withColumn("n", F.sum("cnt").over(Window.partitionBy("column")))
+    return with_total(out)
 
 
 def numeric_sentinels(freq: DataFrame) -> DataFrame:
