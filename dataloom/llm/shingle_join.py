@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of shingle hashes; texts with equal sets form a class and its smallest id stands for it.
 2. Keys bring together what can link. Two linked sets differ in few tokens, so if tokens are dealt into more parts than
-   that, some part is the same in both. Every class sends a key for each part (part, tokens in it); classes that share a
-   key are joined into candidate groups. Up to EMIT parts this is the pigeonhole principle; where more would be needed,
+   that, some part is the same in both. Every class sends a key for each part (part, tokens in it). The members of a key
+   are compared by trees over bitmaps, and what may link is joined into candidate groups. Up to EMIT parts this is the pigeonhole principle; where more would be needed,
    sets are dealt into fewer parts and EMIT of them are sent: a link at the very threshold has all of them differ with
    odds below 1e-10, far below those of a collision of two 64-bit token hashes anywhere in the corpus.
 3. The sets of a candidate group meet in one task. A group of more than a block is first held against one of its sets,
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, small_side, stash
-from .signature_tree import link, linked
+from .signature_tree import bitmap, link, linked, may_link
 from .words import chunks, mix, shingle_sets
 
 EMIT = 72
 #: Least and most sets of a candidate group that make a block; between them, a quarter of a partition's even share.
 LEAST_BLOCK, MOST_BLOCK = 64, 2_000
+#: Bits of the bitmaps by which the members of a key are compared, and most members for that; more are all kept.
+BITS, CROWD = 2_048, 1_000
 #: Pivots, each a set, that may be broadcast; more are joined.
 MOST_PIVOTS = 500
 ROWS_OUT = 500_000
@@ -136,11 +138,49 @@ def set_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """(node, component): the groups of ids that chains of shared keys join."""
-    shared = stash(keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "shared")
-    edges = keys.join(shared, "key").where("doc_id <> owner").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
-    return stash(components(stash(edges.distinct(), "links")), "groups")
+def _candidates(keys: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, component): groups of ids such that no link leads from one to another.
+
+    Keys with the same members count once. The members of a key meet with bitmaps of their sets, and the trees over those
+    leave only pairs that may link; their spanning edges join ids. A key of more than CROWD ids joins all of them.
+    """
+    members = [F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
+    shared = keys.groupBy("key").agg(*members).where("owner < last")
+    shared = stash(shared.groupBy("n", "owner", "last", "mark").agg(F.min("key").alias("key")), "shared")
+    met = stash(keys.join(shared.select("key", "n", "owner"), "key"), "met")
+    star = met.where((F.col("n") > CROWD) & (F.col("doc_id") != F.col("owner"))).select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
+    few = met.where(F.col("n") <= CROWD).select("key", "doc_id")
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, maps = [], []
+            for _, tokens in _sets(b, n):
+                size.append(len(tokens))
+                maps.append(bitmap(tokens, BITS).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "size", "bits"])
+
+    ids = stash(few.select("doc_id").distinct(), "met-ids")
+    marks = stash(rows.join(small_side(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(bitmaps, "doc_id long, size long, bits binary"), "bitmaps")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            found = may_link([i[1] for i in group], [i[2] for i in group], num, den)
+            pairs = [(group[found.root(k)][0], i[0]) for k, i in enumerate(group) if found.root(k) != k]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+        group, at = [], None
+        for b in batches:
+            for key, doc, size, bits in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "size", "bits")), strict=True):
+                if key != at:
+                    if len(group) > 1:
+                        yield out()
+                    group, at = [], key
+                group.append((doc, size, bits))
+        if len(group) > 1:
+            yield out()
+
+    near = few.join(marks, "doc_id").select("key", "doc_id", "size", "bits").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(prune, "a long, b long")
+    return stash(components(stash(near.unionByName(star).distinct(), "links")), "groups")
 
 
 def _link_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,7 +258,7 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         seen.join(classes.where("members > 1"), digest, "left").groupBy("doc_id")
         .agg(F.max(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True))).alias("is_rep")).where("not is_rep").select("doc_id"), "copies")
     reps = rows.where("doc_id is not null").join(small_side(never), "doc_id", "left_anti")
-    groups = _candidates(stash(set_keys(reps, n, num, den), "keys"))
+    groups = _candidates(stash(set_keys(reps, n, num, den), "keys"), reps, n, num, den)
     share = groups.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = max(LEAST_BLOCK, min(MOST_BLOCK, share))
     sizes = stash(groups.groupBy("component").agg(F.count("*").alias("members")), "sizes")

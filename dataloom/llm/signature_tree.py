@@ -31,6 +31,12 @@ class Clusters:
             self.up[max(a, b)] = min(a, b)
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    flat = np.zeros(bits, bool)
+    flat[(tokens % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(flat)
+
+
 class Tree:
     """Levels of nodes, the sets first; node i of a level covers nodes FANOUT*i .. FANOUT*i + FANOUT - 1 below."""
 
@@ -41,7 +47,15 @@ class Tree:
         token = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
         flat = np.zeros(n * bits, bool)
         flat[owner * bits + token] = True
-        maps = np.packbits(flat.reshape(n, bits), axis=1).view(np.uint64)
+        self._grow(np.packbits(flat.reshape(n, bits), axis=1).view(np.uint64), sizes)
+
+    @classmethod
+    def of_bitmaps(cls, maps: np.ndarray, sizes: np.ndarray) -> Tree:
+        tree = cls.__new__(cls)
+        tree._grow(maps, sizes)
+        return tree
+
+    def _grow(self, maps: np.ndarray, sizes: np.ndarray) -> None:
         spare = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, spare)]
         while len(self.levels[-1][0]) > 1:
@@ -82,6 +96,18 @@ def pairs_that_may_link(a: Tree, b: Tree, num: int, den: int):
             stack.append((max(x - 1, 0), child, max(y - 1, 0), below))
 
 
+def may_link(sizes: list[int], bitmaps: list[bytes], num: int, den: int) -> Clusters:
+    """Clusters that the pairs which no bound excludes join, from sizes and bitmaps alone."""
+    found = Clusters(len(sizes))
+    order = np.argsort(np.array(sizes), kind="stable")
+    maps = np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(sizes), -1).view(np.uint64)[order]
+    tree = Tree.of_bitmaps(maps, np.array(sizes, np.int64)[order])
+    for i, js in pairs_that_may_link(tree, tree, num, den):
+        for j in js:
+            found.join(int(order[i]), int(order[j]))
+    return found
+
+
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether den * |x & y| >= num * |x | y|, for sorted distinct tokens."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
