@@ -292,7 +292,7 @@ def _(s, d):
     return au.cell_diff(dirty(s, d), numbers_fixed(s, d), ROW, "rm_02")
 
 
-@query("au_01_row_diff", f"WITH $D, k AS (SELECT row_id, row_number() OVER (PARTITION BY {ALL} ORDER BY row_id) AS n FROM d) SELECT 'row' AS scope, row_id, '' AS \"column\", 'present' AS before, NULL AS after, 'dedup' AS source FROM k WHERE n > 1")
+@query("au_01_row_diff", f"WITH $D, k AS (SELECT row_id, row_number() OVER (PARTITION BY {ALL} ORDER BY row_id) AS n FROM d) SELECT 'row' AS scope, row_id, '' AS \"column\", 'present' AS before, NULL::VARCHAR AS after, 'dedup' AS source FROM k WHERE n > 1")
 def _(s, d):
     x = dirty(s, d)
     return au.cell_diff(x, du.drop_duplicate_rows(x, ROW), ROW, "dedup")
