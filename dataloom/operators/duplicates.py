@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col, columns_of, text, text_key, try_number
@@ -53,22 +53,28 @@ def drop_duplicate_rows(df: DataFrame, row_id: str, subset: list[str] | None = N
     return df.join(keep, row_id, "left_semi")
 
 
+def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Each column's comparable text as t0, t1, … and number as x0, x1, …, computed once a row whatever the number of pairs."""
+    return df.select(*[text_key(col(c)).alias(f"t{i}") for i, c in enumerate(names)], *[try_number(col(c)).alias(f"x{i}") for i, c in enumerate(names)])
+
+
 def similarity(df: DataFrame, pairs: list[tuple[str, str]], chunk: int = 40) -> DataFrame:
     """(left, right, text_share, numeric_share, similarity) for pairs of columns; counters of many pairs share a scan.
 
     text_share: equal stripped lower-case text where both are populated. numeric_share: equal numbers where both read as
     numbers, times the share of jointly populated rows that do. similarity is the greater.
     """
-    out = None
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at_ = {c: i for i, c in enumerate(names)}
+    out, keyed = None, _keyed(df, names)
     for at in range(0, len(pairs), chunk):
         part, aggs = pairs[at:at + chunk], []
         for i, (a, b) in enumerate(part):
-            both = col(a).isNotNull() & col(b).isNotNull()
-            x, y = try_number(col(a)), try_number(col(b))
+            t, u, x, y = (F.col(f"{k}{at_[c]}") for k in "tx" for c in (a, b))
             numbers = x.isNotNull() & y.isNotNull()
-            aggs += [F.count_if(both).alias(f"n{i}"), F.count_if(both & (text_key(col(a)) == text_key(col(b)))).alias(f"t{i}"), F.count_if(numbers).alias(f"c{i}"), F.count_if(numbers & close(x, y)).alias(f"e{i}")]
+            aggs += [F.count_if(t.isNotNull() & u.isNotNull()).alias(f"n{i}"), F.count_if(t == u).alias(f"t{i}"), F.count_if(numbers).alias(f"c{i}"), F.count_if(numbers & close(x, y)).alias(f"e{i}")]
         cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"{k}{i}").alias(k) for k in "ntce"]) for i, (a, b) in enumerate(part)])
-        rows = df.agg(*aggs).select(F.inline(cells))
+        rows = keyed.agg(*aggs).select(F.inline(cells))
         out = rows if out is None else out.unionByName(rows)
     t, n = F.col("t") / F.col("n"), F.when(F.col("c") > 0, F.col("e") / F.col("c") * F.col("c") / F.col("n"))
     out = out.where("n > 0").select("left", "right", F.round(t, 4).alias("text_share"), F.round(F.coalesce(n, F.lit(0.0)), 4).alias("numeric_share"))
@@ -137,13 +143,15 @@ def divergence_violations(df: DataFrame, survivor: str, siblings: list[str]) ->
 
 def census_pairs(df: DataFrame, row_id: str, least: float = 0.90) -> DataFrame:
     """(left, right, text_share, numeric_share): pairs alike in 0.9 of all rows as text, or of the rows where both are numbers."""
+    names = columns_of(df, row_id)
+    at = {c: i for i, c in enumerate(names)}
     pairs, aggs = all_pairs(df, row_id), [F.count("*").alias("n")]
-    norm: dict[str, Column] = {c: F.coalesce(text_key(col(c)), F.lit("")) for c in columns_of(df, row_id)}
     for i, (a, b) in enumerate(pairs):
-        x, y = try_number(col(a)), try_number(col(b))
-        aggs += [F.count_if(norm[a] == norm[b]).alias(f"t{i}"), F.count(x + y).alias(f"c{i}"), F.count_if(F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)).alias(f"e{i}")]
+        t, u, x, y = (F.col(f"{k}{at[c]}") for k in "tx" for c in (a, b))
+        blank = F.lit("")
+        aggs += [F.count_if(F.coalesce(t, blank) == F.coalesce(u, blank)).alias(f"t{i}"), F.count(x + y).alias(f"c{i}"), F.count_if(F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)).alias(f"e{i}")]
     cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"{k}{i}").alias(k) for k in "tce"]) for i, (a, b) in enumerate(pairs)])
-    out = df.agg(*aggs).select("n", F.inline(cells)).select("left", "right", (F.col("t") / F.col("n")).alias("t"), F.when(F.col("c") > 0, F.col("e") / F.col("c")).alias("e"))
+    out = _keyed(df, names).agg(*aggs).select("n", F.inline(cells)).select("left", "right", (F.col("t") / F.col("n")).alias("t"), F.when(F.col("c") > 0, F.col("e") / F.col("c")).alias("e"))
     return out.where(F.greatest("t", "e") >= least).select("left", "right", F.round("t", 4).alias("text_share"), F.round("e", 4).alias("numeric_share"))
 
 
