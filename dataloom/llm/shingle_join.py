@@ -164,8 +164,8 @@ def _candidates(keys: DataFrame, rows: DataFrame, n: int, num: int, den: int) ->
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            found = may_link([i[1] for i in group], [i[2] for i in group], num, den)
-            pairs = [(group[found.root(k)][0], i[0]) for k, i in enumerate(group) if found.root(k) != k]
+            first = may_link([i[1] for i in group], [i[2] for i in group], num, den)
+            pairs = [(group[first[k]][0], i[0]) for k, i in enumerate(group) if first[k] != k]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
         group, at = [], None

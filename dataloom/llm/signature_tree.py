@@ -96,16 +96,17 @@ def pairs_that_may_link(a: Tree, b: Tree, num: int, den: int):
             stack.append((max(x - 1, 0), child, max(y - 1, 0), below))
 
 
-def may_link(sizes: list[int], bitmaps: list[bytes], num: int, den: int) -> Clusters:
-    """Clusters that the pairs which no bound excludes join, from sizes and bitmaps alone."""
-    found = Clusters(len(sizes))
+def may_link(sizes: list[int], bitmaps: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each set the first one of its cluster, where all pairs that no bound excludes, from sizes and bitmaps alone, are joined."""
     order = np.argsort(np.array(sizes), kind="stable")
     maps = np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(sizes), -1).view(np.uint64)[order]
     tree = Tree.of_bitmaps(maps, np.array(sizes, np.int64)[order])
+    label = np.arange(len(sizes))
     for i, js in pairs_that_may_link(tree, tree, num, den):
-        for j in js:
-            found.join(int(order[i]), int(order[j]))
-    return found
+        met = np.unique(np.append(label[order[js]], label[order[i]]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
