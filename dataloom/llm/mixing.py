@@ -126,7 +126,7 @@ def mixed_documents(docs: DataFrame, weights=(1.0, 2.0, 3.0), repeats: int = 3,
     times = stash(rows.select("doc_id", "source", "size", _taken(rows, cut, repeats).cast("int").alias("times")).groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")), "times")
     t = times.select(F.col("doc_id").alias("__t_id"), F.col("source").alias("__t_source"), F.col("size").alias("__t_size"), F.col("times").alias("__t_times"))
     same = F.col(id_col).cast("long").eqNullSafe(t["__t_id"]) & F.col(source_col).cast("string").eqNullSafe(t["__t_source"]) & (word_count(text_col) == t["__t_size"])
-    return docs.join(t, same).where("__t_times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__t_times")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(small_side(t), same).where("__t_times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__t_times")))).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
