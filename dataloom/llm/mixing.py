@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WS, mix31, mix31_sql, running_total, small_side, stash
@@ -24,6 +24,11 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
 
 
+def place_of(doc_id: Column) -> Column:
+    """A document's place in the shuffled order."""
+    return mix31(F.coalesce(F.pmod(doc_id, F.lit(RANGE)), F.lit(0)), 7)
+
+
 def targets(sources: DataFrame, weights: list[float], repeats: int) -> DataFrame:
     """Adds source_rank, weight, level and target to (source, source_size), one row a source.
 
@@ -56,8 +61,7 @@ def queue(docs: DataFrame, weights=(1.0, 2.0, 3.0), repeats: int = 3, id_col: st
     sources = stash(targets(sources, list(weights), repeats), "targets")
     count = rows.count()
     buckets = max(LEAST_BUCKETS, math.ceil(count / BUCKET_ROWS))
-    place = mix31(F.coalesce(F.pmod(F.col("doc_id"), F.lit(RANGE)), F.lit(0)), 7)
-    rows = rows.withColumn("place", place).withColumn("bucket", F.floor(F.col("place") * buckets / RANGE).cast("long"))
+    rows = rows.withColumn("place", place_of(F.col("doc_id"))).withColumn("bucket", F.floor(F.col("place") * buckets / RANGE).cast("long"))
     named = sources.withColumnRenamed("source", "__name")
     rows = rows.join(small_side(named), F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
     totals = rows.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"))
@@ -119,14 +123,25 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), repeats: int = 3, **cols: str)
 def mixed_documents(docs: DataFrame, weights=(1.0, 2.0, 3.0), repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of docs as often as the mix takes it, with its columns; rows taken zero times are left out.
 
-    The copies of a row stay together; `queue` has the finish times for a reader that wants them in order. Rows are
-    matched by id, source and number of words.
+    The copies of a row stay together; `queue` has the finish times for a reader that wants them in order. Finish times
+    rise with the shuffled order inside a source, so the cut is one last (place, doc_id, size) a source and repeat: rows
+    are held against that table of a row a source, and texts are never shuffled.
     """
     rows, cut = queue(docs, weights, repeats, id_col, text_col, source_col)
-    times = stash(rows.select("doc_id", "source", "size", _taken(rows, cut, repeats).cast("int").alias("times")).groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")), "times")
-    t = times.select(F.col("doc_id").alias("__t_id"), F.col("source").alias("__t_source"), F.col("size").alias("__t_size"), F.col("times").alias("__t_times"))
-    same = F.col(id_col).cast("long").eqNullSafe(t["__t_id"]) & F.col(source_col).cast("string").eqNullSafe(t["__t_source"]) & (word_count(text_col) == t["__t_size"])
-    return docs.join(small_side(t), same).where("__t_times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__t_times")))).select(*[docs[c] for c in docs.columns])
+    least = F.lit(-(1 << 63))
+    spot = F.struct("place", F.coalesce("doc_id", least).alias("id"), "size")
+    last = [F.max(F.when(_taken(rows, cut, repeats) > e, spot)).alias(f"__last_{e}") for e in range(repeats)]
+    lasts = stash(rows.groupBy(F.col("source").alias("__name")).agg(*last), "lasts")
+    known = docs.join(small_side(lasts), F.col(source_col).cast("string").eqNullSafe(F.col("__name")))
+    doc_id, where = F.coalesce(docs[id_col].cast("long"), least), place_of(docs[id_col].cast("long"))
+
+    def taken(e: int):
+        at = F.col(f"__last_{e}")
+        same = F.when(where < at["place"], True).when(where > at["place"], False).when(doc_id < at["id"], True).when(doc_id > at["id"], False)
+        return F.when(at.isNull(), 0).otherwise(same.otherwise(word_count(text_col) <= at["size"]).cast("int"))  # words are counted for ties only
+
+    known = known.withColumn("__times", sum((taken(e) for e in range(1, repeats)), taken(0))).where("__times > 0")
+    return known.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,22 @@ def test_mix_of_odd_rows_and_reruns(spark, odd):
     assert whole.columns == odd.columns
     counts = Counter(r["doc_id"] for r in whole.collect())
     assert all(counts[r["doc_id"]] % r["times"] == 0 if r["times"] else True for r in mixing.mix(odd).collect())
+    assert mixing.mixed_documents(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weights,repeats", [((1.0, 2.0, 3.0), 3), ((1.0, 50.0), 2), ((5.0,), 1)])
+def test_mixed_documents_stand_as_often_as_the_mix_takes_them(spark, weights, repeats):
+    r = random.Random(3)
+    rows = [(i // 2 if i < 40 else i, "w " * r.randrange(0, 6), r.choice(["a", "a", "a", "b", None, "c"])) for i in range(600)]
+    rows += [(None, "w w", "a"), (-5, "w", "b"), (2**40, None, None)]
+    table = docs(spark, rows)
+    want = {(x["doc_id"], x["source_size"], x["size"]): x["times"] for x in mixing.mix(table, weights, repeats).collect()}
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(brute.words(t))
+    held = Counter((i, size[s], len(brute.words(t))) for i, t, s in rows)
+    got = Counter((x["doc_id"], size[x["source"]], len(brute.words(x["text"]))) for x in mixing.mixed_documents(table, weights, repeats).collect())
+    assert got == Counter({k: n * want[k] for k, n in held.items() if want[k]})
 
 
 def plain_encoding():
