@@ -195,6 +195,11 @@ def test_main_text():
     assert html_text.main_text(html_text.tree("<p>a<p>b")) == "a\nb"
 
 
+def test_classes_of_the_whole_page_drop_nothing():
+    page = '<html class="no-banner"><body class="has-sidebar"><div class="sidebar">x</div><main id="main-menu"><p>kept</p></main></body></html>'
+    assert html_text.main_text(html_text.tree(page)) == "kept"
+
+
 def test_templates_go_and_articles_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Welcome to our shop</div><div>text {i}</div><p>repeated passage</p></body>") for i in range(20)]
     rows += [(100 + i, f"http://g.example/{i}", f"<body><div>Welcome</div><article><p>repeated passage</p><p>n {i}</p></article></body>") for i in range(20)]
