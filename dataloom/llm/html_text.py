@@ -1,10 +1,12 @@
 """Main text of web pages, with site templates removed.
 
-1. Every page is parsed into elements. Subtrees outside its article are hashed, and counted for each host over pages of
-   different content.
-2. Subtrees that recur on many pages of a host are its template.
+1. Every page is parsed into elements. Subtrees are hashed, and counted for each host and each section of a host (first
+   folder of the path): those outside the page's article over pages of different content, containers inside it over
+   articles of different content.
+2. Subtrees that recur on many pages of a host or section are its template.
 3. The article of each page is read without template subtrees and without elements that are no article text by name,
-   role or class. What stands inside the article is never called a template: passages that sites repeat stay.
+   role or class. Inside the article only containers (CONTAINERS) are templates: paragraphs, headings, list items and
+   quotations that sites repeat stay where their container differs, and so does all that a quotation holds.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "tbody", "tf
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div section article main body html td th blockquote aside nav form".split())
 WHOLE = frozenset("html body main".split())  # their classes tell what the page has, such as has-sidebar
+CONTAINERS = frozenset("address center details dir div dl fieldset figure header hgroup ol section table ul".split())  # may be templates inside an article
+QUOTES = frozenset("blockquote pre".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 AWAY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
@@ -41,6 +45,7 @@ AWAY = re.compile(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+FOLDER = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)/"
 
 
 class Element:
@@ -115,31 +120,50 @@ def _main_parts(root: Element) -> list[Element]:
     return found[True] or found[False][:1] or [root]
 
 
-def _hash(e: Element, main: list[Element], into: dict[int, bytes] | None) -> bytes:
-    """A hash of the subtree: names, and text with white space as one space. into: gets those outside main by id."""
-    h = hashlib.blake2b(e.tag.encode(), digest_size=8)
+def _hash(e: Element, main: list[Element], into: dict[int, bytes] | None, kinds: frozenset[str] = BLOCK, person: bytes = b"") -> bytes:
+    """A hash of the subtree: names, and text with white space as one space. into: gets those of kinds outside main and quotations by id."""
+    h = hashlib.blake2b(e.tag.encode(), digest_size=8, person=person)
+    below = None if person and e.tag in QUOTES else into
     for x in e.parts:
         if not isinstance(x, Element):
             h.update(b"\0" + " ".join(x.split()).encode("utf-8", "replace"))
         elif not any(x is m for m in main):
-            h.update(b"\1" + _hash(x, main, into))
-    if into is not None and e.tag in BLOCK:
+            h.update(b"\1" + _hash(x, main, below, kinds, person))
+    if into is not None and e.tag in kinds:
         into[id(e)] = h.digest()
     return h.digest()
 
 
-def subtrees(root: Element) -> dict[int, int]:
-    """Hashes of the block elements outside the page's article, by id of the element; without one, of all blocks that have text."""
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def subtrees(root: Element) -> tuple[dict[int, int], dict[int, int], int]:
+    """Hashes by id of the element, and a hash of the article.
+
+    First those of the block elements outside the page's article, or without one of all blocks; then those of the
+    containers inside the article, which differ from the hashes of the same elements outside.
+    """
     main = _main_parts(root)
-    found: dict[int, bytes] = {}
-    _hash(root, main if main[0] is not root else [], found)
-    return {k: int.from_bytes(v, "little", signed=True) for k, v in found.items()}
+    outside: dict[int, bytes] = {}
+    inside: dict[int, bytes] = {}
+    whole = hashlib.blake2b(digest_size=8)
+    if main[0] is root:
+        main = []
+    _hash(root, main, outside)
+    for e in main:
+        whole.update(_hash(e, [], inside, CONTAINERS, b"inside"))
+        inside.pop(id(e), None)
+    return {k: _number(v) for k, v in outside.items()}, {k: _number(v) for k, v in inside.items()}, _number(whole.digest())
 
 
 def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's article, one a line."""
     main = _main_parts(root)
-    hashes = subtrees(root) if template else {}
+    hashes: dict[int, int] = {}
+    if template:
+        outside, inside, _ = subtrees(root)
+        hashes = outside | inside
     blocks: list[str] = []
     line: list[str] = []
 
@@ -173,27 +197,34 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
 
 
 def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """(host, template): the subtrees that recur on a host, from rows (host, html).
+    """(site, template): the subtrees that recur on a host or section, from rows (host, section, html).
 
-    A host's list is short whatever its size: a page has few subtrees, and each listed one is on least_share of its pages.
+    A site's list is short whatever its size: a page has few subtrees, and each listed one is on least_share of its pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes, contents = [], [], []
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                digest = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                own = {0, *subtrees(tree(page)).values()}  # 0 stands for the page itself
-                hosts += [host] * len(own)
-                hashes += own
-                contents += [digest] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["host", "subtree", "page"])
-
-    seen = pages.mapInArrow(run, "host string, subtree long, page long").distinct()
-    counts = stash(seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where((F.col("pages") >= least_pages) | (F.col("subtree") == 0)), "subtrees")
-    whole = counts.where("subtree = 0").select("host", F.col("pages").alias("all"))
-    often = counts.where("subtree <> 0").join(whole, "host").where(F.col("pages") >= least_share * F.col("all"))
-    return stash(often.groupBy("host").agg(F.collect_list("subtree").alias("template")), "templates")
+            hosts, sections, kinds, hashes, contents = [], [], [], [], []
+            for host, section, page in zip(b.column("host").to_pylist(), b.column("section").to_pylist(), b.column("html").to_pylist(), strict=True):
+                digest = _number(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest())
+                outside, inside, article = subtrees(tree(page))
+                for kind, found, content in ((False, outside, digest), (True, inside, article)):
+                    own = {0, *found.values()}  # 0 stands for the page or article itself
+                    hosts += [host] * len(own)
+                    sections += [section] * len(own)
+                    kinds += [kind] * len(own)
+                    hashes += own
+                    contents += [content] * len(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(sections, pa.string()), pa.array(kinds, pa.bool_()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())],
+                ["host", "section", "inside", "subtree", "page"])
+
+    seen = pages.mapInArrow(run, "host string, section string, inside boolean, subtree long, page long")
+    seen = seen.select(F.explode(F.array("host", "section")).alias("site"), "inside", "subtree", "page").distinct()
+    counts = stash(seen.groupBy("site", "inside", "subtree").agg(F.count("*").alias("pages")).where((F.col("pages") >= least_pages) | (F.col("subtree") == 0)), "subtrees")
+    whole = counts.where("subtree = 0").select("site", "inside", F.col("pages").alias("all"))
+    often = counts.where("subtree <> 0").join(whole, ["site", "inside"]).where(F.col("pages") >= least_share * F.col("all"))
+    return stash(often.groupBy("site").agg(F.collect_list("subtree").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -201,13 +232,18 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
 
     text has the article's blocks in page order, one a line, with white space inside a block as one space; it is
     empty where nothing is left or html is null. A page without article or main element is read as a whole. Pages
-    with null or odd urls share one host. Copies of a page count once when subtrees are counted. Repeated rows each
-    give theirs; empty input gives an empty result; other columns are not read.
+    with null or odd urls share one host. Copies of a page, and inside it of an article, count once when subtrees are
+    counted. Repeated rows each give theirs; empty input gives an empty result; other columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    found = templates(rows.select("host", "html"), least_pages, least_share)
-    joined = rows.join(F.broadcast(found) if found.count() <= MOST_HOSTS_BROADCAST else found, "host", "left").select("page_id", "url", "html", "template")
+    section = F.concat(host, F.lit("/"), F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), FOLDER, 1))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"), section.alias("section"))
+    found = templates(rows.select("host", "section", "html"), least_pages, least_share)
+    for key, is_section in (("host", False), ("section", True)):
+        of = found.where(F.col("site").contains("/") == is_section).select(F.col("site").alias(key), F.col("template").alias(f"{key}_template"))
+        rows = rows.join(F.broadcast(of) if of.count() <= MOST_HOSTS_BROADCAST else of, key, "left")
+    none = F.array().cast("array<bigint>")
+    joined = rows.select("page_id", "url", "html", F.array_union(F.coalesce("host_template", none), F.coalesce("section_template", none)).alias("template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

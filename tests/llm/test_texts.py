@@ -210,6 +210,16 @@ def test_templates_go_and_articles_stay(spark):
     assert html_text.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_templates_inside_articles_go(spark):
+    box = "<div class='x7'><p>Get our letter</p></div><ul><li>Home<li>About</ul>"
+    quote = "<p>quoted passage</p><blockquote><div>quoted lines</div></blockquote>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article>{box}<p>n {i}</p>{quote}</article></body>") for i in range(20)]
+    rows += [(100 + i, f"http://g.example/{'news/' if i < 10 else 'x' if i < 80 else 'old/'}{i}", f"<body><main>{'<div>Section note</div>' if i < 10 else ''}<p>n {i}</p></main></body>") for i in range(90)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<body><div>visit {i}</div><article><div>one article at many addresses</div></article></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got[3] == "n 3\nquoted passage\nquoted lines" and got[103] == "n 3" and got[203] == "one article at many addresses"
+
+
 def good(r, n=60):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(n)).capitalize() + "."
 
