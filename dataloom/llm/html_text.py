@@ -38,9 +38,12 @@ WHOLE = frozenset("html body main".split())  # their classes tell what the page
 CONTAINERS = frozenset("address center details dir div dl fieldset figure header hgroup ol section table ul".split())  # may be templates inside an article
 QUOTES = frozenset("blockquote pre".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"sidebar|footer|masthead|comment|comments|respond|disqus|share|sharing|social|related|newsletter|subscribe|popup|modal|login|signup|widget|pagination)(?=$|[\s_-])")
+_WORD = (
+    r"(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+    r"sidebar|footer|masthead|comment|comments|respond|disqus|share|sharing|social|related|newsletter|subscribe|popup|modal|login|signup|widget|pagination)")
+#: A whole class or id: a word, or words joined with each other or with a word for the kind of box.
+AWAY = re.compile(rf"(?:^|\s){_WORD}(?:[_-](?:{_WORD}|area|bar|box|buttons|form|icons|links|list|posts))*(?=$|\s)")
+READERS = re.compile(r"(?:^|\s)(?:comment|comments|disqus|respond)(?=$|[\s_-])")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -49,21 +52,32 @@ FOLDER = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)/"
 
 
 class Element:
-    __slots__ = ("tag", "away", "main", "parts")
+    __slots__ = ("tag", "away", "by_class", "readers", "main", "holds", "parts")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts = tag, []
-        self.main = tag in ("article", "main")
+        self.main, self.holds = tag in ("article", "main"), False  # holds: is or contains one that is not away
         self.away = tag in NOT_TEXT
+        self.by_class = self.readers = False  # whether it is no article text by class, and that as readers' comments
         if attributes:
             a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             role = a.get("role", "").lower()
             self.main = self.main or role == "main"
-            self.away = self.away or role in ROLES or "hidden" in a or (tag not in WHOLE and bool(AWAY.search(f"{a.get('class', '')} {a.get('id', '')}".lower())))
+            self.away = self.away or role in ROLES or "hidden" in a
+            if tag not in WHOLE and role != "main":
+                names = f"{a.get('class', '')} {a.get('id', '')}".lower()
+                self.by_class = bool(AWAY.search(names))
+                self.readers = self.by_class and bool(READERS.search(names))
 
 
 def tree(page: str) -> Element:
     """The elements of a page, each with its text and elements in order; missing end tags are put where HTML puts them."""
+    root = _elements(page)
+    _decide(root)
+    return root
+
+
+def _elements(page: str) -> Element:
     root = Element("#root")
     stack, at = [root], 0
     while True:
@@ -103,21 +117,42 @@ def tree(page: str) -> Element:
             stack.append(element)
 
 
+def _decide(root: Element) -> None:
+    """Sets away where the class says so. A class never discards an element that is or contains an article or main.
+
+    Only readers' comments go with the articles they are put in, if the page has an article besides them.
+    """
+    order: list[tuple[Element, Element | None, bool]] = []
+    stack: list[tuple[Element, Element | None, bool]] = [(root, None, False)]
+    while stack:
+        e, above, readers = stack.pop()
+        if e.away:
+            continue
+        readers = readers or e.readers
+        order.append((e, above, readers))
+        stack += [(x, e, readers) for x in e.parts if isinstance(x, Element)]
+    for e, above, _ in reversed(order):
+        e.holds = e.holds or e.main
+        if e.holds and above is not None:
+            above.holds = True
+    besides = any(e.tag == "article" and not readers for e, _, readers in order)
+    for e, _, _ in order:
+        e.away = e.by_class and (not e.holds or (e.readers and besides))
+
+
 def _main_parts(root: Element) -> list[Element]:
-    """The outermost articles, or else main elements, that are not away; the whole page if there are none."""
-    found: dict[bool, list[Element]] = {True: [], False: []}
+    """The outermost articles and main elements that are not away, in page order; the whole page if there are none."""
+    found: list[Element] = []
     stack = [root]
     while stack:
         e = stack.pop()
         if e.away:
             continue
-        if e.tag == "article":
-            found[True].append(e)
-            continue
         if e.main:
-            found[False].append(e)
+            found.append(e)
+            continue
         stack += [x for x in reversed(e.parts) if isinstance(x, Element)]
-    return found[True] or found[False][:1] or [root]
+    return found or [root]
 
 
 def _hash(e: Element, main: list[Element], into: dict[int, bytes] | None, kinds: frozenset[str] = BLOCK, person: bytes = b"") -> bytes:
@@ -129,7 +164,7 @@ def _hash(e: Element, main: list[Element], into: dict[int, bytes] | None, kinds:
             h.update(b"\0" + " ".join(x.split()).encode("utf-8", "replace"))
         elif not any(x is m for m in main):
             h.update(b"\1" + _hash(x, main, below, kinds, person))
-    if into is not None and e.tag in kinds:
+    if into is not None and e.tag in kinds and not (person and e.holds):
         into[id(e)] = h.digest()
     return h.digest()
 
@@ -230,8 +265,8 @@ def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFra
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    text has the article's blocks in page order, one a line, with white space inside a block as one space; it is
-    empty where nothing is left or html is null. A page without article or main element is read as a whole. Pages
+    text has the blocks of all outermost main and article elements in page order, one a line, with white space inside a
+    block as one space; it is empty where nothing is left or html is null. A page without article or main element is read as a whole. Pages
     with null or odd urls share one host. Copies of a page, and inside it of an article, count once when subtrees are
     counted. Repeated rows each give theirs; empty input gives an empty result; other columns are not read.
     """

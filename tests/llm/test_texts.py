@@ -200,6 +200,21 @@ def test_classes_of_the_whole_page_drop_nothing():
     assert html_text.main_text(html_text.tree(page)) == "kept"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article class='hentry category-social-media'><p>kept</p></article>", "kept"), ("<article class='post no-comments'>kept</article>", "kept"),
+    ("<article class='social'>kept</article>", "kept"), ("<div class='content has-sidebar'><article>kept</article></div>", "kept"),
+    ("<div class='sidebar'><div><main>kept</main></div></div>", "kept"), ("<div class='with-sidebar'><main>kept</main></div>", "kept"),
+    ("<article>a<section id='related-work'>b</section><div class='related-posts'>no</div><div class='x cookie-notice'>no</div></article>", "a\nb"),
+    ("<main>a</main><div>no</div><main>b</main><div role='main'>c</div>", "a\nb\nc"),
+    ("<main><h1>t</h1><article>a</article><p>b</p><article>c</article></main>", "t\na\nb\nc"), ("<article>a</article><main>b</main>", "a\nb"),
+    ("<article>a<div class='comments'><article>no</article></div></article><div id='comments'><article class='comment'>no</article></div>", "a"),
+    ("<div class='comments'><article class='comment'>a</article><article class='comment'>b</article></div>", "a\nb"),
+    ("<nav class='x'><article>no</article></nav><div class='menu'>no</div><article>a</article>", "a"),
+])
+def test_no_class_discards_an_article(page, want):
+    assert html_text.main_text(html_text.tree(page)) == want
+
+
 def test_templates_go_and_articles_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Welcome to our shop</div><div>text {i}</div><p>repeated passage</p></body>") for i in range(20)]
     rows += [(100 + i, f"http://g.example/{i}", f"<body><div>Welcome</div><article><p>repeated passage</p><p>n {i}</p></article></body>") for i in range(20)]
@@ -217,6 +232,8 @@ def test_templates_inside_articles_go(spark):
     rows += [(100 + i, f"http://g.example/{'news/' if i < 10 else 'x' if i < 80 else 'old/'}{i}", f"<body><main>{'<div>Section note</div>' if i < 10 else ''}<p>n {i}</p></main></body>") for i in range(90)]
     rows += [(200 + i, f"http://c.example/{i}", f"<body><div>visit {i}</div><article><div>one article at many addresses</div></article></body>") for i in range(20)]
     got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    rows = [(i, f"http://h.example/{i}", f"<main><p>visit {i}</p><div><article>a story</article></div></main>") for i in range(20)]
+    assert {r["text"] for r in html_text.extract(pages(spark, rows)).collect()} == {f"visit {i}\na story" for i in range(20)}
     assert got[3] == "n 3\nquoted passage\nquoted lines" and got[103] == "n 3" and got[203] == "one article at many addresses"
 
 
