@@ -80,6 +80,16 @@ def tree(page: str) -> Element:
 def _elements(page: str) -> Element:
     root = Element("#root")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    scopes = [0]
+
+    def cut(i: int) -> None:
+        for e in stack[:i - 1:-1]:
+            places[e.tag].pop()
+            if e.tag in SCOPE:
+                scopes.pop()
+        del stack[i:]
+
     while True:
         m = TAG.search(page, at)
         text = page[at:m.start() if m else len(page)]
@@ -92,21 +102,16 @@ def _elements(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in CLOSES_P or tag in SIBLINGS:
             ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
             if tag[0] == "h" and tag[1:].isdigit():
                 ends = ends | {"h1", "h2", "h3", "h4", "h5", "h6"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            last = max((places[t][-1] for t in ends if places.get(t)), default=0)
+            if last and last >= scopes[-1]:
+                cut(last)
         element = Element(tag, m[3])
         stack[-1].parts.append(element)
         if tag in RAW:
@@ -114,6 +119,9 @@ def _elements(page: str) -> Element:
             close = page.find(">", end.end() - 1) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
             stack.append(element)
 
 
@@ -155,18 +163,28 @@ def _main_parts(root: Element) -> list[Element]:
     return found or [root]
 
 
-def _hash(e: Element, main: list[Element], into: dict[int, bytes] | None, kinds: frozenset[str] = BLOCK, person: bytes = b"") -> bytes:
-    """A hash of the subtree: names, and text with white space as one space. into: gets those of kinds outside main and quotations by id."""
-    h = hashlib.blake2b(e.tag.encode(), digest_size=8, person=person)
-    below = None if person and e.tag in QUOTES else into
-    for x in e.parts:
-        if not isinstance(x, Element):
-            h.update(b"\0" + " ".join(x.split()).encode("utf-8", "replace"))
-        elif not any(x is m for m in main):
-            h.update(b"\1" + _hash(x, main, below, kinds, person))
-    if into is not None and e.tag in kinds and not (person and e.holds):
-        into[id(e)] = h.digest()
-    return h.digest()
+def _hash(top: Element, main: set[int], into: dict[int, bytes], kinds: frozenset[str] = BLOCK, person: bytes = b"") -> bytes:
+    """A hash of the subtree: names, and text with white space as one space. into: gets those of kinds outside main (ids) and quotations by id."""
+    start = lambda e: (e, iter(e.parts), hashlib.blake2b(e.tag.encode("utf-8", "replace"), digest_size=8, person=person))
+    stack = [start(top)]
+    quotes = int(bool(person) and top.tag in QUOTES)
+    while True:
+        e, parts, h = stack[-1]
+        for x in parts:
+            if not isinstance(x, Element):
+                h.update(b"\0" + " ".join(x.split()).encode("utf-8", "replace"))
+            elif id(x) not in main:
+                quotes += bool(person) and x.tag in QUOTES
+                stack.append(start(x))
+                break
+        else:
+            stack.pop()
+            if not quotes and e.tag in kinds and not (person and e.holds):
+                into[id(e)] = h.digest()
+            quotes -= bool(person) and e.tag in QUOTES
+            if not stack:
+                return h.digest()
+            stack[-1][2].update(b"\1" + h.digest())
 
 
 def _number(digest: bytes) -> int:
@@ -185,9 +203,9 @@ def subtrees(root: Element) -> tuple[dict[int, int], dict[int, int], int]:
     whole = hashlib.blake2b(digest_size=8)
     if main[0] is root:
         main = []
-    _hash(root, main, outside)
+    _hash(root, {id(e) for e in main}, outside)
     for e in main:
-        whole.update(_hash(e, [], inside, CONTAINERS, b"inside"))
+        whole.update(_hash(e, set(), inside, CONTAINERS, b"inside"))
         inside.pop(id(e), None)
     return {k: _number(v) for k, v in outside.items()}, {k: _number(v) for k, v in inside.items()}, _number(whole.digest())
 
@@ -208,25 +226,26 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(e: Element, inside: bool):
-        for x in e.parts:
-            if not isinstance(x, Element):
-                line.append(x)
-            elif x.away or (not inside and x.tag == "header") or (template and hashes.get(id(x)) in template):
+    for top in main:
+        inside, stack = top is not root, [(top, iter(top.parts))]
+        while stack:
+            e, parts = stack[-1]
+            for x in parts:
+                if not isinstance(x, Element):
+                    line.append(x)
+                    continue
                 if x.tag in BLOCK:
                     flush()
-            elif x.tag in BLOCK:
-                flush()
-                walk(x, inside)
-                flush()
-            elif x.tag in ("br", "td", "th"):
-                line.append(" ")
-                walk(x, inside)
+                if x.away or (not inside and x.tag == "header") or (template and hashes.get(id(x)) in template):
+                    continue
+                if x.tag in ("br", "td", "th"):
+                    line.append(" ")
+                stack.append((x, iter(x.parts)))
+                break
             else:
-                walk(x, inside)
-
-    for e in main:
-        walk(e, e is not root)
+                stack.pop()
+                if stack and e.tag in BLOCK:
+                    flush()
         flush()
     return "\n".join(blocks)
 

@@ -237,6 +237,13 @@ def test_templates_inside_articles_go(spark):
     assert got[3] == "n 3\nquoted passage\nquoted lines" and got[103] == "n 3" and got[203] == "one article at many addresses"
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "font", "article", "blockquote"])
+def test_deep_pages(tag):
+    page = "<main>" + f"<{tag}>a " * 100_000 + "</b><hr><li>" * 1_000
+    root = html_text.tree(page)
+    assert html_text.main_text(root, frozenset({1})).split() == ["a"] * 100_000 and len(html_text.subtrees(root)) == 3
+
+
 def good(r, n=60):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(n)).capitalize() + "."
 
