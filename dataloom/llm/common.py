@@ -48,6 +48,24 @@ def small_side(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if (ids.count() if rows is None else rows) <= BROADCAST_ROWS else ids
 
 
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
+    """docs with a column of a long that names each row, the name of that column, and whether it isn't the id.
+
+    The id is taken if no row lacks or repeats it. Otherwise rows get numbers, and are written with them so that every
+    read has the same.
+    """
+    tag = f"__row_{uuid.uuid4().hex[:8]}"
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    if ids.where("id is null or n > 1").limit(1).count():
+        return stash(docs.withColumn(tag, F.monotonically_increasing_id()), "rows"), tag, True
+    return docs.withColumn(tag, F.col(id_col).cast("long")), tag, False
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows whose key isn't in dropped, a stashed table of the one column that names the key."""
+    return rows.join(small_side(dropped), key, "left_anti").select(*[rows[c] for c in columns])
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space."""
     return F.regexp_replace(text, f"[{WS}]+", " ")

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_side, squeeze, stash
+from .common import fresh_path, keyed, squeeze, stash, without
 
 
 def text_digest(text: str = "text"):
@@ -65,20 +65,24 @@ class DigestIndex:
         )
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", single: bool = False) -> DataFrame:
     """docs without the rows whose text a kept row has already; all columns stay.
 
-    Rows that repeat both id and text are all kept if their group keeps that id, because nothing tells them apart.
+    Rows that repeat both id and text are all kept if their group keeps that id, or with single one of them is, so that
+    one row of each text stays.
     """
-    verdicts = stash((index or DigestIndex(docs.sparkSession)).add(docs, id_col, text_col), "exact")
-    dropped = verdicts.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id", "text_sha256")
-    # A digest is computed only for rows whose id is dropped for some text.
-    dropped = stash(dropped, "dropped")
-    tag, sha, hit = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "sha", "hit"))
-    by_id = dropped.groupBy(F.col("doc_id").alias(tag)).agg(F.collect_set("text_sha256").alias(hit))
-    joined = docs.join(small_side(stash(by_id, "dropped-ids")), F.col(id_col).cast("long").eqNullSafe(F.col(tag)), "left")
-    sure = F.when(F.col(hit).isNull(), F.lit(True)).otherwise(~F.array_contains(hit, text_digest(text_col)))
-    return joined.where(sure).select(*[docs[c] for c in docs.columns])
+    rows, key, numbered = keyed(docs, id_col)
+    verdicts = stash((index or DigestIndex(docs.sparkSession)).add(rows, id_col, text_col), "exact")
+    if numbered:
+        all_rows = stash(rows.select(key, F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("text_sha256")), "row-digests")
+        kept = verdicts.where("kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha"))
+        stay = all_rows.join(kept, (F.col("text_sha256") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("of"))).select(key, "text_sha256")
+        if single:
+            stay = stay.groupBy("text_sha256").agg(F.min(key).alias(key))
+        dropped = all_rows.join(stay.select(key), key, "left_anti").select(key)
+    else:
+        dropped = verdicts.where("not kept").select(F.col("doc_id").alias(key))
+    return without(rows, key, stash(dropped, "dropped"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

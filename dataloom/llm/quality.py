@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stash
+from .common import keyed, small_side, stash, without
 from .words import Words, chunks
 
 #: Most labelled documents the model is fitted on.
@@ -182,11 +181,10 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
 
 
 def drop_rejected(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """docs without the rows that the classifier rejects; all columns stay. A row goes if every row with its id is rejected."""
-    tag = f"__reject_{uuid.uuid4().hex[:8]}"
-    found = classify(docs, model, threshold, id_col, **cols)
-    rejected = stash(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(tag)).agg(F.max("keep").alias("keep")).where("not keep").drop("keep"), "rejected")
-    return docs.join(small_side(rejected), F.col(id_col).cast("long") == F.col(tag), "left_anti")
+    """docs without the rows that the classifier rejects; all columns stay. Rows without id or with equal ids go one by one."""
+    rows, key, _ = keyed(docs, id_col)
+    rejected = classify(rows, model, threshold, key, **cols).where("not keep").select(F.col("doc_id").alias(key))
+    return without(rows, key, stash(rejected, "rejected"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import bisect
 import functools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_side, stash
+from .common import components, keyed, small_side, stash, without
 from .signature_tree import bitmap, link, linked, may_link
 from .words import chunks, mix, shingle_sets
 
@@ -286,11 +285,20 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the smallest id; all columns stay."""
-    found = shingle_components(docs, n, num, den, id_col, text_col)
-    tag = f"__drop_{uuid.uuid4().hex[:8]}"
-    dropped = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias(tag)).distinct(), "near-copies")
-    return docs.join(small_side(dropped), F.col(id_col).cast("long") == F.col(tag), "left_anti")
+    """docs with one document of each component, that with the smallest id; all columns stay.
+
+    Rows are documents of their own even if they repeat an id or have none; null ids come last, and of equal ids one stays.
+    """
+    rows, key, numbered = keyed(docs, id_col)
+    found = shingle_components(rows, n, num, den, key, text_col)
+    if numbered:
+        ids = rows.select(F.col(key).alias("doc_id"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col(key).alias("row")).alias("place"))
+        placed = stash(found.join(ids, "doc_id").select("doc_id", "component_id", "place"), "near-places")
+        stay = placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.row").alias("doc_id"))
+        dropped = placed.join(stay, "doc_id", "left_anti")
+    else:
+        dropped = found.where("doc_id <> component_id")
+    return without(rows, key, stash(dropped.select(F.col("doc_id").alias(key)), "near-copies"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,24 @@ def test_pipeline_against_stages_by_hand(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_drop_single_rows(spark):
+    import corpus_pipeline
+    schema = "doc_id long, text string, source string, lang string, keep string"
+    some = lambda rows: spark.createDataFrame([(i, t, "s", "en", "x") for i, t in rows], schema)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    twice = some([(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (3, "c"), (3, "d"), (3, "c"), (None, "e"), (None, "e"), (None, "a b")])
+    got = corpus_pipeline.drop_exact_copies(spark, twice, "")
+    assert got.columns == twice.columns and sorted(re.sub(" +", " ", t) for _, t in left(got)) == ["a b", "c", "d", "e"] and left(got)[0][0] == 1
+    near = some([(5, "a b c d e f"), (5, "other words stand in this one"), (2, "A b c d e f"), (7, "u v w x y z"), (7, "U v w x y z"), (None, "a b c d e f"), (None, "q r s t u v"), (None, "Q r s t u v")])
+    got = corpus_pipeline.drop_near_copies(spark, near, "")
+    assert [(i, t.lower()) for i, t in left(got)] == [(2, "a b c d e f"), (5, "other words stand in this one"), (7, "u v w x y z"), (None, "q r s t u v")]
+    df, labels, _ = labelled(spark)
+    model = quality.train(df, labels)
+    bad = "AB!! CD!! " * 30
+    mixed = df.unionByName(some([(1, bad), (None, bad), (None, bad)]))
+    assert bad not in {r["text"] for r in quality.drop_rejected(mixed, model).collect()}
+
+
 def test_queries_are_registered():
     from dataloom.llm import queries
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
