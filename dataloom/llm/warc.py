@@ -24,7 +24,6 @@ from .common import fresh_path, small_side, stash
 #: Bytes after which an archive is closed.
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 20
-MOST_HEADER = 1 << 16
 DATE = "2026-01-01T00:00:00Z"
 ID = re.compile(r"<urn:page:(-?\d+)>")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,7 +60,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | str:
     """(header, block) of the single record in data, or what is wrong with it."""
     if not re.match(rb"WARC/\d+\.\d+\r?\n", data):
         return "no version line"
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return "header does not end"
     header = {}
@@ -95,6 +94,16 @@ class _Buffer:
             self.done = not more
         return len(self.data) >= n
 
+    def find(self, what: bytes) -> int:
+        """Where what begins, reading as far as it needs; -1 if the stream ends before."""
+        start = 0
+        while True:
+            at = self.data.find(what, start)
+            if at >= 0 or self.done:
+                return at
+            start = max(0, len(self.data) - len(what) + 1)
+            self.fill(len(self.data) + 1)
+
     def drop(self, n: int) -> None:
         del self.data[:n]
         self.at += n
@@ -118,8 +127,7 @@ def _take(buf: _Buffer) -> tuple[int, tuple[dict[str, str], bytes]] | str:
         got = parse(bytes(out))
         return got if isinstance(got, str) else (used, got)
     if buf.fill(5) and buf.data[:5] == b"WARC/":
-        buf.fill(MOST_HEADER)
-        end = buf.data.find(b"\r\n\r\n", 0, MOST_HEADER)
+        end = buf.find(b"\r\n\r\n")
         length = re.search(rb"\r\ncontent-length:\s*(\d+)\s*\r\n", bytes(buf.data[:max(end, 0) + 2]), re.I)
         if end < 0 or not length:
             return "bad header"
@@ -259,7 +267,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
-    found = read_archives(archives, payloads=False).where("kind = 'record'")
+    found = read_archives(archives, payloads=False)
+    # what was just written has no gaps: a page that can't be read back fails the query
+    found = found.where(F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in a new archive: "), F.col("path"), F.lit(" "), F.coalesce("reason", F.lit("")))).cast("boolean")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

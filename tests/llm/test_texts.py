@@ -184,6 +184,21 @@ def test_salvage(compressed, damage):
     assert len(gaps) == (damage != "none") and sum(f[2] for f in found) == len(data)
 
 
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+def test_records_of_long_urls(pack):
+    urls = ["data:," + "x" * 3_000_000, "u" + " " * 30_000, "short"]
+    found = list(warc.salvage(io.BytesIO(b"".join(pack(warc.record(i, u, b"abc")) for i, u in enumerate(urls)))))
+    assert [f[0] for f in found] == ["record"] * 3 and found[0][3][0]["warc-target-uri"] == urls[0]
+
+
+def test_query_fails_on_gaps(spark, sf, tmp_path, monkeypatch):
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record(1, "u", b"abc")) + b"junk")
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    monkeypatch.setattr(warc, "write_archives", lambda *_: archives)
+    with pytest.raises(Exception, match="gap in a new archive"):
+        warc.query(spark, sf).collect()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><nav><ul><li>Home</ul></nav><header>Site</header>
 <div class="ad">buy</div><div id="cookie-notice">cookies</div><article><h1>Head &lt;1&gt;</h1><p><b>One
  two.<br>three<p>Four&nbsp;five &eacute;<!-- no --><script>x()</script></p><form>q</form><aside>see</aside><ul><li>i1<li>i2</ul><div class="comments"><p>reader</p></div></article><footer>&copy; x</footer></body></html>"""
