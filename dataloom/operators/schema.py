@@ -112,17 +112,31 @@ def likeness(a: Column, b: Column) -> Column:
 def canonical_match(names: DataFrame, catalogue: DataFrame, least: float = 0.85) -> DataFrame:
     """(column, canonical_id, how): by exact name, alias, bare name, then the most alike bare name from `least` on.
 
-    names: (column); catalogue: (canonical_id, name, alias). Fuzzy matches are sought among names of the same first
-    letter whose lengths make the likeness possible, not among all pairs. Ties go to the smaller canonical_id.
+    names: (column); catalogue: (canonical_id, name, alias). Fuzzy matches are those of a comparison of all pairs, sought
+    by an exact filter: a likeness of least bounds the edits, so of one more segments of the catalogue's name than there
+    may be edits, one stands unchanged in the other name, moved no further than the edits allow. Ties go to the smaller
+    canonical_id.
     """
     n = names.select("column", bare_name(F.col("column")).alias("bare"))
     c = catalogue.select("canonical_id", "name", "alias", bare_name(F.col("name")).alias("c_bare"))
     hits = n.join(c, n["column"] == c["name"]).select("column", "canonical_id", F.lit(1).alias("how"), F.lit(1.0).alias("score"))
     hits = hits.unionByName(n.join(c, n["column"] == c["alias"]).select("column", "canonical_id", F.lit(2).alias("how"), F.lit(1.0).alias("score")))
     hits = hits.unionByName(n.join(c, n["bare"] == c["c_bare"]).select("column", "canonical_id", F.lit(3).alias("how"), F.lit(1.0).alias("score")))
+    slack = 1e-9  # floating-point bounds include their end
+    lengths = lambda size: F.sequence(F.ceil(size * least - slack).cast("int"), F.floor(size / least + slack).cast("int"))
+    edits = lambda x, y: F.floor(F.greatest(x, y) * (1 - least) + slack).cast("int")
+    cut = lambda part: F.floor(part * F.col("len") / (F.col("edits") + 1)).cast("int")
+    parts = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), "edits"))).withColumn("start", cut(F.col("part"))).withColumn("long", cut(F.col("part") + 1) - F.col("start"))
     size = F.length("bare")
-    near = n.withColumn("head", F.substring("bare", 1, 1)).withColumn("len", F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int")))).where("bare <> ''")
-    fuzzy = near.join(c.withColumn("head", F.substring("c_bare", 1, 1)).withColumn("len", F.length("c_bare")), ["head", "len"]).withColumn("score", likeness(F.col("bare"), F.col("c_bare"))).where(F.col("score") >= least)
+    near = n.where("bare <> ''").withColumn("len", F.explode(lengths(size))).withColumn("edits", edits(size, F.col("len")))
+    more = size - F.col("len")
+    moved = F.sequence(F.ceil((more - F.col("edits")) / 2).cast("int"), F.floor((more + F.col("edits")) / 2).cast("int"))
+    near = parts(near).withColumn("at", F.explode(moved)).withColumn("at", F.col("start") + F.col("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= size))
+    near = near.select("column", "bare", "len", "edits", "part", F.substring("bare", F.col("at") + 1, F.col("long")).alias("segment"))
+    known = c.where("c_bare <> ''").withColumn("len", F.length("c_bare"))
+    known = parts(known.withColumn("edits", F.explode(F.array_distinct(F.transform(lengths(F.col("len")), lambda x: edits(x, F.col("len")))))))
+    known = known.select("canonical_id", "c_bare", "len", "edits", "part", F.substring("c_bare", F.col("start") + 1, F.col("long")).alias("segment"))
+    fuzzy = near.join(known, ["len", "edits", "part", "segment"]).select("column", "canonical_id", "bare", "c_bare").distinct().withColumn("score", likeness(F.col("bare"), F.col("c_bare"))).where(F.col("score") >= least)
     hits = hits.unionByName(fuzzy.select("column", "canonical_id", F.lit(4).alias("how"), "score"))
     w = Window.partitionBy("column").orderBy("how", F.desc("score"), "canonical_id")
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("column", "canonical_id", F.element_at(F.array(*[F.lit(x) for x in ("exact", "alias", "bare", "fuzzy")]), F.col("how")).alias("how"))

@@ -173,3 +173,28 @@ def test_results_do_not_depend_on_partitioning(spark):
     df = frame(spark, [(f"k{i % 5}", f"v{i % 5 if i else 9}") for i in range(200)], "p string, t string")
     a, b = (sorted(map(tuple, rules.dependency_violations(df.repartition(n), "row_id", [("p", "t")]).collect())) for n in (1, 7))
     assert a == b and len(a) == 1
+
+
+def test_fuzzy_match_is_that_of_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    known = ["spesa_totale", *{"".join(r.choice("ab_c") for _ in range(r.randrange(1, 45))).strip("_") or "a" for _ in range(150)}]
+
+    def altered(x):
+        for _ in range(r.randrange(0, 7)):
+            i = r.randrange(len(x) + 1)
+            x = x[:i] + r.choice(["", "a", "b", "x"]) + x[i + r.randrange(2):]
+        return x
+
+    names = {"tspesa_totale", "pesa_totale", "zpesa_totale", "spesa_totalee"} | {altered(x) for x in known for _ in range(2)}
+    cat = spark.createDataFrame([(i, x, None) for i, x in enumerate(known)], "canonical_id long, name string, alias string")
+    cols = spark.createDataFrame([(x,) for x in names], "column string")
+    got = {x["column"]: x["canonical_id"] for x in schema.canonical_match(cols, cat).where("how = 'fuzzy'").collect()}
+    n, c = cols.withColumn("bare", schema.bare_name(F.col("column"))), cat.withColumn("c_bare", schema.bare_name(F.col("name")))
+    best: dict = {}
+    for x in n.where("bare <> ''").crossJoin(c).withColumn("score", schema.likeness(F.col("bare"), F.col("c_bare"))).where("score >= 0.85").collect():
+        best[x["column"]] = min(best.get(x["column"], (0, 0)), (-x["score"], x["canonical_id"]))
+    exact = {x["column"] for x in n.join(c, (F.col("bare") == F.col("c_bare")) | (F.col("column") == F.col("name"))).collect()}
+    assert got == {k: v[1] for k, v in best.items() if k not in exact}
+    assert {got[x] for x in ("tspesa_totale", "pesa_totale", "zpesa_totale", "spesa_totalee")} == {0}
