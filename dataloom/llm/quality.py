@@ -65,7 +65,7 @@ def features(words: Words) -> np.ndarray:
     worst = np.zeros((len(has), 3))
     for j, i in enumerate(has):
         a, b = int(first[i]), int(first[i + 1])
-        at = np.arange(a, max(a + 1, b - STRETCH + 1), STRETCH // 2)
+        at = np.append(np.arange(a, max(a + 1, b - STRETCH + 1), STRETCH // 2), max(a, b - STRETCH))  # the last one ends with the text
         to = np.minimum(at + STRETCH, b)
         width = to - at
         worst[j] = ((run["upper"][to] - run["upper"][at]) / (run["letter"][to] - run["letter"][at] + 8)).max(), ((run["odd"][to] - run["odd"][at]) / (width + 4)).max(), ((run["same"][to] - run["same"][at]) / (width + 4)).max()

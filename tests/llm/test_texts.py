@@ -293,6 +293,14 @@ def test_sites_shrink_towards_what_is_above(spark):
     assert got[("bad", "en")] < got[("rare", "en")] < got[("s1", "en")]
 
 
+def test_the_end_of_a_text_is_in_a_stretch():
+    import pyarrow as pa
+    clean = "word " * 47
+    (_, x), (_, y) = ((None, quality.features(w)) for t in (clean + "JUNK " * 15, clean + "junk " * 15) for _, w in chunks(pa.array([t])))
+    i = quality.FEATURES.index("worst_upper")
+    assert x[0][i] > 0.4 and y[0][i] == 0
+
+
 def test_quality_of_odd_tables(spark):
     df, labels, _ = labelled(spark, 40)
     none = quality.train(df, labels.limit(0))
