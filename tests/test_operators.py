@@ -198,3 +198,13 @@ def test_fuzzy_match_is_that_of_all_pairs(spark):
     exact = {x["column"] for x in n.join(c, (F.col("bare") == F.col("c_bare")) | (F.col("column") == F.col("name"))).collect()}
     assert got == {k: v[1] for k, v in best.items() if k not in exact}
     assert {got[x] for x in ("tspesa_totale", "pesa_totale", "zpesa_totale", "spesa_totalee")} == {0}
+
+
+def test_top_k_in_blocks_is_that_of_a_broadcast(spark, monkeypatch):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)], [str(i % 4)], str(i % 2)) for i in range(60)]
+    e = spark.createDataFrame(rows, "id long, vector array<double>, samples array<string>, dtype string")
+    want = sorted(map(tuple, schema.retrieve_top_k(e.where("id % 3 = 0"), e, 4).collect()))
+    monkeypatch.setattr(schema, "QUERY_BLOCK", 7)
+    found = schema.retrieve_top_k(e.where("id % 3 = 0"), e, 4)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 80
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
