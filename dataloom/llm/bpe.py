@@ -15,6 +15,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts longer than this are encoded in pieces of about this many characters.
 PIECE = 65_536
@@ -52,6 +54,7 @@ def encode(text: str | None, enc: tiktoken.Encoding) -> list[int]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -6,13 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every word rule in this subpackage, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 
+#: Rows of an Arrow batch that carries texts.
+TEXT_ROWS = 2_000
+
 #: Most rows of narrow ids that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -122,3 +128,59 @@ def running_total(parts: DataFrame, order: list, value: str, within: list[str] |
     """The sum of value over the rows before this one; for tables of one row a bucket, not of one row a record."""
     w = Window.partitionBy(*(within or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's Arrow batches to so many rows, where they are larger.
+
+    Rows here carry whole texts, and a batch stands in the memory of the JVM and of the Python worker. The setting holds
+    for the session, since frames are evaluated after the operator has returned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def shared_pairs(pairs: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, id_col): the rows of keys that two different ids have, each once; both columns are longs without nulls.
+
+    One shuffle by key and a sort that may spill; a task holds a batch. Keys that very many rows have are to be kept
+    out beforehand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[np.ndarray, np.ndarray] | None = None  # the last row seen; it is out already if its key is known to be shared
+        known = False
+        for b in batches:
+            k, d = b.column(key).to_numpy(), b.column(id_col).to_numpy()
+            if not len(k):
+                continue
+            lead = last is not None
+            if lead:
+                k, d = np.append(last[0], k), np.append(last[1], d)
+            same = k[1:] == k[:-1]
+            repeated = same & (d[1:] == d[:-1])
+            group = np.concatenate([[0], np.cumsum(~same)])
+            shared = np.bincount(group, np.concatenate([[lead and known], same & ~repeated]), group[-1] + 1) > 0
+            keep = shared[group]
+            keep[1:] &= ~repeated
+            if lead and known:
+                keep[0] = False
+            known = bool(shared[group[-1]])
+            last = k[-1:], d[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(d[keep])], [key, id_col])
+
+    return pairs.select(key, id_col).repartition(key).sortWithinPartitions(key, id_col).mapInArrow(run, f"{key} long, {id_col} long")
+
+
+def frequent_keys(pairs: DataFrame, key: str, least: int, most: int) -> np.ndarray:
+    """The keys that more than `least` rows of pairs have, sorted; those with most rows if there are more than `most`."""
+    often = pairs.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count"), key).limit(most)
+    return np.array(sorted(r[key] for r in often.collect()), np.int64)
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x

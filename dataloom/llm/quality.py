@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, small_side, stash, without
+from .common import bound_batches, keyed, small_side, stash, without
 from .words import Words, chunks
 
 #: Most labelled documents the model is fitted on.
@@ -39,6 +39,13 @@ _CLASS["stop"][[ord(c) for c in ".,;:"]] = True
 _CLASS["space"][[9, 10, 11, 12, 13, 32]] = True
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place; a text is shorter than 2^31 bytes."""
+    out = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, dtype=np.int32, out=out[1:])
+    return out
+
+
 def features(words: Words) -> np.ndarray:
     """A row of FEATURES for each text of words; an empty text is all zero."""
     data, n = words.data, len(words.first) - 1
@@ -47,7 +54,7 @@ def features(words: Words) -> np.ndarray:
     out = np.zeros((n, len(FEATURES)))
     if not len(words.start):
         return out
-    sums = {k: np.concatenate([[0], np.cumsum(v[data])]) for k, v in _CLASS.items()}
+    sums = {k: _running(v[data]) for k, v in _CLASS.items()}
     # A text's bytes run from its first word to its last; what surrounds them is white space.
     has = np.flatnonzero(count)
     begin, end = words.start[first[:-1][has]], words.end[first[1:][has] - 1]
@@ -59,7 +66,7 @@ def features(words: Words) -> np.ndarray:
     same[1:] = words.hash[1:] == words.hash[:-1]
     same[first[:-1][has]] = False
     per_word = {"odd": odd, "bar": bar, "same": same, "upper": sums["upper"][words.end] - sums["upper"][words.start], "letter": sums["letter"][words.end] - sums["letter"][words.start]}
-    run = {k: np.concatenate([[0], np.cumsum(v.astype(np.int64))]) for k, v in per_word.items()}
+    run = {k: _running(v) for k, v in per_word.items()}
     of = lambda k: (run[k][first[1:][has]] - run[k][first[:-1][has]]).astype(float)
     distinct = np.array([len(np.unique(words.hash[first[i]:first[i + 1]])) for i in has], float)
     worst = np.zeros((len(has), 3))
@@ -125,12 +132,14 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model, from at most most_rows labelled documents, those with the smallest hashes of their ids.
 
-    labels has doc_id and quality (0 or 1); rows with a null in either, or an id that docs lack, are not used.
+    labels has doc_id and quality (0 or 1); rows with a null in either, or an id that docs lack, are not used. Of rows
+    that repeat an id the one with the least features stands for it.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = stash(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labelled")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    got = feature_rows(rows).dropDuplicates(["doc_id"]).join(F.broadcast(known), "doc_id").orderBy("doc_id").collect()
+    got = feature_rows(rows).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(known), "doc_id").orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r["quality"]) for r in got]))
 
 
@@ -160,6 +169,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
             odds = np.concatenate(odds) if odds else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("path"), pa.array(odds, pa.float64())], ["doc_id", "host", "path", "odds"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     rows = stash(rows.mapInArrow(run, "doc_id long, host string, path string, odds double"), "evidence")
     p = 1 / (1 + F.exp(-F.col("odds")))

@@ -2,14 +2,13 @@
 
 1. Each text becomes its set of shingle hashes; texts with equal sets form a class and its smallest id stands for it.
 2. Keys bring together what can link. Two linked sets differ in few tokens, so if tokens are dealt into more parts than
-   that, some part is the same in both. Every class sends a key for each part (part, tokens in it). The members of a key
-   are compared by trees over bitmaps, and what may link is joined into candidate groups. Up to EMIT parts this is the pigeonhole principle; where more would be needed,
-   sets are dealt into fewer parts and EMIT of them are sent: a link at the very threshold has all of them differ with
-   odds below 1e-10, far below those of a collision of two 64-bit token hashes anywhere in the corpus.
+   that, some part is the same in both. Every class has a key for each part (part, tokens in it); keys of one class are
+   dropped. The members of a key are compared by trees over bitmaps, and what may link is joined into candidate groups.
+   No link is missed, whatever the size of the sets.
 3. The sets of a candidate group meet in one task. A group of more than a block is first held against one of its sets,
-   the pivot; what links with it needs no comparison with each other. The others are cut into blocks, and so are those
-   that link, and each pair of blocks with an unlinked set in it meets in a task. There signature trees are walked and
-   what they cannot exclude is compared token by token.
+   the pivot; what links with it needs no comparison with each other. The others are cut into blocks by size, and so are
+   those that link, and each pair of blocks of near sizes with an unlinked set in it meets in a task. There signature
+   trees are walked and what they cannot exclude is compared token by token.
 4. Links give components, and every document gets that of its class.
 """
 
@@ -25,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keyed, small_side, stash, without
+from .common import among, bound_batches, components, frequent_keys, keyed, shared_pairs, small_side, stash, without
 from .signature_tree import bitmap, link, linked, may_link
 from .words import chunks, mix, shingle_sets
 
-EMIT = 72
 #: Least and most sets of a candidate group that make a block; between them, a quarter of a partition's even share.
 LEAST_BLOCK, MOST_BLOCK = 64, 2_000
 #: Bits of the bitmaps by which the members of a key are compared, and most members for that; more are all kept.
 BITS, CROWD = 2_048, 1_000
-#: Pivots, each a set, that may be broadcast; more are joined.
-MOST_PIVOTS = 500
-ROWS_OUT = 500_000
+#: Bytes of pivots, each a set, that may be broadcast; more are joined.
+PIVOT_BYTES = 16 << 20
+#: Ids sampled to find frequent keys, the number of them by which a key counts as frequent, and most such keys. Rows of
+#: frequent keys are aggregated before they are shuffled; which keys those are changes no result.
+SAMPLE_IDS, FREQUENT, MOST_FREQUENT = 10_000, 10, 50_000
+ROWS_OUT = 100_000
 
 
 class Band:
@@ -51,21 +52,15 @@ class Band:
             empty = (apart + 1 + self.spare) * math.exp(-low / (apart + 1 + self.spare))
             self.spare = max(self.spare, math.ceil(empty + 2 * math.sqrt(empty)))
         self.parts = apart + 1 + self.spare
-        self.sure = self.parts <= EMIT
-        if not self.sure:
-            self.parts = max(EMIT, math.ceil(apart / 1.2))
-        self.sent = min(self.parts, EMIT)
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         part = ((tokens >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
-        if self.sent < self.parts:
-            tokens, part = tokens[part < self.sent], part[part < self.sent]
-        low = np.bincount(part, (tokens & np.uint64(0xFFFFFFFF)).astype(float), self.sent).astype(np.uint64)
-        high = np.bincount(part, (tokens >> np.uint64(32)).astype(float), self.sent).astype(np.uint64)
-        filled = np.bincount(part, minlength=self.sent) > 0
-        name = np.arange(self.sent, dtype=np.uint64) + np.uint64((self.number + 1) << 32)
+        low = np.bincount(part, (tokens & np.uint64(0xFFFFFFFF)).astype(float), self.parts).astype(np.uint64)
+        high = np.bincount(part, (tokens >> np.uint64(32)).astype(float), self.parts).astype(np.uint64)
+        filled = np.bincount(part, minlength=self.parts) > 0
+        name = np.arange(self.parts, dtype=np.uint64) + np.uint64((self.number + 1) << 32)
         keys = mix(mix(mix(name) + low) + high)
-        if self.sure and self.sent - int(filled.sum()) > self.spare:
+        if self.parts - int(filled.sum()) > self.spare:
             return keys  # so many empty parts that two such sets may have nothing but empty parts in common
         return keys[filled]
 
@@ -111,20 +106,23 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def set_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id): the candidate keys of each row's shingle set."""
+def set_keys(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | None = None, only: bool = False) -> DataFrame:
+    """(key, doc_id): the candidate keys of each row's shingle set, without those in `frequent`, or only those."""
+    frequent = np.zeros(0, np.int64) if frequent is None else frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             ids = np.repeat(np.array([d for d, _ in held], np.int64), [len(k) for _, k in held])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in held]).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in held])), pa.array(ids)], ["key", "doc_id"])
 
         held: list[tuple[int, np.ndarray]] = []
         rows = 0
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for i, tokens in _sets(b, n):
-                keys = candidate_keys(tokens, num, den)
+                keys = candidate_keys(tokens, num, den).view(np.int64)
+                if len(frequent):
+                    keys = keys[among(keys, frequent) == only]
                 if len(keys):
                     held.append((int(ids[i]), keys))
                     rows += len(keys)
@@ -137,16 +135,27 @@ def set_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def _candidates(keys: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _met(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, doc_id): the candidate keys that two rows have."""
+    total = rows.count()
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_IDS))) == 0)
+    frequent = frequent_keys(set_keys(sample, n, num, den), "key", FREQUENT, MOST_FREQUENT)
+    met = shared_pairs(set_keys(rows, n, num, den, frequent), "key", "doc_id")
+    if len(frequent):  # in the sample already two rows have each
+        met = met.unionByName(set_keys(rows, n, num, den, frequent, only=True))
+    return stash(met, "met")
+
+
+def _candidates(met: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component): groups of ids such that no link leads from one to another.
 
     Keys with the same members count once. The members of a key meet with bitmaps of their sets, and the trees over those
     leave only pairs that may link; their spanning edges join ids. A key of more than CROWD ids joins all of them.
     """
     members = [F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
-    shared = keys.groupBy("key").agg(*members).where("owner < last")
-    shared = stash(shared.groupBy("n", "owner", "last", "mark").agg(F.min("key").alias("key")), "shared")
-    met = stash(keys.join(shared.select("key", "n", "owner"), "key"), "met")
+    shared = stash(met.groupBy("key").agg(*members).groupBy("n", "owner", "last", "mark").agg(F.min("key").alias("key")), "shared")
+    named = shared.select("key", "n", "owner")
+    met = stash(met.join(small_side(named), "key"), "met")
     star = met.where((F.col("n") > CROWD) & (F.col("doc_id") != F.col("owner"))).select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
     few = met.where(F.col("n") <= CROWD).select("key", "doc_id")
 
@@ -162,31 +171,40 @@ def _candidates(keys: DataFrame, rows: DataFrame, n: int, num: int, den: int) ->
     marks = stash(rows.join(small_side(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(bitmaps, "doc_id long, size long, bits binary"), "bitmaps")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            first = may_link([i[1] for i in group], [i[2] for i in group], num, den)
-            pairs = [(group[first[k]][0], i[0]) for k, i in enumerate(group) if first[k] != k]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+        def close():
+            if len(group) > 1:
+                first = may_link([i[1] for i in group], [i[2] for i in group], num, den)
+                pairs.extend((group[first[k]][0], i[0]) for k, i in enumerate(group) if first[k] != k)
 
-        group, at = [], None
+        group, at, pairs = [], None, []
         for b in batches:
             for key, doc, size, bits in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "size", "bits")), strict=True):
                 if key != at:
-                    if len(group) > 1:
-                        yield out()
+                    close()
                     group, at = [], key
                 group.append((doc, size, bits))
-        if len(group) > 1:
-            yield out()
+            if pairs:
+                yield _edges(pairs)
+                pairs.clear()
+        close()
+        if pairs:
+            yield _edges(pairs)
 
     near = few.join(marks, "doc_id").select("key", "doc_id", "size", "bits").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(prune, "a long, b long")
     return stash(components(stash(near.unionByName(star).distinct(), "links")), "groups")
 
 
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
 def _link_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) edges that join what links, from rows (comp, i, j, block, doc_id, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
+        def close():
+            if len(group) < 2:
+                return
             ids, sets_ = [d for _, d, _ in group], [t for _, _, t in group]
             split = None if at[1] == at[2] else sum(k == at[1] for k, _, _ in group)
             found = link(sets_, num, den, split)
@@ -194,22 +212,24 @@ def _link_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
             for k, d in enumerate(ids):
                 r = found.root(k)
                 least[r] = min(least.get(r, d), d)
-            pairs = [(least[found.root(k)], d) for k, d in enumerate(ids) if least[found.root(k)] != d]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+            pairs.extend((least[found.root(k)], d) for k, d in enumerate(ids) if least[found.root(k)] != d)
 
-        group, at = [], None
+        group, at, pairs = [], None, []
         for b in batches:
             comp, i, j, block, ids = (b.column(c).to_pylist() for c in ("comp", "i", "j", "block", "doc_id"))
             tokens = b.column("tokens")
             for k in range(b.num_rows):
                 key = comp[k], i[k], j[k]
                 if key != at:
-                    if group:
-                        yield out()
+                    close()
                     group, at = [], key
                 group.append((block[k], ids[k], np.frombuffer(tokens[k].as_py(), np.uint64)))
-        if group:
-            yield out()
+            if pairs:
+                yield _edges(pairs)
+                pairs.clear()
+        close()
+        if pairs:
+            yield _edges(pairs)
 
     where = ["comp", "i", "j"]
     return sets.repartition(*where).sortWithinPartitions(*where, "block", "doc_id").mapInArrow(run, "a long, b long")
@@ -225,16 +245,21 @@ def _large_groups(sets: DataFrame, block: int, num: int, den: int) -> DataFrame:
             near = [linked(np.frombuffer(t.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint64), num, den) for t, p in zip(b.column("tokens"), b.column("pivot"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "doc_id", "tokens")), pa.array(near, pa.bool_())], ["comp", "doc_id", "tokens", "near"])
 
-    sided = F.broadcast(pivots) if pivots.count() <= MOST_PIVOTS else stash(pivots, "pivots")
-    held = stash(sets.join(sided, "comp").mapInArrow(compare, "comp long, doc_id long, tokens binary, near boolean"), "compared")
-    counts = stash(held.groupBy("comp").agg(F.ceil(F.count_if("near") / block).cast("int").alias("near_blocks"), F.ceil(F.count_if(~F.col("near")) / block).cast("int").alias("far_blocks")).where("far_blocks > 0"), "blocks")
-    dealt = held.join(small_side(counts), "comp")
-    hashed = F.xxhash64("doc_id")
-    # Far blocks have negative numbers. Every pair of blocks of a group that isn't two near ones is a task.
-    dealt = dealt.withColumn("block", F.when(F.col("near"), F.pmod(hashed, F.greatest("near_blocks", F.lit(1)))).otherwise(-1 - F.pmod(hashed, F.col("far_blocks"))).cast("int"))
-    far = F.transform(F.sequence(F.lit(1), F.col("far_blocks")), lambda k: -k)
-    near_ones = F.when(F.col("near_blocks") > 0, F.sequence(F.lit(0), F.col("near_blocks") - 1)).otherwise(F.array().cast("array<int>"))
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("near"), far).otherwise(F.concat(far, near_ones))))
+    sided = F.broadcast(pivots) if (pivots.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0) <= PIVOT_BYTES else stash(pivots, "pivots")
+    held = sets.join(sided, "comp").mapInArrow(compare, "comp long, doc_id long, tokens binary, near boolean")
+    # Sets that link are of one class of sizes or of classes next to each other.
+    step = max(1.0001 * math.log(den / num), 0.05)
+    held = stash(held.withColumn("size_class", F.floor(F.log(F.octet_length("tokens") / 8) / step).cast("long")), "compared")
+    counts = held.groupBy("comp", "near", "size_class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    open_ = counts.groupBy("comp").agg(F.collect_list(F.struct("near", "size_class", "blocks")).alias("kinds")).where(F.exists("kinds", lambda k: ~k["near"]))
+    dealt = held.join(small_side(stash(open_, "blocks")), "comp")
+    # Every pair of blocks of a group that isn't two near ones is a task, if their sizes allow a link.
+    code = lambda near, size_class, at: near.cast("long") * (1 << 50) + size_class * (1 << 32) + at
+    own = F.filter("kinds", lambda k: (k["near"] == F.col("near")) & (k["size_class"] == F.col("size_class")))[0]["blocks"]
+    dealt = dealt.withColumn("block", code(F.col("near"), F.col("size_class"), F.pmod(F.xxhash64("doc_id"), own)))
+    others = F.filter("kinds", lambda k: ~(k["near"] & F.col("near")) & (F.abs(k["size_class"] - F.col("size_class")) <= 1))
+    all_blocks = F.flatten(F.transform(others, lambda k: F.transform(F.sequence(F.lit(0), k["blocks"] - 1), lambda at: code(k["near"], k["size_class"], at))))
+    dealt = dealt.withColumn("other", F.explode(all_blocks))
     pairs = _link_groups(dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "tokens"), num, den)
     return pairs.unionByName(held.where("near and doc_id <> comp").select(F.col("comp").alias("a"), F.col("doc_id").alias("b")))
 
@@ -249,6 +274,7 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     with equal sets and is no one's smallest id unless all are null. Empty input gives an empty result; other columns
     are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digest = ["n_shingles", "d1", "d2"]
     seen = stash(set_digests(rows, n), "digests")
@@ -257,7 +283,7 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         seen.join(classes.where("members > 1"), digest, "left").groupBy("doc_id")
         .agg(F.max(F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True))).alias("is_rep")).where("not is_rep").select("doc_id"), "copies")
     reps = rows.where("doc_id is not null").join(small_side(never), "doc_id", "left_anti")
-    groups = _candidates(stash(set_keys(reps, n, num, den), "keys"), reps, n, num, den)
+    groups = _candidates(_met(reps, n, num, den), reps, n, num, den)
     share = groups.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = max(LEAST_BLOCK, min(MOST_BLOCK, share))
     sizes = stash(groups.groupBy("component").agg(F.count("*").alias("members")), "sizes")
@@ -273,7 +299,7 @@ def shingle_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         ids = which.select("doc_id", "comp")
         return rows.join(small_side(ids), "doc_id").select("doc_id", "comp", "text").mapInArrow(read_sets, "doc_id long, comp long, tokens binary")
 
-    zero = F.lit(0)
+    zero = F.lit(0).cast("long")
     links = _link_groups(sets_of(placed.where("not large")).select("comp", zero.alias("i"), zero.alias("j"), zero.alias("block"), "doc_id", "tokens"), num, den)
     if placed.where("large").limit(1).count():
         labels = components(stash(links.unionByName(_large_groups(sets_of(placed.where("large")), block, num, den)), "linked"))

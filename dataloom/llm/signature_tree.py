@@ -41,13 +41,8 @@ class Tree:
     """Levels of nodes, the sets first; node i of a level covers nodes FANOUT*i .. FANOUT*i + FANOUT - 1 below."""
 
     def __init__(self, sets: list[np.ndarray], bits: int):
-        n = len(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(n), sizes)
-        token = (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
-        flat = np.zeros(n * bits, bool)
-        flat[owner * bits + token] = True
-        self._grow(np.packbits(flat.reshape(n, bits), axis=1).view(np.uint64), sizes)
+        self._grow(np.stack([bitmap(s, bits) for s in sets]).view(np.uint64), sizes)
 
     @classmethod
     def of_bitmaps(cls, maps: np.ndarray, sizes: np.ndarray) -> Tree:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stash
+from .common import bound_batches, small_side, stash
 from .suffix_automaton import SuffixAutomaton
 from .words import Words, chunks, mix
 
@@ -256,6 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     space. A null text has no words. Rows with null id are no one's source and lose nothing; rows with equal ids are
     not each other's source. Empty input gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     spans = covered_windows(rows.where("doc_id is not null"), length)

@@ -6,6 +6,8 @@ Python string is made.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
+#: Bytes whose words are hashed at a time, and the longest word that takes part in that; a longer one is hashed alone.
+HASH_BYTES = 128 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,7 +25,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +38,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base, and of its inverse, that HASH_BYTES bytes need."""
+    steps = [np.full(HASH_BYTES + 1, x, np.uint64) for x in (_BASE, _BASE_INV)]
+    for x in steps:
+        x[0] = 1
+    return tuple(np.cumprod(x, dtype=np.uint64) for x in steps)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, wherever it stands."""
+    out = np.empty(len(start), np.uint64)
+    power, inverse = _powers()
+    at = 0
+    while at < len(start):
+        begin = int(start[at])
+        to = int(np.searchsorted(end, begin + HASH_BYTES, "right"))
+        if to <= at:
+            out[at] = int.from_bytes(hashlib.blake2b(data[begin:end[at]].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        part = data[begin:end[to - 1]]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:len(part)], out=prefix[1:])
+        out[at:to] = (prefix[end[at:to] - begin] - prefix[start[at:to] - begin]) * inverse[start[at:to] - begin]
+        at = to
+    return mix(out)
 
 
 class Words:
@@ -62,10 +85,7 @@ class Words:
         after[edge[1:]] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = _power_tables(n + 1)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * inverse[self.start])
+        self.hash = _hashes(data, self.start, self.end)
 
     def grams(self, n: int) -> np.ndarray:
         """A 64-bit hash of the n words from each word on; those that run over a text's end mean nothing."""
