@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import among, bound_batches, components, frequent_keys, keyed, shared_pairs, small_side, stash, without
-from .signature_tree import bitmap, link, linked, may_link
+from .signature_tree import bitmap, link, linked, may_link, small_bits
 from .words import chunks, mix, shingle_sets
 
 #: Least and most sets of a candidate group that make a block; between them, a quarter of a partition's even share.
 LEAST_BLOCK, MOST_BLOCK = 64, 2_000
-#: Bits of the bitmaps by which the members of a key are compared, and most members for that; more are all kept.
-BITS, CROWD = 2_048, 1_000
+#: Most members of a key that are compared by bitmaps; more are all kept.
+CROWD = 1_000
 #: Bytes of pivots, each a set, that may be broadcast; more are joined.
 PIVOT_BYTES = 16 << 20
 #: Ids sampled to find frequent keys, the number of them by which a key counts as frequent, and most such keys. Rows of
@@ -164,7 +164,7 @@ def _candidates(met: DataFrame, rows: DataFrame, n: int, num: int, den: int) ->
             size, maps = [], []
             for _, tokens in _sets(b, n):
                 size.append(len(tokens))
-                maps.append(bitmap(tokens, BITS).tobytes())
+                maps.append(bitmap(tokens, small_bits(len(tokens))).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "size", "bits"])
 
     ids = stash(few.select("doc_id").distinct(), "met-ids")

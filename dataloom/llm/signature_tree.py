@@ -91,10 +91,19 @@ def pairs_that_may_link(a: Tree, b: Tree, num: int, den: int):
             stack.append((max(x - 1, 0), child, max(y - 1, 0), below))
 
 
+def small_bits(size: int) -> int:
+    """One and a half to three bits a token, as a power of two; fewer for very large sets. Enough to tell unlike sets apart."""
+    return min(32_768, max(64, 1 << (3 * size // 2 - 1).bit_length()))
+
+
 def may_link(sizes: list[int], bitmaps: list[bytes], num: int, den: int) -> np.ndarray:
-    """For each set the first one of its cluster, where all pairs that no bound excludes, from sizes and bitmaps alone, are joined."""
+    """For each set the first one of its cluster, where all pairs that no bound excludes, from sizes and bitmaps alone, are joined.
+
+    Bitmaps may differ in length; all are folded to the shortest, since lengths are powers of two.
+    """
     order = np.argsort(np.array(sizes), kind="stable")
-    maps = np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(sizes), -1).view(np.uint64)[order]
+    width = min(len(b) for b in bitmaps)
+    maps = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[i], np.uint8).reshape(-1, width), axis=0) for i in order]).view(np.uint64)
     tree = Tree.of_bitmaps(maps, np.array(sizes, np.int64)[order])
     label = np.arange(len(sizes))
     for i, js in pairs_that_may_link(tree, tree, num, den):

@@ -98,7 +98,7 @@ def test_join_matches_brute_force(spark, monkeypatch, n, num, block):
 def test_linked_sets_share_a_key():
     r = np.random.default_rng(5)
     for num, den in ((90, 100), (80, 100)):
-        for size in (9, 20, 70, 300, 1500):
+        for size in (9, 20, 70, 100, 300, 1500, 5000):
             for _ in range(20):
                 x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
                 least = -(-num * len(x) // den)  # as far apart as a link allows
@@ -107,6 +107,34 @@ def test_linked_sets_share_a_key():
                 assert np.intersect1d(shingle_join.candidate_keys(x, num, den), shingle_join.candidate_keys(y, num, den)).size
 
 
+def test_bitmaps_exclude_no_link():
+    r = np.random.default_rng(8)
+    for num in (80, 90):
+        for size in (9, 100, 600, 5000):
+            x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            y = np.sort(r.choice(x, -(-num * len(x) // 100), replace=False))
+            z = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            sets = [x, z, y]
+            got = signature_tree.may_link([len(s) for s in sets], [signature_tree.bitmap(s, signature_tree.small_bits(len(s))).tobytes() for s in sets], num, 100)
+            assert got[0] == got[2] and (size < 100 or got[1] != got[0])
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs as far apart as a link allows, and one token farther, of sets from 100 to 5,000 shingles."""
+    r = random.Random(12)
+    rows, linked = [], 0
+    for k, (n, size) in enumerate([(5, 100), (5, 700), (5, 5000), (5, 2000)]):
+        base = [f"w{r.randrange(10**9)}" for _ in range(size + n - 1)]
+        # Cut from the end: the shorter text's shingles are all in the longer one.
+        for extra in (0, 1):
+            keep = -(-80 * size // 100) - extra
+            text = [f"{k}{extra}{w}" for w in base]
+            rows += [(4 * k + 2 * extra, " ".join(text)), (4 * k + 2 * extra + 1, " ".join(text[:keep + n - 1]))]
+            linked += not extra
+    got = {x["doc_id"]: x["component_id"] for x in shingle_join.shingle_components(docs(spark, rows), 5, 80).collect()}
+    assert sum(got[i] == i - 1 for i in got if i % 2) == linked and all(got[i] == i - (i % 4 == 1) for i in got)
+
+
 def test_tree_excludes_no_link():
     r = np.random.default_rng(6)
     base = [np.unique(r.integers(0, 2**63, 120).astype(np.uint64)) for _ in range(10)]
