@@ -1,17 +1,19 @@
 """Removal of passages that documents with smaller ids have too, with suffix automata over shards of the corpus.
 
 A window is `length` consecutive words. Broadcasting automata of the whole corpus to every document would take as many
-passes as there are shards, so shards are made such that a document meets only those that can match it:
+passes as there are shards, so shards are made such that a passage meets only the one that can match it:
 
 1. The minimizer of a window is the least hash of its GRAM-word grams. Windows in a row with one minimizer form a run.
-   Equal windows have equal minimizers, so only runs whose minimizer is found in two documents go on; for all others
-   nothing but (minimizer, id) is moved. Minimizers of a sample's frequent grams are salted and their first document
-   is found by aggregation.
-2. Runs of equal content form a class, and all but those of its first document are covered whole.
-3. The first runs of the classes that share a minimizer are dealt into shards by minimizer. A task builds a shard's
-   suffix automaton, streams the runs through it for matching statistics, and marks each window that a smaller id has.
-   A minimizer with more than CROWD classes sends single windows, which are matched by aggregation instead.
-4. Each document loses the words of its covered windows.
+   Equal windows have equal minimizers, so only runs whose minimizer two documents have go on; for all others nothing
+   but (minimizer, row) is moved. Minimizers that are frequent in a sample are known to be shared and not moved at all.
+2. Runs of equal words form a class, with the first and the last document that has it. Classes are dealt into shards by
+   minimizer. The classes of a minimizer that would fill more than a shard are cut into windows first, which are dealt by
+   the hash of their words.
+3. A task builds a shard's suffix automaton and streams every class through it for matching statistics: for each window
+   the first document that has it, wherever it stands there. No hash decides; words do.
+4. Each run takes what its class was told, by its words, and each document loses the words of its covered windows.
+
+Texts are shuffled once: they are written in buckets of their row, and what is found for them is joined to the buckets.
 """
 
 from __future__ import annotations
@@ -25,18 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_side, stash
+from .common import among, bound_batches, frequent_keys, fresh_path, keyed, shared_pairs, small_side, stash
 from .suffix_automaton import SuffixAutomaton
 from .words import Words, chunks, mix
 
 GRAM = 5
 #: Words of one automaton; a task holds one at a time.
-SHARD_WORDS = 100_000
-#: Classes of runs with one minimizer that are matched in one automaton; more are matched window by window.
-CROWD = 1_000
-#: Documents sampled to find frequent minimizers, the share of them that counts as frequent, and most of those salted.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT, SALTS = 20_000, 0.002, 50_000, 64
-ROWS_OUT = 500_000
+SHARD_WORDS = 50_000
+#: Documents sampled to find frequent minimizers, the number of them by which one counts as frequent, and most of those.
+#: Which minimizers those are changes no result.
+SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 20, 50_000
+ROWS_OUT = 100_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,16 +68,6 @@ class Runs:
         self.text, self.start, self.minimizer = text[at], windows[at], value[at].view(np.int64)
         self.windows = np.diff(np.append(at, len(windows)))
 
-    def content(self) -> np.ndarray:
-        """A hash of each run's words."""
-        n = len(self.words.hash)
-        base = np.uint64(0xA24BAED4963EE407 | 1)
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]), dtype=np.uint64)
-        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))]), dtype=np.uint64)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words.hash * power[:n], dtype=np.uint64)])
-        end = self.start + self.windows + self.length - 1
-        return mix((prefix[end] - prefix[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64)).view(np.int64)
-
 
 def _batches(columns: list[str], types: list[pa.DataType], parts: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
@@ -92,160 +83,143 @@ def _batches(columns: list[str], types: list[pa.DataType], parts: Iterator[list[
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*held, strict=True), types, strict=True)], columns)
 
 
-def _minimizers(rows: DataFrame, length: int, frequent: np.ndarray, firsts: np.ndarray | None, only_frequent: bool = False) -> DataFrame:
-    """(minimizer, doc_id, first): each document's minimizers, with the first document of those in `frequent`."""
-    names, types = ["minimizer", "doc_id", "first"], [pa.int64(), pa.int64(), pa.int64()]
+def _in_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """rows as a table in buckets of key, so that a join by key shuffles only the other side."""
+    spark = rows.sparkSession
+    name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, key).write.format("parquet").option("path", fresh_path(spark, "texts")).bucketBy(n, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets it; its files and the frame stay
+    return table
+
+
+def _minimizers(rows: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+    """(minimizer, row): each row's minimizers but the frequent ones; in a batch once each."""
+    names, types = ["minimizer", "row"], [pa.int64(), pa.int64()]
 
     def parts(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = b.column("row").to_numpy()
             for at, words in chunks(b.column("text")):
                 runs = Runs(words, length)
-                doc, m = ids[at + runs.text], runs.minimizer
-                first = np.full(len(m), -1, np.int64)
+                m, text = runs.minimizer, runs.text
                 if len(frequent):
-                    spot = np.minimum(np.searchsorted(frequent, m), len(frequent) - 1)
-                    hit = frequent[spot] == m
-                    if only_frequent:
-                        doc, m, first, spot, hit = doc[hit], m[hit], first[hit], spot[hit], hit[hit]
-                    first[hit] = firsts[spot[hit]] if firsts is not None else -2
-                yield [m, doc, first]
-
-    return rows.mapInArrow(lambda it: _batches(names, types, parts(it)), "minimizer long, doc_id long, first long")
-
-
-def _shared(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, minimizers): for each document those of its minimizers that another document has."""
-    total = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
-    often = _minimizers(sample, length, np.zeros(0, np.int64), None).select("minimizer", "doc_id").distinct().groupBy("minimizer").count()
-    often = often.where(F.col("count") > max(20, FREQUENT * min(total, SAMPLE_DOCS))).orderBy(F.desc("count"), "minimizer").limit(MOST_FREQUENT)
-    frequent = np.array(sorted(r["minimizer"] for r in often.collect()), np.int64)
-    firsts = frequent
-    if len(frequent):
-        found = _minimizers(rows, length, frequent, None, only_frequent=True).groupBy("minimizer").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("l"))
-        found = {r["minimizer"]: r["f"] for r in found.where("f < l").collect()}
-        frequent = np.array([m for m in frequent if int(m) in found], np.int64)
-        firsts = np.array([found[int(m)] for m in frequent], np.int64)
-    marked = _minimizers(rows, length, frequent, firsts)
-    is_known = F.col("first") >= 0 if total else F.lit(False)
-    salt = F.when(is_known, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
-    dealt = marked.withColumn("salt", salt).repartition("minimizer", "salt").sortWithinPartitions("minimizer", "doc_id")
-
-    def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by minimizer and document: those of minimizers with two documents, once each."""
-        m0 = d0 = None  # the last row seen, and whether its minimizer is known to be shared
-        open_ = False
-        for b in batches:
-            m, d, f = (b.column(c).to_numpy() for c in ("minimizer", "doc_id", "first"))
-            if not len(m):
-                continue
-            lead = 0 if m0 is None else 1
-            if lead:
-                m, d, f = np.append(m0, m), np.append(d0, d), np.append(f0, f)  # noqa: F821
-            same = (m[1:] == m[:-1])
-            fresh = ~same | (d[1:] != d[:-1])  # not a repeat of the row before
-            two = same & (d[1:] != d[:-1])
-            group = np.concatenate([[0], np.cumsum(~same)])
-            shared = np.bincount(group, np.concatenate([[open_ and bool(lead)], two]), group[-1] + 1) > 0
-            keep = shared[group] | (f >= 0)
-            keep[1:] &= fresh
-            if lead:  # it is in the output already, unless only this batch shows that it is shared
-                keep[0] = keep[0] and not open_ and not f[0] >= 0
-            open_ = bool(shared[group[-1]])
-            # The last row waits if nothing yet shows that it is shared.
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(m[keep])], ["doc_id", "minimizer"])
-            m0, d0, f0 = m[-1], d[-1], f[-1]
-
-    return dealt.mapInArrow(keep_shared, "doc_id long, minimizer long")
-
-
-def covered_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, tag, start, windows): the runs of windows of rows (doc_id, text, tag) that smaller ids have too."""
-    shared = stash(_shared(rows, length).groupBy("doc_id").agg(F.array_sort(F.collect_set("minimizer")).alias("minimizers")), "shared")
-    some = rows.join(small_side(shared.select("doc_id")), "doc_id", "left_semi")
-
-    def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+                    rare = ~among(m, frequent)
+                    m, text = m[rare], text[rare]
+                yield [m, ids[at + text]]
+
+    return rows.mapInArrow(lambda it: _batches(names, types, parts(it)), "minimizer long, row long")
+
+
+def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
+    """(minimizer, row, doc_id, start, words): the runs whose minimizer two rows have."""
+    total = texts.count()
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
+    frequent = frequent_keys(_minimizers(sample, length, np.zeros(0, np.int64)).distinct(), "minimizer", FREQUENT, MOST_FREQUENT)
+    lists = shared_pairs(_minimizers(texts, length, frequent), "minimizer", "row").groupBy("row").agg(F.collect_list("minimizer").alias("minimizers"))
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["minimizer", "row", "doc_id", "start", "words"]
         for b in batches:
-            ids, tags, lists = b.column("doc_id").to_numpy(), b.column("tag").to_numpy(), b.column("minimizers")
+            ids, docs, lists_ = b.column("row").to_numpy(), b.column("doc_id").to_numpy(), b.column("minimizers")
             for at, words in chunks(b.column("text")):
                 runs = Runs(words, length)
                 if not len(runs.text):
                     continue
+                keep = among(runs.minimizer, frequent)
                 cut = np.searchsorted(runs.text, np.arange(len(words.first)))
-                keep = np.zeros(len(runs.text), bool)
                 for i in range(len(words.first) - 1):
-                    if cut[i] < cut[i + 1]:
-                        keep[cut[i]:cut[i + 1]] = np.isin(runs.minimizer[cut[i]:cut[i + 1]], np.asarray(lists[at + i].values))
-                text = runs.text[keep]
-                yield [runs.minimizer[keep], runs.content()[keep], ids[at + text], tags[at + text], runs.start[keep] - words.first[text], runs.windows[keep]]
-
-    names, types = ["minimizer", "content", "doc_id", "tag", "start", "windows"], [pa.int64()] * 6
-    runs = stash(some.join(shared, "doc_id").mapInArrow(lambda it: _batches(names, types, shared_runs(it)), ", ".join(f"{c} long" for c in names)), "runs")
-    kind = ["minimizer", "content"]
-    classes = stash(runs.groupBy(*kind).agg(F.min(F.struct("doc_id", "tag", "start", "windows")).alias("first")).select(*kind, "first.*"), "classes")
-    whole = runs.join(classes.select(*kind, F.col("doc_id").alias("first_id")), kind).where("doc_id > first_id").select("doc_id", "tag", "start", "windows")
-    crowds = stash(classes.groupBy("minimizer").agg(F.count("*").alias("classes")).where("classes > 1"), "crowds")
-    open_ = stash(classes.join(crowds, "minimizer").withColumn("crowd", F.col("classes") > CROWD).drop("classes"), "open")
-    lists = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("minimizer", "content", "start", "windows", "crowd")).alias("runs"))
-    texts = rows.join(small_side(stash(open_.select("doc_id", "tag").distinct(), "open-ids")), ["doc_id", "tag"], "left_semi")
-    segments = "minimizer long, content long, doc_id long, tag long, start long, crowd boolean, words string, w1 long, w2 long"
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [x.split()[0] for x in segments.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+                    own = lists_[at + i]
+                    if own.is_valid and cut[i] < cut[i + 1]:
+                        keep[cut[i]:cut[i + 1]] |= np.isin(runs.minimizer[cut[i]:cut[i + 1]], np.asarray(own.values))
+                for part in np.array_split(np.flatnonzero(keep), max(1, int(keep.sum()) // ROWS_OUT + 1)):
+                    text, start = runs.text[part], runs.start[part]
+                    end = start + runs.windows[part] + length - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(runs.minimizer[part]), pa.array(ids[at + text]), pa.array(docs[at + text]), pa.array(start - words.first[text]),
+                         pa.array([words.text(a, z) for a, z in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())], columns)
+
+    return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string"), "runs")
+
+
+def _in_windows(runs: DataFrame, length: int) -> DataFrame:
+    """Each run as its single windows, dealt by the hash of their words: (route, words) and the other columns; start, where given, moves on."""
+    kept = [c for c in runs.columns if c not in ("minimizer", "words", "start")]
+    start = "start" in runs.columns
+    schema = ", ".join(["route long", *(f"{c} long" for c in kept), *(["start long"] if start else []), "words string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags, wanted = b.column("doc_id").to_numpy(), b.column("tag").to_numpy(), b.column("runs")
-            for at, words in chunks(b.column("text")):
-                w1 = words.grams(length).view(np.int64)
-                w2 = mix(words.grams(length + 1 if length == GRAM else GRAM)[:len(w1)] + np.uint64(1)).view(np.int64) if len(w1) else w1
-                out = []
-                for i in range(len(words.first) - 1):
-                    for run in wanted[at + i].as_py():
-                        a = int(words.first[i]) + run["start"]
-                        head = (run["minimizer"], run["content"], int(ids[at + i]), int(tags[at + i]))
-                        if run["crowd"]:
-                            out += [(*head, run["start"] + k, True, None, int(w1[a + k]), int(w2[a + k])) for k in range(run["windows"])]
-                        else:
-                            out.append((*head, run["start"], False, words.text(a, a + run["windows"] + length - 1).decode(), 0, 0))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], columns)
-
-    cut = stash(texts.join(lists, ["doc_id", "tag"]).mapInArrow(cut_out, segments), "segments")
+            for i in range(b.num_rows):
+                words = b.column("words")[i].as_py().split(" ")
+                for at in range(0, len(words) - length + 1, ROWS_OUT // 10):
+                    n = min(ROWS_OUT // 10, len(words) - length + 1 - at)
+                    texts = [" ".join(words[k:k + length]) for k in range(at, at + n)]
+                    route = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in texts]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(route, pa.int64()), *(pa.array([b.column(c)[i].as_py()] * n, pa.int64()) for c in kept),
+                         *([pa.array(range(b.column("start")[i].as_py() + at, b.column("start")[i].as_py() + at + n), pa.int64())] if start else []), pa.array(texts, pa.string())],
+                        [x.split()[0] for x in schema.split(", ")])
+
+    return runs.mapInArrow(run, schema)
+
+
+def match_shards(classes: DataFrame, length: int, shard_words: int | None = None) -> DataFrame:
+    """(route, words, firsts) for classes (route, words, first_id, last_id) with a window that a document before last_id has.
+
+    firsts has the first document of each window of the class. Sorted by route, a shard is as many whole routes as have
+    shard_words words; it is put into a suffix automaton, and all its classes are streamed through that.
+    """
+    most = shard_words or SHARD_WORDS
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by minimizer: a shard is as many whole minimizers as have SHARD_WORDS words."""
         def out():
-            automaton = SuffixAutomaton((words, doc) for *_, doc, words in shard)
-            rows_ = []
-            for minimizer, content, doc, words in shard:
-                hits = [k - length + 1 for k, (n, least) in enumerate(automaton.statistics(words, length)) if n == length and least < doc]
-                rows_ += [(minimizer, content, k) for k in hits]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows_, strict=True) if rows_ else ([], [], []))], ["minimizer", "content", "at"])
-
-        shard, size, last = [], 0, None
+            automaton = SuffixAutomaton((words, first) for _, _, words, first, _ in shard)
+            routes, texts, firsts = [], [], []
+            for route, text, words, _, last in shard:
+                least = [at for n, at in automaton.statistics(words, length)][length - 1:]
+                if min(least) < last:
+                    routes.append(route)
+                    texts.append(text)
+                    firsts.append(least)
+            return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(texts, pa.string()), pa.array(firsts, pa.list_(pa.int64()))], ["route", "words", "firsts"])
+
+        shard, size, at = [], 0, None
         for b in batches:
-            for m, c, d, text in zip(*(b.column(x).to_pylist() for x in ("minimizer", "content", "doc_id", "words")), strict=True):
-                if m != last and size >= SHARD_WORDS:
+            for route, text, first, last in zip(*(b.column(x).to_pylist() for x in ("route", "words", "first_id", "last_id")), strict=True):
+                if route != at and size >= most:
                     yield out()
                     shard, size = [], 0
                 words = text.split(" ")
-                shard.append((m, c, d, words))
-                size, last = size + len(words), m
+                shard.append((route, text, words, first, last))
+                size, at = size + len(words), route
         if shard:
             yield out()
 
-    few = cut.where("not crowd").select("minimizer", "content", "doc_id", "words").repartition("minimizer").sortWithinPartitions("minimizer", "doc_id")
-    matched = stash(few.mapInArrow(match, "minimizer long, content long, at long"), "matched")
-    many = cut.where("crowd").select("minimizer", "content", "doc_id", "start", "w1", "w2")
-    least = stash(many.groupBy("w1", "w2").agg(F.min("doc_id").alias("least")), "least")
-    offset = classes.select(*kind, F.col("start").alias("base"))
-    crowd_hits = many.join(least, ["w1", "w2"]).where("doc_id > least").join(offset, kind).select(*kind, (F.col("start") - F.col("base")).alias("at"))
-    hits = stash(matched.unionByName(crowd_hits), "hits")
-    # A class's first document may have it several times.
-    again = runs.join(classes.select(*kind, F.col("doc_id").alias("first_id")), kind).where("doc_id = first_id")
-    single = stash(again.select(*kind, "doc_id", "tag", "start"), "firsts").join(hits, kind).select("doc_id", "tag", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("long").alias("windows"))
-    return whole.unionByName(single)
+    dealt = classes.select("route", "words", "first_id", "last_id").repartition("route").sortWithinPartitions("route")
+    return dealt.mapInArrow(match, "route long, words string, firsts array<long>")
+
+
+def covered_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(row, start): the windows of texts (row, doc_id, text) that a smaller doc_id has; rows are unique."""
+    runs = _shared_runs(texts, length)
+    span = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
+    classes = stash(runs.groupBy("minimizer", "words").agg(*span), "classes")
+    size = F.length("words") - F.length(F.translate("words", " ", "")) + 1
+    wide = stash(classes.groupBy("minimizer").agg(F.sum(size).alias("size")).where(F.col("size") > SHARD_WORDS).select("minimizer"), "wide")
+    named = runs.select("minimizer", "row", "doc_id", "start", "words")
+    if wide.limit(1).count():
+        side = small_side(wide)
+        parts = _in_windows(classes.join(side, "minimizer", "left_semi"), length)
+        parts = parts.groupBy("route", "words").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+        classes = classes.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(parts)
+        cut = _in_windows(named.join(side, "minimizer", "left_semi"), length)
+        named = stash(named.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(cut), "routed")
+    else:
+        classes, named = (x.withColumnRenamed("minimizer", "route") for x in (classes, named))
+    matched = stash(match_shards(classes, length), "matched")
+    hits = named.join(matched, ["route", "words"]).select("row", "doc_id", "start", F.posexplode("firsts").alias("k", "first_id"))
+    return hits.where("first_id < doc_id").select("row", (F.col("start") + F.col("k")).alias("start"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,29 +228,27 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     Words are runs of non-white-space, unchanged. A word goes if a window of `length` words that covers it also starts
     in a document with a smaller doc_id; windows are judged on the input. kept_text joins the words that stay by one
     space. A null text has no words. Rows with null id are no one's source and lose nothing; rows with equal ids are
-    not each other's source. Empty input gives an empty result; other columns are not read.
+    not each other's source, and each loses what smaller ids have. Texts may be of any length. Empty input gives an
+    empty result; other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
-    spans = covered_windows(rows.where("doc_id is not null"), length)
-    spans = stash(spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
-    ids = stash(spans.select("doc_id", "tag"), "span-ids")
-    count = ids.count()
+    own, key, _ = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "doc_id")
+    texts = _in_buckets(own.select(F.col(key).alias("row"), "doc_id", "text"), "row")
+    spans = covered_windows(texts.where("doc_id is not null"), length)
+    spans = stash(spans.groupBy("row").agg(F.collect_list("start").alias("starts")), "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans_ = b.column("spans")
+            lists = b.column("starts")
             total, gone, digest, kept = [], [], [], []
             for at, words in chunks(b.column("text")):
                 for i in range(len(words.first) - 1):
                     a, z = int(words.first[i]), int(words.first[i + 1])
                     step = np.zeros(z - a + 1, np.int64)
-                    mine = spans_[at + i]
-                    if mine.is_valid:
-                        start = np.asarray(mine.values.field("start"))
+                    if lists[at + i].is_valid:
+                        start = np.asarray(lists[at + i].values)
                         np.add.at(step, start, 1)
-                        np.add.at(step, start + np.asarray(mine.values.field("windows")) + length - 1, -1)
+                        np.add.at(step, start + length, -1)
                     stays = np.flatnonzero(np.cumsum(step[:-1]) == 0) + a
                     left = _join(words, stays)
                     total.append(z - a)
@@ -286,12 +258,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
                                              ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    kind = spans.schema["spans"].dataType
-    untouched = rows.join(small_side(ids, count), (rows["doc_id"] == ids["doc_id"]) & (rows["tag"] == ids["tag"]), "left_anti").withColumn("spans", F.lit(None).cast(kind))
-    touched = rows.join(small_side(ids, count), ["doc_id", "tag"], "left_semi").join(spans, ["doc_id", "tag"])
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    columns = ["doc_id", "text", "spans"]
-    return untouched.select(columns).unionByName(touched.select(columns)).mapInArrow(apply, schema)
+    return texts.join(spans, "row", "left").select("doc_id", "text", "starts").mapInArrow(apply, schema)
 
 
 def _join(words: Words, stays: np.ndarray) -> bytes:

@@ -38,10 +38,11 @@ def corpus(seed, vocabulary=40, n=80):
 
 @pytest.mark.parametrize(("seed", "vocabulary"), [(1, 40), (2, 3000), (3, 4)])
 def test_repeats_match_brute_force(spark, monkeypatch, seed, vocabulary):
-    if seed == 1:  # every path: salted minimizers, crowded classes, tiny shards
-        monkeypatch.setattr(substring_dedup, "CROWD", 2)
-        monkeypatch.setattr(substring_dedup, "FREQUENT", 0.0)
+    if seed == 1:  # every path: frequent minimizers, runs cut into windows, tiny shards
+        monkeypatch.setattr(substring_dedup, "FREQUENT", 1)
         monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 50)
+    if seed == 3:
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
     rows = corpus(seed, vocabulary)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
     assert got == brute.repeats(rows)
@@ -55,6 +56,32 @@ def test_repeats_in_odd_tables(spark):
     assert substring_dedup.remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_in_long_texts(spark):
+    """Texts of very many words, and ids that repeat: each row loses what smaller ids have, its own id's rows no one's."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(5, "same " * 30_000), (3, "same " * 20_000), (8, " ".join(base)), (9, " ".join(base[30_000:] + ["end"] * 20)), (2, " ".join(base[100:140]))]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == brute.repeats(rows)
+    a, b = " ".join(base[:20]), " ".join(base[20:40])
+    rows = [(4, a + " x"), (4, b + " y"), (6, a), (7, b), (4, a + " z")]
+    got = sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in substring_dedup.remove_repeats(docs(spark, rows)).collect())
+    assert got == [(4, 21, 0), (4, 21, 0), (4, 21, 0), (6, 20, 20), (7, 20, 20)]
+
+
+def test_what_is_removed_comes_from_automata(spark, monkeypatch):
+    """Without the shards' automata nothing goes; with them the first document of every window is right."""
+    rows = corpus(5, 300)
+    real = substring_dedup.match_shards
+    monkeypatch.setattr(substring_dedup, "match_shards", lambda classes, length: real(classes, length).limit(0))
+    assert sum(x["n_removed"] for x in substring_dedup.remove_repeats(docs(spark, rows)).collect()) == 0
+    classes = spark.createDataFrame([(1, "a b c d e", 7, 9), (1, "x b c d", 3, 3), (2, "a b c", 1, 1), (3, "q q q q", 4, 5)], "route long, words string, first_id long, last_id long")
+    got = {(x["route"], x["words"]): x["firsts"] for x in real(classes, 3).collect()}
+    assert got[1, "a b c d e"] in ([1, 3, 7], [7, 3, 7]) and got[3, "q q q q"] == [4, 4] and (2, "a b c") not in got
+    got = {(x["route"], x["words"]): x["firsts"] for x in real(classes, 3, 1).collect()}
+    assert got == {(1, "a b c d e"): [7, 3, 7], (3, "q q q q"): [4, 4]}
+
+
 def test_automaton_against_search():
     r = random.Random(4)
     seqs = [([r.choice("abc") for _ in range(r.randrange(0, 25))], k) for k in range(12)]
