@@ -42,6 +42,33 @@ def test_exact_dedup_is_incremental(spark):
     assert "Exchange hashpartitioning" not in plan  # the index is bucketed by digest
 
 
+def test_a_batch_added_again_gives_the_same_answer(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_of_test", buckets=4)
+    first, second = docs(spark, [(1, "x", "s"), (2, "y", "s"), (3, "x ", "s")]), docs(spark, [(4, "y", "s"), (5, "z", "s")])
+    answer = lambda d, b: sorted(map(tuple, index.add(d, batch=b).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    a, b = answer(first, "1"), answer(second, "2")
+    assert b == [(4, 2, 1, False), (5, 5, 1, True)]
+    index = exact_dedup.DigestIndex(spark, "digests_of_test")  # opened again
+    assert index.buckets == 4 and answer(first, "1") == a and answer(second, "2") == b and index.rows().count() == 4
+    index.compact()
+    files = [f for f in index.rows().inputFiles() if "part-" in f]
+    assert len(files) <= 4 and answer(second, "2") == b and answer(docs(spark, [(9, "x", "s")]), "3") == [(9, 1, 1, False)]
+    plan = docs(spark, [(1, "x", "s")]).select(exact_dedup.text_digest().alias("text_sha256")).join(index.rows().hint("merge"), "text_sha256", "left_anti")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the new rows', not the index's
+    index.drop()
+    assert not spark.catalog.tableExists("digests_of_test")
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_by_id_give_the_answer_of_one(spark, odd, batches):
+    key = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    one = Counter(map(tuple, exact_dedup.DigestIndex(spark).add(odd).select(key).collect()))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    assert Counter(map(tuple, exact_dedup.dedup_in_batches(odd, index, batches).select(key).collect())) == one
+    assert exact_dedup.dedup_in_batches(odd.limit(0), exact_dedup.DigestIndex(spark), batches).count() == 0
+
+
 def test_exact_dedup_of_nothing(spark, odd):
     assert exact_dedup.DigestIndex(spark).add(odd.limit(0)).count() == 0
 
@@ -68,6 +95,33 @@ def test_shards_are_even_and_slots_gapless(spark, odd):
     assert (null["size"], null["text_crc32"], null["grown_shard"]) == (8, 0, None)
 
 
+def test_shards_match_a_walk_in_plain_python(spark, sf):
+    """Size and checksum by zlib, shard and slot by Feistel rounds on the row's number; the round function is Spark's hash."""
+    import zlib
+
+    from pyspark.sql import functions as F
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 8) for r in table.collect())
+    n, seed = len(rows), 5
+    a, b = sharding._sides(n)
+    keys = spark.range(max(a, b)).select("id", *[sharding._scramble(F.col("id"), seed, k, (a, b)[k % 2]).alias(str(k)) for k in range(sharding.ROUNDS)])
+    by = {r["id"]: [r[str(k)] for k in range(sharding.ROUNDS)] for r in keys.collect()}
+
+    def walk(x):
+        while True:
+            left, right = divmod(x, b)
+            for k in range(0, sharding.ROUNDS, 2):
+                left = (left + by[right][k]) % a
+                right = (right + by[left][k + 1]) % b
+            x = left * b + right
+            if x < n:
+                return x
+
+    want = {d: (size, crc, walk(i) % 24, walk(i) // 24) for i, (d, crc, size) in enumerate(rows)}
+    got = {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.assign_shards(table, 24, seed).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 101, 1000])
 def test_permutation_is_a_bijection(spark, n):
     from pyspark.sql import functions as F
