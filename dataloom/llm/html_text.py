@@ -3,10 +3,11 @@
 1. Every page is parsed into elements. Subtrees are hashed, and counted for each host and each section of a host (first
    folder of the path): those outside the page's article over pages of different content, containers inside it over
    articles of different content.
-2. Subtrees that recur on many pages of a host or section are its template.
+2. Subtrees that recur on many pages of a host or section are its template. Prose that sites repeat is no template:
+   paragraphs, headings and list items must be on a large share of the pages, and inside the article they never are, nor
+   is anything that a quotation holds.
 3. The article of each page is read without template subtrees and without elements that are no article text by name,
-   role or class. Inside the article only containers (CONTAINERS) are templates: paragraphs, headings, list items and
-   quotations that sites repeat stay where their container differs, and so does all that a quotation holds.
+   role or class (what differs from page to page, such as readers' comments, no count can find).
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bound_batches, stash
 
 #: A subtree is a template if at least so many different pages of the host, and this share of them, have it.
 LEAST_PAGES, LEAST_SHARE = 8, 0.2
-MOST_HOSTS_BROADCAST = 100_000
+#: The same for containers outside the article, which hold menus, notices and the like.
+OUTSIDE_PAGES, OUTSIDE_SHARE = 5, 0.01
+#: Bytes of template lists that may be broadcast; more are joined.
+BROADCAST_BYTES = 16 << 20
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +41,7 @@ SCOPE = frozenset("ul ol dl table div section article main body html td th block
 WHOLE = frozenset("html body main".split())  # their classes tell what the page has, such as has-sidebar
 CONTAINERS = frozenset("address center details dir div dl fieldset figure header hgroup ol section table ul".split())  # may be templates inside an article
 QUOTES = frozenset("blockquote pre".split())
+PROSE = BLOCK - CONTAINERS - frozenset("article aside body footer form html main menu nav search tbody tfoot thead tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _WORD = (
     r"(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
@@ -45,7 +50,8 @@ _WORD = (
 AWAY = re.compile(rf"(?:^|\s){_WORD}(?:[_-](?:{_WORD}|area|bar|box|buttons|form|icons|links|list|posts))*(?=$|\s)")
 READERS = re.compile(r"(?:^|\s)(?:comment|comments|disqus|respond)(?=$|[\s_-])")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 FOLDER = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)/"
@@ -77,8 +83,58 @@ def tree(page: str) -> Element:
     return root
 
 
+class Scanner:
+    """Splits a page into text and tags, each character looked at once."""
+
+    def __init__(self, page: str):
+        self.page, self.last_end = page, page.rfind(">")
+        self.quoted = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """Where the tag with attributes from `at` on ends, -1 if it doesn't; a quote that is never closed is an ordinary character."""
+        while True:
+            at = PLAIN.match(self.page, at).end()
+            if at >= len(self.page):
+                return -1
+            if self.page[at] == ">":
+                return at
+            quote = self.page[at]
+            at = self.page.index(quote, at + 1) + 1 if self.quoted[quote] > at else at + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(end of the text before, where to go on, slash, name, attributes) of the next tag or comment; a comment has no name.
+
+        At the end of the page, or where no tag ends any more, the text goes to the end.
+        """
+        page, size = self.page, len(self.page)
+        look = at
+        while True:
+            start = page.find("<", look)
+            if start < 0:
+                return size, size, "", "", ""
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, size if end < 0 else end + 3, "", "", ""
+            slash = page.startswith("/", start + 1)
+            name = NAME.match(page, start + 1 + slash)
+            if name is None:
+                if slash or page[start + 1:start + 2] in ("!", "?"):
+                    end = page.find(">", start)
+                    return start, size if end < 0 else end + 1, "", "", ""
+                look = start + 1
+                continue
+            if name.end() > self.last_end:  # nothing ends here any more, but a comment may begin
+                end = page.find("<!--", start)
+                return (size if end < 0 else end), size, "", "", ""
+            end = self._end(name.end())
+            if end < 0:
+                return size, size, "", "", ""
+            return start, end + 1, "/" if slash else "", name[0], page[name.end():end]
+
+
 def _elements(page: str) -> Element:
     root = Element("#root")
+    scanner = Scanner(page)
     stack, at = [root], 0
     places: dict[str, list[int]] = {}  # of each open tag in the stack
     scopes = [0]
@@ -90,18 +146,16 @@ def _elements(page: str) -> Element:
                 scopes.pop()
         del stack[i:]
 
-    while True:
-        m = TAG.search(page, at)
-        text = page[at:m.start() if m else len(page)]
+    while at < len(page):
+        upto, after, slash, name, attributes = scanner.next(at)
+        text = page[at:upto]
         if text:
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
-        if m is None:
-            return root
-        at = m.end()
-        if not m[2]:
+        at = after
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if places.get(tag):
                 cut(places[tag][-1])
             continue
@@ -112,17 +166,18 @@ def _elements(page: str) -> Element:
             last = max((places[t][-1] for t in ends if places.get(t)), default=0)
             if last and last >= scopes[-1]:
                 cut(last)
-        element = Element(tag, m[3])
+        element = Element(tag, attributes)
         stack[-1].parts.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             close = page.find(">", end.end() - 1) if end else -1
             at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             places.setdefault(tag, []).append(len(stack))
             if tag in SCOPE:
                 scopes.append(len(stack))
             stack.append(element)
+    return root
 
 
 def _decide(root: Element) -> None:
@@ -191,6 +246,14 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+def _all(root: Element) -> Iterator[Element]:
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack += [x for x in e.parts if isinstance(x, Element)]
+
+
 def subtrees(root: Element) -> tuple[dict[int, int], dict[int, int], int]:
     """Hashes by id of the element, and a hash of the article.
 
@@ -250,35 +313,45 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """(site, template): the subtrees that recur on a host or section, from rows (host, section, html).
+def subtree_pages(pages: DataFrame) -> DataFrame:
+    """(site, inside, subtree, prose, pages): on how many different pages or articles of a site a subtree is, from rows (host, section, html).
 
-    A site's list is short whatever its size: a page has few subtrees, and each listed one is on least_share of its pages.
+    Subtree 0 stands for the page or article itself. prose tells whether the element is one of PROSE.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, sections, kinds, hashes, contents = [], [], [], [], []
+            rows = []
             for host, section, page in zip(b.column("host").to_pylist(), b.column("section").to_pylist(), b.column("html").to_pylist(), strict=True):
                 digest = _number(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8).digest())
-                outside, inside, article = subtrees(tree(page))
+                root = tree(page)
+                outside, inside, article = subtrees(root)
+                prose = {id(e) for e in _all(root) if e.tag in PROSE}
                 for kind, found, content in ((False, outside, digest), (True, inside, article)):
-                    own = {0, *found.values()}  # 0 stands for the page or article itself
-                    hosts += [host] * len(own)
-                    sections += [section] * len(own)
-                    kinds += [kind] * len(own)
-                    hashes += own
-                    contents += [content] * len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(sections, pa.string()), pa.array(kinds, pa.bool_()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())],
-                ["host", "section", "inside", "subtree", "page"])
-
-    seen = pages.mapInArrow(run, "host string, section string, inside boolean, subtree long, page long")
-    seen = seen.select(F.explode(F.array("host", "section")).alias("site"), "inside", "subtree", "page").distinct()
-    counts = stash(seen.groupBy("site", "inside", "subtree").agg(F.count("*").alias("pages")).where((F.col("pages") >= least_pages) | (F.col("subtree") == 0)), "subtrees")
+                    own = {(0, False)} | {(h, k in prose) for k, h in found.items()}
+                    rows += [(host, section, kind, h, p, content) for h, p in own]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "section", "inside", "subtree", "prose", "page"])
+
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
+    seen = pages.mapInArrow(run, "host string, section string, inside boolean, subtree long, prose boolean, page long")
+    seen = seen.select(F.explode(F.array("host", "section")).alias("site"), "inside", "subtree", "prose", "page").distinct()
+    return seen.groupBy("site", "inside", "subtree", "prose").agg(F.count("*").alias("pages"))
+
+
+def templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(site, template): the subtrees that recur on a host or section, from rows (host, section, html).
+
+    Prose and all inside articles must be on least_pages pages and least_share of them, containers outside on OUTSIDE_PAGES
+    and OUTSIDE_SHARE, if these are less. A site's list is short whatever its size: a page has few subtrees, and each
+    listed one is on a share of its pages.
+    """
+    loose = ~F.col("inside") & ~F.col("prose")
+    few, some = (F.when(loose, min(x, y)).otherwise(y) for x, y in ((OUTSIDE_PAGES, least_pages), (OUTSIDE_SHARE, least_share)))
+    counts = stash(subtree_pages(pages).where((F.col("pages") >= few) | (F.col("subtree") == 0)), "subtrees")
     whole = counts.where("subtree = 0").select("site", "inside", F.col("pages").alias("all"))
-    often = counts.where("subtree <> 0").join(whole, ["site", "inside"]).where(F.col("pages") >= least_share * F.col("all"))
-    return stash(often.groupBy("site").agg(F.collect_list("subtree").alias("template")), "templates")
+    often = counts.where("subtree <> 0").join(whole, ["site", "inside"]).where(F.col("pages") >= some * F.col("all"))
+    return stash(often.groupBy("site").agg(F.collect_set("subtree").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -289,13 +362,15 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     with null or odd urls share one host. Copies of a page, and inside it of an article, count once when subtrees are
     counted. Repeated rows each give theirs; empty input gives an empty result; other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1))
     section = F.concat(host, F.lit("/"), F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), FOLDER, 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"), section.alias("section"))
     found = templates(rows.select("host", "section", "html"), least_pages, least_share)
     for key, is_section in (("host", False), ("section", True)):
         of = found.where(F.col("site").contains("/") == is_section).select(F.col("site").alias(key), F.col("template").alias(f"{key}_template"))
-        rows = rows.join(F.broadcast(of) if of.count() <= MOST_HOSTS_BROADCAST else of, key, "left")
+        size = of.agg(F.sum(F.size(f"{key}_template") * 8 + F.octet_length(key) + 32)).first()[0] or 0
+        rows = rows.join(F.broadcast(of) if size <= BROADCAST_BYTES else of, key, "left")
     none = F.array().cast("array<bigint>")
     joined = rows.select("page_id", "url", "html", F.array_union(F.coalesce("host_template", none), F.coalesce("section_template", none)).alias("template"))
 

@@ -314,6 +314,72 @@ def test_deep_pages(tag):
     assert html_text.main_text(root, frozenset({1})).split() == ["a"] * 100_000 and len(html_text.subtrees(root)) == 3
 
 
+def test_odd_pages_are_read_in_no_time():
+    import time
+    deep, unclosed = "<div>" * 100_000 + "a" + "</div>" * 50_000, "<a " * 350_000
+    for page, want in ((deep, "a"), (unclosed, unclosed.strip()), (unclosed + '">x', "x"), ("<p title='" * 100_000 + ">y", "y"), ("<!-- " * 200_000, ""), ("<" * 10**6, "<" * 10**6), ("<script>" * 10**5, ""), ("</" * 500_000, "")):
+        t = time.perf_counter()
+        assert html_text.main_text(html_text.tree(page)) == want
+        html_text.subtrees(html_text.tree(page))
+        assert time.perf_counter() - t < 8  # a second or less on an idle machine
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>a < b and c<d>e</p>", "a < b and ce"), ('<p title="x>y">z</p>', "z"), ("<p a='\">'>q</p>", "q"), ("x<!-- > -->y<!doctype z>w", "xyw"), ("<p>1<p 2", "1<p 2"), ("a</ b>c", "ac"), ("a<?php x ?>b<", "ab<"),
+    ('<article><div class="share-prices"><p>Shares rose</p></div><section id="related-work"><p>Others</p></section></article>', "Shares rose\nOthers"), ("<P>A<BR/>B<IMG SRC=x>C", "A BC"),
+])
+def test_tags_and_text(page, want):
+    assert html_text.main_text(html_text.tree(page)) == want
+
+
+def test_subtrees_match_a_plain_count(spark, sf):
+    """Of the given pages: for each host and section, on how many different pages a block is, by comparing written-out subtrees."""
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    def written(e):
+        return (e.tag, tuple(written(x) if isinstance(x, html_text.Element) else " ".join(x.split()) for x in e.parts))
+
+    table = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.coalesce("html", F.lit("")))
+    rows = table.collect()
+    want = defaultdict(set)
+    for x in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*(?:/([^/?#]*)/)?", x["url"] or "")
+        host, folder = (m[1].lower(), m[2] or "") if m else ("", "")
+        root = html_text.tree(x["html"])
+        article = {id(e) for top in html_text._main_parts(root) if top is not root for e in html_text._all(top)}
+        for e in html_text._all(root):
+            if e.tag in html_text.BLOCK and id(e) not in article and not any(id(y) in article for y in html_text._all(e)):
+                for site in (host, f"{host}/{folder}"):
+                    want[site, written(e)].add(x["html"])
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), html_text.HOST, 1))
+    keyed = table.select(host.alias("host"), F.concat(host, F.lit("/"), F.regexp_extract(F.coalesce("url", F.lit("")), html_text.FOLDER, 1)).alias("section"), "html")
+    got = html_text.subtree_pages(keyed).where("not inside and subtree <> 0").collect()
+    count = lambda pairs: sorted((site, n) for site, n in pairs)
+    holders = {"html", "body"}  # they hold the article, which the hash leaves out and written() does not
+    want = count((site, len(v)) for (site, w), v in want.items() if w[0] not in holders)
+    held = {r for r in got}
+    got = count((r["site"], r["pages"]) for r in held)
+    # Blocks that hold the article are counted by Spark, too: at most the page's html and body.
+    from collections import Counter
+    more = Counter(got) - Counter(want)
+    assert want and not Counter(want) - Counter(got) and sum(more.values()) <= 4 * len(rows)
+
+
+def test_pages_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "http://h/a", "<p>x</p>")] * 3 + [(None, None, None), (2, "odd url", "<article>y" + "<p>z" * 20_000)]
+    table = spark.createDataFrame([(*r, "q", 1, "h", "t") for r in rows], "page_id long, url string, html string, text string, n_chars int, host string, template string")
+    got = sorted(((r["page_id"], r["n_chars"]) for r in html_text.extract(table).collect()), key=str)
+    assert got == sorted([(1, 1)] * 3 + [(None, 0), (2, 1 + 2 * 20_000)], key=str)
+
+
+def test_templates_outside_articles_are_found_by_few_pages(spark):
+    rows = [(i, f"http://h.example/{i}", f"<div>menu of many<ul><li>one</li></ul></div><div><p>prose {i}</p><p>said {i % 7}</p></div>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"prose {i}\nsaid {i % 7}" for i in range(60)}
+
+
 def good(r, n=60):
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(n)).capitalize() + "."
 
