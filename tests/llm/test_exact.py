@@ -220,14 +220,59 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def clustered(seed=1, clusters=8, each=200):
+    r = np.random.default_rng(seed)
+    centre = r.normal(size=(clusters, 8)) * 40
+    return np.floor(np.concatenate([c + r.normal(size=(each, 8)) for c in centre])).astype(np.int64)
+
+
 def test_pivot_bounds_spare_work():
-    r = np.random.default_rng(1)
-    centre = r.normal(size=(8, 8)) * 40
-    x = np.floor(np.concatenate([c + r.normal(size=(200, 8)) for c in centre])).astype(np.int64)
-    p = topk.pick_pivots(x.tolist(), 16)
-    table = np.stack([np.linalg.norm(x - q, axis=1) for q in p]).astype(np.float32)
-    row = lambda ids: {"ids": ids.tobytes(), "vectors": x[ids].tobytes(), "pivots": table[:, ids].tobytes(), "dim": 8}
-    ids = np.arange(len(x))
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(10)]
-    scored = topk.search_block(topk.Block(row(ids[:10])), topk.Block(row(ids)), 5, best)
-    assert scored < 10 * len(x)
+    import pyarrow as pa
+    x = clustered()
+    p = {8: topk.pick_pivots(x.tolist(), 16)}
+    pack = topk._pack(p)
+
+    def block(ids):
+        t = pack((pa.scalar(8), pa.scalar(0)), pa.table({"vec_id": pa.array(ids), "v": pa.array(x[ids].tolist(), pa.list_(pa.int64()))}))
+        return topk.Block(t.to_pylist()[0])
+
+    queries, everything = block(np.arange(10)), block(np.arange(len(x)))
+    best = topk.Best(10, 5)
+    topk.search_block(queries, block(np.arange(200)), best)
+    scored = topk.search_block(queries, everything, topk.Best(10, 5, best.worst))
+    assert scored < 0.3 * 10 * len(x)
+    score = x[:10] @ x.T
+    for i in range(10):
+        want = sorted((-int(score[i, j]), j) for j in range(len(x)) if j != i)[:5]
+        whole = topk.Best(10, 5)
+        topk.search_block(queries, everything, whole)
+        assert list(zip(-whole.score[whole.row == i], whole.id[whole.row == i], strict=True)) == want
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 12)
+    x = clustered(3)
+    pairs, real = [], topk.block_pairs
+
+    def watched(queries, candidates):
+        out = real(queries, candidates)
+        pairs.append((out.count(), queries.count() * candidates.count()))
+        return out
+
+    monkeypatch.setattr(topk, "block_pairs", watched)
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, -s) for s, i in sorted((-int(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]] for q in range(0, len(x), 20)}
+    assert pairs[0][0] < 0.6 * pairs[0][1]
+
+
+def test_search_with_repeated_ids(spark):
+    from pyspark.sql import functions as F
+    rows = [(20, [1.0, 2.0]), (20, [0.5, 9.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (2, [2.0, 0.0]), (3, [1.0]), (40, None), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("cell", F.lit(1))
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 32 * 192 + 576 * 192), (20, 2, 2, 32 * 128)]
