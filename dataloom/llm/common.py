@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def stash(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect garbage: Spark deletes the shuffle files of writes that are over once their plans are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(ids: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks ids for a broadcast join if it is proven to be small, and leaves it to a shuffled join otherwise."""
     return F.broadcast(ids) if (ids.count() if rows is None else rows) <= BROADCAST_ROWS else ids

@@ -3,9 +3,10 @@
 A window is `length` consecutive words. Broadcasting automata of the whole corpus to every document would take as many
 passes as there are shards, so shards are made such that a passage meets only the one that can match it:
 
-1. The minimizer of a window is the least hash of its GRAM-word grams. Windows in a row with one minimizer form a run.
-   Equal windows have equal minimizers, so only runs whose minimizer two documents have go on; for all others nothing
-   but (minimizer, row) is moved. Minimizers that are frequent in a sample are known to be shared and not moved at all.
+1. The minimizer of a window is the least hash of its GRAM-word grams, or of longer ones where that is frequent in a
+   sample. Windows in a row with one minimizer form a run. Equal windows have equal minimizers, so only runs whose
+   minimizer two documents have go on; for all others nothing but (minimizer, row) is moved. Longer minimizers that are
+   frequent in the sample are known to be shared and not moved at all.
 2. Runs of equal words form a class, with the first and the last document that has it. Classes are dealt into shards by
    minimizer. The classes of a minimizer that would fill more than a shard are cut into windows first, which are dealt by
    the hash of their words.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, bound_batches, frequent_keys, fresh_path, keyed, shared_pairs, small_side, stash
+from .common import among, bound_batches, frequent_keys, fresh_path, keyed, release, shared_pairs, small_side, stash
 from .suffix_automaton import SuffixAutomaton
 from .words import Words, chunks, mix
 
@@ -52,10 +53,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """The runs of some texts: text of, first word, number of windows, minimizer of each."""
 
-    def __init__(self, words: Words, length: int):
+    def __init__(self, words: Words, length: int, common: np.ndarray):
         gram = min(GRAM, length)
         self.words, self.length = words, length
         least = _sliding_min(words.grams(gram), length - gram + 1)
+        if len(common) and len(least):
+            longer = (gram + length + 1) // 2
+            is_common = among(least.view(np.int64), common)
+            least = np.where(is_common, _sliding_min(words.grams(longer), length - longer + 1), least)
         counts = np.diff(words.first)
         text = np.repeat(np.arange(len(counts)), counts)[:len(least)]
         starts = np.arange(len(least))
@@ -87,21 +92,22 @@ def _in_buckets(rows: DataFrame, key: str) -> DataFrame:
     """rows as a table in buckets of key, so that a join by key shuffles only the other side."""
     spark = rows.sparkSession
     name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, key).write.format("parquet").option("path", fresh_path(spark, "texts")).bucketBy(n, key).saveAsTable(name)
+    rows.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "texts")).bucketBy(n, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalogue forgets it; its files and the frame stay
+    release(spark)
     return table
 
 
-def _minimizers(rows: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
-    """(minimizer, row): each row's minimizers but the frequent ones; in a batch once each."""
+def _minimizers(rows: DataFrame, length: int, common: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """(minimizer, row): each row's minimizers but the frequent ones. In place of common ones stand longer ones."""
     names, types = ["minimizer", "row"], [pa.int64(), pa.int64()]
 
     def parts(batches):
         for b in batches:
             ids = b.column("row").to_numpy()
             for at, words in chunks(b.column("text")):
-                runs = Runs(words, length)
+                runs = Runs(words, length, common)
                 m, text = runs.minimizer, runs.text
                 if len(frequent):
                     rare = ~among(m, frequent)
@@ -115,15 +121,17 @@ def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
     """(minimizer, row, doc_id, start, words): the runs whose minimizer two rows have."""
     total = texts.count()
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
-    frequent = frequent_keys(_minimizers(sample, length, np.zeros(0, np.int64)).distinct(), "minimizer", FREQUENT, MOST_FREQUENT)
-    lists = shared_pairs(_minimizers(texts, length, frequent), "minimizer", "row").groupBy("row").agg(F.collect_list("minimizer").alias("minimizers"))
+    none = np.zeros(0, np.int64)
+    common = frequent_keys(_minimizers(sample, length, none, none).distinct(), "minimizer", FREQUENT, MOST_FREQUENT)
+    frequent = frequent_keys(_minimizers(sample, length, common, none).distinct(), "minimizer", FREQUENT, MOST_FREQUENT)
+    lists = shared_pairs(_minimizers(texts, length, common, frequent), "minimizer", "row").groupBy("row").agg(F.collect_list("minimizer").alias("minimizers"))
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["minimizer", "row", "doc_id", "start", "words"]
         for b in batches:
             ids, docs, lists_ = b.column("row").to_numpy(), b.column("doc_id").to_numpy(), b.column("minimizers")
             for at, words in chunks(b.column("text")):
-                runs = Runs(words, length)
+                runs = Runs(words, length, common)
                 if not len(runs.text):
                     continue
                 keep = among(runs.minimizer, frequent)
@@ -203,6 +211,7 @@ def match_shards(classes: DataFrame, length: int, shard_words: int | None = None
 def covered_windows(texts: DataFrame, length: int) -> DataFrame:
     """(row, start): the windows of texts (row, doc_id, text) that a smaller doc_id has; rows are unique."""
     runs = _shared_runs(texts, length)
+    release(texts.sparkSession)
     span = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
     classes = stash(runs.groupBy("minimizer", "words").agg(*span), "classes")
     size = F.length("words") - F.length(F.translate("words", " ", "")) + 1
@@ -218,6 +227,7 @@ def covered_windows(texts: DataFrame, length: int) -> DataFrame:
     else:
         classes, named = (x.withColumnRenamed("minimizer", "route") for x in (classes, named))
     matched = stash(match_shards(classes, length), "matched")
+    release(texts.sparkSession)
     hits = named.join(matched, ["route", "words"]).select("row", "doc_id", "start", F.posexplode("firsts").alias("k", "first_id"))
     return hits.where("first_id < doc_id").select("row", (F.col("start") + F.col("k")).alias("start"))
 
