@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import CANONICAL_PERIOD, ITALIAN, MONTHS, REPAIR_DATES, full_match, strip, text, try_date
+from .values import CANONICAL_PERIOD, ITALIAN, MIXED_DATES, MONTHS, REPAIR_DATES, full_match, strip, text, try_date
 
-# The notations that are undone.
-CURRENCY = r"(?i)^\s*[€$£]\s*|\s*(?:eur|euro|usd)\s*$"
-UNIT = r"(-?[\d.,]+)\s+[A-Za-zÀ-ÿ]+\.?"
-DOTS = r"-?\d{1,3}(?:\.\d{3})+(?:,\d+)?"
-COMMAS = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?"
-DECIMAL_COMMA = r"-?\d+,\d+"
+# Currency marks, those before a number and those after it.
+MARKS, CURRENCIES = "€$£", "euro|eur|usd"
+
+
+def _bare(c: Column) -> Column:
+    """The text without outer white space, a currency mark before it, a currency after it and a unit's name after a number."""
+    t = strip(F.regexp_extract(strip(c), rf"(?is)^[{MARKS}]?(.*?)(?:{CURRENCIES})?$", 1))
+    return F.regexp_replace(t, r"^(-?[0-9.,]+)\s+[A-Za-zÀ-ÿ]+\.?$", "$1")
 
 
 def normalize_number(c: Column) -> Column:
-    """'€ 1.234,5', '6,0' or '2 unità' as a plain number's text; other text without outer white space and currency."""
-    t = strip(F.regexp_replace(strip(c), CURRENCY, ""))
-    t = F.when(full_match(t, UNIT), F.regexp_extract(t, UNIT, 1)).otherwise(t)
-    out = F.when(full_match(t, DOTS), F.translate(F.translate(t, ".", ""), ",", ".")).when(full_match(t, COMMAS), F.translate(t, ",", "")).when(full_match(t, DECIMAL_COMMA), F.translate(t, ",", ".")).otherwise(t)
+    """'€ 1.234,5', '6,0' or '2 unità' as a plain number's text; other text without outer white space and currency.
+
+    The digits between separators decide what a separator means. One sign alone groups thousands if all groups behind it
+    have three digits. Of two signs the one that stands last and once is the decimal one, if the other groups thousands. A
+    single comma that groups no thousands is a decimal one.
+    """
+    t = _bare(c)
+    minus = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.split(F.ltrim(t, F.lit("-")), "[.,]")
+    signs = F.translate(t, "-0123456789", "")
+    n = F.length(signs)
+    head, last = F.slice(digits, 1, F.greatest(n, F.lit(1))), digits[F.size(digits) - 1]
+    grouped = lambda groups: (F.length(groups[0]) <= 3) & F.forall(F.slice(groups, 2, 1 << 20), lambda g: F.length(g) == 3)
+    one_sign = (signs == F.repeat(F.left(signs, F.lit(1)), n)) & (n > 0)
+    decimal = F.right(signs, F.lit(1))
+    before = F.left(signs, n - 1)
+    two_signs = (n > 1) & (before == F.repeat(F.left(signs, F.lit(1)), n - 1)) & (decimal != F.left(signs, F.lit(1)))
+    number = t.rlike("^-?[0-9]+([.,][0-9]+)+$")
+    out = (F.when(~number, t).when(one_sign & grouped(digits), F.concat(minus, F.array_join(digits, ""))).when(two_signs & grouped(head), F.concat(minus, F.array_join(head, ""), F.lit("."), last))
+           .when(signs == ",", F.concat(minus, digits[0], F.lit("."), last)).otherwise(t))
     return F.when(t == "", text(c)).otherwise(out)
 
 
@@ -30,25 +48,29 @@ def month_number(name: Column) -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    """A date in any of the known layouts, months also as Italian names, or null. A value that states no day has none."""
+    """A date in any of the known layouts, months also as Italian names, or null. A value that states no day has none.
+
+    What none of them reads is tried in MIXED_DATES, day before month, where months are English names.
+    """
     t = text(c)
     for name in ITALIAN:
         t = F.regexp_replace(t, rf"(?i)\b{name}\w*\b", MONTHS[name])
-    return F.coalesce(*[try_date(t, layout) for layout in REPAIR_DATES])
+    named = F.initcap(F.regexp_replace(F.lower(text(c)), r"\b([a-z]{3})[a-z]*\b", "$1"))
+    return F.coalesce(*[try_date(t, layout) for layout in REPAIR_DATES], *[try_date(named if "%b" in layout else text(c), layout) for layout in MIXED_DATES])
 
 
 def normalize_period(c: Column) -> Column:
-    """A year and month in any layout as yyyyMM; what has no month stays as it is."""
-    t = strip(c)
-
-    def compose(year: Column, month: Column) -> Column:
-        return F.when(month.cast("int").between(1, 12), F.concat(year, F.lpad(month, 2, "0")))
+    """A year and month in any layout as yyyyMM; what has no month stays as it is.
 
-    y, m, n = r"(\d{4})[-/. ](\d{1,2})", r"(\d{1,2})[-/. ](\d{4})", r"([A-Za-z]{3,})[-/. ](\d{4})"
-    return F.coalesce(
-        F.when(full_match(t, CANONICAL_PERIOD), t), F.when(full_match(t, y), compose(F.regexp_extract(t, y, 1), F.regexp_extract(t, y, 2))),
-        F.when(full_match(t, m), compose(F.regexp_extract(t, m, 2), F.regexp_extract(t, m, 1))),
-        F.when(full_match(t, n), F.concat(F.regexp_extract(t, n, 2), month_number(F.regexp_extract(t, n, 1)))), text(c))
+    Of the two parts the one with four digits is the year; the other is the month, by number or by name.
+    """
+    t = strip(c)
+    two = r"^([A-Za-z]+|[0-9]+)[-/. ]([0-9]+)$"
+    a, b = F.regexp_extract(t, two, 1), F.regexp_extract(t, two, 2)
+    year_first = (F.length(a) == 4) & a.rlike("^[0-9]") & (F.length(b) <= 2)
+    year, month = F.when(year_first, a).otherwise(b), F.when(year_first, b).otherwise(a)
+    number = F.when(month.rlike("^[A-Za-z]{3,}$"), month_number(month)).when(month.rlike("^[0-9]{1,2}$") & month.try_cast("int").between(1, 12), F.lpad(month, 2, "0"))
+    return F.coalesce(F.when(full_match(t, CANONICAL_PERIOD), t), F.when(F.length(year) == 4, F.concat(year, number)), text(c))
 
 
 def is_period(c: Column) -> Column:

@@ -6,36 +6,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col, text, try_number, with_total
+from ..sources.shared import cut
 
 FENCE, LISTED = 1.5, 50
 
 
-def fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, q1, q3, low, high, least, greatest) of numeric columns with 4 values or more and a spread, from one aggregation.
+def number_freq(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x, cnt): how often each number stands in each column; partial aggregation takes frequent ones."""
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), try_number(col(n)).alias("x")) for n in columns])
+    return df.select(F.inline(cells)).where("x is not null").groupBy("column", "x").agg(F.count("*").alias("cnt"))
+
 
-    Quartiles are exact and interpolated; Spark keeps counts of distinct values for them, merged from partial ones.
+def quartiles(freq: DataFrame) -> DataFrame:
+    """From number_freq: (column, n, q1, q3, least, greatest), exact and interpolated.
+
+    Numbers are sorted over all tasks by range; the ranks in a partition follow those of earlier partitions, so no task
+    has a whole column.
     """
-    aggs = []
-    for i, n in enumerate(columns):
-        x = try_number(col(n))
-        aggs += [F.count(x).alias(f"n{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}")]
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("q3"), F.col(f"a{i}").alias("least"), F.col(f"z{i}").alias("greatest")) for i, n in enumerate(columns)])
-    out = df.agg(*aggs).select(F.inline(cells)).where("n >= 4 and q3 <> q1")
+    placed = cut(freq.repartitionByRange("column", "x").select("*", F.spark_partition_id().alias("part")))
+    parts = placed.groupBy("column", "part").agg(F.sum("cnt").alias("here"))  # a row for each column and partition
+    earlier = F.coalesce(F.sum("here").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("column").agg(F.sum("cnt").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"))
+    known = parts.select("column", "part", earlier.alias("earlier")).join(sizes, "column")
+    inside = F.sum("cnt").over(Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("inside", inside).join(F.broadcast(known), ["column", "part"]).withColumn("upto", F.col("earlier") + F.col("inside"))
+    first = F.col("upto") - F.col("cnt")  # the value has the ranks from here to upto - 1, counted from 0
+
+    def at(q: float):
+        place = F.lit(q) * (F.col("n") - 1)
+        low = F.floor(place)
+        has = lambda r: (first <= r) & (r < F.col("upto"))
+        return low, place - low, has
+
+    aggs, out = [], {}
+    for name, q in (("q1", 0.25), ("q3", 0.75)):
+        low, share, has = at(q)
+        aggs += [F.max(F.when(has(low), F.col("x"))).alias(f"{name}_low"), F.max(F.when(has(F.least(low + 1, F.col("n") - 1)), F.col("x"))).alias(f"{name}_high"), F.max(share).alias(f"{name}_share")]
+        out[name] = F.when(F.col(f"{name}_share") == 0, F.col(f"{name}_low")).otherwise((1 - F.col(f"{name}_share")) * F.col(f"{name}_low") + F.col(f"{name}_share") * F.col(f"{name}_high"))
+    got = ranked.groupBy("column", "n", "least", "greatest").agg(*aggs)
+    return got.select("column", "n", out["q1"].alias("q1"), out["q3"].alias("q3"), "least", "greatest")
+
+
+def fences(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, q1, q3, low, high, least, greatest) of numeric columns with 4 values or more and a spread."""
+    out = cut(quartiles(number_freq(df, columns))).where("n >= 4 and q3 <> q1")
     gap = (F.col("q3") - F.col("q1")) * FENCE
     return out.withColumn("low", F.col("q1") - gap).withColumn("high", F.col("q3") + gap)
 
 
-def iqr_outliers(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
-    """(column, row_id, value) of every value outside its column's fences; the fences are a row a column."""
+def iqr_outliers(df: DataFrame, row_id: str, columns: list[str], known: DataFrame | None = None) -> DataFrame:
+    """(column, row_id, value) of every value outside its column's fences; the fences, known or not, are a row a column."""
     cells = F.array(*[F.struct(F.lit(n).alias("column"), try_number(col(n)).alias("value")) for n in columns])
     rows = df.select(col(row_id).alias("row_id"), F.inline(cells)).where("value is not null")
-    return rows.join(F.broadcast(fences(df, columns).select("column", "low", "high")), "column").where("value < low or value > high").select("column", "row_id", "value")
+    return rows.join(F.broadcast((fences(df, columns) if known is None else known).select("column", "low", "high")), "column").where("value < low or value > high").select("column", "row_id", "value")
 
 
 def iqr_report(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """(column, outliers, rate, q1, q3, low, high): all outliers are counted; the listing is cut only where it is shown."""
     f = fences(df, columns)
-    n = iqr_outliers(df, row_id, columns).groupBy("column").agg(F.count("*").alias("outliers"))
+    n = iqr_outliers(df, row_id, columns, f).groupBy("column").agg(F.count("*").alias("outliers"))
     out = f.join(n, "column", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
     return out.select("column", "outliers", F.round(F.col("outliers") / F.col("n"), 4).alias("rate"), *[F.round(c, 4).alias(c) for c in ("q1", "q3", "low", "high")])
 
@@ -76,13 +105,12 @@ def numeric_census(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """(column, outliers, rate, least, greatest, negatives, noisy) of columns with 10 numbers and more than 20 distinct ones; noisy have more than 4 digits after the point."""
     aggs = []
     for i, n in enumerate(columns):
-        x = try_number(col(n))
-        digits = F.when(text(x).contains("."), F.length(F.substring_index(text(x), ".", -1))).otherwise(0)
-        aggs += [F.count_distinct(x).alias(f"d{i}"), F.count_if(x < 0).alias(f"m{i}"), F.count_if(digits > 4).alias(f"p{i}")]
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in (("d", "distinct"), ("m", "negatives"), ("p", "noisy"))]) for i, n in enumerate(columns)])
-    more = df.agg(*aggs).select(F.inline(cells))
+        digits = F.when(text(col(n)).contains("."), F.length(F.substring_index(text(col(n)), ".", -1))).otherwise(0)
+        aggs += [F.count_if(try_number(col(n)) < 0).alias(f"m{i}"), F.count_if(digits > 4).alias(f"p{i}")]
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in (("m", "negatives"), ("p", "noisy"))]) for i, n in enumerate(columns)])
+    more = df.agg(*aggs).select(F.inline(cells)).join(number_freq(df, columns).groupBy("column").agg(F.count("*").alias("distinct")), "column")
     f = fences(df, columns)
-    n = iqr_outliers(df, row_id, columns).groupBy("column").agg(F.count("*").alias("outliers"))
+    n = iqr_outliers(df, row_id, columns, f).groupBy("column").agg(F.count("*").alias("outliers"))
     out = f.join(more, "column").join(n, "column", "left").where("n >= 10 and distinct > 20").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
     return out.select("column", "outliers", F.round(F.col("outliers") / F.col("n"), 4).alias("rate"), "least", "greatest", "negatives", "noisy")
 

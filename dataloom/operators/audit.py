@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import col, text
+from ..functions.values import col, text, value_freq
 
 CHANGES = "scope string, row_id long, column string, before string, after string, source string"
 
@@ -43,9 +43,12 @@ def typed_diff(before: DataFrame, after: DataFrame, row_id: str, source: str) ->
 def column_diff(before: DataFrame, after: DataFrame, row_id: str, renames: dict[str, str] | None = None) -> DataFrame:
     """(column, name_after, status, nulls_before, nulls_after, distinct_before, distinct_after), columns matched through renames."""
     def profile(df: DataFrame, tag: str) -> DataFrame:
-        names = [c for c in df.columns if c != row_id]
-        one = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)], *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)])
-        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias(tag), F.col(f"n{i}").alias(f"nulls_{tag}"), F.col(f"d{i}").alias(f"distinct_{tag}")) for i, c in enumerate(names)])))
+        f = value_freq(df, row_id)
+        nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0))
+        counted = f.groupBy("column").agg(nulls.alias(f"nulls_{tag}"), F.count("value").alias(f"distinct_{tag}"))
+        names = df.sparkSession.createDataFrame([(c,) for c in df.columns if c != row_id], f"{tag} string")  # also of a table without rows
+        counted = names.join(F.broadcast(counted), F.col(tag) == F.col("column"), "left").drop("column")
+        return counted.fillna(0, [f"nulls_{tag}", f"distinct_{tag}"])
     pairs = [x for k, v in (renames or {}).items() for x in (F.lit(k), F.lit(v))]
     a = profile(before, "before")
     a = a.withColumn("to", F.coalesce(F.try_element_at(F.create_map(*pairs), "before"), "before") if pairs else F.col("before"))

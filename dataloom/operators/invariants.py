@@ -17,6 +17,8 @@ def measures(before: DataFrame, after: DataFrame, row_id: str, columns: list[str
     outer white space; over rows of either side.
     """
     names = [c for c in columns if c in before.columns and c in after.columns]
+    if not names:
+        return before.sparkSession.createDataFrame([], "rows long, column string, nulls_before long, nulls_after long, populated long, deleted long, split_before long, split_after long")
     a = before.select(col(row_id).alias("__id"), *[text(col(c)).alias(f"a{i}") for i, c in enumerate(names)])
     b = after.select(col(row_id).alias("__id"), F.lit(True).alias("__b"), *[text(col(c)).alias(f"b{i}") for i, c in enumerate(names)])
     j = a.join(b, "__id", "left")
@@ -25,11 +27,18 @@ def measures(before: DataFrame, after: DataFrame, row_id: str, columns: list[str
         x, y = F.col(f"a{i}"), F.col(f"b{i}")
         gone = x.isNotNull() & y.isNull() & F.col("__b")
         allowed = (removable or {}).get(c)
-        aggs += [F.count_if(x.isNull()).alias(f"nb{i}"), F.count_if(y.isNull() & F.col("__b")).alias(f"na{i}"), F.count(x).alias(f"p{i}"), F.count_if(gone & ~x.isin(*allowed) if allowed else gone).alias(f"d{i}"),
-                 (F.count_distinct(x) - F.count_distinct(text_key(x))).alias(f"sb{i}"), (F.count_distinct(y) - F.count_distinct(text_key(y))).alias(f"sa{i}")]
+        aggs += [F.count_if(x.isNull()).alias(f"nb{i}"), F.count_if(y.isNull() & F.col("__b")).alias(f"na{i}"), F.count(x).alias(f"p{i}"), F.count_if(gone & ~x.isin(*allowed) if allowed else gone).alias(f"d{i}")]
     one = j.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in (("nb", "nulls_before"), ("na", "nulls_after"), ("p", "populated"), ("d", "deleted"), ("sb", "split_before"), ("sa", "split_after"))]) for i, c in enumerate(names)])
-    return one.select("rows", F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in (("nb", "nulls_before"), ("na", "nulls_after"), ("p", "populated"), ("d", "deleted"))]) for i, c in enumerate(names)])
+    one = one.select("rows", F.inline(cells))
+    # Distinct spellings by aggregating (column, value), not by a distinct count a column, which would multiply the table.
+    counts = None
+    for side, df in (("before", before), ("after", after)):
+        found = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(col(c)).alias("value")) for c in names]))).where("value is not null")
+        found = found.groupBy("column", "value").agg(F.lit(1)).groupBy("column", text_key(F.col("value")).alias("key")).agg((F.count("*") - 1).alias("more")).groupBy("column").agg(F.sum("more").alias(f"split_{side}"))
+        counts = found if counts is None else counts.join(found, "column", "full")
+    out = one.join(F.broadcast(counts), "column", "left")
+    return out.select("rows", "column", "nulls_before", "nulls_after", "populated", "deleted", *[F.coalesce(f"split_{side}", F.lit(0)).cast("long").alias(f"split_{side}") for side in ("before", "after")])
 
 
 def row_count(before: DataFrame, after: DataFrame, dedup_declared: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_number
-from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, any_date, col, full_match, text, text_key, try_date, try_number, with_total
+from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, any_date, col, full_match, text, text_key, try_date, try_number, with_total, texts
 
 FEW = 30
 DOMINANT, RARE, LEAST_VALUES = 0.85, 0.01, 5
@@ -30,6 +30,19 @@ def column_sample(freq: DataFrame, most: int = 30) -> DataFrame:
     return freq.where("value is not null").select("column", "value", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
 
 
+def column_head(df: DataFrame, row_id: str, most: int = 5) -> DataFrame:
+    """(column, rank, value): the first values of each column in row order, nulls left out."""
+    w = Window.partitionBy("column").orderBy("row_id")
+    return texts(df, row_id).where("value is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("column", "rank", "value")
+
+
+def first_distinct(df: DataFrame, row_id: str, most: int = 150) -> DataFrame:
+    """(column, rank, value): the first distinct values of each column in the order in which they appear."""
+    seen = texts(df, row_id).where("value is not null").groupBy("column", "value").agg(F.min("row_id").alias("first"))
+    w = Window.partitionBy("column").orderBy("first")
+    return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("column", "rank", "value")
+
+
 def numeric_share(freq: DataFrame) -> DataFrame:
     """From value_freq: the share of each column's populated values that read as numbers once human notation is undone; numeric from 0.9 on."""
     reads = try_number(normalize_number(F.col("value"))).isNotNull()

@@ -33,12 +33,22 @@ def normal_name(name: Column) -> Column:
 def validate_names(names: DataFrame, convention: str = CONVENTION) -> DataFrame:
     """(column, position, suggestion) of names against the convention; suggestions are unique among themselves and all good names.
 
-    A taken suggestion gets _2, _3, … in column order.
+    In column order a taken suggestion gets the first of _2, _3, … that is free. Names are a row for each column of a
+    table, so they are few and are gone through on the driver.
     """
-    marked = names.withColumn("good", conforms(F.col("column"), convention)).withColumn("base", F.when(F.col("good"), F.col("column")).otherwise(normal_name(F.col("column"))))
-    w = Window.partitionBy("base").orderBy(F.desc("good"), "position")  # a row for each column of a table
-    n = marked.withColumn("n", F.row_number().over(w))
-    return n.where("not good").select("column", "position", F.when(F.col("n") > 1, F.concat_ws("_", "base", "n")).otherwise(F.col("base")).alias("suggestion"))
+    marked = names.select("column", "position", conforms(F.col("column"), convention).alias("good"), normal_name(F.col("column")).alias("base")).orderBy("position", "column").collect()
+    taken, next_of, out = {r["column"] for r in marked if r["good"]}, {}, []
+    for r in marked:
+        if r["good"]:
+            continue
+        name, n = r["base"], next_of.get(r["base"], 2)
+        while name in taken:
+            name, n = f"{r['base']}_{n}", n + 1
+        next_of[r["base"]] = n
+        taken.add(name)
+        out.append((r["column"], r["position"], name))
+    kinds = dict(names.dtypes)
+    return names.sparkSession.createDataFrame(out, f"column string, position {kinds['position']}, suggestion string")
 
 
 def naming_violations(names: DataFrame) -> DataFrame:

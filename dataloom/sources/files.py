@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col
+from .shared import cut
 
 #: Texts that a CSV scan reads as missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -28,13 +29,16 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "_row_id", order: list[str] | None = None) -> DataFrame:
-    """A dense, stable row number. By the given columns if there are any, which must identify rows; else by position in the input."""
-    if order:
-        placed = df.repartitionByRange(*[col(c) for c in order]).sortWithinPartitions(*[col(c) for c in order])
-    else:
-        placed = df
-    schema = df.schema.add(name, "long")
-    return df.sparkSession.createDataFrame(placed.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    """A dense, stable row number. By the given columns if there are any, which must identify rows; else by position in the input.
+
+    Rows are written with their partition and place in it; a row's number is its place plus the rows of earlier partitions.
+    """
+    placed = df.repartitionByRange(*[col(c) for c in order]).sortWithinPartitions(*[col(c) for c in order]) if order else df
+    at = F.monotonically_increasing_id()
+    placed = cut(placed.select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(parts.select("__part", before.alias("__before"))), "__part").select(*[col(c) for c in df.columns], (F.col("__before") + F.col("__at")).alias(name))
 
 
 def write_cleaned(df: DataFrame, folder: str, stem: str, fixes_applied: bool, fmt: str = "csv") -> str:
@@ -68,6 +72,33 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("domain", "dataset", "column_name", F.coalesce("dtype", "s_dtype").alias("dtype"), checked.alias("format_type"), F.coalesce("pattern", "s_pattern").alias("pattern"))
 
 
+FORMAT = "struct<type: string, pattern: string, values: array<string>, min: double, max: double>"
+DEFINITION = f"`$ref` string, dtype string, format {FORMAT}, case_convention string, is_nullable boolean"
+
+
+def read_registry(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """The flat catalogue of a nested registry: {root: {domains: {name: {datasets: {name: {columns: {name: definition}}}}}, shared_column_definitions: {name: definition}}}.
+
+    A definition has dtype (object without one), format, case_convention and is_nullable (true without one), or is a $ref to
+    a shared one, which it then takes with its name as canonical_id. Shared names that begin with _ are remarks. A reference
+    to what isn't there, and a format that is no enum, regex or range, is an error.
+    """
+    top = "domains map<string, struct<datasets: map<string, struct<columns: map<string, string>>>>>, shared_column_definitions map<string, string>"
+    r = spark.read.option("multiLine", True).schema(f"`{root}` struct<{top.replace(' map', ': map')}>").json(path).select(f"`{root}`.*")
+    domains = r.select(F.explode("domains").alias("domain", "d")).select("domain", F.explode("d.datasets").alias("dataset", "t")).select("domain", "dataset", F.explode("t.columns").alias("column_name", "raw"))
+    own = domains.select("domain", "dataset", "column_name", F.from_json("raw", DEFINITION).alias("own"))
+    own = own.withColumn("canonical_id", F.substring_index("own.$ref", "/", -1))
+    shared = r.select(F.explode("shared_column_definitions").alias("name", "raw")).where(~F.col("name").startswith("_"))
+    shared = shared.select(F.col("name").alias("canonical_id"), F.from_json("raw", DEFINITION).alias("common"))
+    j = own.join(shared, "canonical_id", "left").withColumn("use", F.when(F.col("canonical_id").isNull(), F.col("own")).otherwise(F.col("common")))
+    kind = F.col("use.format.type")
+    dangling = F.when(F.col("canonical_id").isNotNull() & F.col("common").isNull(), F.raise_error(F.concat(F.lit("unresolved $ref of column "), "column_name")).cast("string"))
+    unknown = F.when(F.col("use.format").isNotNull() & ~F.coalesce(kind.isin("enum", "regex", "range"), F.lit(False)), F.raise_error(F.concat(F.lit("unknown format type of column "), "column_name")).cast("string"))
+    return j.select("domain", "dataset", "column_name", F.coalesce(dangling, "use.dtype", F.lit("object")).alias("dtype"), F.coalesce(unknown, kind).alias("format_type"), F.col("use.format.pattern").alias("pattern"),
+                    F.col("use.format.values").alias("allowed"), F.col("use.format.min").alias("least"), F.col("use.format.max").alias("greatest"), F.col("use.case_convention").alias("case_convention"),
+                    F.coalesce("use.is_nullable", F.lit(True)).alias("is_nullable"), "canonical_id")
+
+
 def first_definitions(catalogue: DataFrame) -> DataFrame:
     """One definition a column name over all domains: the first by domain and dataset."""
     w = Window.partitionBy("column_name").orderBy("domain", "dataset", "dtype", "pattern")

@@ -7,15 +7,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, or under a temporary folder where that is unset, as in tests."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, one machine may take a temporary folder, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="dataloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: what is built on it starts from there."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
