@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import is_period, normalize_date, normalize_number, normalize_period, replace_values, round_number
 from ..functions.values import col, strip, text, text_key, try_number, value_freq
+from ..sources.shared import cut
 from . import audit, invariants
 from .duplicates import drop_duplicate_rows
 from .profile import castable
@@ -72,25 +73,12 @@ def casing_map(freq: DataFrame, enums: dict[str, list[str]] | None = None) -> Da
 
 
 def collapse_casing(df: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
-    """df with the spellings of casing_map replaced in the columns.
-
-    A column with few variants takes them as literals; one with many is joined with them.
-    """
-    some = mapping.where(F.col("column").isin(*columns)).limit(10_001).collect()
-    if len(some) > 10_000:
-        out = df
-        for c in columns:
-            out = replace_from_table(out, c, mapping.where(F.col("column") == c).select(F.col("value").alias("old"), F.col("to").alias("new")))
-        return out
-    by: dict[str, dict[str, str]] = {}
-    for r in some:
-        by.setdefault(r["column"], {})[r["value"]] = r["to"]
-    def fixed(c: str) -> Column:
-        if c not in by:
-            return col(c)
-        table = F.create_map(*[F.lit(x) for pair in by[c].items() for x in pair])
-        return F.coalesce(F.try_element_at(table, text(col(c))), text(col(c))).alias(c)
-    return df.select(*[fixed(c) for c in df.columns])
+    """df with the spellings of casing_map replaced in the columns, by a join for each column that has variants."""
+    mapping = cut(mapping.where(F.col("column").isin(*columns)))
+    out = df
+    for r in mapping.select("column").distinct().orderBy("column").collect():  # a row for each column
+        out = replace_from_table(out, r["column"], mapping.where(F.col("column") == r["column"]).select(F.col("value").alias("old"), F.col("to").alias("new")))
+    return out
 
 
 def cast_column(c: Column, dtype: str) -> Column:
@@ -109,9 +97,14 @@ def blocking_rows(df: DataFrame, row_id: str, column: str, dtype: str) -> DataFr
     return df.where(col(column).isNotNull() & cast_column(col(column), dtype).isNull()).select(col(row_id).alias("row_id"), text(col(column)).alias("value"))
 
 
-def safe_cast(df: DataFrame, column: str, dtype: str) -> DataFrame:
-    """df with the column cast, or as it is if a value would be lost or a column of months would get days."""
+def safe_cast(df: DataFrame, column: str, dtype: str, precision: int | None = None) -> DataFrame:
+    """df with the column cast, or as it is if a value would be lost or a column of months would get days.
+
+    A float that is recorded with precision 0 becomes an integer, if none of its values has a fraction.
+    """
     c = col(column)
+    if dtype == "float" and precision == 0 and not df.where(try_number(c) % 1 != 0).limit(1).count():
+        dtype = "integer"
     month = F.bool_and(text(c).rlike(r"\A(?:\d{4}[-/.]?\d{2}|\d{2}[-/.]\d{4})\z"))
     got = df.agg(F.count_if(c.isNotNull() & cast_column(c, dtype).isNull()).alias("lost"), month.alias("month")).first()
     if got["lost"] or (dtype == "datetime" and got["month"]):
@@ -220,14 +213,28 @@ def trial(df: DataFrame, row_id: str, fix: Fix, hints: dict[str, DataFrame] | No
     return audit.rows_changed(df, after, row_id)
 
 
-def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | None = None, hints: dict[str, DataFrame] | None = None, hinted: set[str] = frozenset(), removable: dict[str, list[str]] | None = None, cut: Callable[[DataFrame], DataFrame] = lambda d: d):
+def trial_diff(df: DataFrame, row_id: str, fix: Fix, hints: dict[str, DataFrame] | None = None, most: int = 8) -> DataFrame:
+    """The first cells, in row and column order, that a fix would change, for display: (rank, row_id, column, before, after)."""
+    changed = audit.cell_diff(df, apply_fix(df, row_id, fix, hints), row_id, fix.id).orderBy("row_id", "column").limit(most)
+    return changed.select(F.row_number().over(Window.orderBy("row_id", "column")).alias("rank"), "row_id", "column", "before", "after")
+
+
+def violation_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(column_name, before, after, delta) from the violations of the data before and after a trial; each counts its affected rows."""
+    count = lambda v, name: v.groupBy("column_name").agg(F.sum("affected_rows").alias(name))
+    both = count(before, "before").join(count(after, "after"), "column_name", "full").fillna(0, ["before", "after"])
+    return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | None = None, hints: dict[str, DataFrame] | None = None, hinted: set[str] = frozenset(), removable: dict[str, list[str]] | None = None, cut: Callable[[DataFrame], DataFrame] = cut):
     """(df, status, changes): the approved fixes of the plan, in order, each under the invariants.
 
     A fix is skipped if one it depends on wasn't executed or an equal one was, and rejected, its effect undone, if it breaks an
     invariant. status: (fix, status, reason), a row a fix. changes: the cell log of the executed ones. `cut` is called on the
-    data after each executed fix, for a lineage cut in shared storage on long plans.
+    data and on what each fix makes of it, so that no fix is computed again for the next one; it writes to shared storage.
     """
     spark, done, seen, status, log = df.sparkSession, set(), set(), [], None
+    df = cut(df)
     for fix in plan:
         if approved is not None and fix.id not in approved:
             status.append((fix.id, "not approved", ""))
@@ -238,7 +245,7 @@ def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | No
         if fix.fingerprint() in seen:
             status.append((fix.id, "skipped", "same as an earlier fix"))
             continue
-        after = apply_fix(df, row_id, fix, hints)
+        after = cut(apply_fix(df, row_id, fix, hints))
         dedup = any(o.kind == "drop_duplicate_rows" for o in fix.operations)
         broken = [r["failure"] for r in invariants.check(df, after, row_id, fix.columns(), dedup, hinted, removable).collect()]
         if broken:
@@ -246,7 +253,7 @@ def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | No
             continue
         changed = audit.cell_diff(df, after, row_id, fix.id)
         log = changed if log is None else log.unionByName(changed)
-        df = cut(after)
+        df = after
         done.add(fix.id)
         seen.add(fix.fingerprint())
         status.append((fix.id, "executed", ""))
@@ -293,7 +300,7 @@ def refresh(violations: DataFrame, touched: list[str], recomputed: DataFrame) ->
     return violations.where(~F.col("column_name").isin(*(touched or [""])) & (F.col("kind") != "consistency")).unionByName(recomputed)
 
 
-def auto_remediate(df: DataFrame, row_id: str, period: str | None = None, parts: dict[str, str] | None = None, rounding: dict[str, int] | None = None, determined_by: str | None = None, hints: list[tuple[str, str, DataFrame, bool]] = (), cut: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def auto_remediate(df: DataFrame, row_id: str, period: str | None = None, parts: dict[str, str] | None = None, rounding: dict[str, int] | None = None, determined_by: str | None = None, hints: list[tuple[str, str, DataFrame, bool]] = (), cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """The repairs that need no approval, in order: periods, their parts, excess digits, periods from another column, pure hints.
 
     Steps that only rewrite a row fuse into one projection; `cut` is called before a step that aggregates what they wrote.
@@ -311,17 +318,33 @@ def auto_remediate(df: DataFrame, row_id: str, period: str | None = None, parts:
     return df
 
 
+def rewritten_columns(before: DataFrame, after: DataFrame, row_id: str) -> DataFrame:
+    """(column, rows_rewritten, filled, example_before, example_after): a row for each column that the automatic repairs rewrote; the example is of the first row."""
+    cells = audit.cell_diff(before, after, row_id, "auto").where("scope = 'cell'")
+    first = F.min(F.struct("row_id", "before", "after"))
+    return cells.groupBy("column").agg(F.count("*").alias("rows_rewritten"), F.count_if(F.col("before").isNull()).alias("filled"), first["before"].alias("example_before"), first["after"].alias("example_after"))
+
+
+def realigned(about: dict, renames: dict[str, str], columns: list[str]) -> dict:
+    """What is known by column name (types, specifications, roles) under the names after a repair; of columns that are gone nothing is kept."""
+    return {renames.get(c, c): v for c, v in about.items() if renames.get(c, c) in columns}
+
+
 def rename_candidates(columns: list[str], spark) -> DataFrame:
     """(column, to) of names against the convention."""
     names = spark.createDataFrame([(c,) for c in columns], "column string")
     return names.where(~conforms(F.col("column"))).select("column", normal_name(F.col("column")).alias("to"))
 
 
-def sweep(df: DataFrame, row_id: str, dtypes: dict[str, str], freq: DataFrame) -> DataFrame:
-    """What follows the approved fixes: one spelling a value in all text columns, then the declared types where nothing is lost."""
+def sweep(df: DataFrame, row_id: str, dtypes: dict[str, str], freq: DataFrame, renames: dict[str, str] | None = None, precisions: dict[str, int] | None = None) -> DataFrame:
+    """What follows the approved fixes: one spelling a value in all text columns, then the declared types where nothing is lost.
+
+    dtypes and precisions may still have the names from before the renames.
+    """
+    dtypes, precisions = realigned(dtypes, renames or {}, df.columns), realigned(precisions or {}, renames or {}, df.columns)
     texts = [c for c, t in df.dtypes if t == "string" and c != row_id]
     out = collapse_casing(df, casing_map(freq), texts)
     for c, t in dtypes.items():
         if c in out.columns:
-            out = safe_cast(out, c, t)
+            out = safe_cast(out, c, t, precisions.get(c))
     return out

@@ -105,6 +105,16 @@ def _(s, d):
     return pr.column_sample(frequencies(s, d))
 
 
+@query("pr_02_head", 'WITH $F SELECT "column", rank::INT AS rank, value FROM (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY row_id) AS rank FROM c WHERE value IS NOT NULL) WHERE rank <= 5')
+def _(s, d):
+    return pr.column_head(dirty(s, d), ROW)
+
+
+@query("pr_02_first_distinct", 'WITH $F SELECT "column", rank::INT AS rank, value FROM (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY min(row_id)) AS rank FROM c WHERE value IS NOT NULL GROUP BY "column", value) WHERE rank <= 150')
+def _(s, d):
+    return pr.first_distinct(dirty(s, d), ROW)
+
+
 #: normalize_number in SQL, for text without unit suffixes beyond letters.
 def plain(x: str) -> str:
     t = rf"trim(regexp_replace(regexp_replace(trim({x}), '^\s*[€$£]\s*', ''), '(?i)\s*(eur|euro|usd)\s*$', ''))"
@@ -156,10 +166,11 @@ def _(s, d):
     return table(s, d, "events").select("event_id", pr.period_key(col("ts"), True).alias("period"), pr.period_key(col("event_type"), False).alias("other"))
 
 
-@query("pr_09_states_no_day", r"""WITH $F SELECT "column", coalesce(bool_and(regexp_full_match(value, '\d{4}[-/.]?\d{2}|\d{2}[-/.]\d{4}')), false) AS month_only FROM (SELECT * FROM f WHERE NOT ("column" = 'rata' AND (value LIKE 'Rata%' OR regexp_matches(value, '[A-Z]')))) GROUP BY 1""")
+@query("pr_09_states_no_day", r"""WITH $F, g AS (SELECT * FROM f UNION ALL SELECT 'o_month', -1, strftime(o_orderdate::DATE, '%Y-%m'), count(*) FROM orders GROUP BY 3)
+SELECT "column", coalesce(bool_and(regexp_full_match(value, '\d{4}[-/.]?\d{2}|\d{2}[-/.]\d{4}')), false) AS month_only FROM g GROUP BY 1""")
 def _(s, d):
-    f = frequencies(s, d)
-    return pr.states_no_day(f.where("not (`column` = 'rata' and (value like 'Rata%' or value rlike '[A-Z]'))"))
+    months = table(s, d, "orders").groupBy(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("value")).agg(F.count("*").alias("cnt"))
+    return pr.states_no_day(frequencies(s, d).unionByName(months.select(F.lit("o_month").alias("column"), F.lit(-1).alias("position"), "value", "cnt")))
 
 
 @query("pr_10_precision", r"""WITH l AS (SELECT 'l_extendedprice' AS "column", l_extendedprice AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem),

@@ -93,10 +93,18 @@ def _(s, d):
     return rm.collapse_casing(x, rm.casing_map(value_freq(x, "doc_id", ["after"]), {"after": ["de", "en", "es", "fr"]}), ["after"])
 
 
-@query("rm_08_round", one("spesa", f"CASE WHEN {number('spesa')} IS NOT NULL THEN round_even({number('spesa')}, 0) END", "regexp_full_match(spesa, '\\d+\\.\\d+') AND spesa NOT LIKE '%.5'"))
+@query("rm_08_round", f"WITH $D SELECT row_id, {number('spesa')} IS NOT NULL AS is_number, CASE WHEN {number('spesa')} IS NULL THEN spesa END AS kept, round_even({number('spesa')}, 1) AS rounded FROM d")
 def _(s, d):
-    x = rm.apply_operation(dirty(s, d).where(r"spesa rlike '\\A\\d+\\.\\d+\\z' and spesa not like '%.5'"), ROW, Operation("round_decimals", "spesa", {"digits": 0}))
-    return x.select("row_id", F.col("spesa").cast("double").alias("spesa"))
+    x = rm.apply_operation(dirty(s, d), ROW, Operation("round_decimals", "spesa", {"digits": 1}))
+    reads = try_number(col("spesa"))
+    return x.select("row_id", reads.isNotNull().alias("is_number"), F.when(reads.isNull(), col("spesa")).alias("kept"), reads.alias("rounded"))
+
+
+@query("rm_08_round_ties", "SELECT l_orderkey, l_linenumber, round_even(l_quantity::DOUBLE / 2, 0) AS halves FROM lineitem")
+def _(s, d):
+    half = table(s, d, "lineitem").withColumn("halves", F.col("l_quantity").cast("double") / 2)
+    x = rm.apply_operation(half, "l_orderkey", Operation("round_decimals", "halves", {"digits": 0}))
+    return x.select("l_orderkey", "l_linenumber", F.col("halves").cast("double").alias("halves"))
 
 
 @query("rm_09_safe_cast", 'WITH $D SELECT row_id, "SPESA TOTALE"::DOUBLE AS totale, mese FROM d')
@@ -110,6 +118,12 @@ def _(s, d):
     return rm.blocking_rows(dirty(s, d), ROW, "mese", "integer")
 
 
+@query("rm_09_precision", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS whole, l_extendedprice::DOUBLE AS price FROM lineitem")
+def _(s, d):
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text(F.col("l_quantity").cast("double")).alias("whole"), text(F.col("l_extendedprice").cast("double")).alias("price"))
+    return rm.safe_cast(rm.safe_cast(x, "whole", "float", 0), "price", "float", 2)
+
+
 @query("rm_10_impute", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + " SELECT d0.row_id, coalesce(d0.ente, mp.value) AS ente FROM d0 LEFT JOIN mp ON mp.predictor = 'cod_ente' AND mp.target = 'ente' AND mp.key = d0.cod_ente")
 def _(s, d):
     x = clean_ente(s, d)
@@ -178,6 +192,13 @@ def _(s, d):
     return x.select("row_id", "rata", "anno", "mese", "stato")
 
 
+@query("rm_19_summary", f"""WITH $D, {REMEDIED}, z AS (SELECT d.row_id, x.c AS "column", x.a AS before, x.b AS after FROM d JOIN p2 USING (row_id), LATERAL (VALUES ('rata', d.rata, p2.rata), ('anno', d.anno, p2.anno), ('mese', d.mese, p2.mese)) x(c, a, b) WHERE x.a IS DISTINCT FROM x.b)
+SELECT "column", count(*) AS rows_rewritten, count(*) FILTER (before IS NULL) AS filled, arg_min_null(before, row_id) AS example_before, arg_min_null(after, row_id) AS example_after FROM z GROUP BY 1""")
+def _(s, d):
+    x = dirty(s, d)
+    return rm.rewritten_columns(x, rm.auto_remediate(x, ROW, "rata", {"year": "anno", "month": "mese"}), ROW)
+
+
 @query("rm_21_refresh", f"WITH $D, b AS ({bad_rows(('stato', 'cod_ente'))}), e AS (SELECT '{{}}' AS x) SELECT {FORMAT} FROM b UNION ALL SELECT {FORMAT} FROM (SELECT 'rata' AS \"column\", row_id, r AS value, '\\d{{6}}' AS said FROM (SELECT row_id, {PERIOD_SQL} AS r FROM d) WHERE r IS NOT NULL AND NOT regexp_full_match(r, '\\d{{6}}'))".replace(", e AS (SELECT '{}' AS x)", ""))
 def _(s, d):
     x = dirty(s, d)
@@ -212,9 +233,24 @@ def _(s, d):
     return rm.unaddressed(fv.validate(dirty(s, d), ROW, SPECS), ["rata", "spesa"])
 
 
-@query("rm_28_trial", f"WITH $D, x AS (SELECT spesa, {plain('spesa')} AS after FROM d) SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (spesa IS DISTINCT FROM after) AS rows_changed, (SELECT sum({' + '.join(f'({quoted(c)} IS NULL)::INT' for c in COLUMNS)}) FROM d)::BIGINT AS nulls_before, (SELECT sum({' + '.join(f'({quoted(c)} IS NULL)::INT' for c in COLUMNS)}) FROM d)::BIGINT AS nulls_after FROM x")
+TRIED = Fix("f1", (Operation("replace_values", "stato", {"mapping": {"Altro": None}}), Operation("normalize_numeric", "spesa")))
+NULLS = " + ".join(f"({quoted(c)} IS NULL)::INT" for c in COLUMNS)
+
+
+@query("rm_28_trial", f"WITH $D, x AS (SELECT *, {plain('spesa')} AS after, stato = 'Altro' AS gone FROM d) SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (spesa IS DISTINCT FROM after OR gone) AS rows_changed, sum({NULLS})::BIGINT AS nulls_before, (sum({NULLS}) + count(*) FILTER (gone))::BIGINT AS nulls_after FROM x")
 def _(s, d):
-    return rm.trial(dirty(s, d), ROW, Fix("f1", (Operation("normalize_numeric", "spesa"),)))
+    return rm.trial(dirty(s, d), ROW, TRIED)
+
+
+@query("rm_28_diff", f"WITH $D, x AS (SELECT row_id, 'spesa' AS \"column\", spesa AS before, {plain('spesa')} AS after FROM d UNION ALL SELECT row_id, 'stato', stato, NULL FROM d WHERE stato = 'Altro'), y AS (SELECT row_number() OVER (ORDER BY row_id, \"column\")::INT AS rank, * FROM x WHERE before IS DISTINCT FROM after) SELECT * FROM y WHERE rank <= 8")
+def _(s, d):
+    return rm.trial_diff(dirty(s, d), ROW, TRIED)
+
+
+@query("rm_28_violation_delta", f"WITH $D, b AS ({bad_rows(('spesa', 'stato'))}), o AS (SELECT \"column\" AS column_name, count(*)::BIGINT AS before FROM b GROUP BY 1), fixed AS (SELECT * REPLACE ({plain('spesa')} AS spesa, CASE WHEN stato <> 'Altro' THEN stato END AS stato) FROM d), n AS ({bad_rows(('spesa', 'stato')).replace('FROM d', 'FROM fixed')}), m AS (SELECT \"column\" AS column_name, count(*)::BIGINT AS after FROM n GROUP BY 1) SELECT column_name, coalesce(before, 0) AS before, coalesce(after, 0) AS after, coalesce(after, 0) - coalesce(before, 0) AS delta FROM o FULL JOIN m USING (column_name)")
+def _(s, d):
+    x, specs = dirty(s, d), {k: SPECS[k] for k in ("spesa", "stato")}
+    return rm.violation_delta(fv.validate(x, ROW, specs), fv.validate(rm.apply_fix(x, ROW, TRIED), ROW, specs))
 
 
 PLAN = [
@@ -239,10 +275,11 @@ def _(s, d):
     return rm.execute(dirty(s, d), ROW, PLAN, {"numbers"})[2]
 
 
-@query("rm_31_sweep", f"""WITH $D, {CASING} SELECT row_id, best AS ente, "SPESA TOTALE"::DOUBLE AS totale FROM d LEFT JOIN b ON b.value = d.ente""")
+@query("rm_31_sweep", f"""WITH $D, {CASING} SELECT row_id, best AS ente, "SPESA TOTALE"::DOUBLE AS spesa_totale, entrate::BIGINT AS entrate FROM d LEFT JOIN b ON b.value = d.ente""")
 def _(s, d):
-    x = dirty(s, d).select("row_id", "ente", "`SPESA TOTALE`")
-    return rm.sweep(x, ROW, {"SPESA TOTALE": "float"}, value_freq(x, ROW, ["ente"])).withColumnRenamed("SPESA TOTALE", "totale")
+    """The declared types still have the name from before the rename, and one of a column that is gone."""
+    x = dirty(s, d).select("row_id", "ente", F.col("`SPESA TOTALE`").alias("spesa_totale"), text(col("entrate")).alias("entrate"))
+    return rm.sweep(x, ROW, {"SPESA TOTALE": "float", "entrate": "float", "note": "string"}, value_freq(x, ROW, ["ente"]), {"SPESA TOTALE": "spesa_totale"}, {"entrate": 0})
 
 
 def numbers_fixed(s, d):
@@ -504,6 +541,30 @@ def _(s, d):
     return io.read_catalogue(s, catalogue_files(s, d))
 
 
+def registry_file(s, d) -> str:
+    """The parts table as one nested registry: a brand is a domain, a type a dataset, even sizes refer to a shared definition, odd ones have their own."""
+    p = table(s, d, "part").withColumn("shared", F.col("p_size") % 2 == 0)
+    kind = F.when(F.col("p_size") % 3 == 0, F.struct(F.lit("range").alias("type"), F.lit(None).cast("string").alias("pattern"), F.lit(1.0).alias("min"), F.col("p_size").cast("double").alias("max"))).otherwise(F.struct(F.lit("regex").alias("type"), text(col("p_size")).alias("pattern"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max")))
+    definition = F.struct(F.when(F.col("p_size") % 5 != 0, F.lit("int64")).alias("dtype"), kind.alias("format"), F.when(F.col("p_size") % 4 == 1, F.lit(False)).alias("is_nullable"))
+    ref = F.struct(F.concat(F.lit("#/shared_column_definitions/s"), "p_size").alias("$ref"))
+    columns = p.select("p_brand", "p_type", F.concat_ws("_", "p_name", "p_partkey").alias("name"), F.when(F.col("shared"), F.to_json(ref)).otherwise(F.to_json(definition)).alias("json"))
+    pair = lambda name, json: F.concat(F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(":"), json)
+    joined = lambda x: F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(x)), ","), F.lit("}"))
+    sets = columns.groupBy("p_brand", "p_type").agg(joined(pair(F.col("name"), F.col("json"))).alias("json"))
+    domains = sets.groupBy("p_brand").agg(joined(pair(F.col("p_type"), F.concat(F.lit('{"description":"d","columns":'), "json", F.lit("}")))).alias("json"))
+    whole = domains.agg(joined(pair(F.col("p_brand"), F.concat(F.lit('{"datasets":'), "json", F.lit("}")))).alias("domains"))
+    shared = p.where("shared").select(F.concat(F.lit("s"), "p_size").alias("name"), F.to_json(definition).alias("json")).distinct().agg(joined(pair(F.col("name"), F.col("json"))).alias("shared"))
+    path = f"{scratch(s, 'registry')}/registry.json"
+    whole.join(shared, F.lit(True)).select(F.concat(F.lit('{"registry":{"metadata":{},\n"shared_column_definitions":{"_remark":"of sizes",'), F.expr("substring(shared, 2)"), F.lit(',\n"domains":'), "domains", F.lit("}}")).alias("value")).write.text(path)
+    return path
+
+
+@query("io_04_registry", """SELECT p_brand AS domain, p_type AS dataset, p_name || '_' || p_partkey AS column_name, CASE WHEN p_size % 5 <> 0 THEN 'int64' ELSE 'object' END AS dtype, CASE WHEN p_size % 3 = 0 THEN 'range' ELSE 'regex' END AS format_type, CASE WHEN p_size % 3 <> 0 THEN p_size::VARCHAR END AS pattern,
+CASE WHEN p_size % 3 = 0 THEN 1.0::DOUBLE END AS least, CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE END AS greatest, p_size % 4 <> 1 AS is_nullable, CASE WHEN p_size % 2 = 0 THEN 's' || p_size END AS canonical_id FROM part""")
+def _(s, d):
+    return io.read_registry(s, registry_file(s, d), "registry").drop("allowed", "case_convention")
+
+
 @query("io_05_first_definitions", f"WITH {FLAT}, n AS (SELECT * REPLACE (split_part(column_name, '_', 1) AS column_name) FROM k) SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY domain, dataset, dtype, pattern) AS r FROM n) WHERE r = 1")
 def _(s, d):
     return io.first_definitions(io.read_catalogue(s, catalogue_files(s, d)).withColumn("column_name", F.substring_index("column_name", "_", 1)))

@@ -83,8 +83,8 @@ def read_registry(spark: SparkSession, path: str, root: str) -> DataFrame:
     a shared one, which it then takes with its name as canonical_id. Shared names that begin with _ are remarks. A reference
     to what isn't there, and a format that is no enum, regex or range, is an error.
     """
-    top = "domains map<string, struct<datasets: map<string, struct<columns: map<string, string>>>>>, shared_column_definitions map<string, string>"
-    r = spark.read.option("multiLine", True).schema(f"`{root}` struct<{top.replace(' map', ': map')}>").json(path).select(f"`{root}`.*")
+    top = "domains: map<string, struct<datasets: map<string, struct<columns: map<string, string>>>>>, shared_column_definitions: map<string, string>"
+    r = spark.read.option("multiLine", True).schema(f"`{root}` struct<{top}>").json(path).select(f"`{root}`.*")
     domains = r.select(F.explode("domains").alias("domain", "d")).select("domain", F.explode("d.datasets").alias("dataset", "t")).select("domain", "dataset", F.explode("t.columns").alias("column_name", "raw"))
     own = domains.select("domain", "dataset", "column_name", F.from_json("raw", DEFINITION).alias("own"))
     own = own.withColumn("canonical_id", F.substring_index("own.$ref", "/", -1))

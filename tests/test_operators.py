@@ -208,3 +208,52 @@ def test_top_k_in_blocks_is_that_of_a_broadcast(spark, monkeypatch):
     found = schema.retrieve_top_k(e.where("id % 3 = 0"), e, 4)
     assert sorted(map(tuple, found.collect())) == want and len(want) == 80
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_in_mixed_notation(spark):
+    for value, day in (("2024-01-02T03:04:05.123", "2024-01-02"), ("Jan 5, 2024", "2024-01-05"), ("2024-1-2T03:04", "2024-01-02"), ("5 January 2024", "2024-01-05"), ("3/4/2024 10:00", "2024-04-03"), ("12/25/2024", "2024-12-25"), ("31/31/2024", None), ("soon", None)):
+        got = one(spark, nz.normalize_date, value)
+        assert (None if got is None else str(got)[:10]) == day
+
+
+@pytest.mark.parametrize(("value", "plain"), [("1.234", "1234"), ("1,234", "1234"), ("1,5", "1.5"), ("1234,567", "1234.567"), ("1.234,567", "1234.567"), ("1,234.5", "1234.5"), ("1.234.567,8", "1234567.8"), ("1,234,5", "1,234,5"), ("1.5", "1.5"), ("1.234,5,6", "1.234,5,6"),
+                                              ("-1.234", "-1234"), ("€ 5,0", "5.0"), ("7 EURO", "7"), ("2,5 unità", "2.5"), ("12 m.", "12"), ("eur", "eur"), ("1..2", "1..2"), (".5", ".5"), ("", ""), ("a 1,5", "a 1,5"), ("3 due parole", "3 due parole")])
+def test_numbers_in_human_notation(spark, value, plain):
+    assert one(spark, nz.normalize_number, value) == plain
+
+
+def test_taken_names_are_not_suggested(spark):
+    names = spark.createDataFrame([("A b", 0), ("A-b", 1), ("a_b_2", 2), ("A  b", 3), ("9", 4)], "column string, position int")
+    assert {r["column"]: r["suggestion"] for r in schema.validate_names(names).collect()} == {"A b": "a_b", "A-b": "a_b_3", "A  b": "a_b_4", "9": "col_9"}
+
+
+def test_registry_errors(spark, tmp_path):
+    from dataloom.sources import files
+    base = '{"r": {"shared_column_definitions": {"_note": "x", "s": {"format": {"type": "enum", "values": ["a", "b"]}}}, "domains": {"d": {"datasets": {"t": {"columns": {"c": %s}}}}}}}'
+    def read(column):
+        (tmp_path / "r.json").write_text(base % column)
+        return files.read_registry(spark, f"file://{tmp_path}/r.json", "r").collect()
+    r = read('{"$ref": "#/shared_column_definitions/s"}')[0]
+    assert (r["dtype"], r["format_type"], r["allowed"], r["canonical_id"], r["is_nullable"]) == ("object", "enum", ["a", "b"], "s", True)
+    for bad, said in (('{"$ref": "#/shared_column_definitions/t"}', "unresolved"), ('{"format": {"type": "odd"}}', "unknown format")):
+        with pytest.raises(Exception, match=said):
+            read(bad)
+
+
+def test_exact_quartiles_over_many_tasks(spark):
+    import numpy as np
+    from dataloom.operators import anomalies
+    r = np.random.default_rng(2)
+    rows = [(i, str(round(float(r.normal()), 3)), str(int(r.integers(0, 5))), "x" if i % 3 else "7") for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string").repartition(7)
+    got = {x["column"]: (x["n"], x["q1"], x["q3"]) for x in anomalies.quartiles(anomalies.number_freq(df, ["a", "b", "c"])).collect()}
+    for k, c in enumerate("abc", 1):
+        v = [float(x[k]) for x in rows if x[k] != "x"]
+        n, q1, q3 = got[c]
+        assert n == len(v) and abs(q1 - np.percentile(v, 25)) < 1e-12 and abs(q3 - np.percentile(v, 75)) < 1e-12
+
+
+def test_precision_zero_makes_integers(spark):
+    from dataloom.operators import repair
+    df = spark.createDataFrame([("1.0", "1.5"), ("2.0", None)], "a string, b string")
+    assert dict(repair.safe_cast(df, "a", "float", 0).dtypes)["a"] == "bigint" and dict(repair.safe_cast(df, "b", "float", 0).dtypes)["b"] == "double"
