@@ -41,14 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dataloom/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "cut") -> DataFrame:
+def stash(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: a lineage cut that outlives lost executors.
 
     Unlike a cached or checkpointed frame the result carries no partitioning, so a later join shuffles both of its
     sides and adaptive execution may split skewed keys.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,9 @@ passes as there are shards, so shards are made such that a passage meets only th
    minimizer. The classes of a minimizer that would fill more than a shard are cut into windows first, which are dealt by
    the hash of their words.
 3. A task builds a shard's suffix automaton and streams every class through it for matching statistics: for each window
-   the first document that has it, wherever it stands there. No hash decides; words do.
-4. Each run takes what its class was told, by its words, and each document loses the words of its covered windows.
+   the first document that has it, wherever it stands there. No hash decides that; words do.
+4. Each run takes what its class was told, by 128 bits that name the class's words, and each document loses the words of
+   its covered windows.
 
 Texts are shuffled once: they are written in buckets of their row, and what is found for them is joined to the buckets.
 """
@@ -118,7 +119,7 @@ def _minimizers(rows: DataFrame, length: int, common: np.ndarray, frequent: np.n
 
 
 def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(minimizer, row, doc_id, start, words): the runs whose minimizer two rows have."""
+    """(minimizer, row, doc_id, start, words, h1, h2): the runs whose minimizer two rows have."""
     total = texts.count()
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
     none = np.zeros(0, np.int64)
@@ -147,7 +148,7 @@ def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
                         [pa.array(runs.minimizer[part]), pa.array(ids[at + text]), pa.array(docs[at + text]), pa.array(start - words.first[text]),
                          pa.array([words.text(a, z) for a, z in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())], columns)
 
-    return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string"), "runs")
+    return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string").select("*", *_named()), "runs", "zstd")
 
 
 def _in_windows(runs: DataFrame, length: int) -> DataFrame:
@@ -208,27 +209,33 @@ def match_shards(classes: DataFrame, length: int, shard_words: int | None = None
     return dealt.mapInArrow(match, "route long, words string, firsts array<long>")
 
 
+def _named(words: str = "words") -> list:
+    """128 bits that stand for the words of a run."""
+    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")]
+
+
 def covered_windows(texts: DataFrame, length: int) -> DataFrame:
     """(row, start): the windows of texts (row, doc_id, text) that a smaller doc_id has; rows are unique."""
     runs = _shared_runs(texts, length)
     release(texts.sparkSession)
     span = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
-    classes = stash(runs.groupBy("minimizer", "words").agg(*span), "classes")
+    classes = stash(runs.groupBy("minimizer", "words").agg(*span), "classes", "zstd")
+    release(texts.sparkSession)
     size = F.length("words") - F.length(F.translate("words", " ", "")) + 1
     wide = stash(classes.groupBy("minimizer").agg(F.sum(size).alias("size")).where(F.col("size") > SHARD_WORDS).select("minimizer"), "wide")
-    named = runs.select("minimizer", "row", "doc_id", "start", "words")
+    named = runs.select("minimizer", "row", "doc_id", "start", "h1", "h2")
     if wide.limit(1).count():
         side = small_side(wide)
         parts = _in_windows(classes.join(side, "minimizer", "left_semi"), length)
         parts = parts.groupBy("route", "words").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
         classes = classes.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(parts)
-        cut = _in_windows(named.join(side, "minimizer", "left_semi"), length)
+        cut = _in_windows(runs.drop("h1", "h2").join(side, "minimizer", "left_semi"), length).select("route", "row", "doc_id", "start", *_named())
         named = stash(named.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(cut), "routed")
     else:
         classes, named = (x.withColumnRenamed("minimizer", "route") for x in (classes, named))
-    matched = stash(match_shards(classes, length), "matched")
+    matched = stash(match_shards(classes, length).select("route", *_named(), "firsts"), "matched")
     release(texts.sparkSession)
-    hits = named.join(matched, ["route", "words"]).select("row", "doc_id", "start", F.posexplode("firsts").alias("k", "first_id"))
+    hits = named.join(matched, ["route", "h1", "h2"]).select("row", "doc_id", "start", F.posexplode("firsts").alias("k", "first_id"))
     return hits.where("first_id < doc_id").select("row", (F.col("start") + F.col("k")).alias("start"))
 
 
