@@ -8,7 +8,7 @@ passes as there are shards, so shards are made such that a passage meets only th
    minimizer two documents have go on; for all others nothing but (minimizer, row) is moved. Longer minimizers that are
    frequent in the sample are known to be shared and not moved at all.
 2. Runs of equal words form a class, with the first and the last document that has it. Classes are dealt into shards by
-   minimizer. The classes of a minimizer that would fill more than a shard are cut into windows first, which are dealt by
+   minimizer. The classes of a minimizer that have more than MOST_WORDS words are cut into windows first, which are dealt by
    the hash of their words.
 3. A task builds a shard's suffix automaton and streams every class through it for matching statistics: for each window
    the first document that has it, wherever it stands there. No hash decides that; words do.
@@ -34,8 +34,8 @@ from .suffix_automaton import SuffixAutomaton
 from .words import Words, chunks, mix
 
 GRAM = 5
-#: Words of one automaton; a task holds one at a time.
-SHARD_WORDS = 50_000
+#: Words by which a shard is full, and most words of one minimizer's classes; a task holds one automaton at a time.
+SHARD_WORDS, MOST_WORDS = 50_000, 200_000
 #: Documents sampled to find frequent minimizers, the number of them by which one counts as frequent, and most of those.
 #: Which minimizers those are changes no result.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 20, 50_000
@@ -119,7 +119,7 @@ def _minimizers(rows: DataFrame, length: int, common: np.ndarray, frequent: np.n
 
 
 def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(minimizer, row, doc_id, start, words, h1, h2): the runs whose minimizer two rows have."""
+    """(minimizer, row, doc_id, start, words): the runs whose minimizer two rows have."""
     total = texts.count()
     sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
     none = np.zeros(0, np.int64)
@@ -148,7 +148,7 @@ def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
                         [pa.array(runs.minimizer[part]), pa.array(ids[at + text]), pa.array(docs[at + text]), pa.array(start - words.first[text]),
                          pa.array([words.text(a, z) for a, z in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())], columns)
 
-    return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string").select("*", *_named()), "runs", "zstd")
+    return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string"), "runs", "zstd")
 
 
 def _in_windows(runs: DataFrame, length: int) -> DataFrame:
@@ -222,18 +222,18 @@ def covered_windows(texts: DataFrame, length: int) -> DataFrame:
     classes = stash(runs.groupBy("minimizer", "words").agg(*span), "classes", "zstd")
     release(texts.sparkSession)
     size = F.length("words") - F.length(F.translate("words", " ", "")) + 1
-    wide = stash(classes.groupBy("minimizer").agg(F.sum(size).alias("size")).where(F.col("size") > SHARD_WORDS).select("minimizer"), "wide")
-    named = runs.select("minimizer", "row", "doc_id", "start", "h1", "h2")
+    wide = stash(classes.groupBy("minimizer").agg(F.sum(size).alias("size")).where(F.col("size") > MOST_WORDS).select("minimizer"), "wide")
+    named = runs.select("minimizer", "row", "doc_id", "start", *_named())
     if wide.limit(1).count():
         side = small_side(wide)
         parts = _in_windows(classes.join(side, "minimizer", "left_semi"), length)
         parts = parts.groupBy("route", "words").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
         classes = classes.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(parts)
-        cut = _in_windows(runs.drop("h1", "h2").join(side, "minimizer", "left_semi"), length).select("route", "row", "doc_id", "start", *_named())
+        cut = _in_windows(runs.join(side, "minimizer", "left_semi"), length).select("route", "row", "doc_id", "start", *_named())
         named = stash(named.join(side, "minimizer", "left_anti").withColumnRenamed("minimizer", "route").unionByName(cut), "routed")
     else:
         classes, named = (x.withColumnRenamed("minimizer", "route") for x in (classes, named))
-    matched = stash(match_shards(classes, length).select("route", *_named(), "firsts"), "matched")
+    matched = stash(match_shards(classes, length).select("route", *_named(), "firsts"), "matched", "zstd")
     release(texts.sparkSession)
     hits = named.join(matched, ["route", "h1", "h2"]).select("row", "doc_id", "start", F.posexplode("firsts").alias("k", "first_id"))
     return hits.where("first_id < doc_id").select("row", (F.col("start") + F.col("k")).alias("start"))

@@ -41,8 +41,9 @@ def test_repeats_match_brute_force(spark, monkeypatch, seed, vocabulary):
     if seed == 1:  # every path: frequent minimizers, runs cut into windows, tiny shards
         monkeypatch.setattr(substring_dedup, "FREQUENT", 1)
         monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 50)
+        monkeypatch.setattr(substring_dedup, "MOST_WORDS", 50)
     if seed == 3:
-        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
+        monkeypatch.setattr(substring_dedup, "MOST_WORDS", 500)
     rows = corpus(seed, vocabulary)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
     assert got == brute.repeats(rows)
