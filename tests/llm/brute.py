@@ -82,3 +82,78 @@ def mix_targets(sizes, repeats=3):
         left -= sum(out[s] for s in capped)
         open_ -= capped
     return out
+
+
+def mix_place(doc_id):
+    """A document's place in the mix's shuffled order, in plain integers."""
+    t = (doc_id % 2147483647 + 8_000_024) % 2147483647
+    t = (t * 1103515245 + 12345) % 2147483647
+    t ^= t >> 13
+    t = (t * 1812433253) % 2147483647
+    return (t ^ t >> 11) % 2147483647
+
+
+def mixed(docs, repeats=3):
+    """How often the mix takes each of docs (doc_id, source, size): all items in one list, sorted by finish time, cut at the budget."""
+    sizes = defaultdict(int)
+    for _, source, n in docs:
+        sizes[source] += n
+    names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    ahead, items = defaultdict(int), []
+    for place, i, n, source in sorted(((mix_place(i), i, n, s) for i, s, n in docs), key=lambda x: x[:3]):
+        ahead[source] += n
+        rank = names.index(source)
+        items += [((e * sizes[source] + ahead[source]) / (rank % 3 + 1), rank, place, i, n) for e in range(repeats)]
+    left, out = sum(sizes.values()), defaultdict(int)
+    for *_, i, n in sorted(items):
+        left -= n
+        if left < 0:
+            break
+        out[i] += 1
+    return dict(out)
+
+
+def quality_features(text):
+    """The classifier's surface features of one text, word by word."""
+    w = [x.encode() for x in words(text)]
+    if not w:
+        return [0.0] * 14
+    symbols = {b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-"}
+    raw = text.encode().strip(b" \t\n\v\f\r")
+    share = lambda of, data: sum(map(of, data))
+    upper = lambda b: 65 <= b <= 90
+    letter = lambda b: upper(b) or 97 <= b <= 122 or b >= 128
+    odd = [x[-1] in symbols for x in w]
+    same = [k > 0 and x == w[k - 1] for k, x in enumerate(w)]
+    m, size = len(w), len(raw)
+    worst = [0.0, 0.0, 0.0]
+    for a in [*range(0, max(1, m - 31), 16), max(0, m - 32)]:
+        part = w[a:a + 32]
+        found = (share(upper, b"".join(part)) / (share(letter, b"".join(part)) + 8), sum(odd[a:a + 32]) / (len(part) + 4), sum(same[a:a + 32]) / (len(part) + 4))
+        worst = [max(x) for x in zip(worst, found, strict=True)]
+    return [math.log1p(m), share(upper, raw) / (share(letter, raw) + 1), share(symbols.__contains__, raw) / size, sum(odd) / m, w.count(b"|") / m, len(set(w)) / m,
+            sum(same) / m, share(b"0123456789".__contains__, raw) / size, min(size / m, 40), share(b".,;:".__contains__, raw) / m, share(b" \t\n\v\f\r".__contains__, raw) / size, *worst]
+
+
+def site_posteriors(rows):
+    """(host posterior, path posterior, probability) of each of rows (host, path, log odds), by loops over all rows."""
+    sigmoid, logit = lambda x: 1 / (1 + math.exp(-x)), lambda p: math.log(p / (1 - p))
+    inside = lambda p: min(max(p, 1e-3), 1 - 1e-3)
+
+    def shrunk(groups, above):
+        """Each group's share of good rows, drawn towards above[group]."""
+        n, s = {g: len(x) for g, x in groups.items()}, {g: sum(x) for g, x in groups.items()}
+        total = sum(n.values())
+        spread = sum(n[g] * (s[g] / n[g] - above[g]) ** 2 - above[g] * (1 - above[g]) for g in groups) / total
+        k = min(max(sum(n[g] * above[g] * (1 - above[g]) for g in groups) / total / max(spread, 1e-9) - 1, 2.0), 1e6)
+        return {g: (s[g] + k * above[g]) / (n[g] + k) for g in groups}
+
+    good = [round(sigmoid(o), 6) for *_, o in rows]
+    share = inside(sum(good) / len(good))
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, p, _), x in zip(rows, good, strict=True):
+        hosts[h].append(x)
+        paths[h, p].append(x)
+    of_host = shrunk(hosts, {h: share for h in hosts})
+    of_path = shrunk(paths, {g: of_host[g[0]] for g in paths})
+    return [(of_host[h], of_path[h, p], sigmoid(o + logit(inside(of_path[h, p])) - logit(share))) for h, p, o in rows]

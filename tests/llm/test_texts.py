@@ -432,22 +432,49 @@ def test_quality_of_odd_tables(spark):
     assert quality.classify(df.limit(0), none).count() == 0
 
 
-def test_pipeline_against_stages_by_hand(spark, sf):
+def judged(model, rows):
+    """brute.site_posteriors of rows (source, lang, text) by their plain features."""
+    x = np.array([brute.quality_features(t) for *_, t in rows])
+    return brute.site_posteriors([(s, g, float(o)) for (s, g, _), o in zip(rows, model.log_odds(x), strict=True)])
+
+
+def test_quality_matches_brute_force(spark, sf):
+    """Every document of the given table: features word by word, posteriors by loops."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [tuple(r) for r in table.select("source", "lang", "text", "doc_id").collect()]
+    want = dict(zip((r[3] for r in rows), judged(model, [r[:3] for r in rows]), strict=True))
+    got = {r["doc_id"]: (r["host_posterior"], r["path_posterior"], r["p_good"]) for r in quality.classify(table, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
+
+
+def test_pipeline_matches_brute_force(spark, sf):
+    """The rows of the whole pipeline, each stage done again in plain Python on all that the one before it kept."""
+    import hashlib
+    from array import array
+    from collections import Counter
+
     import corpus_pipeline
-    rows = corpus_pipeline.run(spark, sf).collect()
-    docs_ = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
-    text = dict((i, t) for i, t, _ in docs_)
-    docs_df = spark.read.parquet(f"{sf}/documents.parquet")
-    keep = {r["doc_id"] for r in quality.classify(docs_df, quality.train(docs_df, spark.read.parquet(f"{sf}/labels.parquet"))).collect() if r["keep"]}
+    from tests.llm.test_exact import plain_encoding
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [tuple(r) for r in table.select("doc_id", "text", "source", "lang").collect()]
+    text, source = {r[0]: r[1] or "" for r in rows}, {r[0]: r[2] for r in rows}
+    good = judged(model, [(s, g, t) for _, t, s, g in rows])
+    assert min(abs(p - quality.THRESHOLD) for *_, p in good) > 1e-5  # none is so near the threshold that rounding decides
+    left = {r[0] for r, (*_, p) in zip(rows, good, strict=True) if p >= quality.THRESHOLD}
     first = {}
-    for i in sorted(keep):
-        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text[i] or ""), i)
-    left = [(i, text[i]) for i in first.values()]
-    left = {i for i, (_, c) in brute.components(left, 5, 80).items() if i == c}
-    assert {r["doc_id"] for r in rows} <= left
-    size = sum(len(brute.words(text[i])) for i in left)
-    assert 0.95 * size <= sum(len(brute.words(text[r["doc_id"]])) for r in rows) <= size
-    assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+    for i in sorted(left):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text[i]), i)
+    left = [i for i, (_, c) in brute.components([(i, text[i]) for i in first.values()], 5, 80).items() if i == c]
+    times = brute.mixed([(i, source[i], len(brute.words(text[i]))) for i in left])
+    enc, want = plain_encoding(), Counter()
+    for i, n in times.items():
+        ids = enc.encode_ordinary(text[i])
+        want[i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), brute.sha(text[i])] += n
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect())
+    assert len(left) < len(first) < len(rows) and got == want
+    assert len(corpus_pipeline.STAGES) == 5
 
 
 def test_stages_drop_single_rows(spark):
