@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, mixing, quality, sharding, shingle_join, substring_dedup, topk, warc
+from . import bpe, exact_dedup, html_text, mixing, quality, resampling, sharding, shingle_join, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_site_bayes_quality": quality.query,
     "op9_signature_tree_join": shingle_join.query,
     "op10_template_free_text": html_text.query,
+    "op11_importance_resampling": resampling.query,
 }
 ORACLE_SQL = {
     "op1_pivot_top_k": topk.ORACLE,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_salvaging_warc": warc.ORACLE,
     "op7_fair_queue_mix": mixing.ORACLE,
     "op9_signature_tree_join": shingle_join.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
