@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, manifest, mixing, quality, resampling, sharding, shingle_join, substring_dedup, topk, warc
+from . import bpe, exact_dedup, html_text, log_bilinear, manifest, mixing, quality, resampling, sharding, shingle_join, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_pivot_top_k": topk.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_signature_tree_join": shingle_join.query,
     "op10_template_free_text": html_text.query,
     "op11_importance_resampling": resampling.query,
+    "op12_log_bilinear_scores": log_bilinear.query,
     "op13_merkle_manifest": manifest.query,
 }
 ORACLE_SQL = {
