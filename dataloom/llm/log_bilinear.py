@@ -1,6 +1,6 @@
 """Language-model scores from a log-bilinear model, trained with noise-contrastive estimation on Spark.
 
-1. Texts are cut into words once and kept as batches: the distinct words of about a megabyte of text, how often the
+1. Texts are cut into words once and kept as batches: the distinct words of about two megabytes of text, how often the
    training documents among it hold them, and the text as numbers of these words.
 2. Spark adds the counts up to the vocabulary of all training documents. Batches get their words' counts back: those of
    the most frequent words by a broadcast of bounded size, those of the rest by a shuffled join.
@@ -31,8 +31,10 @@ END, SYMBOLS = WORDS, WORDS + 1 + CLASSES
 BEGIN = SYMBOLS
 ROUNDS = 4
 #: Tokens of a step of training, noise symbols drawn for it, and tokens shuffled together.
-STEP, NOISE, SHUFFLED = 1024, 64, 1 << 18
-RATE = 0.1
+STEP, NOISE, SHUFFLED = 1024, 32, 1 << 18
+RATE = 0.02
+#: Bytes of text whose words are kept together.
+BATCH_BYTES = 2 << 20
 #: Most words whose counts are broadcast, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Tokens scored together, and contexts of one matrix product.
@@ -56,31 +58,51 @@ def _class_of(word: str) -> Column:
     return (F.shiftright(tail * 40503, 4) % CLASSES).cast("int")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits with their lowest bytes first, then the next ones: frequent words have small numbers, so this packs well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _tails(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word as a number."""
+    last = start + length - 1
+    return data[last].astype(np.int64) + np.where(length > 1, data[np.maximum(last - 1, 0)].astype(np.int64) << 8, 0)
+
+
 def word_batches(docs: DataFrame) -> DataFrame:
-    """(batch, doc_id, held, ends, words, trained, codes) of docs (doc_id, text, held).
+    """(batch, doc_id, held, ends, words, trained, kinds, codes) of docs (doc_id, text, held).
 
-    words are the distinct words of a batch of texts, lower-cased in A-Z, and trained how often training documents have
-    each; codes holds the words of the texts one after the other, as numbers of words, ends where each text ends.
+    words are the distinct words of a batch of texts, lower-cased in A-Z, most frequent first, trained how often training
+    documents have each, kinds their classes; codes holds the words of the texts one after the other, as places in words,
+    ends where each text ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, held = b.column("doc_id"), b.column("held").to_numpy(zero_copy_only=False)
-            for at, raw, offsets in batches_of(b.column("text")):
+            for at, raw, offsets in batches_of(b.column("text"), BATCH_BYTES):
                 spans = Spans(raw, offsets, _TABLE)
                 known = Table(spans)
-                code = known.spread(np.arange(len(known.used), dtype=np.int32))
+                order = np.argsort(-known.count, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                code, holder = known.spread(place), known.holder[order]
                 to = at + len(spans.first) - 1
                 trains = np.repeat(~held[at:to], np.diff(spans.first))
-                words = pa.array([spans.text(j) for j in known.holder], pa.binary()).cast(pa.string())
+                words = pa.array([spans.text(j) for j in holder], pa.binary()).cast(pa.string())
+                kinds = class_of(_tails(spans.data, spans.start[holder], spans.length[holder])).astype(np.uint8)
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([
                     one(ids.slice(at, to - at).to_pylist(), pa.int64()), one(held[at:to], pa.bool_()), one(spans.first[1:], pa.int64()), pa.ListArray.from_arrays([0, len(words)], words),
-                    one(np.bincount(code[trains], minlength=len(words)), pa.int64()), pa.array([code.astype("<i4").tobytes()], pa.large_binary()).cast(pa.binary())],
-                    ["doc_id", "held", "ends", "words", "trained", "codes"])
+                    one(np.bincount(code[trains], minlength=len(words)), pa.int64()), pa.array([kinds.tobytes()], pa.binary()), pa.array([_planes(code)], pa.binary())],
+                    ["doc_id", "held", "ends", "words", "trained", "kinds", "codes"])
 
     bound_batches(docs.sparkSession)
-    kind = "doc_id array<long>, held array<boolean>, ends array<long>, words array<string>, trained array<long>, codes binary"
+    kind = "doc_id array<long>, held array<boolean>, ends array<long>, words array<string>, trained array<long>, kinds binary, codes binary"
     return stash(docs.mapInArrow(run, kind).withColumn("batch", F.monotonically_increasing_id()), "words", "zstd")
 
 
@@ -98,7 +120,7 @@ class Counts:
 def count(batches: DataFrame) -> tuple[Counts, DataFrame, DataFrame]:
     """(Counts, vocabulary (word, n), head (word, n, rank)): vocabulary has every word of a training document."""
     entries = batches.select(F.inline(F.arrays_zip("words", "trained")).alias("word", "n")).where("n > 0")
-    vocabulary = stash(entries.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = stash(entries.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary", "zstd")
     head = vocabulary.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD)
     head = stash(head.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1), "head")  # bounded by HEAD
     by_class = vocabulary.groupBy(_class_of("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
@@ -122,10 +144,21 @@ def symbol_rows(batches: DataFrame, counts: Counts, vocabulary: DataFrame, head:
     text's symbols and its end as unsigned numbers of 16 bits.
     """
     entries = batches.select("batch", F.posexplode("words").alias("code", "word"))
-    met = entries.join(F.broadcast(head), "word", "left")
-    frequent = met.where("n is not null").select("batch", "code", "n", "rank")
-    rest = met.where("n is null").select("batch", "code", "word").join(vocabulary, "word").select("batch", "code", "n", F.lit(WORDS).alias("rank"))
-    found = frequent.unionByName(rest).groupBy("batch").agg(F.collect_list(F.struct("code", "n", "rank")).alias("found"))
+    rest = entries.join(F.broadcast(head.select("word")), "word", "left_anti").join(vocabulary, "word")
+    found = rest.groupBy("batch").agg(F.collect_list(F.struct("code", "n")).alias("found"))
+    first = head.orderBy("rank").select("word", "n").toPandas()  # bounded by HEAD
+    rank = {w: i for i, w in enumerate(first["word"])}
+    head_n = np.append(first["n"].to_numpy(np.int64), 0)
+
+    def look_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(b.num_rows):
+                ranks = np.fromiter((rank.get(w, -1) for w in b.column("words")[i].as_py()), np.int32, len(b.column("words")[i]))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("batch", "doc_id", "held", "ends", "kinds", "codes")), pa.array([_planes(ranks)], pa.binary())],
+                                                 ["batch", "doc_id", "held", "ends", "kinds", "codes", "ranks"])
+
+    kind = "batch long, doc_id array<long>, held array<boolean>, ends array<long>, kinds binary, codes binary, ranks binary"
+    ranked = batches.select("batch", "doc_id", "held", "ends", "kinds", "codes", "words").mapInArrow(look_up, kind)
     whole = counts.tokens + counts.distinct + 1
     inside = np.maximum(counts.symbols[END + 1:] + counts.kinds + 1, 1)
     ends, end_known = np.log10((counts.documents + 1) / whole), int(counts.documents > 0)
@@ -133,24 +166,17 @@ def symbol_rows(batches: DataFrame, counts: Counts, vocabulary: DataFrame, head:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for i in range(b.num_rows):
-                words = b.column("words")[i].values
-                n, symbol = np.zeros(len(words), np.int64), np.full(len(words), WORDS)
+                of_head = _unplanes(b.column("ranks")[i].as_py()).view(np.int32)
+                n = head_n[of_head]
                 if b.column("found")[i].is_valid:
                     got = b.column("found")[i].values
-                    code = got.field("code").to_numpy()
-                    n[code], symbol[code] = got.field("n").to_numpy(), got.field("rank").to_numpy()
-                raw = words.cast(pa.large_binary())
-                _, where, data = raw.buffers()
-                where = np.frombuffer(where, np.int64)[raw.offset:raw.offset + len(raw) + 1]
-                data = np.frombuffer(data, np.uint8).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-                last = where[1:] - 1
-                tail = data[last] + np.where(np.diff(where) > 1, data[np.maximum(last - 1, 0)] << 8, 0) if len(raw) else data
-                rare = symbol >= WORDS
-                kind = class_of(tail)
-                symbol = np.where(rare, END + 1 + kind, symbol)
+                    n[got.field("code").to_numpy()] = got.field("n").to_numpy()
+                rare = (of_head < 0) | (of_head >= WORDS)
+                kinds = np.frombuffer(b.column("kinds")[i].as_py(), np.uint8).astype(np.int64)
+                symbol = np.where(rare, END + 1 + kinds, of_head)
                 base = np.log10((n + 1) / whole)
-                within = np.where(rare, np.log10((n + 1) / inside[kind]), 0.0)
-                codes, to = np.frombuffer(b.column("codes")[i].as_py(), "<i4"), b.column("ends")[i].values.to_numpy()
+                within = np.where(rare, np.log10((n + 1) / inside[kinds]), 0.0)
+                codes, to = _unplanes(b.column("codes")[i].as_py()), b.column("ends")[i].values.to_numpy()
                 size = np.diff(to, prepend=0)
                 of = np.repeat(np.arange(len(to)), size)
                 add = lambda x: np.bincount(of, x[codes], len(to))
@@ -161,9 +187,8 @@ def symbol_rows(batches: DataFrame, counts: Counts, vocabulary: DataFrame, head:
                     b.column("doc_id")[i].values, b.column("held")[i].values, pa.array(size + 1), pa.array(add(n > 0).astype(np.int64) + end_known), pa.array(add(base) + ends), pa.array(add(within)), symbols],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "symbols"])
 
-    joined = batches.select("batch", "doc_id", "held", "ends", "words", "codes").join(found, "batch", "left")
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, symbols binary"
-    return stash(joined.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "symbols", "zstd")
+    return stash(ranked.join(found, "batch", "left").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "symbols", "zstd")
 
 
 @dataclass
@@ -235,44 +260,52 @@ class Trainer:
     """Noise-contrastive estimation by steps of Adagrad from a model on; every step's tokens share its noise symbols."""
 
     def __init__(self, model: Model, noise: np.ndarray, rate: float = RATE, seed: int = 1):
-        self.parts = [p.copy() for p in model.parts()]
+        self.parts = [p.astype(np.float32) for p in model.parts()]
         self.model = Model(*self.parts)
-        self.sums = [np.full(p.shape, 1e-6) for p in self.parts]
-        self.rate, self.random = rate, np.random.default_rng(seed)
-        self.log_noise = np.log(NOISE * noise)
+        self.sums = [np.full(p.shape, 1e-6, np.float32) for p in self.parts]
+        self.rate, self.random = np.float32(rate), np.random.default_rng(seed)
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.upto = np.cumsum(noise)
 
     def learn(self, far: np.ndarray, near: np.ndarray, symbol: np.ndarray) -> None:
         order = self.random.permutation(len(symbol))
+        far, near, symbol = (x[order].astype(np.uint16) for x in (far, near, symbol))  # sorted by radix
         for k in range(0, len(order), STEP):
-            i = order[k:k + STEP]
-            self._step(far[i], near[i], symbol[i])
+            self._step(far[k:k + STEP], near[k:k + STEP], symbol[k:k + STEP])
 
     def _step(self, far: np.ndarray, near: np.ndarray, symbol: np.ndarray) -> None:
-        m, n = self.model, len(symbol)
+        m, n = self.model, np.float32(len(symbol))
         a, b = m.context[near], m.context[far]
         ahead = a @ m.near + b @ m.far
         drawn = np.minimum(np.searchsorted(self.upto, self.random.random(NOISE) * self.upto[-1], "right"), SYMBOLS - 1)
         mine, other = m.target[symbol], m.target[drawn]
-        true = 1 / (1 + np.exp(np.clip((ahead * mine).sum(axis=1) + m.bias[symbol] - self.log_noise[symbol], -30, 30)))
-        false = -1 / (1 + np.exp(-np.clip(ahead @ other.T + m.bias[drawn] - self.log_noise[drawn], -30, 30)))
+        true = np.einsum("ij,ij->i", ahead, mine) + (m.bias - self.log_noise)[symbol]
+        true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
+        false = ahead @ other.T
+        false += (m.bias - self.log_noise)[drawn]
+        np.negative(false, out=false)
+        with np.errstate(over="ignore"):  # the reciprocal of infinity is the 0 meant
+            np.exp(false, out=false)
+        false += 1
+        np.divide(-1, false, out=false)
         up = true[:, None] * mine + false @ other
-        d_context, d_target, d_bias = np.zeros_like(m.context), np.zeros_like(m.target), np.zeros_like(m.bias)
-        self._scatter(d_context, near, up @ m.near.T)
-        self._scatter(d_context, far, up @ m.far.T)
+        d_context, d_target = np.zeros_like(m.context), np.zeros_like(m.target)
+        self._scatter(d_context, np.concatenate([near, far]), np.concatenate([up @ m.near.T, up @ m.far.T]))
         self._scatter(d_target, symbol, true[:, None] * ahead)
         np.add.at(d_target, drawn, false.T @ ahead)
-        d_bias += np.bincount(symbol, true, SYMBOLS) + np.bincount(drawn, false.sum(axis=0), SYMBOLS)
+        d_bias = (np.bincount(symbol, true, SYMBOLS) + np.bincount(drawn, false.sum(axis=0), SYMBOLS)).astype(np.float32)
         for p, s, g in zip(self.parts, self.sums, (d_context, a.T @ up, b.T @ up, d_target, d_bias), strict=True):
             g /= n
             s += g * g
-            p += self.rate * g / np.sqrt(s)
+            g /= np.sqrt(s)
+            g *= self.rate
+            p += g
 
     @staticmethod
     def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         out[rows[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
@@ -291,7 +324,7 @@ def train(rows: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = R
                     trainer.learn(far, near, symbol)
                     seen += len(symbol)
             if seen:
-                flat = np.append(trainer.model.flat(), 1.0) * seen
+                flat = np.append(trainer.model.flat().astype(np.float64), 1.0) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "value"])
 
         mine = rows.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn)).select("symbols")

@@ -3,7 +3,8 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -157,3 +158,75 @@ def site_posteriors(rows):
     of_host = shrunk(hosts, {h: share for h in hosts})
     of_path = shrunk(paths, {g: of_host[g[0]] for g in paths})
     return [(of_host[h], of_path[h, p], sigmoid(o + logit(inside(of_path[h, p])) - logit(share))) for h, p, o in rows]
+
+
+def resample(docs, target, seed=2024, percent=10, least=20, buckets=10_000, order=1):
+    """docs: (doc_id, text); target: texts. (doc_id, n_features, weight, score, rank) by doc_id."""
+    def features(t):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return len(w), [" ".join(w[k:k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = Counter(), Counter()
+    for _, x in docs:
+        s.update(map(bucket, features(x)[1]))
+    for x in target:
+        t.update(map(bucket, features(x)[1]))
+    many_s, many_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (many_s + buckets) / ((s[b] + 1) * (many_t + buckets))))
+    out, pool = {}, []
+    for i, x in docs:
+        n, f = features(x)
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain(bucket(y)) for y in f)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[i] = (len(f), weight, score)
+        if n >= least:
+            pool.append((-score, i))
+    rank = {i: k + 1 for k, (_, i) in enumerate(sorted(pool)[:len(pool) * percent // 100])}
+    return {i: (*v, rank.get(i)) for i, v in out.items()}
+
+
+def _levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([sha("".join(out[-1][k:k + 2])) for k in range(0, len(out[-1]), 2)])
+    return out
+
+
+def manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text); the contract's rows, with null ids first and rows of one id by leaf."""
+    leaf = lambda r: sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {g: _levels([leaf(r) for r in groups[g]]) for g in names}
+    top = _levels([trees[g][-1][0] for g in names])
+    out = []
+    for at, g in enumerate(names):
+        for i, r in enumerate(groups[g]):
+            changed = r[0] is not None and r[3] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            now, siblings = leaf((*r[:3], r[3] + 1, r[4]) if changed else r), ""
+            for levels, k in ((trees[g], i), (top, at)):
+                for level in levels[:-1]:
+                    other = level[k ^ 1] if k ^ 1 < len(level) else ""
+                    siblings += other
+                    now = sha(other + now if k & 1 else now + other)
+                    k >>= 1
+            out.append((r[0], leaf(r), trees[g][-1][0], top[-1][0], sha(siblings), now, now == top[-1][0]))
+    return out
+
+
+def unigram(docs, parts=7, part=2):
+    """docs: (doc_id, text). ({doc_id: (held_out, n_tokens, n_known, base_score)}, N)."""
+    low = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % parts == part for i, _ in docs}
+    c = Counter()
+    for i, t in docs:
+        if not held[i]:
+            c.update([*low(t), None])
+    whole = sum(c.values()) + len(c) + 1
+    return {i: (held[i], len(low(t)) + 1, sum(c[w] > 0 for w in [*low(t), None]), sum(math.log10((c[w] + 1) / whole) for w in [*low(t), None])) for i, t in docs}, sum(c.values())
