@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import CANONICAL_PERIOD, ITALIAN, MIXED_DATES, MONTHS, REPAIR_DATES, full_match, strip, text, try_date
+from .values import CANONICAL_PERIOD, MONTHS, WHITE, full_match, strip, text
 
 # Currency marks, those before a number and those after it.
 MARKS, CURRENCIES = "€$£", "euro|eur|usd"
+DIGITS = "0123456789"
+#: Letters of a unit's name, in lower case.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 
 
 def _bare(c: Column) -> Column:
-    """The text without outer white space, a currency mark before it, a currency after it and a unit's name after a number."""
-    t = strip(F.regexp_extract(strip(c), rf"(?is)^[{MARKS}]?(.*?)(?:{CURRENCIES})?$", 1))
-    return F.regexp_replace(t, r"^(-?[0-9.,]+)\s+[A-Za-zÀ-ÿ]+\.?$", "$1")
+    """The text without outer white space, a currency mark before it and a currency after it; a text of nothing else stays."""
+    return F.regexp_replace(text(c), rf"(?is)\A(?!\s*[{MARKS}]?\s*(?:{CURRENCIES})?\s*\z)\s*[{MARKS}]?\s*(\S.*?)\s*(?:{CURRENCIES})?\s*\z", "$1")
+
+
+def _without_unit(t: Column) -> Column:
+    """'2 unità' as '2': what stands before the first white space, if that is made like a number and the rest is a word."""
+    spaced = F.translate(t, WHITE, " " * len(WHITE))
+    head = F.substring_index(spaced, " ", 1)
+    word = F.btrim(F.substr(spaced, F.length(head) + 1))
+    word = F.lower(F.when(word.endswith("."), F.left(word, F.length(word) - 1)).otherwise(word))
+    numeric = (F.translate(head, DIGITS + ".,-", "") == "") & (F.translate(head, "-", "") != "") & (F.locate("-", head, 2) == 0)
+    return F.when(numeric & (F.length(head) < F.length(t)) & (word != "") & (F.translate(word, LETTERS, "") == ""), head).otherwise(t)
+
+
+def _ungrouped(t: Column, sign: str, point: str) -> Column:
+    """A number without the signs that group its thousands, whole or up to a decimal point of the other kind; other text stays.
+
+    The first match needs the groups up to the end, the later ones go on where the last one ended.
+    """
+    return F.regexp_replace(t, rf"(?:\A(-?\d{{1,3}})(?=(?:[{sign}]\d{{3}})+(?:[{point}]\d+)?\z)|\G(?!\A))[{sign}](\d{{3}})(?=[{sign}{point}]|\z)", "$1$2")
 
 
 def normalize_number(c: Column) -> Column:
@@ -22,23 +42,11 @@ def normalize_number(c: Column) -> Column:
 
     The digits between separators decide what a separator means. One sign alone groups thousands if all groups behind it
     have three digits. Of two signs the one that stands last and once is the decimal one, if the other groups thousands. A
-    single comma that groups no thousands is a decimal one.
+    single comma that groups no thousands is a decimal one. Every step takes the last one's result once, so that the
+    expression stays as long as its steps.
     """
-    t = _bare(c)
-    minus = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = F.split(F.ltrim(t, F.lit("-")), "[.,]")
-    signs = F.translate(t, "-0123456789", "")
-    n = F.length(signs)
-    head, last = F.slice(digits, 1, F.greatest(n, F.lit(1))), digits[F.size(digits) - 1]
-    grouped = lambda groups: (F.length(groups[0]) <= 3) & F.forall(F.slice(groups, 2, 1 << 20), lambda g: F.length(g) == 3)
-    one_sign = (signs == F.repeat(F.left(signs, F.lit(1)), n)) & (n > 0)
-    decimal = F.right(signs, F.lit(1))
-    before = F.left(signs, n - 1)
-    two_signs = (n > 1) & (before == F.repeat(F.left(signs, F.lit(1)), n - 1)) & (decimal != F.left(signs, F.lit(1)))
-    number = t.rlike("^-?[0-9]+([.,][0-9]+)+$")
-    out = (F.when(~number, t).when(one_sign & grouped(digits), F.concat(minus, F.array_join(digits, ""))).when(two_signs & grouped(head), F.concat(minus, F.array_join(head, ""), F.lit("."), last))
-           .when(signs == ",", F.concat(minus, digits[0], F.lit("."), last)).otherwise(t))
-    return F.when(t == "", text(c)).otherwise(out)
+    t = _ungrouped(_ungrouped(_without_unit(_bare(c)), ".", ","), ",", ".")
+    return F.regexp_replace(t, r"\A(-?\d+),(\d+)\z", "$1.$2")
 
 
 def month_number(name: Column) -> Column:
@@ -48,15 +56,41 @@ def month_number(name: Column) -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    """A date in any of the known layouts, months also as Italian names, or null. A value that states no day has none.
+    """A date in any of the known layouts, or null. The text's shape, what is left without its digits, chooses the layout; it is read once.
 
-    What none of them reads is tried in MIXED_DATES, day before month, where months are English names.
+    Of three numbers the one with four digits, or the last, is the year; two-digit years from 69 on are of the 20th century.
+    The day stands before the month, but between blanks the month before the day, and either the other way round where one of
+    them is over 12 and the year has four digits. A month's name, Italian or English, is the month wherever it stands. Eight
+    digits are a date, six a year and month on its first day. A time may follow, with fractions, of which six digits count, and
+    a Z for UTC.
     """
     t = text(c)
-    for name in ITALIAN:
-        t = F.regexp_replace(t, rf"(?i)\b{name}\w*\b", MONTHS[name])
-    named = F.initcap(F.regexp_replace(F.lower(text(c)), r"\b([a-z]{3})[a-z]*\b", "$1"))
-    return F.coalesce(*[try_date(t, layout) for layout in REPAIR_DATES], *[try_date(named if "%b" in layout else text(c), layout) for layout in MIXED_DATES])
+    d = F.regexp_extract_all(t, F.lit(r"\d+"), 0)
+    at = lambda i: F.get(d, F.lit(i))
+    size, number = (lambda i: F.length(at(i))), (lambda i: at(i).try_cast("int"))
+    name = F.regexp_extract(t, r"(\p{L}{3,})", 1)
+    shape = F.translate(F.regexp_replace(t, r"\p{L}{3,}", "M"), DIGITS, "")
+    date = F.regexp_extract(shape, r"\A(M , |M  |[-/. ]{2}|[- ]M[- ]|[- ]M, )(?:[T ]:{1,2}\.?Z?)?\z", 1)
+    named, compact = date.contains("M"), shape == ""
+    first = F.when(named, 2).otherwise(3)  # the number that a time begins with
+    clock = lambda i: F.coalesce(F.get(d, first + i).try_cast("int"), F.lit(0))
+    seconds = F.concat(F.coalesce(F.get(d, first + 2), F.lit("0")), F.lit("."), F.coalesce(F.left(F.get(d, first + 3), F.lit(6)), F.lit("0"))).try_cast("decimal(16,6)")
+    year_first = size(0) == 4
+    full = F.when(named, F.greatest(size(0), size(1)) == 4).otherwise(F.when(year_first, size(2) <= 2).otherwise(size(2).isin(2, 4)) & (size(1) <= 2) & (year_first | (size(0) <= 2)))
+    same = F.left(date, F.lit(1)) == F.right(date, F.lit(1))
+    written = F.when(year_first, number(0)).when(size(2) == 2, number(2) + F.when(number(2) >= 69, 1900).otherwise(2000)).otherwise(number(2))
+    swapped = (size(2) == 4) & F.when(F.left(date, F.lit(1)) == " ", number(0) <= 12).when(F.left(date, F.lit(1)) == ".", F.lit(False)).otherwise(number(1) > 12)
+    month = F.when(year_first | ~swapped, number(1)).otherwise(number(0))
+    day = F.when(year_first, number(2)).when(swapped, number(1)).otherwise(number(0))
+    year = F.when(named, F.when(size(0) == 4, number(0)).otherwise(number(1))).otherwise(written)
+    month = F.when(named, month_number(name).cast("int")).otherwise(month)
+    day = F.when(named, F.when(size(0) == 4, number(1)).otherwise(number(0))).otherwise(day)
+    digits = compact & t.rlike(r"\A(?:\d{8}|\d{6})\z")
+    year, month = (F.when(digits, F.substring(t, a, n).try_cast("int")).otherwise(x) for x, a, n in ((year, 1, 4), (month, 5, 2)))
+    day = F.when(digits, F.when(F.length(t) == 8, F.substring(t, 7, 2).try_cast("int")).otherwise(1)).otherwise(day)
+    known = digits | ((date != "") & full & (named | (same & ~((size(2) == 2) & (F.left(date, F.lit(1)) == " ")))))
+    zoned = F.try_make_timestamp(year, month, day, clock(0), clock(1), seconds, F.lit("UTC"))
+    return F.when(known & shape.endswith("Z"), zoned).when(known, F.try_make_timestamp(year, month, day, clock(0), clock(1), seconds))
 
 
 def normalize_period(c: Column) -> Column:

@@ -19,26 +19,15 @@ MONTHS = {
     "gen": "01", "feb": "02", "mar": "03", "apr": "04", "mag": "05", "giu": "06", "lug": "07", "ago": "08", "set": "09", "ott": "10", "nov": "11", "dic": "12",
     "jan": "01", "may": "05", "jun": "06", "jul": "07", "aug": "08", "sep": "09", "oct": "10", "dec": "12",
 }
-ITALIAN = tuple(MONTHS)[:12]
 #: Date layouts, each with the pattern a text must match whole before it is parsed, so that no parser is lenient about it.
 DATES = {
     "%Y-%m-%d": ("yyyy-M-d", r"\d{4}-\d{1,2}-\d{1,2}"), "%d/%m/%Y": ("d/M/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"), "%d-%m-%Y": ("d-M-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"),
     "%Y/%m/%d": ("yyyy/M/d", r"\d{4}/\d{1,2}/\d{1,2}"), "%Y%m%d": ("yyyyMMdd", r"\d{8}"), "%Y%m": ("yyyyMM", r"\d{6}"), "%m/%Y": ("M/yyyy", r"\d{1,2}/\d{4}"),
     "%m-%Y": ("M-yyyy", r"\d{1,2}-\d{4}"), "%Y": ("yyyy", r"\d{4}"), "%d/%m/%Y %H:%M:%S": ("d/M/yyyy H:m:s", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}"),
     "%Y-%m-%d %H:%M:%S": ("yyyy-M-d H:m:s", r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}"), "%Y-%m-%dT%H:%M:%S": ("yyyy-M-d'T'H:m:s", r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}"),
-    "%d.%m.%Y": ("d.M.yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}"), "%d-%m-%y": ("d-M-yy", r"\d{1,2}-\d{1,2}-\d{2}"), "%d/%m/%y": ("d/M/yy", r"\d{1,2}/\d{1,2}/\d{2}"),
-    "%d.%m.%y": ("d.M.yy", r"\d{1,2}\.\d{1,2}\.\d{2}"), "%m %d %Y": ("M d yyyy", r"\d{1,2} \d{1,2} \d{4}"), "%m-%d-%Y": ("M-d-yyyy", r"\d{1,2}-\d{1,2}-\d{4}"), "%d %m %Y": ("d M yyyy", r"\d{1,2} \d{1,2} \d{4}"),
-    "%Y-%m-%dT%H:%M:%S.%f": ("yyyy-M-d'T'H:m:s.SSSSSS", r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}"), "%Y-%m-%d %H:%M:%S.%f": ("yyyy-M-d H:m:s.SSSSSS", r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}"),
-    "%Y-%m-%dT%H:%M": ("yyyy-M-d'T'H:m", r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}"), "%Y-%m-%d %H:%M": ("yyyy-M-d H:m", r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}"),
-    "%d/%m/%Y %H:%M": ("d/M/yyyy H:m", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}"), "%d-%m-%Y %H:%M:%S": ("d-M-yyyy H:m:s", r"\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}"), "%d.%m.%Y %H:%M:%S": ("d.M.yyyy H:m:s", r"\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}"),
-    "%d %b %Y": ("d MMM yyyy", r"\d{1,2} [A-Za-z]{3} \d{4}"), "%d-%b-%Y": ("d-MMM-yyyy", r"\d{1,2}-[A-Za-z]{3}-\d{4}"), "%b %d, %Y": ("MMM d, yyyy", r"[A-Za-z]{3} \d{1,2}, \d{4}"), "%b %d %Y": ("MMM d yyyy", r"[A-Za-z]{3} \d{1,2} \d{4}"),
-    "%m/%d/%Y": ("M/d/yyyy", r"\d{1,2}/\d{1,2}/\d{4}"), "%Y.%m.%d": ("yyyy.M.d", r"\d{4}\.\d{1,2}\.\d{1,2}"),
 }
-#: The layouts a date column may be declared in, and those that date normalisation tries, each in order.
+#: The layouts that a date column is profiled for, in order.
 SPEC_DATES = tuple(DATES)[:11]
-REPAIR_DATES = ("%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d-%m-%y", "%d/%m/%y", "%d.%m.%y", "%Y%m%d", "%Y%m", "%m %d %Y", "%m-%d-%Y", "%d %m %Y")
-#: What a date in mixed notation may still be, the day before the month where both can be.
-MIXED_DATES = ("%d/%m/%Y %H:%M:%S", "%d-%m-%Y %H:%M:%S", "%d.%m.%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M", "%Y.%m.%d", "%d %b %Y", "%d-%b-%Y", "%b %d, %Y", "%b %d %Y", "%m/%d/%Y")
 #: Fixed value: a year and month as six digits.
 CANONICAL_PERIOD = r"\d{4}(0[1-9]|1[0-2])"
 
@@ -71,16 +60,9 @@ def try_number(c: Column) -> Column:
 
 
 def try_date(c: Column, layout: str) -> Column:
-    """A timestamp if the text is a date in the layout, or null. Two-digit years from 69 on are of the 20th century."""
+    """A timestamp if the text is a date in the layout, or null."""
     pattern, shape = DATES[layout]
-    parsed = F.try_to_timestamp(text(c), F.lit(pattern))
-    if "%y" in layout:
-        parsed = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL 100 YEARS")).otherwise(parsed)
-    return F.when(full_match(c, shape), parsed)
-
-
-def any_date(c: Column, layouts=REPAIR_DATES) -> Column:
-    return F.coalesce(*[try_date(c, x) for x in layouts])
+    return F.when(full_match(c, shape), F.try_to_timestamp(text(c), F.lit(pattern)))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalize_number
-from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, any_date, col, full_match, text, text_key, try_date, try_number, with_total, texts
+from ..functions.normalize import normalize_date, normalize_number
+from ..functions.values import CANONICAL_PERIOD, PLACEHOLDERS, SPEC_DATES, col, full_match, text, text_key, try_date, try_number, with_total, texts
 
 FEW = 30
 DOMINANT, RARE, LEAST_VALUES = 0.85, 0.01, 5
@@ -54,7 +54,7 @@ def castable(value, dtype):
     """Whether a text value survives an exact cast to the type family."""
     number = try_number(value)
     return (F.when(dtype == "integer", number.isNotNull() & (number == F.floor(number))).when(dtype == "float", number.isNotNull())
-            .when(dtype == "datetime", any_date(value).isNotNull()).when(dtype == "boolean", F.lower(value).isin("true", "false")).otherwise(F.lit(True)))
+            .when(dtype == "datetime", normalize_date(value).isNotNull()).when(dtype == "boolean", F.lower(value).isin("true", "false")).otherwise(F.lit(True)))
 
 
 def reconcile_dtype(freq: DataFrame, suggested: dict[str, str], inferred: dict[str, str]) -> DataFrame:
@@ -62,7 +62,7 @@ def reconcile_dtype(freq: DataFrame, suggested: dict[str, str], inferred: dict[s
     want = _lookup(suggested)
     base = freq.withColumn("want", want).withColumn("have", _lookup(inferred))
     fits = F.col("value").isNull() | castable(F.col("value"), F.col("want"))
-    number, date = try_number(F.col("value")).isNotNull(), any_date(F.col("value")).isNotNull()
+    number, date = try_number(F.col("value")).isNotNull(), normalize_date(F.col("value")).isNotNull()
     out = base.groupBy("column", "want", "have").agg(F.bool_and(fits).alias("exact"), (F.sum(F.when(number, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("numbers"), (F.sum(F.when(date, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("dates"))
     took = F.col("want").isNotNull() & (F.col("want") != F.col("have")) & (F.col("exact") | (F.col("want").isin("integer", "float") & (F.col("numbers") >= 0.9)) | ((F.col("want") == "datetime") & (F.col("dates") >= 0.9)))
     return out.select("column", F.when(took, F.col("want")).otherwise(F.col("have")).alias("dtype"))

@@ -131,7 +131,7 @@ def _(s, d):
     return pr.numeric_share(frequencies(s, d))
 
 
-#: any_date in SQL, for the layouts that dirty_orders has.
+#: normalize_date in SQL, for the layouts that dirty_orders has.
 def dated(x: str) -> str:
     shapes = {r"\d{4}-\d{1,2}-\d{1,2}": "%Y-%m-%d", r"\d{1,2}/\d{1,2}/\d{4}": "%d/%m/%Y", r"\d{1,2}-\d{1,2}-\d{4}": "%d-%m-%Y", r"\d{1,2}\.\d{1,2}\.\d{4}": "%d.%m.%Y", r"\d{1,2}-\d{1,2}-\d{2}": "%d-%m-%y", r"\d{8}": "%Y%m%d", r"\d{6}": "%Y%m"}
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_full_match({x}, '{p}') THEN try_strptime({x}, '{f}') END" for p, f in shapes.items()) + ")"

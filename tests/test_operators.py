@@ -38,6 +38,27 @@ def test_dates(spark, text, day):
     assert (got and got.date().isoformat()) == day
 
 
+@pytest.mark.parametrize(("text", "moment"), [
+    ("2 gennaio 2024", "2024-01-02T00:00:00"), ("2-set-2024", "2024-09-02T00:00:00"), ("Jan 2, 2024", "2024-01-02T00:00:00"), ("3 March 2024 10:30", "2024-03-03T10:30:00"), ("2 foo 2024", None),
+    ("2024-01-05T10:11:12.123456789Z", "2024-01-05T10:11:12.123456"), ("2024-01-05 25:00", None), ("05/01/2024 10:11:12", "2024-01-05T10:11:12"), ("12-25-2024", "2024-12-25T00:00:00"), ("12.25.2024", None),
+    ("1 2 2024", "2024-01-02T00:00:00"), ("13 2 2024", "2024-02-13T00:00:00"), ("1 2 24", None), ("1-2/2024", None), (" 2024-01-05", None), ("20240105", "2024-01-05T00:00:00"), ("2024", None)])
+def test_date_layouts(spark, text, moment):
+    got = one(spark, nz.normalize_date, text)
+    assert (got and got.isoformat()) == moment
+
+
+@pytest.mark.parametrize(("text", "plain"), [("1.234.567,89", "1234567.89"), ("1,234,567", "1234567"), ("1.23.456", "1.23.456"), ("1234,567", "1234.567"), ("2 unità di", "2 unità di"), ("1-2 kg", "1-2 kg"), ("3 kg.", "3"), (" eur ", " eur "), ("1,2,3", "1,2,3"), ("$ -1,234.5 usd", "-1234.5")])
+def test_notation_of_groups(spark, text, plain):
+    assert one(spark, nz.normalize_number, text) == plain
+
+
+def test_notations_compile(spark):
+    """Neither expression outgrows what the JVM compiles: both run inside generated code."""
+    rows = spark.range(10).select(F.col("id").cast("string").alias("v")).select(nz.normalize_number(F.col("v")).alias("n"), nz.normalize_date(F.col("v")).alias("d"))
+    code = rows._jdf.queryExecution().debug().codegenToSeq()
+    assert code.size() > 0 and all(0 < code.apply(i)._3().maxMethodCodeSize() < 65_000 for i in range(code.size()))
+
+
 def test_full_match_is_whole(spark):
     assert one(spark, lambda c: full_match(c, "[a-z]+"), "abc\n") is False
     assert one(spark, lambda c: try_date(c, "%Y-%m-%d"), "2024-01-01x") is None
