@@ -64,6 +64,20 @@ def split(m: DataFrame) -> DataFrame:
     return m.where("split_after > split_before").select("column", F.concat("column", F.lit(": split spellings")).alias("failure"))
 
 
+def failures(measured: list[dict], hinted=()) -> list[tuple[str, str]]:
+    """(column, failure) of what measures say of each column; as invented, deleted and split do on frames."""
+    out = []
+    for m in measured:
+        c, sparse = m["column"], m["nulls_before"] > MOST_MISSING * m["rows"]
+        if m["nulls_before"] > m["nulls_after"] and (sparse or c not in (hinted or ())):
+            out.append((c, f"{c}: filled a sparse column" if sparse else f"{c}: filled without a hint"))
+        if m["deleted"] > MOST_DELETED * m["populated"]:
+            out.append((c, f"{c}: deleted values"))
+        if m["split_after"] > m["split_before"]:
+            out.append((c, f"{c}: split spellings"))
+    return out
+
+
 def check(before: DataFrame, after: DataFrame, row_id: str, columns: list[str], dedup_declared: bool = False, hinted=(), removable: dict[str, list[str]] | None = None) -> DataFrame:
     """(column, failure): every invariant that a fix of the columns breaks; empty if it may stay."""
     out = row_count(before, after, dedup_declared)

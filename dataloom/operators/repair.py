@@ -1,11 +1,13 @@
-"""Repairs: typed operations, the sequence of automatic ones, and the execution of an approved plan under invariants."""
+"""Repairs: typed operations, trials of them, and the sequence of automatic ones; operators.plan executes approved plans."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.normalize import is_period, normalize_date, normalize_number, normalize_period, replace_values, round_number
 from ..functions.values import col, strip, text, text_key, try_number, value_freq
 from ..sources.shared import cut
-from . import audit, invariants
+from . import audit
 from .duplicates import drop_duplicate_rows
 from .profile import castable
 from .rules import dominant, pair_counts, period_part, well_formed
 from .schema import conforms, normal_name
 
+#: Operations that make a column's new value from its old one alone.
+CHANGED_BY_ROW = ("replace_values", "normalize_numeric", "normalize_date", "normalize_period", "strip_whitespace", "round_decimals", "apply_function")
 KINDS = ("replace_values", "normalize_numeric", "normalize_date", "normalize_period", "strip_whitespace", "collapse_casing", "round_decimals", "cast_dtype", "impute_from_lookup", "drop_column", "rename_column", "drop_duplicate_rows", "apply_function")
+#: Most spellings that a projection looks up by itself, one after the other.
+MAPPED_ROWS = 256
+#: Most values whose results a worker keeps.
+CACHED = 100_000
 SPARK_TYPES = {"integer": "long", "float": "double", "datetime": "timestamp", "boolean": "boolean", "string": "string"}
 
 
@@ -73,12 +81,27 @@ def casing_map(freq: DataFrame, enums: dict[str, list[str]] | None = None) -> Da
 
 
 def collapse_casing(df: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
-    """df with the spellings of casing_map replaced in the columns, by a join for each column that has variants."""
-    mapping = cut(mapping.where(F.col("column").isin(*columns)))
-    out = df
-    for r in mapping.select("column").distinct().orderBy("column").collect():  # a row for each column
-        out = replace_from_table(out, r["column"], mapping.where(F.col("column") == r["column"]).select(F.col("value").alias("old"), F.col("to").alias("new")))
-    return out
+    """df with the spellings of casing_map replaced in the columns.
+
+    All columns at once: cells meet the mapping in one join by (column, value), those that change are folded to one map a
+    row, and one projection takes them from there; Spark may split frequent values. Up to MAPPED_ROWS spellings are values
+    of the projection itself, and nothing is joined.
+    """
+    columns = [c for c in columns if c in df.columns]
+    mapping = cut(mapping.where(F.col("column").isin(*(columns or [""]))).select("column", "value", "to"))
+    n = mapping.count()
+    if not columns or not n:
+        return df
+    if n <= MAPPED_ROWS:
+        some = {r["column"] for r in mapping.select("column").distinct().collect()}  # names of columns
+        maps = {c: mapping.where(F.col("column") == c).agg(F.map_from_entries(F.collect_list(F.struct("value", "to")))).scalar() for c in some}
+        return df.select(*[F.coalesce(F.try_element_at(maps[c], text(col(c))), text(col(c))).alias(c) if c in maps else (text(col(c)).alias(c) if c in columns else col(c)) for c in df.columns])
+    tag = f"__{uuid.uuid4().hex[:8]}"
+    rows = cut(df.select("*", F.monotonically_increasing_id().alias(tag)))
+    cells = rows.select(tag, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(col(c)).alias("value")) for c in columns]))).where("value is not null")
+    found = cells.join(mapping, ["column", "value"]).groupBy(tag).agg(F.map_from_entries(F.collect_list(F.struct("column", "to"))).alias(f"{tag}m"))
+    out = rows.join(found, tag, "left")
+    return out.select(*[F.coalesce(F.try_element_at(F.col(f"{tag}m"), F.lit(c)), text(col(c))).alias(c) if c in columns else col(c) for c in df.columns])
 
 
 def cast_column(c: Column, dtype: str) -> Column:
@@ -102,14 +125,35 @@ def safe_cast(df: DataFrame, column: str, dtype: str, precision: int | None = No
 
     A float that is recorded with precision 0 becomes an integer, if none of its values has a fraction.
     """
-    c = col(column)
-    if dtype == "float" and precision == 0 and not df.where(try_number(c) % 1 != 0).limit(1).count():
-        dtype = "integer"
-    month = F.bool_and(text(c).rlike(r"\A(?:\d{4}[-/.]?\d{2}|\d{2}[-/.]\d{4})\z"))
-    got = df.agg(F.count_if(c.isNotNull() & cast_column(c, dtype).isNull()).alias("lost"), month.alias("month")).first()
-    if got["lost"] or (dtype == "datetime" and got["month"]):
+    return safe_casts(df, {column: dtype}, {column: precision})
+
+
+def states_month(c: Column) -> Column:
+    """Whether a text is a year and a month without a day."""
+    return text(c).rlike(r"\A(?:\d{4}[-/.]?\d{2}|\d{2}[-/.]\d{4})\z")
+
+
+def whole_number(c: Column) -> Column:
+    """Whether a value isn't a number with a fraction."""
+    return F.coalesce(try_number(c) % 1 == 0, F.lit(True))
+
+
+def safe_casts(df: DataFrame, dtypes: dict[str, str], precisions: dict[str, int | None] | None = None) -> DataFrame:
+    """safe_cast of several columns: one aggregate tells for all of them whether they may be cast."""
+    dtypes = {c: t for c, t in dtypes.items() if c in df.columns}
+    if not dtypes:
         return df
-    return df.select(*[cast_column(c, dtype).alias(n) if n == column else col(n) for n in df.columns])
+    aggs = []
+    for i, (c, t) in enumerate(dtypes.items()):
+        x = col(c)
+        aggs += [F.count_if(x.isNotNull() & cast_column(x, t).isNull()).alias(f"lost{i}"), F.bool_and(states_month(x)).alias(f"month{i}"), F.count_if(~whole_number(x)).alias(f"fractions{i}")]
+    got = df.agg(*aggs).first()
+    new = {}
+    for i, (c, t) in enumerate(dtypes.items()):
+        whole = t == "float" and (precisions or {}).get(c) == 0 and not got[f"fractions{i}"]
+        if not got[f"lost{i}"] and not (t == "datetime" and got[f"month{i}"]):
+            new[c] = cast_column(col(c), "integer" if whole else t)
+    return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
 
 def impute(df: DataFrame, target: str, predictor: str, mapping: DataFrame, normalized: bool = False) -> DataFrame:
@@ -122,13 +166,35 @@ def impute(df: DataFrame, target: str, predictor: str, mapping: DataFrame, norma
     return out.select(*[F.coalesce(text(col(target)), F.col("__value")).alias(target) if c == target else col(c) for c in df.columns])
 
 
+def vectorised(function: Callable, most: int = CACHED) -> Callable[[Column], Column]:
+    """A trusted Python function of one text as a Column expression, null for null.
+
+    It is called for the distinct values of a batch that aren't among up to `most` that the worker has kept; when more come
+    the kept ones are dropped. Row by row in effect, so it serves batches and streams alike.
+    """
+    kept: dict[str, str | None] = {}
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        codes, found = pd.factorize(values)
+        new = np.empty(len(found) + 1, object)
+        new[-1] = None  # of nulls, whose code is -1
+        for i, v in enumerate(found):
+            if v not in kept:
+                if len(kept) >= most:
+                    kept.clear()
+                got = function(v)
+                kept[v] = None if got is None else str(got)
+            new[i] = kept[v]
+        return pd.Series(new[codes], dtype=object)
+
+    return lambda c: run(text(c))
+
+
 def apply_function(df: DataFrame, column: str, function: Callable) -> DataFrame:
-    """df with a trusted Python function applied to the column's non-null values: over distinct values, then joined back."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(new=[None if (v := function(x)) is None else str(v) for x in b["old"]])
-    values = df.select(text(col(column)).alias("old")).where("old is not null").distinct()
-    return replace_from_table(df, column, values.mapInPandas(run, "old string, new string"))
+    """df with a trusted Python function applied to the column's non-null values; batch or stream."""
+    new = vectorised(function)(col(column))
+    return df.select(*[new.alias(c) if c == column else col(c) for c in df.columns])
 
 
 def check_function(samples: DataFrame, function: Callable, dtype: str) -> DataFrame:
@@ -176,6 +242,13 @@ def complete_period(df: DataFrame, period: str, predictor: str, least: float = 0
     return out.select(*[F.coalesce(F.col("__value"), text(col(period))).alias(period) if c == period else col(c) for c in df.columns])
 
 
+def rewritten(op: Operation, c: Column) -> Column:
+    """What an operation that looks at one value makes of it."""
+    return {"replace_values": lambda: replace_values(c, op.args["mapping"]), "normalize_numeric": lambda: normalize_number(c), "normalize_period": lambda: normalize_period(c), "strip_whitespace": lambda: strip(c),
+            "round_decimals": lambda: round_number(c, op.args["digits"], try_number(c)), "normalize_date": lambda: F.coalesce(F.date_format(normalize_date(c), "yyyy-MM-dd"), text(c)),
+            "apply_function": lambda: vectorised(op.args["function"])(c)}[op.kind]()
+
+
 def apply_operation(df: DataFrame, row_id: str, op: Operation, hints: dict[str, DataFrame] | None = None) -> DataFrame:
     """df after one operation; one on a column that isn't there does nothing."""
     if op.kind == "drop_duplicate_rows":
@@ -188,16 +261,12 @@ def apply_operation(df: DataFrame, row_id: str, op: Operation, hints: dict[str,
         to = op.args.get("to", "")
         return df.withColumnRenamed(op.column, to) if to and to not in df.columns else df
     if op.kind == "cast_dtype":
-        return safe_cast(df, op.column, op.args["dtype"])
+        return safe_cast(df, op.column, op.args["dtype"], op.args.get("precision"))
     if op.kind == "impute_from_lookup":
         return impute(df, op.column, op.args["predictor"], hints[op.column], op.args.get("normalized", False)) if hints and op.column in hints else df
-    if op.kind == "apply_function":
-        return apply_function(df, op.column, op.args["function"])
     if op.kind == "collapse_casing":
         return collapse_casing(df, casing_map(value_freq(df, row_id, [op.column]), op.args.get("enums")), [op.column])
-    c = col(op.column)
-    new = {"replace_values": lambda: replace_values(c, op.args["mapping"]), "normalize_numeric": lambda: normalize_number(c), "normalize_period": lambda: normalize_period(c), "strip_whitespace": lambda: strip(c),
-           "round_decimals": lambda: round_number(c, op.args["digits"], try_number(c)), "normalize_date": lambda: F.coalesce(F.date_format(normalize_date(c), "yyyy-MM-dd"), text(c))}[op.kind]()
+    new = rewritten(op, col(op.column))
     return df.select(*[new.alias(n) if n == op.column else col(n) for n in df.columns])
 
 
@@ -226,41 +295,6 @@ def violation_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("after") - F.col("before"))
 
 
-def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | None = None, hints: dict[str, DataFrame] | None = None, hinted: set[str] = frozenset(), removable: dict[str, list[str]] | None = None, cut: Callable[[DataFrame], DataFrame] = cut):
-    """(df, status, changes): the approved fixes of the plan, in order, each under the invariants.
-
-    A fix is skipped if one it depends on wasn't executed or an equal one was, and rejected, its effect undone, if it breaks an
-    invariant. status: (fix, status, reason), a row a fix. changes: the cell log of the executed ones. `cut` is called on the
-    data and on what each fix makes of it, so that no fix is computed again for the next one; it writes to shared storage.
-    """
-    spark, done, seen, status, log = df.sparkSession, set(), set(), [], None
-    df = cut(df)
-    for fix in plan:
-        if approved is not None and fix.id not in approved:
-            status.append((fix.id, "not approved", ""))
-            continue
-        if missing := [d for d in fix.depends_on if d not in done]:
-            status.append((fix.id, "skipped", f"needs {', '.join(missing)}"))
-            continue
-        if fix.fingerprint() in seen:
-            status.append((fix.id, "skipped", "same as an earlier fix"))
-            continue
-        after = cut(apply_fix(df, row_id, fix, hints))
-        dedup = any(o.kind == "drop_duplicate_rows" for o in fix.operations)
-        broken = [r["failure"] for r in invariants.check(df, after, row_id, fix.columns(), dedup, hinted, removable).collect()]
-        if broken:
-            status.append((fix.id, "rejected", "; ".join(sorted(broken))))
-            continue
-        changed = audit.cell_diff(df, after, row_id, fix.id)
-        log = changed if log is None else log.unionByName(changed)
-        df = after
-        done.add(fix.id)
-        seen.add(fix.fingerprint())
-        status.append((fix.id, "executed", ""))
-    log = log if log is not None else spark.createDataFrame([], audit.CHANGES)
-    return df, spark.createDataFrame(status, "fix string, status string, reason string"), log
-
-
 def schema_proposals(violations: DataFrame, columns: list[str]) -> DataFrame:
     """(column, action, to) from schema violations: drop a sparse column, rename a badly named one unless its new name is taken."""
     v = violations.where("kind = 'schema'")
@@ -344,7 +378,4 @@ def sweep(df: DataFrame, row_id: str, dtypes: dict[str, str], freq: DataFrame, r
     dtypes, precisions = realigned(dtypes, renames or {}, df.columns), realigned(precisions or {}, renames or {}, df.columns)
     texts = [c for c, t in df.dtypes if t == "string" and c != row_id]
     out = collapse_casing(df, casing_map(freq), texts)
-    for c, t in dtypes.items():
-        if c in out.columns:
-            out = safe_cast(out, c, t, precisions.get(c))
-    return out
+    return safe_casts(out, dtypes, precisions)

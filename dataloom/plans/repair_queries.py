@@ -12,6 +12,7 @@ from ..operators import completeness as cm
 from ..operators import duplicates as du
 from ..operators import formats as fv
 from ..operators import invariants as iv
+from ..operators import plan as pl
 from ..operators import repair as rm
 from ..operators import rules as cs
 from ..operators import schema as sc
@@ -262,17 +263,17 @@ APPROVED = {f.id for f in PLAN} - {"ignored"}
 
 @query("rm_29_execute_status", """WITH $D SELECT * FROM (VALUES ('numbers', 'executed', ''), ('periods', 'executed', ''), ('again', 'skipped', 'same as an earlier fix'), ('after wipe', 'skipped', 'needs wipe'), ('shrink', 'executed', ''), ('rows', 'executed', ''), ('ignored', 'not approved', '')) t(fix, status, reason) UNION ALL SELECT 'wipe', 'rejected', 'stato: deleted values' FROM d HAVING count(*) FILTER (stato = 'P') > 0.02 * count(stato)""")
 def _(s, d):
-    return rm.execute(dirty(s, d), ROW, PLAN, APPROVED)[1]
+    return pl.execute(dirty(s, d), ROW, PLAN, APPROVED)[1]
 
 
 @query("rm_29_execute_data", f"WITH $D, n AS (SELECT * EXCLUDE (note) REPLACE ({plain('spesa')} AS spesa, {PERIOD_SQL} AS rata) FROM d) SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(quoted(c) for c in COLUMNS if c != 'note')} ORDER BY row_id) AS r FROM n) WHERE r = 1")
 def _(s, d):
-    return rm.execute(dirty(s, d), ROW, PLAN, APPROVED)[0]
+    return pl.execute(dirty(s, d), ROW, PLAN, APPROVED)[0]
 
 
 @query("rm_30_approved_only", f"WITH $D SELECT 'cell' AS scope, row_id, 'spesa' AS \"column\", spesa AS before, {plain('spesa')} AS after, 'numbers' AS source FROM d WHERE spesa IS DISTINCT FROM {plain('spesa')}")
 def _(s, d):
-    return rm.execute(dirty(s, d), ROW, PLAN, {"numbers"})[2]
+    return pl.execute(dirty(s, d), ROW, PLAN, {"numbers"})[2]
 
 
 @query("rm_31_sweep", f"""WITH $D, {CASING} SELECT row_id, best AS ente, "SPESA TOTALE"::DOUBLE AS spesa_totale, entrate::BIGINT AS entrate FROM d LEFT JOIN b ON b.value = d.ente""")

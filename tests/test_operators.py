@@ -1,12 +1,16 @@
 """Cases on small frames: thresholds from both sides, negative cases, order and partition independence."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from dataloom.functions import normalize as nz
 from dataloom.functions.values import col, full_match, try_date, try_number, value_freq
 from dataloom.operators import audit, completeness, duplicates, formats, invariants, profile, repair, rules, schema, score
+from dataloom.operators import plan as plan_of_fixes
 from dataloom.operators.repair import Fix, Operation
+from dataloom.sources.snapshots import snapshot
 
 
 def frame(spark, rows, columns):
@@ -157,13 +161,83 @@ def test_filling_a_sparse_column(spark, empty, failures):
 def test_plan_execution(spark):
     df = frame(spark, [("1,5", "A"), ("2,5", "a"), ("3", "A")], "x string, y string")
     plan = [Fix("n", (Operation("normalize_numeric", "x"),)), Fix("gone", (Operation("replace_values", "y", {"mapping": {"A": None}}),)), Fix("late", (Operation("drop_column", "y"),), ("gone",)), Fix("absent", (Operation("strip_whitespace", "zz"),))]
-    out, status, changes = repair.execute(df, "row_id", plan)
+    out, status, changes = plan_of_fixes.execute(df, "row_id", plan)
     assert {r["fix"]: r["status"] for r in status.collect()} == {"n": "executed", "gone": "rejected", "late": "skipped", "absent": "executed"}
     assert sorted(r["x"] for r in out.collect()) == ["1.5", "2.5", "3"] and changes.count() == 2
     with pytest.raises(ValueError, match="unknown operation"):
         Operation("guess", "x")
 
 
+def test_levels_follow_conflicts(spark):
+    plan = [Fix("a", (Operation("strip_whitespace", "x"),)), Fix("b", (Operation("normalize_numeric", "y"),)), Fix("c", (Operation("rename_column", "x", {"to": "z"}),)), Fix("d", (Operation("strip_whitespace", "z"),)),
+            Fix("e", (Operation("collapse_casing", "w"),)), Fix("f", (Operation("strip_whitespace", "v"),), ("b",)), Fix("g", (Operation("drop_duplicate_rows"),)), Fix("h", (Operation("drop_column", "v"),))]
+    got = {s.fix.id: s.level for s in plan_of_fixes.levels(plan)}
+    assert got["a"] == got["b"] == 0 and got["c"] > got["a"] and got["d"] > got["c"] and got["f"] > got["b"] and got["g"] > max(v for k, v in got.items() if k not in "gh") and got["h"] > got["g"]
+    assert list(got.values()).count(got["e"]) == list(got.values()).count(got["g"]) == 1
+
+
+def one_by_one(df, fixes):
+    """The plan's meaning: every fix by itself on what the earlier ones left."""
+    status = {}
+    for fix in fixes:
+        after = repair.apply_fix(df, "row_id", fix)
+        broken = invariants.check(df, after, "row_id", fix.columns(), any(o.kind == "drop_duplicate_rows" for o in fix.operations)).collect()
+        status[fix.id] = "; ".join(sorted(r["failure"] for r in broken))
+        df = df if broken else after
+    return sorted(map(tuple, df.collect()), key=str), df.dtypes, status
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_give_what_one_after_the_other_gives(spark, seed):
+    r = random.Random(seed)
+    words = [None, "a", "A ", " 1,5", "2", "2024-01", "01/2024", "€ 3", "-"]
+    df = frame(spark, [tuple(r.choice(words) for _ in range(4)) for _ in range(30)], "p string, q string, s string, t string")
+    def operation(c):
+        return r.choice([Operation("strip_whitespace", c), Operation("normalize_numeric", c), Operation("normalize_period", c), Operation("replace_values", c, {"mapping": {"a": "b", r.choice(["-", "2"]): None}}), Operation("apply_function", c, {"function": str.upper}),
+                         Operation("cast_dtype", c, {"dtype": r.choice(["float", "integer", "datetime"])}), Operation("rename_column", c, {"to": r.choice("pqstz")}), Operation("drop_column", c), Operation("collapse_casing", c), Operation("drop_duplicate_rows", args={"subset": ["s"]} if r.random() < 0.5 else {})])
+    fixes = [Fix(f"f{i}", tuple(operation(r.choice("pqst")) for _ in range(r.choice([1, 1, 2])))) for i in range(7)]
+    fixes = [f for i, f in enumerate(fixes) if f.fingerprint() not in {g.fingerprint() for g in fixes[:i]} and not any(o.args.get("subset") for o in f.operations)]
+    out, status, log = plan_of_fixes.execute(df, "row_id", fixes)
+    rows, types, reasons = one_by_one(df, fixes)
+    assert {x["fix"]: x["reason"] for x in status.collect()} == reasons
+    assert out.dtypes == types and sorted(map(tuple, out.collect()), key=str) == rows
+    assert {x["source"] for x in log.collect()} <= {k for k, v in reasons.items() if not v}
+
+
+def test_a_plan_of_row_fixes_is_one_aggregate(spark):
+    df = frame(spark, [("1,5", " a", "x"), ("2", "b", "y")], "p string, q string, s string")
+    fixes = [Fix("1", (Operation("normalize_numeric", "p"),)), Fix("2", (Operation("strip_whitespace", "q"),)), Fix("3", (Operation("replace_values", "s", {"mapping": {"x": None, "y": None}}),))]
+    calls = []
+    out, status, log = plan_of_fixes.execute(df, "row_id", fixes, cut=lambda d: calls.append(1) or d)
+    assert len(calls) == 1 and [r["status"] for r in status.collect()] == ["executed", "executed", "rejected"]
+    assert sorted(map(tuple, out.collect())) == [(0, "1.5", "a", "x"), (1, "2", "b", "y")]
+    assert "Join" not in log._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 256])
+def test_spellings_of_all_columns_at_once(spark, monkeypatch, most):
+    monkeypatch.setattr(repair, "MAPPED_ROWS", most)
+    df = frame(spark, [("Rome", "x"), ("rome", "X"), ("Rome", None), (None, "x"), ("Oslo ", "x")], "p string, q string")
+    got = repair.collapse_casing(df, repair.casing_map(value_freq(df, "row_id")), ["p", "q"])
+    assert sorted(map(tuple, got.collect())) == [(0, "Rome", "x"), (1, "Rome", "x"), (2, "Rome", None), (3, None, "x"), (4, "Oslo ", "x")]
+    assert got.columns == df.columns
+
+
+def test_functions_are_called_once_a_value(spark):
+    df = frame(spark, [("a",), (None,), ("a",), ("b",)], "p string")
+    assert [r["p"] for r in repair.apply_function(df.coalesce(1), "p", lambda v: None if v == "b" else v * 2).orderBy("row_id").collect()] == ["aa", None, "aa", None]
+
+
+def test_snapshots_meet_without_a_shuffle(spark):
+    df = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("string").alias("x"))
+    a = snapshot(df, "row_id", 8)
+    b = snapshot(a.withColumn("x", F.when(F.col("row_id") == 5, "new").otherwise(F.col("x"))), "row_id", 8)
+    for after in (b, a.withColumn("x", F.concat("x", F.lit("!")))):
+        diff = audit.cell_diff(a, after, "row_id", "s")
+        assert "Exchange" not in diff._jdf.queryExecution().executedPlan().toString()
+    assert [(r["row_id"], r["before"], r["after"]) for r in audit.cell_diff(a, b, "row_id", "s").collect()] == [(5, "5", "new")]
+
+
 def test_function_checks(spark):
     samples = spark.createDataFrame([("1", True), ("x", False), ("", False)], "value string, conforming boolean")
     issues = {r["value"]: r["issue"] for r in repair.check_function(samples, lambda v: str(int(v) if v else 1 / 0), "integer").collect()}
