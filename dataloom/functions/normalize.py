@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import CANONICAL_PERIOD, MONTHS, WHITE, full_match, strip, text
+from .values import CANONICAL_PERIOD, MONTHS, full_match, strip, text
 
 # Currency marks, those before a number and those after it.
 MARKS, CURRENCIES = "€$£", "euro|eur|usd"
 DIGITS = "0123456789"
-#: Letters of a unit's name, in lower case.
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 
 
 def _bare(c: Column) -> Column:
@@ -20,13 +18,8 @@ def _bare(c: Column) -> Column:
 
 
 def _without_unit(t: Column) -> Column:
-    """'2 unità' as '2': what stands before the first white space, if that is made like a number and the rest is a word."""
-    spaced = F.translate(t, WHITE, " " * len(WHITE))
-    head = F.substring_index(spaced, " ", 1)
-    word = F.btrim(F.substr(spaced, F.length(head) + 1))
-    word = F.lower(F.when(word.endswith("."), F.left(word, F.length(word) - 1)).otherwise(word))
-    numeric = (F.translate(head, DIGITS + ".,-", "") == "") & (F.translate(head, "-", "") != "") & (F.locate("-", head, 2) == 0)
-    return F.when(numeric & (F.length(head) < F.length(t)) & (word != "") & (F.translate(word, LETTERS, "") == ""), head).otherwise(t)
+    """'2 unità' as '2': what stands before the first white space, if that is made like a number and the rest is one word."""
+    return F.regexp_replace(t, r"\A(?=-?[\d.,]+\s+\p{L}+[.]?\z)(\S+).*\z", "$1")
 
 
 def _ungrouped(t: Column, sign: str, point: str) -> Column:
@@ -99,12 +92,14 @@ def normalize_period(c: Column) -> Column:
     Of the two parts the one with four digits is the year; the other is the month, by number or by name.
     """
     t = strip(c)
-    two = r"^([A-Za-z]+|[0-9]+)[-/. ]([0-9]+)$"
-    a, b = F.regexp_extract(t, two, 1), F.regexp_extract(t, two, 2)
-    year_first = (F.length(a) == 4) & a.rlike("^[0-9]") & (F.length(b) <= 2)
+    u = F.translate(t, "-/. ", "----")
+    a, b = F.substring_index(u, "-", 1), F.substring_index(u, "-", -1)
+    digits = lambda x: (x != "") & (F.translate(x, DIGITS, "") == "")
+    two = (F.length(u) == F.length(a) + F.length(b) + 1) & digits(b)
+    year_first = (F.length(a) == 4) & digits(a) & (F.length(b) <= 2)
     year, month = F.when(year_first, a).otherwise(b), F.when(year_first, b).otherwise(a)
-    number = F.when(month.rlike("^[A-Za-z]{3,}$"), month_number(month)).when(month.rlike("^[0-9]{1,2}$") & month.try_cast("int").between(1, 12), F.lpad(month, 2, "0"))
-    return F.coalesce(F.when(full_match(t, CANONICAL_PERIOD), t), F.when(F.length(year) == 4, F.concat(year, number)), text(c))
+    number = F.when(month.rlike("^[A-Za-z]{3,}$"), month_number(month)).when(digits(month) & (F.length(month) <= 2) & month.try_cast("int").between(1, 12), F.lpad(month, 2, "0"))
+    return F.coalesce(F.when(full_match(t, CANONICAL_PERIOD), t), F.when(two & (F.length(year) == 4), F.concat(year, number)), text(c))
 
 
 def is_period(c: Column) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import col, text, text_key
+from ..functions.values import col, columns_of, text, text_key
 from ..sources.shared import cut
 from . import audit, invariants
 from .repair import CHANGED_BY_ROW, Fix, Operation, apply_fix, cast_column, rewritten, states_month, whole_number
@@ -99,15 +99,17 @@ def measured(df: DataFrame, changed: dict[str, Column], removable: dict[str, lis
 
     One shuffle of (column, before, after) counts; a column that rows share a value of is added up in each task first.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(col(c)).alias("before"), text(new).alias("after")) for c, new in changed.items()])
-    counts = df.select(F.inline(pairs)).groupBy("column", "before", "after").agg(F.count("*").alias("cnt"))
+    # Values are made in a projection of their own: an expression inside a generator is evaluated anew wherever it stands.
+    sides = df.select(*[x for i, (c, new) in enumerate(changed.items()) for x in (text(col(c)).alias(f"b{i}"), text(new).alias(f"a{i}"))])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("before"), F.col(f"a{i}").alias("after")) for i, c in enumerate(changed)])
+    counts = sides.select(F.inline(pairs)).groupBy("column", "before", "after").agg(F.count("*").alias("cnt"))
     gone = F.col("before").isNotNull() & F.col("after").isNull()
     for c, values in (removable or {}).items():
         gone = gone & ~((F.col("column") == c) & F.col("before").isin(*values))
     add = lambda where: F.coalesce(F.sum(F.when(where, F.col("cnt"))), F.lit(0)).alias
-    # A spelling counts once a side; spellings are grouped by their key, so that no column's values meet in one task.
-    sides = counts.select("column", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("value")), F.struct(F.lit(1).alias("side"), F.col("after").alias("value"))))).where("value is not null")
-    more = sides.groupBy("column", "side", "value").agg(F.lit(1)).groupBy("column", "side", text_key(F.col("value")).alias("key")).agg((F.count("*") - 1).alias("more"))
+    # Both uses of the counts read all of their columns, so that one shuffle serves both. A spelling counts once a side; spellings are grouped by their key, so that no column's values meet in one task.
+    spelt = counts.select("column", "cnt", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("value")), F.struct(F.lit(1).alias("side"), F.col("after").alias("value"))))).where("value is not null")
+    more = spelt.groupBy("column", "side", "value").agg(F.sum("cnt").alias("cnt")).groupBy("column", "side", text_key(F.col("value")).alias("key")).agg((F.count("*") - 1).alias("more"))
     split = more.groupBy("column").agg(*[F.coalesce(F.sum(F.when(F.col("side") == i, F.col("more"))), F.lit(0)).alias(n) for i, n in enumerate(("split_before", "split_after"))])
     one = counts.groupBy("column").agg(
         F.sum("cnt").alias("rows"), add(F.col("before").isNull())("nulls_before"), add(F.col("after").isNull())("nulls_after"), add(F.col("before").isNotNull())("populated"), add(gone)("deleted"),
@@ -117,10 +119,12 @@ def measured(df: DataFrame, changed: dict[str, Column], removable: dict[str, lis
 
 def _log(df: DataFrame, row_id: str, kept: dict[str, tuple[Fix, Column]]) -> DataFrame | None:
     """The changed cells of a level: before and after stand in one row, so nothing is joined."""
-    cells = [F.when(~text(col(c)).eqNullSafe(text(new)), F.struct(F.lit("cell").alias("scope"), F.lit(c).alias("column"), text(col(c)).alias("before"), text(new).alias("after"), F.lit(fix.id).alias("source"))) for c, (fix, new) in kept.items() if c != row_id]
-    if not cells:
+    kept = {c: x for c, x in kept.items() if c != row_id}
+    if not kept:
         return None
-    return df.select(col(row_id).cast("long").alias("row_id"), F.inline(F.array_compact(F.array(*cells)))).select("scope", "row_id", "column", "before", "after", "source")
+    sides = df.select(col(row_id).cast("long").alias("row_id"), *[x for i, (c, (_, new)) in enumerate(kept.items()) for x in (text(col(c)).alias(f"b{i}"), text(new).alias(f"a{i}"))])
+    cells = [F.when(~F.col(f"b{i}").eqNullSafe(F.col(f"a{i}")), F.struct(F.lit("cell").alias("scope"), F.lit(c).alias("column"), F.col(f"b{i}").alias("before"), F.col(f"a{i}").alias("after"), F.lit(fix.id).alias("source"))) for i, (c, (fix, _)) in enumerate(kept.items())]
+    return sides.select("row_id", F.inline(F.array_compact(F.array(*cells)))).select("scope", "row_id", "column", "before", "after", "source")
 
 
 def _shape(columns: list[str], fixes: list[Fix]) -> list[tuple[str, str]]:
@@ -135,10 +139,13 @@ def _shape(columns: list[str], fixes: list[Fix]) -> list[tuple[str, str]]:
     return [(c, names[c]) for c in columns if c in names]
 
 
-def run_level(df: DataFrame, row_id: str, fixes: list[Fix], hinted=(), removable: dict[str, list[str]] | None = None, cut: Callable[[DataFrame], DataFrame] = cut):
-    """(df after the fixes that hold, {fix id: what it breaks}, log or None) of fixes that are projections on different columns."""
+def run_level(df: DataFrame, row_id: str, fixes: list[Fix], hinted=(), removable: dict[str, list[str]] | None = None, cut: Callable[[DataFrame], DataFrame] = cut, write: bool = False):
+    """(df after the fixes that hold, {fix id: what it breaks}, log or None) of fixes that are projections on different columns.
+
+    With write, rows are written once with their new values beside the old ones; without, the values are made where they are read.
+    """
     columns, changed = df.columns, _changed(df, fixes)
-    if any(o.kind == "apply_function" for f in fixes for o in f.operations):  # Python runs once a value, not for the aggregate, the log and the data
+    if write or any(o.kind == "apply_function" for f in fixes for o in f.operations):  # Python runs once a value, not for the aggregate, the log and the data
         tags = {c: f"__{uuid.uuid4().hex[:8]}" for c in changed}
         df = cut(df.select("*", *[new.alias(tags[c]) for c, (_, _, new) in changed.items()]))
         changed = {c: (fix, cast, col(tags[c])) for c, (fix, cast, _) in changed.items()}
@@ -166,10 +173,12 @@ def run_level(df: DataFrame, row_id: str, fixes: list[Fix], hinted=(), removable
 
 def _run_alone(df: DataFrame, row_id: str, fix: Fix, hints, hinted, removable, cut) -> tuple[DataFrame, list[str], DataFrame | None]:
     """A fix that joins, aggregates or drops rows, held against the data before by row id."""
-    if [o.kind for o in fix.operations] == ["drop_duplicate_rows"]:  # rows only go: the ids that are gone are the whole log
-        after = cut(apply_fix(df, row_id, fix, hints))
-        gone = df.select(col(row_id).cast("long").alias("row_id")).join(after.select(col(row_id).cast("long").alias("row_id")), "row_id", "left_anti")
-        return after, [], gone.select(F.lit("row").alias("scope"), "row_id", F.lit("").alias("column"), F.lit("present").alias("before"), F.lit(None).cast("string").alias("after"), F.lit(fix.id).alias("source"))
+    if [o.kind for o in fix.operations] == ["drop_duplicate_rows"]:  # rows only go: the ids that stay tell all, and only they are written
+        names = [c for c in fix.operations[0].args.get("subset") or columns_of(df, row_id)]
+        stay = cut(df.groupBy(*[col(c) for c in names]).agg(F.min(col(row_id)).alias("stay")).select("stay"))
+        met = lambda how: df.join(stay, col(row_id) == F.col("stay"), how)
+        gone = met("left_anti").select(F.lit("row").alias("scope"), col(row_id).cast("long").alias("row_id"), F.lit("").alias("column"), F.lit("present").alias("before"), F.lit(None).cast("string").alias("after"), F.lit(fix.id).alias("source"))
+        return met("left_semi"), [], gone
     after = cut(apply_fix(df, row_id, fix, hints))
     dedup = any(o.kind == "drop_duplicate_rows" for o in fix.operations)
     broken = [r["failure"] for r in invariants.check(df, after, row_id, fix.columns(), dedup, hinted, removable).collect()]
@@ -181,13 +190,14 @@ def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | No
 
     A fix is skipped if one it depends on wasn't executed or an equal one was, and rejected, its effect undone, if it breaks an
     invariant. status: (fix, status, reason), a row a fix. changes: the cell log of the executed ones. A level costs one
-    aggregate; `cut`, which writes to shared storage, is called on the data and on what a fix with a level of its own makes.
+    aggregate; `cut`, which writes to shared storage, is called on the data with the first level's new values beside the old
+    ones, before a fix with a level of its own if rows were rewritten since, and on what that fix makes.
     """
     spark, done, seen, logs = df.sparkSession, set(), set(), []
     status: dict[str, tuple[str, str]] = {f.id: ("not approved", "") for f in plan if approved is not None and f.id not in approved}
     steps = levels([f for f in plan if f.id not in status])
     place = {f.id: i for i, f in enumerate(plan)}
-    df = cut(df)
+    rewritten_since, fresh = False, True  # whether rows were rewritten since they were written, and whether they never were
     for level in sorted({s.level for s in steps}):
         ready = []
         for fix in (s.fix for s in steps if s.level == level):
@@ -200,11 +210,14 @@ def execute(df: DataFrame, row_id: str, plan: list[Fix], approved: set[str] | No
         if not ready:
             continue
         if by_row(ready[0]):
-            df, broken, log = run_level(df, row_id, ready, hinted, removable, cut)
+            df, broken, log = run_level(df, row_id, ready, hinted, removable, cut, fresh)
+            rewritten_since = rewritten_since or not fresh
         else:
+            df, rewritten_since = cut(df) if rewritten_since or fresh else df, False
             after, failures, log = _run_alone(df, row_id, ready[0], hints, hinted, removable, cut)
             broken = {ready[0].id: failures}
             df = df if failures else after
+        fresh = False
         for fix in ready:
             status[fix.id] = ("rejected", "; ".join(sorted(broken[fix.id]))) if broken[fix.id] else ("executed", "")
             if not broken[fix.id]:

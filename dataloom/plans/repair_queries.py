@@ -21,6 +21,7 @@ from ..operators.repair import Fix, Operation
 from ..sources import files as io
 from ..sources.dirty import COLUMNS, ROW
 from ..sources.shared import scratch
+from ..sources.snapshots import snapshot
 from .profile_queries import FORMAT, RATES, SPECS, bad_rows, dated, plain, violation
 from .registry import dirty, frequencies, number, query, quoted, table
 from .rule_queries import ALL, CLEAN_ENTE, DEPENDENCIES, GROUPS, HINT_PAIRS, KEYED, PAIRS, PERIOD, RULES, clean_ente, consistency, groups, hint_sql, on_clean
@@ -240,12 +241,12 @@ NULLS = " + ".join(f"({quoted(c)} IS NULL)::INT" for c in COLUMNS)
 
 @query("rm_28_trial", f"WITH $D, x AS (SELECT *, {plain('spesa')} AS after, stato = 'Altro' AS gone FROM d) SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (spesa IS DISTINCT FROM after OR gone) AS rows_changed, sum({NULLS})::BIGINT AS nulls_before, (sum({NULLS}) + count(*) FILTER (gone))::BIGINT AS nulls_after FROM x")
 def _(s, d):
-    return rm.trial(dirty(s, d), ROW, TRIED)
+    return rm.trial(snapped(s, d), ROW, TRIED)
 
 
 @query("rm_28_diff", f"WITH $D, x AS (SELECT row_id, 'spesa' AS \"column\", spesa AS before, {plain('spesa')} AS after FROM d UNION ALL SELECT row_id, 'stato', stato, NULL FROM d WHERE stato = 'Altro'), y AS (SELECT row_number() OVER (ORDER BY row_id, \"column\")::INT AS rank, * FROM x WHERE before IS DISTINCT FROM after) SELECT * FROM y WHERE rank <= 8")
 def _(s, d):
-    return rm.trial_diff(dirty(s, d), ROW, TRIED)
+    return rm.trial_diff(snapped(s, d), ROW, TRIED)
 
 
 @query("rm_28_violation_delta", f"WITH $D, b AS ({bad_rows(('spesa', 'stato'))}), o AS (SELECT \"column\" AS column_name, count(*)::BIGINT AS before FROM b GROUP BY 1), fixed AS (SELECT * REPLACE ({plain('spesa')} AS spesa, CASE WHEN stato <> 'Altro' THEN stato END AS stato) FROM d), n AS ({bad_rows(('spesa', 'stato')).replace('FROM d', 'FROM fixed')}), m AS (SELECT \"column\" AS column_name, count(*)::BIGINT AS after FROM n GROUP BY 1) SELECT column_name, coalesce(before, 0) AS before, coalesce(after, 0) AS after, coalesce(after, 0) - coalesce(before, 0) AS delta FROM o FULL JOIN m USING (column_name)")
@@ -283,12 +284,17 @@ def _(s, d):
     return rm.sweep(x, ROW, {"SPESA TOTALE": "float", "entrate": "float", "note": "string"}, value_freq(x, ROW, ["ente"]), {"SPESA TOTALE": "spesa_totale"}, {"entrate": 0})
 
 
-def numbers_fixed(s, d):
-    return rm.apply_operation(dirty(s, d), ROW, Operation("normalize_numeric", "spesa"))
+def snapped(s, d):
+    """The relation in buckets of its row id: what is made of it row by row meets it without a shuffle."""
+    return snapshot(dirty(s, d), ROW)
 
 
-def wiped(s, d):
-    return rm.apply_operation(dirty(s, d), ROW, Operation("replace_values", "stato", {"mapping": {"P": None, "Altro": None}}))
+def numbers_fixed(s, d, x=None):
+    return rm.apply_operation(dirty(s, d) if x is None else x, ROW, Operation("normalize_numeric", "spesa"))
+
+
+def wiped(s, d, x=None):
+    return rm.apply_operation(dirty(s, d) if x is None else x, ROW, Operation("replace_values", "stato", {"mapping": {"P": None, "Altro": None}}))
 
 
 @query("iv_01_row_count", f"WITH $D SELECT '' AS \"column\", 'row count changed' AS failure WHERE (SELECT count(*) FROM d) <> (SELECT count(*) FROM (SELECT DISTINCT {ALL} FROM d))")
@@ -299,25 +305,26 @@ def _(s, d):
 
 @query("iv_02_invented", "WITH $D SELECT 'note' AS \"column\", 'note: filled a sparse column' AS failure FROM d HAVING count(note) < 0.5 * count(*) UNION ALL SELECT 'ente', 'ente: filled without a hint' FROM d HAVING count(ente) < count(*)")
 def _(s, d):
-    x = dirty(s, d)
+    x = snapped(s, d)
     after = x.withColumn("note", F.coalesce("note", F.lit("x"))).withColumn("ente", F.coalesce("ente", F.lit("L0"))).withColumn("cod_ente", F.coalesce("cod_ente", F.lit("0")))
     return iv.invented(iv.measures(x, after, ROW, ["note", "ente", "cod_ente", "stato"]), {"cod_ente", "note"})
 
 
 @query("iv_03_deleted", "WITH $D SELECT 'stato' AS \"column\", 'stato: deleted values' AS failure FROM d HAVING count(*) FILTER (stato = 'P') > 0.02 * count(stato)")
 def _(s, d):
-    x = dirty(s, d)
-    return iv.deleted(iv.measures(x, wiped(s, d), ROW, ["stato", "ente"], {"stato": ["Altro"]}))
+    x = snapped(s, d)
+    return iv.deleted(iv.measures(x, wiped(s, d, x), ROW, ["stato", "ente"], {"stato": ["Altro"]}))
 
 
 @query("iv_03_measures", "WITH $D SELECT count(*) AS rows, 'stato' AS \"column\", count(*) FILTER (stato IS NULL) AS nulls_before, count(*) FILTER (stato IS NULL OR stato IN ('P', 'Altro')) AS nulls_after, count(stato) AS populated, count(*) FILTER (stato = 'P') AS deleted, 0::BIGINT AS split_before, 0::BIGINT AS split_after FROM d")
 def _(s, d):
-    return iv.measures(dirty(s, d), wiped(s, d), ROW, ["stato"], {"stato": ["Altro"]})
+    x = snapped(s, d)
+    return iv.measures(x, wiped(s, d, x), ROW, ["stato"], {"stato": ["Altro"]})
 
 
 @query("iv_04_split", "WITH $D SELECT 'stato' AS \"column\", 'stato: split spellings' AS failure FROM d HAVING count(*) FILTER (row_id % 3 = 0) > 0")
 def _(s, d):
-    x = dirty(s, d)
+    x = snapped(s, d)
     after = x.withColumn("stato", F.when(F.col("row_id") % 3 == 0, F.lower("stato")).otherwise(F.col("stato"))).withColumn("ente", F.upper(F.trim("ente")))
     return iv.split(iv.measures(x, after, ROW, ["stato", "ente"]))
 
@@ -327,18 +334,20 @@ DIFF = f"SELECT 'cell' AS scope, row_id, 'spesa' AS \"column\", spesa AS before,
 
 @query("au_01_cell_diff", f"WITH $D {DIFF}")
 def _(s, d):
-    return au.cell_diff(dirty(s, d), numbers_fixed(s, d), ROW, "rm_02")
+    x = snapped(s, d)
+    return au.cell_diff(x, numbers_fixed(s, d, x), ROW, "rm_02")
 
 
 @query("au_01_row_diff", f"WITH $D, k AS (SELECT row_id, row_number() OVER (PARTITION BY {ALL} ORDER BY row_id) AS n FROM d) SELECT 'row' AS scope, row_id, '' AS \"column\", 'present' AS before, NULL::VARCHAR AS after, 'dedup' AS source FROM k WHERE n > 1")
 def _(s, d):
-    x = dirty(s, d)
+    x = snapped(s, d)
     return au.cell_diff(x, du.drop_duplicate_rows(x, ROW), ROW, "dedup")
 
 
 @query("au_02_typed_diff", f"WITH $D {DIFF} UNION ALL SELECT 'column', -1, 'SPESA TOTALE', 'string: ' || count(\"SPESA TOTALE\"), 'double: ' || count(\"SPESA TOTALE\"), 'rm_02' FROM d")
 def _(s, d):
-    return au.typed_diff(dirty(s, d), rm.safe_cast(numbers_fixed(s, d), "SPESA TOTALE", "float"), ROW, "rm_02")
+    x = snapped(s, d)
+    return au.typed_diff(x, rm.safe_cast(numbers_fixed(s, d, x), "SPESA TOTALE", "float"), ROW, "rm_02")
 
 
 @query("au_03_column_diff", """WITH $D SELECT 'stato' AS "column", 'stato' AS name_after, 'kept' AS status, count(*) - count(stato) AS nulls_before, count(*) - count(stato) AS nulls_after, count(DISTINCT stato) AS distinct_before, count(DISTINCT stato) AS distinct_after FROM d
@@ -351,13 +360,14 @@ def _(s, d):
 
 @query("au_04_rows_changed", f"WITH $D, x AS (SELECT stato, CASE WHEN stato NOT IN ('P', 'Altro') THEN stato END AS after FROM d), n AS (SELECT sum({' + '.join(f'({quoted(c)} IS NULL)::INT' for c in COLUMNS)})::BIGINT AS n FROM d) SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) FILTER (stato IS DISTINCT FROM after) AS rows_changed, any_value(n) AS nulls_before, (any_value(n) + count(*) FILTER (stato IN ('P', 'Altro')))::BIGINT AS nulls_after FROM x, n")
 def _(s, d):
-    return au.rows_changed(dirty(s, d), wiped(s, d), ROW)
+    x = snapped(s, d)
+    return au.rows_changed(x, wiped(s, d, x), ROW)
 
 
 @query("au_05_changes_summary", f"WITH $D, x AS ({DIFF} UNION ALL SELECT 'cell', row_id, 'stato', stato, NULL, 'wipe' FROM d WHERE stato IN ('P', 'Altro')) SELECT source, \"column\", count(*) AS changes FROM x GROUP BY ROLLUP (source, \"column\")")
 def _(s, d):
-    x = dirty(s, d)
-    return au.changes_summary(au.cell_diff(x, numbers_fixed(s, d), ROW, "rm_02").unionByName(au.cell_diff(x, wiped(s, d), ROW, "wipe")))
+    x = snapped(s, d)
+    return au.changes_summary(au.cell_diff(x, numbers_fixed(s, d, x), ROW, "rm_02").unionByName(au.cell_diff(x, wiped(s, d, x), ROW, "wipe")))
 
 
 def every_violation(s, d, x=None):
