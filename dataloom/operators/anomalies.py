@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col, text, try_number, with_total
-from ..sources.shared import cut
+from ..sources.shared import cut, spread
 
 FENCE, LISTED = 1.5, 50
+#: Bins of a pass of selection, and the most rows of an interval that are fetched value by value.
+BINS, FEW = 1024, 2048
 
 
 def number_freq(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,55 +21,102 @@ def number_freq(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells)).where("x is not null").groupBy("column", "x").agg(F.count("*").alias("cnt"))
 
 
-def quartiles(freq: DataFrame) -> DataFrame:
-    """From number_freq: (column, n, q1, q3, least, greatest), exact and interpolated.
+def _finite(x):
+    return F.least(F.greatest(x, F.lit(-sys.float_info.max)), F.lit(sys.float_info.max))
+
+
+def selected(numbers: DataFrame, columns: list[str], ranks: dict[str, list[int]], ends: dict[str, tuple[float, float]], bins: int = BINS, few: int = FEW) -> dict[tuple[str, int], float]:
+    """The values at ranks (from 0) of columns, by selection: nothing is sorted or shuffled but counts.
 
-    Numbers are sorted over all tasks by range; the ranks in a partition follow those of earlier partitions, so no task
-    has a whole column.
+    A pass counts the values of each interval that still holds a wanted rank by bin, with the bin's least and greatest value;
+    the bin that holds the rank is the next interval. An interval of one value is done; one of up to `few` rows is fetched.
+    The driver gets at most `bins` rows an interval, and 4 intervals a column at most. Values are compared as they are; only
+    the choice of a bin is arithmetic, and it keeps the order.
     """
-    placed = cut(freq.repartitionByRange("column", "x").select("*", F.spark_partition_id().alias("part")))
-    parts = placed.groupBy("column", "part").agg(F.sum("cnt").alias("here"))  # a row for each column and partition
-    earlier = F.coalesce(F.sum("here").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = placed.groupBy("column").agg(F.sum("cnt").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"))
-    known = parts.select("column", "part", earlier.alias("earlier")).join(sizes, "column")
-    inside = F.sum("cnt").over(Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("inside", inside).join(F.broadcast(known), ["column", "part"]).withColumn("upto", F.col("earlier") + F.col("inside"))
-    first = F.col("upto") - F.col("cnt")  # the value has the ranks from here to upto - 1, counted from 0
-
-    def at(q: float):
-        place = F.lit(q) * (F.col("n") - 1)
-        low = F.floor(place)
-        has = lambda r: (first <= r) & (r < F.col("upto"))
-        return low, place - low, has
-
-    aggs, out = [], {}
-    for name, q in (("q1", 0.25), ("q3", 0.75)):
-        low, share, has = at(q)
-        aggs += [F.max(F.when(has(low), F.col("x"))).alias(f"{name}_low"), F.max(F.when(has(F.least(low + 1, F.col("n") - 1)), F.col("x"))).alias(f"{name}_high"), F.max(share).alias(f"{name}_share")]
-        out[name] = F.when(F.col(f"{name}_share") == 0, F.col(f"{name}_low")).otherwise((1 - F.col(f"{name}_share")) * F.col(f"{name}_low") + F.col(f"{name}_share") * F.col(f"{name}_high"))
-    got = ranked.groupBy("column", "n", "least", "greatest").agg(*aggs)
-    return got.select("column", "n", out["q1"].alias("q1"), out["q3"].alias("q3"), "least", "greatest")
-
-
-def fences(df: DataFrame, columns: list[str]) -> DataFrame:
+    wanted = {(c, r): (*ends[c], r) for c in columns for r in ranks[c]}  # interval, and the rank inside it
+    sizes: dict[tuple[str, int], int] = {}
+    out: dict[tuple[str, int], float] = {}
+    while True:
+        out |= {k: lo for k, (lo, hi, _) in wanted.items() if lo == hi}
+        wanted = {k: w for k, w in wanted.items() if k not in out}
+        if not wanted:
+            return out
+        spans = sorted({(k[0], lo, hi, sizes.get(k, few + 1) <= few) for k, (lo, hi, _) in wanted.items()})
+        cells = []
+        for i, (c, lo, hi, last) in enumerate(spans):
+            x = col(c)
+            # Halved, so that the width of any interval is finite.
+            place = F.least(F.floor((_finite(x) / 2 - max(lo, -sys.float_info.max) / 2) / (min(hi, sys.float_info.max) / 2 - max(lo, -sys.float_info.max) / 2) * bins), F.lit(bins - 1)).cast("int")
+            # The values of a small interval are keys themselves, one by one.
+            cells.append(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), (F.lit(0) if last else place).alias("bin"), (x if last else F.lit(0.0)).alias("v"), x.alias("x"))))
+        got = numbers.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin", "v").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        by_span: dict[int, list] = {}
+        for r in sorted(got.collect(), key=lambda r: (r["i"], r["bin"], r["v"])):
+            by_span.setdefault(r["i"], []).append(r)
+        at = {s[:3]: i for i, s in enumerate(spans)}
+        for k, (lo, hi, rank) in list(wanted.items()):
+            for r in by_span[at[(k[0], lo, hi)]]:
+                if rank < r["n"]:
+                    wanted[k], sizes[k] = (r["lo"], r["hi"], rank), r["n"]
+                    break
+                rank -= r["n"]
+
+
+def numbers_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns' numbers, written once for the passes that read them."""
+    return cut(spread(df.select(*[try_number(col(c)).alias(c) for c in columns])))
+
+
+def quartiles(numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """From numbers_of: (column, n, q1, q3, least, greatest) of columns that have numbers, exact and interpolated, by a few passes."""
+    one = numbers.agg(*[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    known = {c: (one[f"n{i}"], one[f"lo{i}"], one[f"hi{i}"]) for i, c in enumerate(columns) if one[f"n{i}"]}
+    places = {(c, q): divmod((known[c][0] - 1) * q, 4) for c in known for q in (1, 3)}  # rank and quarters towards the next
+    ranks = {c: sorted({min(places[c, q][0] + more, known[c][0] - 1) for q in (1, 3) for more in (0, 1)}) for c in known}
+    found = selected(numbers, list(known), ranks, {c: known[c][1:] for c in known})
+
+    def at(c: str, q: int) -> float:
+        rank, share = places[c, q]
+        low, high = found[c, rank], found[c, min(rank + 1, known[c][0] - 1)]
+        return low if not share else (1 - share / 4) * low + share / 4 * high
+
+    rows = [(c, n, at(c, 1), at(c, 3), lo, hi) for c, (n, lo, hi) in known.items()]
+    return numbers.sparkSession.createDataFrame(rows, "column string, n long, q1 double, q3 double, least double, greatest double")
+
+
+def fences(df: DataFrame, columns: list[str], numbers: DataFrame | None = None) -> DataFrame:
     """(column, n, q1, q3, low, high, least, greatest) of numeric columns with 4 values or more and a spread."""
-    out = cut(quartiles(number_freq(df, columns))).where("n >= 4 and q3 <> q1")
+    out = quartiles(numbers_of(df, columns) if numbers is None else numbers, columns).where("n >= 4 and q3 <> q1")
     gap = (F.col("q3") - F.col("q1")) * FENCE
     return out.withColumn("low", F.col("q1") - gap).withColumn("high", F.col("q3") + gap)
 
 
 def iqr_outliers(df: DataFrame, row_id: str, columns: list[str], known: DataFrame | None = None) -> DataFrame:
-    """(column, row_id, value) of every value outside its column's fences; the fences, known or not, are a row a column."""
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), try_number(col(n)).alias("value")) for n in columns])
-    rows = df.select(col(row_id).alias("row_id"), F.inline(cells)).where("value is not null")
-    return rows.join(F.broadcast((fences(df, columns) if known is None else known).select("column", "low", "high")), "column").where("value < low or value > high").select("column", "row_id", "value")
+    """(column, row_id, value) of every value outside its column's fences. The fences, known or not, are a row a column; they stand in the projection, so only outliers become rows."""
+    limits = {r["column"]: (r["low"], r["high"]) for r in (fences(df, columns) if known is None else known).select("column", "low", "high").collect()}
+    names = [n for n in columns if n in limits]
+    numbers = df.select(col(row_id).alias("row_id"), *[try_number(col(n)).alias(f"x{i}") for i, n in enumerate(names)])
+    cells = [F.when(~F.col(f"x{i}").between(*limits[n]), F.struct(F.lit(n).alias("column"), F.col(f"x{i}").alias("value"))) for i, n in enumerate(names)]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, row_id long, value double")
+    return numbers.select("row_id", F.inline(F.array_compact(F.array(*cells)))).select("column", "row_id", "value")
+
+
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """fences with the outliers of each column; the numbers are read from the text once."""
+    numbers = numbers_of(df, columns)
+    known = fences(df, columns, numbers)
+    limits = [(r["column"], r["low"], r["high"]) for r in known.select("column", "low", "high").collect()]  # a row a column
+    if not limits:
+        return known.withColumn("outliers", F.lit(0).cast("long"))
+    one = numbers.agg(*[F.count_if(~col(c).between(low, high)).alias(f"n{i}") for i, (c, low, high) in enumerate(limits)]).first()
+    found = df.sparkSession.createDataFrame([(c, one[f"n{i}"]) for i, (c, _, _) in enumerate(limits)], "column string, outliers long")
+    return known.join(F.broadcast(found), "column")
 
 
 def iqr_report(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """(column, outliers, rate, q1, q3, low, high): all outliers are counted; the listing is cut only where it is shown."""
-    f = fences(df, columns)
-    n = iqr_outliers(df, row_id, columns, f).groupBy("column").agg(F.count("*").alias("outliers"))
-    out = f.join(n, "column", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    out = counted(df, columns)
     return out.select("column", "outliers", F.round(F.col("outliers") / F.col("n"), 4).alias("rate"), *[F.round(c, 4).alias(c) for c in ("q1", "q3", "low", "high")])
 
 
@@ -109,9 +160,7 @@ def numeric_census(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
         aggs += [F.count_if(try_number(col(n)) < 0).alias(f"m{i}"), F.count_if(digits > 4).alias(f"p{i}")]
     cells = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in (("m", "negatives"), ("p", "noisy"))]) for i, n in enumerate(columns)])
     more = df.agg(*aggs).select(F.inline(cells)).join(number_freq(df, columns).groupBy("column").agg(F.count("*").alias("distinct")), "column")
-    f = fences(df, columns)
-    n = iqr_outliers(df, row_id, columns, f).groupBy("column").agg(F.count("*").alias("outliers"))
-    out = f.join(more, "column").join(n, "column", "left").where("n >= 10 and distinct > 20").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    out = counted(df, columns).join(more, "column").where("n >= 10 and distinct > 20")
     return out.select("column", "outliers", F.round(F.col("outliers") / F.col("n"), 4).alias("rate"), "least", "greatest", "negatives", "noisy")
 
 

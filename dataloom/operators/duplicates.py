@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import col, columns_of, text, text_key, try_number
+from ..sources.shared import spread
 from .completeness import violation_rows
-from .rules import close
+from .rules import BLOCK, RELATIVE, TOLERANCE
 from .schema import conforms, normal_name
 
 KEY_SHARE, MOST_KEYS, SAME, DIVERGED = 0.95, 2, 0.80, 0.01
@@ -53,29 +59,92 @@ def drop_duplicate_rows(df: DataFrame, row_id: str, subset: list[str] | None = N
     return df.join(keep, row_id, "left_semi")
 
 
-def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each column's comparable text as t0, t1, … and number as x0, x1, …, computed once a row whatever the number of pairs."""
-    return df.select(*[text_key(col(c)).alias(f"t{i}") for i, c in enumerate(names)], *[try_number(col(c)).alias(f"x{i}") for i, c in enumerate(names)])
+class PairCounters:
+    """What pairs of columns have in common, filled block by block; the counters of blocks add up.
+
+    A row of many columns costs a sort of its values, not a look at every pair: equal texts, and numbers within the tolerance,
+    stand next to each other in that order, so pairs come up only where columns do hold one value. Rows that both columns of a
+    pair populate are a matrix product.
+    """
+
+    def __init__(self, k: int, absolute: float, relative: float):
+        self.k, self.absolute, self.relative = k, absolute, relative
+        self.both, self.same, self.numbers, self.near = (np.zeros((k, k), np.int64) for _ in range(4))
+
+    def _count(self, out: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        out += np.bincount(left * self.k + right, minlength=self.k * self.k).reshape(self.k, self.k)
+
+    @staticmethod
+    def _ordered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, values) of each row by value; a row of x a column."""
+        rows = np.ascontiguousarray(x.T)
+        order = np.argsort(rows, axis=1)
+        return np.ascontiguousarray(order.T), np.ascontiguousarray(np.take_along_axis(rows, order, 1).T)
+
+    def add(self, code: np.ndarray, x: np.ndarray) -> None:
+        """code: equal numbers for equal texts, -1 for none; x: numbers, NaN for none; a row a column in both."""
+        there = (code >= 0).astype(np.float32)
+        self.both += (there @ there.T).astype(np.int64)
+        order, ranked = self._ordered(code)
+        for step in range(1, self.k):
+            hit = (ranked[step:] == ranked[:-step]) & (ranked[step:] >= 0)
+            if not hit.any():
+                break
+            a, b = order[:-step][hit], order[step:][hit]
+            self._count(self.same, a, b)
+            self._count(self.same, b, a)
+        there = (~np.isnan(x)).astype(np.float32)
+        self.numbers += (there @ there.T).astype(np.int64)
+        order, ranked = self._ordered(x)  # NaN comes last
+        for step in range(1, self.k):
+            low, high = ranked[:-step], ranked[step:]
+            with np.errstate(invalid="ignore"):
+                gap = high - low
+                hit = gap <= self.absolute + self.relative * np.maximum(np.abs(low), np.abs(high))
+            if not hit.any():
+                break
+            a, b, gap, low, high = order[:-step][hit], order[step:][hit], gap[hit], low[hit], high[hit]
+            for left, right, y in ((a, b, high), (b, a, low)):  # the tolerance is the right column's
+                close_ = gap <= self.absolute + self.relative * np.abs(y)
+                self._count(self.near, left[close_], right[close_])
+
+
+def pair_counters(df: DataFrame, names: list[str], absolute: float = TOLERANCE, relative: float = RELATIVE, blank: bool = False) -> DataFrame:
+    """(i, j, n, t, c, e) of every two of the columns, by their places in names: rows that both populate, with equal text, with
+    two numbers, with numbers alike. One scan whatever the number of columns; a task sends a row a pair. With blank, null is an empty text."""
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = PairCounters(k, absolute, relative)
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                cells = pc.dictionary_encode(pa.concat_arrays([c.cast(pa.large_string()) for c in part.columns[:k]]))
+                code = pc.fill_null(cells.indices, -1).to_numpy().reshape(k, part.num_rows)
+                found.add(code, np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns[k:]]))
+        i, j = np.nonzero(~np.eye(k, dtype=bool))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(m[i, j] for m in (found.both, found.same, found.numbers, found.near)))], list("ijntce"))
+
+    values = spread(df.select(*[text(col(c)).alias(f"v{i}") for i, c in enumerate(names)]))
+    keys = [text_key(F.col(f"v{i}")) for i in range(k)]
+    rows = values.select(*[(F.coalesce(t, F.lit("")) if blank else t).alias(f"t{i}") for i, t in enumerate(keys)], *[try_number(F.col(f"v{i}")).alias(f"x{i}") for i in range(k)])
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in "ijntce")).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "ntce"])
+
+
+def _named(counters: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    at = {c: i for i, c in enumerate(names)}
+    wanted = counters.sparkSession.createDataFrame([(a, b, at[a], at[b]) for a, b in pairs], "left string, right string, i long, j long")
+    return counters.join(F.broadcast(wanted), ["i", "j"])
 
 
-def similarity(df: DataFrame, pairs: list[tuple[str, str]], chunk: int = 40) -> DataFrame:
-    """(left, right, text_share, numeric_share, similarity) for pairs of columns; counters of many pairs share a scan.
+def similarity(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(left, right, text_share, numeric_share, similarity) for pairs of columns.
 
     text_share: equal stripped lower-case text where both are populated. numeric_share: equal numbers where both read as
     numbers, times the share of jointly populated rows that do. similarity is the greater.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
-    at_ = {c: i for i, c in enumerate(names)}
-    out, keyed = None, _keyed(df, names)
-    for at in range(0, len(pairs), chunk):
-        part, aggs = pairs[at:at + chunk], []
-        for i, (a, b) in enumerate(part):
-            t, u, x, y = (F.col(f"{k}{at_[c]}") for k in "tx" for c in (a, b))
-            numbers = x.isNotNull() & y.isNotNull()
-            aggs += [F.count_if(t.isNotNull() & u.isNotNull()).alias(f"n{i}"), F.count_if(t == u).alias(f"t{i}"), F.count_if(numbers).alias(f"c{i}"), F.count_if(numbers & close(x, y)).alias(f"e{i}")]
-        cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"{k}{i}").alias(k) for k in "ntce"]) for i, (a, b) in enumerate(part)])
-        rows = keyed.agg(*aggs).select(F.inline(cells))
-        out = rows if out is None else out.unionByName(rows)
+    out = _named(pair_counters(df, names), names, pairs)
     t, n = F.col("t") / F.col("n"), F.when(F.col("c") > 0, F.col("e") / F.col("c") * F.col("c") / F.col("n"))
     out = out.where("n > 0").select("left", "right", F.round(t, 4).alias("text_share"), F.round(F.coalesce(n, F.lit(0.0)), 4).alias("numeric_share"))
     return out.withColumn("similarity", F.greatest("text_share", "numeric_share"))
@@ -88,21 +157,17 @@ def all_pairs(df: DataFrame, row_id: str) -> list[tuple[str, str]]:
 
 def column_groups(similar: DataFrame, least: float = SAME) -> DataFrame:
     """(column, group): connected components of columns over pairs of at least `least`; group is the first name. Rows are pairs of columns of one table."""
-    edges = similar.where(F.col("similarity") >= least).select("left", "right")
-    both = edges.union(edges.select("right", "left")).toDF("a", "b").persist()
-    labels = both.select(F.col("a").alias("column")).distinct().withColumn("group", F.col("column"))
-    before = None
-    while True:
-        step = labels.join(both, labels["column"] == both["a"]).groupBy("b").agg(F.min("group").alias("g"))
-        labels = labels.join(step, labels["column"] == step["b"]).select("column", F.least("group", "g").alias("group"))
-        now = sorted(map(tuple, labels.collect()))  # one row a column
-        if now == before:
-            break
-        before, labels = now, similar.sparkSession.createDataFrame(now, "column string, group string") if now else labels
-        if not now:
-            break
-    both.unpersist()
-    return labels
+    up: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while up.setdefault(c, c) != c:
+            c = up[c]
+        return c
+
+    for r in similar.where(F.col("similarity") >= least).select("left", "right").collect():
+        a, b = sorted((root(r["left"]), root(r["right"])))
+        up[b] = a
+    return similar.sparkSession.createDataFrame([(c, root(c)) for c in sorted(up)], "column string, group string")
 
 
 def elect_survivors(groups: DataFrame, coherence: DataFrame, rates: DataFrame) -> DataFrame:
@@ -144,14 +209,9 @@ def divergence_violations(df: DataFrame, survivor: str, siblings: list[str]) ->
 def census_pairs(df: DataFrame, row_id: str, least: float = 0.90) -> DataFrame:
     """(left, right, text_share, numeric_share): pairs alike in 0.9 of all rows as text, or of the rows where both are numbers."""
     names = columns_of(df, row_id)
-    at = {c: i for i, c in enumerate(names)}
-    pairs, aggs = all_pairs(df, row_id), [F.count("*").alias("n")]
-    for i, (a, b) in enumerate(pairs):
-        t, u, x, y = (F.col(f"{k}{at[c]}") for k in "tx" for c in (a, b))
-        blank = F.lit("")
-        aggs += [F.count_if(F.coalesce(t, blank) == F.coalesce(u, blank)).alias(f"t{i}"), F.count(x + y).alias(f"c{i}"), F.count_if(F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)).alias(f"e{i}")]
-    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"{k}{i}").alias(k) for k in "tce"]) for i, (a, b) in enumerate(pairs)])
-    out = _keyed(df, names).agg(*aggs).select("n", F.inline(cells)).select("left", "right", (F.col("t") / F.col("n")).alias("t"), F.when(F.col("c") > 0, F.col("e") / F.col("c")).alias("e"))
+    n = df.count()
+    counted = _named(pair_counters(df, names, 1e-8, 1e-5, blank=True), names, all_pairs(df, row_id))
+    out = counted.select("left", "right", (F.col("t") / n).alias("t"), F.when(F.col("c") > 0, F.col("e") / F.col("c")).alias("e"))
     return out.where(F.greatest("t", "e") >= least).select("left", "right", F.round("t", 4).alias("text_share"), F.round("e", 4).alias("numeric_share"))
 
 

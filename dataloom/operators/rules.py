@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import is_period
 from ..functions.values import col, strip, text, text_key, try_number
+from ..sources.shared import spread
 from .completeness import violation_rows
 
 MOST_PREDICTORS, USABLE = 8, 0.2
@@ -14,6 +19,8 @@ LEAST_PURITY, LEAST_GROUPS = 0.9, 3
 HINT_PURITY, HINT_COVERAGE, LEAST_FILL = 0.95, 0.5, 0.1
 TOLERANCE, RELATIVE = 0.011, 1e-9
 LEAST_ROWS, LEAST_DISTINCT, MOST_NUMERIC = 30, 5, 16
+#: Rows that are counted together.
+BLOCK = 8192
 
 
 def usable(profile: DataFrame, temporal: list[str] = ()) -> DataFrame:
@@ -23,14 +30,14 @@ def usable(profile: DataFrame, temporal: list[str] = ()) -> DataFrame:
     return profile.where(ok | is_t).select("column", (F.col("distinct") / F.col("populated")).alias("ratio"), (~is_t).alias("as_target"))
 
 
-def candidate_predictors(usable_columns: DataFrame, related: dict[str, list[str]] | None = None) -> DataFrame:
-    """(target, predictor, rank): supplied related columns first, then up to 8 nearest in cardinality ratio, ties by name.
+def candidate_predictors(usable_columns: DataFrame, related: dict[str, list[str]] | None = None, most: int = MOST_PREDICTORS) -> DataFrame:
+    """(target, predictor, rank): supplied related columns first, then up to `most` nearest in cardinality ratio, ties by name.
 
     A self join of the columns of a table, a few hundred rows at most.
     """
     t, p = usable_columns.where("as_target"), usable_columns
     pairs = t.select(F.col("column").alias("target"), F.col("ratio").alias("tr")).join(F.broadcast(p.select(F.col("column").alias("predictor"), "ratio")), F.col("target") != F.col("predictor"))
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(F.abs(F.col("ratio") - F.col("tr")), "predictor"))).where(F.col("n") <= MOST_PREDICTORS)
+    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(F.abs(F.col("ratio") - F.col("tr")), "predictor"))).where(F.col("n") <= most)
     out = near.select("target", "predictor", (F.col("n") + 1000).alias("n"))
     given = [(a, b, i) for a, bs in (related or {}).items() for i, b in enumerate(bs)]
     if given:
@@ -102,51 +109,98 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= TOLERANCE + RELATIVE * F.abs(b)
 
 
-def magnitudes(df: DataFrame, row_id: str) -> list[str]:
-    """Up to 16 columns, in order, that read as numbers in 30 rows and half of all rows; one small aggregate."""
+def magnitudes(df: DataFrame, row_id: str, most: int = MOST_NUMERIC) -> list[str]:
+    """Up to `most` columns, in order, that read as numbers in 30 rows and half of all rows; one small aggregate."""
     names = [n for n, t in df.dtypes if n != row_id and not t.startswith(("timestamp", "date", "boolean"))]
     got = df.agg(F.count("*").alias("n"), *[F.count(try_number(col(n))).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    return [n for i, n in enumerate(names) if got[f"c{i}"] >= LEAST_ROWS and got[f"c{i}"] >= 0.5 * got["n"]][:MOST_NUMERIC]
+    return [n for i, n in enumerate(names) if got[f"c{i}"] >= LEAST_ROWS and got[f"c{i}"] >= 0.5 * got["n"]][:most]
+
+
+class TripleCounters:
+    """Counters of all tests a = b - c and a = b + c among columns of numbers, filled block by block; those of blocks add up.
+
+    n: rows with all three; m: rows that agree within the tolerance; s: rows where b and c are alike, so that their difference
+    says nothing. Of a, b, c and the expected value a few distinct values are kept, as many as decide.
+    """
+
+    def __init__(self, names: list[str], kept: int = LEAST_DISTINCT):
+        k = len(names)
+        self.k, self.kept = k, kept
+        self.sides = [(b, c, op) for b in range(k) for c in range(k) if b != c for op in "-+" if op == "-" or names[b] < names[c]]
+        self.counts = np.zeros((len(self.sides), k, 3), np.int64)
+        self.values: dict[tuple, set[float]] = {}
+
+    def _keep(self, key: tuple, x: np.ndarray) -> None:
+        have = self.values.setdefault(key, set())
+        if len(have) < self.kept:
+            have.update(x[:64].tolist())
+            if len(have) < self.kept:
+                have.update(np.unique(x).tolist())
+            if len(have) > self.kept:
+                self.values[key] = set(sorted(have)[:self.kept])
+
+    def add(self, x: np.ndarray) -> None:
+        """x: a row a column, NaN where there is no number."""
+        there = ~np.isnan(x)
+        as_number = there.astype(np.float32)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for i, (b, c, op) in enumerate(self.sides):
+                both = there[b] & there[c]
+                if not both.any():
+                    continue
+                e = x[b] - x[c] if op == "-" else x[b] + x[c]
+                self.counts[i, :, 0] += (as_number @ both.astype(np.float32)).astype(np.int64)
+                self.counts[i, :, 1] += (np.abs(x - e) <= TOLERANCE + RELATIVE * np.abs(e)).sum(axis=1)
+                alike = both & (np.abs(x[b] - x[c]) <= TOLERANCE + RELATIVE * np.abs(x[c]))
+                self.counts[i, :, 2] += (as_number @ alike.astype(np.float32)).astype(np.int64)
+                for a in range(self.k):
+                    if a in (b, c) or all(len(self.values.get((a, b, c, op, v), ())) >= self.kept for v in "abce"):
+                        continue
+                    at = both & there[a]
+                    for v, y in zip("abce", (x[a], x[b], x[c], e), strict=True):
+                        self._keep((a, b, c, op, v), y[at])
+
+    def rows(self) -> Iterator[tuple]:
+        for i, (b, c, op) in enumerate(self.sides):
+            for a in range(self.k):
+                if a not in (b, c) and self.counts[i, a, 0]:
+                    yield (a, b, c, op, *map(int, self.counts[i, a]), *(sorted(self.values[(a, b, c, op, v)]) for v in "abce"))
 
 
 def identities(df: DataFrame, columns: list[str], least: float = LEAST_PURITY) -> DataFrame:
     """(target, left, operator, right, agreement): a = b - c or a = b + c among the columns, one identity a set of three.
 
-    Of the ways to write one, that of higher agreement counts, then the one whose target comes later. First all triples in
-    one aggregation over one scan; exact distinct counts only for those that pass.
+    Of the ways to write one, that of higher agreement counts, then the one whose target comes later. All tests are counted in
+    one scan: each task adds its blocks up, and Spark adds the tasks up, a row a test.
     """
     spark, names = df.sparkSession, list(columns)
-    x = df.select(*[try_number(col(n)).alias(f"x{i}") for i, n in enumerate(names)])
-    tests = [(a, b, c, op) for a in range(len(names)) for b in range(len(names)) for c in range(len(names)) if len({a, b, c}) == 3 for op in "-+" if op == "-" or names[b] < names[c]]
-
-    def expected(b, c, op):
-        return F.col(f"x{b}") - F.col(f"x{c}") if op == "-" else F.col(f"x{b}") + F.col(f"x{c}")
-
-    found = []
-    for at in range(0, len(tests), 60):  # wide aggregations fall out of code generation
-        part = tests[at:at + 60]
-        aggs = []
-        for i, (a, b, c, op) in enumerate(part):
-            e = expected(b, c, op)
-            aggs += [F.count(F.col(f"x{a}") + e).alias(f"n{i}"), F.count_if(close(F.col(f"x{a}"), e)).alias(f"m{i}"), F.count_if(close(F.col(f"x{b}"), F.col(f"x{c}")) & F.col(f"x{a}").isNotNull()).alias(f"s{i}")]
-        got = x.agg(*aggs).first()
-        found += [(*t, got[f"m{i}"] / got[f"n{i}"]) for i, t in enumerate(part) if got[f"n{i}"] >= LEAST_ROWS and got[f"m{i}"] >= least * got[f"n{i}"] and got[f"s{i}"] <= LEAST_PURITY * got[f"n{i}"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = TripleCounters(names)
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                counters.add(np.stack([c.slice(at, BLOCK).to_numpy(zero_copy_only=False).astype(float) for c in b.columns]))
+        rows = list(counters.rows())
+        kinds = [pa.int32()] * 3 + [pa.string()] + [pa.int64()] * 3 + [pa.list_(pa.float64())] * 4
+        fields = "a b c op n m s va vb vc ve".split()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], fields)
+
+    x = spread(df.select(*[try_number(col(n)).alias(f"x{i}") for i, n in enumerate(names)]))
+    some = lambda v: F.size(F.array_distinct(F.flatten(F.collect_list(v)))).alias(v)
+    kind = "a int, b int, c int, op string, n long, m long, s long, va array<double>, vb array<double>, vc array<double>, ve array<double>"
+    counted = x.mapInArrow(run, kind).groupBy("a", "b", "c", "op").agg(*[F.sum(v).alias(v) for v in "nms"], *map(some, ("va", "vb", "vc", "ve")))
+    good = counted.where((F.col("n") >= LEAST_ROWS) & (F.col("m") >= least * F.col("n")) & (F.col("s") <= LEAST_PURITY * F.col("n")))
+    found = good.collect() if len(names) > 2 else []  # a row an identity
+    plain = {(r["a"], r["b"], r["c"]) for r in found if r["op"] == "-"}
     best: dict[frozenset, tuple] = {}
-    if found:
-        aggs = []
-        for i, (a, b, c, op, _) in enumerate(found):
-            e = expected(b, c, op)
-            every = (F.col(f"x{a}") + e).isNotNull()
-            aggs += [F.count_distinct(F.when(every, v)).alias(f"{k}{i}") for k, v in (("a", F.col(f"x{a}")), ("b", F.col(f"x{b}")), ("c", F.col(f"x{c}")), ("e", e))]
-        got = x.agg(*aggs).first()
-        plain = {(a, b, c) for a, b, c, op, _ in found if op == "-"}
-        for i, (a, b, c, op, p) in enumerate(found):
-            if got[f"a{i}"] < LEAST_DISTINCT or got[f"e{i}"] < LEAST_DISTINCT or got[f"b{i}"] <= 1 or got[f"c{i}"] <= 1 or (op == "+" and (a, b, c) in plain):
-                continue
-            key, now = frozenset((a, b, c)), (round(p, 4), a)
-            if key not in best or now > (round(best[key][4], 4), best[key][0]):
-                best[key] = (a, b, c, op, p)
-    rows = [(names[a], names[b], op, names[c], round(p, 4)) for a, b, c, op, p in sorted(best.values())]
+    for r in sorted(found, key=lambda r: (r["a"], r["b"], r["c"], r["op"])):
+        a, b, c, op, p = r["a"], r["b"], r["c"], r["op"], r["m"] / r["n"]
+        if r["va"] < LEAST_DISTINCT or r["ve"] < LEAST_DISTINCT or r["vb"] <= 1 or r["vc"] <= 1 or (op == "+" and (a, b, c) in plain):
+            continue
+        key = frozenset((a, b, c))
+        if key not in best or (round(p, 4), a) > (round(best[key][4], 4), best[key][0]):
+            best[key] = (a, b, op, c, p)
+    rows = [(names[a], names[b], op, names[c], round(p, 4)) for a, b, op, c, p in sorted(best.values())]
     return spark.createDataFrame(rows, "target string, left string, operator string, right string, agreement double")
 
 

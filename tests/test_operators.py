@@ -341,13 +341,68 @@ def test_exact_quartiles_over_many_tasks(spark):
     r = np.random.default_rng(2)
     rows = [(i, str(round(float(r.normal()), 3)), str(int(r.integers(0, 5))), "x" if i % 3 else "7") for i in range(1000)]
     df = spark.createDataFrame(rows, "row_id long, a string, b string, c string").repartition(7)
-    got = {x["column"]: (x["n"], x["q1"], x["q3"]) for x in anomalies.quartiles(anomalies.number_freq(df, ["a", "b", "c"])).collect()}
+    got = {x["column"]: (x["n"], x["q1"], x["q3"]) for x in anomalies.quartiles(anomalies.numbers_of(df, ["a", "b", "c"]), ["a", "b", "c"]).collect()}
     for k, c in enumerate("abc", 1):
         v = [float(x[k]) for x in rows if x[k] != "x"]
         n, q1, q3 = got[c]
         assert n == len(v) and abs(q1 - np.percentile(v, 25)) < 1e-12 and abs(q3 - np.percentile(v, 75)) < 1e-12
 
 
+def test_selection_of_ranks(spark, monkeypatch):
+    """Every rank, with few bins and nothing fetched value by value: ties, both ends, extremes that no double difference holds."""
+    from dataloom.operators import anomalies
+    r = random.Random(8)
+    v = sorted([r.choice([1.5, 1.5, 2.0, r.random(), -1e308, 1e308, 1e-300, r.randrange(10)]) + 0.0 for _ in range(60)])
+    numbers = spark.createDataFrame([(float(x),) for x in r.sample(v, len(v))], "a double").repartition(3)
+    got = anomalies.selected(numbers, ["a"], {"a": list(range(60))}, {"a": (v[0], v[-1])}, bins=4, few=2)
+    assert [got["a", k] for k in range(60)] == v
+
+
+def test_identities_are_those_of_all_tests(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        a, b, d = r.randrange(1000), r.randrange(1000), r.randrange(3)
+        rows.append((float(a), float(b) if i % 9 else None, float(a + b) if i % 20 else 7.0, float(d), float(a - d) if r.random() < 0.95 else -1.0, 5.0))
+    df = frame(spark, [tuple(None if x is None else str(x) for x in row) for row in rows], "a string, b string, c string, d string, e string, k string")
+    names = ["a", "b", "c", "d", "e", "k"]
+    best = {}
+    for x, t in enumerate(names):
+        for y, left in enumerate(names):
+            for z, right in enumerate(names):
+                if len({x, y, z}) < 3:
+                    continue
+                for op in "-+":
+                    if op == "+" and left > right:
+                        continue
+                    full = [(p[x], p[y], p[z], p[y] - p[z] if op == "-" else p[y] + p[z]) for p in rows if None not in (p[x], p[y], p[z])]
+                    close = lambda u, w: abs(u - w) <= rules.TOLERANCE + rules.RELATIVE * abs(w)
+                    m, s = sum(close(u, e) for u, _, _, e in full), sum(close(v, w) for _, v, w, _ in full)
+                    if len(full) >= 30 and m >= 0.9 * len(full) and s <= 0.9 * len(full) and len({u for u, *_ in full}) >= 5 and len({e for *_, e in full}) >= 5 and len({v for _, v, _, _ in full}) > 1 and len({w for _, _, w, _ in full}) > 1:
+                        now = (round(m / len(full), 4), x)
+                        if frozenset((x, y, z)) not in best or now > best[frozenset((x, y, z))]:
+                            best[frozenset((x, y, z))] = now
+    got = {frozenset(map(names.index, (g["target"], g["left"], g["right"]))): (g["agreement"], names.index(g["target"])) for g in rules.identities(df.repartition(5), names).collect()}
+    assert got == best and len(best) >= 2
+
+
+def test_pairs_of_many_columns(spark):
+    """300 columns: what is counted by order equals what is counted pair by pair."""
+    r = random.Random(10)
+    k = 300
+    rows = [[r.choice([None, "a ", "A", "1.0", "1", "1.005", "2", f"v{r.randrange(50)}"]) for _ in range(k)] for _ in range(12)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "row_id long, " + ", ".join(f"c{j} string" for j in range(k))).repartition(3)
+    got = {(x["i"], x["j"]): (x["n"], x["t"], x["c"], x["e"]) for x in duplicates.pair_counters(df, [f"c{j}" for j in range(k)]).collect()}
+    assert len(got) == k * (k - 1)
+    key = lambda v: v if v is None else v.strip().lower()
+    num = lambda v: float(v) if v and v[0].isdigit() else None
+    for i, j in [(r.randrange(k), r.randrange(k)) for _ in range(400)]:
+        if i != j:
+            both = [(row[i], row[j]) for row in rows if row[i] is not None and row[j] is not None]
+            numbers = [(num(a), num(b)) for a, b in both if num(a) is not None and num(b) is not None]
+            assert got[i, j] == (len(both), sum(key(a) == key(b) for a, b in both), len(numbers), sum(abs(a - b) <= rules.TOLERANCE + rules.RELATIVE * abs(b) for a, b in numbers))
+
+
 def test_precision_zero_makes_integers(spark):
     from dataloom.operators import repair
     df = spark.createDataFrame([("1.0", "1.5"), ("2.0", None)], "a string, b string")
