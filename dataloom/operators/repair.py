@@ -17,6 +17,7 @@ from ..functions.values import col, strip, text, text_key, try_number, value_fre
 from ..sources.shared import cut
 from . import audit
 from .duplicates import drop_duplicate_rows
+from .pair_statistics import key_of
 from .profile import castable
 from .rules import dominant, pair_counts, period_part, well_formed
 from .schema import conforms, normal_name
@@ -156,14 +157,15 @@ def safe_casts(df: DataFrame, dtypes: dict[str, str], precisions: dict[str, int
     return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
 
-def impute(df: DataFrame, target: str, predictor: str, mapping: DataFrame, normalized: bool = False) -> DataFrame:
-    """df with null targets taken from mapping (key, value) by the predictor, 'a|b' for two; keys are normalised as they were when mined."""
-    parts = predictor.split("|") if predictor not in df.columns else [predictor]
-    key = F.when(F.concat(*[text(col(p)) for p in parts]).isNotNull(), F.concat_ws("|", *[text_key(col(p)) if normalized else text(col(p)) for p in parts]))
+def impute(df: DataFrame, target: str, predictor: str, mapping: DataFrame, normalized: bool = False, temporal=()) -> DataFrame:
+    """df with null targets taken from mapping (key, value) by the predictor, 'a|b' for two; keys are made as they were when mined."""
+    key = key_of(predictor, frozenset(temporal), df.columns)
+    key = text_key(key) if normalized else key
+    tag = f"__{uuid.uuid4().hex[:8]}"
     # Rows that need nothing join with nothing, so a frequent key is no hot spot.
-    m = mapping.select(F.col("key").alias("__key"), F.col("value").alias("__value"))
-    out = df.join(m, F.when(col(target).isNull(), key) == F.col("__key"), "left")
-    return out.select(*[F.coalesce(text(col(target)), F.col("__value")).alias(target) if c == target else col(c) for c in df.columns])
+    m = mapping.select(F.col("key").alias(f"{tag}k"), F.col("value").alias(f"{tag}v"))
+    out = df.join(m, F.when(col(target).isNull(), key) == F.col(f"{tag}k"), "left")
+    return out.select(*[F.coalesce(text(col(target)), F.col(f"{tag}v")).alias(target) if c == target else col(c) for c in df.columns])
 
 
 def vectorised(function: Callable, most: int = CACHED) -> Callable[[Column], Column]:
@@ -263,7 +265,7 @@ def apply_operation(df: DataFrame, row_id: str, op: Operation, hints: dict[str,
     if op.kind == "cast_dtype":
         return safe_cast(df, op.column, op.args["dtype"], op.args.get("precision"))
     if op.kind == "impute_from_lookup":
-        return impute(df, op.column, op.args["predictor"], hints[op.column], op.args.get("normalized", False)) if hints and op.column in hints else df
+        return impute(df, op.column, op.args["predictor"], hints[op.column], op.args.get("normalized", False), op.args.get("temporal", ())) if hints and op.column in hints else df
     if op.kind == "collapse_casing":
         return collapse_casing(df, casing_map(value_freq(df, row_id, [op.column]), op.args.get("enums")), [op.column])
     new = rewritten(op, col(op.column))

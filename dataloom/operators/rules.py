@@ -249,38 +249,20 @@ def contested(df: DataFrame, row_id: str, period: str, parts: dict[str, str]) ->
     return violation_rows(found, "column", F.col("row_id"), F.col("value"), F.col("said"), "consistency", F.lit(1))
 
 
-def single_hints(df: DataFrame, pairs: list[tuple[str, str]], normalized: bool) -> tuple[DataFrame, DataFrame]:
-    """(hints, mapping) of dependencies that can fill a target's nulls.
+def hints_from(counts: DataFrame, gaps: DataFrame, normalized: bool) -> tuple[DataFrame, DataFrame]:
+    """(hints, mapping) from pair_counts and gaps (predictor, target, key, rows), the rows whose target is null.
 
-    hints (target, predictor, normalized, purity, coverage): purity, the share of rows at their key's dominant value, of 0.95 or
-    more; coverage, the share of null targets whose key maps, of 0.5 or more. mapping (target, predictor, key, value) has keys
-    whose own dominant share is 0.95 or more.
+    hints (target, predictor, normalized, purity, coverage): purity, the share of rows at their key's dominant value, or for two
+    predictors the share of keys with one value only, of 0.95 or more; coverage, the share of null targets whose key maps, of
+    0.5 or more. mapping (target, predictor, key, value) has keys whose own dominant share is 0.95 or more.
     """
-    key = {p: text_key(col(p)) for p, _ in pairs} if normalized else {}
-    d = dominant(pair_counts(df, pairs, key))
-    pure = d.groupBy("predictor", "target").agg((F.sum("top_cnt") / F.sum("size")).alias("purity")).where(F.col("purity") >= HINT_PURITY)
-    mapping = d.join(F.broadcast(pure), ["predictor", "target"]).where(F.col("top_cnt") >= HINT_PURITY * F.col("size")).select("predictor", "target", "key", F.col("top").alias("value"))
-    cells = F.array(*[F.struct(F.lit(p).alias("predictor"), F.lit(t).alias("target"), key.get(p, text(col(p))).alias("key"), col(t).isNull().alias("missing")) for p, t in pairs])
-    gaps = df.select(F.inline(cells)).where("missing").groupBy("predictor", "target", "key").agg(F.count("*").alias("rows"))
-    cover = gaps.join(mapping, ["predictor", "target", "key"], "left").groupBy("predictor", "target").agg((F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("coverage"))
-    hints = pure.join(cover, ["predictor", "target"]).where(F.col("coverage") >= HINT_COVERAGE)
-    return hints.select("target", "predictor", F.lit(normalized).alias("normalized"), F.round("purity", 4).alias("purity"), F.round("coverage", 4).alias("coverage")), mapping
-
-
-def pair_hints(df: DataFrame, triples: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Like single_hints for two predictors whose key is 'a|b'; purity is the share of keys with one value only."""
-    names = [f"{a}|{b}" for a, b, _ in triples]
-    wide = df.select("*", *[F.when(col(a).isNotNull() & col(b).isNotNull(), F.concat_ws("|", text(col(a)), text(col(b)))).alias(n) for n, (a, b, _) in zip(names, triples, strict=True) if n not in df.columns])
-    pairs = [(n, t) for n, (_, _, t) in zip(names, triples, strict=True)]
-    counts = pair_counts(wide, pairs)
     d = dominant(counts)
-    pure = d.groupBy("predictor", "target").agg((F.count_if(F.col("top_cnt") == F.col("size")) / F.count("*")).alias("purity")).where(F.col("purity") >= HINT_PURITY)
+    share = F.when(F.col("predictor").contains("|"), F.count_if(F.col("top_cnt") == F.col("size")) / F.count("*")).otherwise(F.sum("top_cnt") / F.sum("size"))
+    pure = d.groupBy("predictor", "target").agg(share.alias("purity")).where(F.col("purity") >= HINT_PURITY)
     mapping = d.join(F.broadcast(pure), ["predictor", "target"]).where(F.col("top_cnt") >= HINT_PURITY * F.col("size")).select("predictor", "target", "key", F.col("top").alias("value"))
-    cells = F.array(*[F.struct(F.lit(p).alias("predictor"), F.lit(t).alias("target"), col(p).alias("key"), col(t).isNull().alias("missing")) for p, t in pairs])
-    gaps = wide.select(F.inline(cells)).where("missing").groupBy("predictor", "target", "key").agg(F.count("*").alias("rows"))
     cover = gaps.join(mapping, ["predictor", "target", "key"], "left").groupBy("predictor", "target").agg((F.sum(F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("coverage"))
     hints = pure.join(cover, ["predictor", "target"]).where(F.col("coverage") >= HINT_COVERAGE)
-    return hints.select("target", "predictor", F.lit(False).alias("normalized"), F.round("purity", 4).alias("purity"), F.round("coverage", 4).alias("coverage")), mapping
+    return hints.select("target", "predictor", F.lit(normalized).alias("normalized"), F.round("purity", 4).alias("purity"), F.round("coverage", 4).alias("coverage")), mapping
 
 
 def choose_hints(hints: DataFrame) -> DataFrame:

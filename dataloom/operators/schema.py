@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.values import col, columns_of, text
 from .completeness import SPARSE, fill_rates, violation_rows
@@ -109,10 +115,23 @@ def structural_defects(df: DataFrame, row_id: str, dtypes: dict[str, str] | None
     return out.select("column", F.array_join(d, ",").alias("defects")).where("defects <> ''")
 
 
-def bare_name(c: Column) -> Column:
-    """Lower case, letters without accents, other characters as one underscore."""
-    plain = F.translate(F.lower(c), "àáâãäåèéêëìíîïòóôõöùúûüçñý", "aaaaaaeeeeiiiiooooouuuucny")
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+@functools.lru_cache(maxsize=65_536)
+def _folded(c: str) -> str:
+    """A character without its marks: decomposed, or by its name where it is a letter WITH something that has no decomposition."""
+    base = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
+    named = re.match(r"LATIN (?:SMALL|CAPITAL) LETTER ([A-Z]) WITH ", unicodedata.name(base, "")) if len(base) == 1 else None
+    return named[1].lower() if named else base
+
+
+@F.pandas_udf(StringType())
+def bare_name(names: pd.Series) -> pd.Series:
+    """Lower case, letters of any script without their marks, other characters as one underscore: 'Citt\u00e0 (IT)' as 'citta_it', '\u0141\u00f3d\u017a' as 'lodz'."""
+    def bare(name: str | None) -> str | None:
+        if name is None:
+            return None
+        kept = "".join(map(_folded, name.casefold()))
+        return "_".join("".join(x if unicodedata.category(x)[0] in "LNM" else " " for x in unicodedata.normalize("NFC", kept)).split())
+    return names.map(bare)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,7 +139,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def canonical_match(names: DataFrame, catalogue: DataFrame, least: float = 0.85) -> DataFrame:
-    """(column, canonical_id, how): by exact name, alias, bare name, then the most alike bare name from `least` on.
+    """(column, canonical_id, how): by exact name, alias, bare name (unless nothing of it is left), then the most alike bare name from `least` on.
 
     names: (column); catalogue: (canonical_id, name, alias). Fuzzy matches are those of a comparison of all pairs, sought
     by an exact filter: a likeness of least bounds the edits, so of one more segments of the catalogue's name than there
@@ -131,7 +150,7 @@ def canonical_match(names: DataFrame, catalogue: DataFrame, least: float = 0.85)
     c = catalogue.select("canonical_id", "name", "alias", bare_name(F.col("name")).alias("c_bare"))
     hits = n.join(c, n["column"] == c["name"]).select("column", "canonical_id", F.lit(1).alias("how"), F.lit(1.0).alias("score"))
     hits = hits.unionByName(n.join(c, n["column"] == c["alias"]).select("column", "canonical_id", F.lit(2).alias("how"), F.lit(1.0).alias("score")))
-    hits = hits.unionByName(n.join(c, n["bare"] == c["c_bare"]).select("column", "canonical_id", F.lit(3).alias("how"), F.lit(1.0).alias("score")))
+    hits = hits.unionByName(n.join(c, (n["bare"] == c["c_bare"]) & (n["bare"] != "")).select("column", "canonical_id", F.lit(3).alias("how"), F.lit(1.0).alias("score")))
     slack = 1e-9  # floating-point bounds include their end
     lengths = lambda size: F.sequence(F.ceil(size * least - slack).cast("int"), F.floor(size / least + slack).cast("int"))
     edits = lambda x, y: F.floor(F.greatest(x, y) * (1 - least) + slack).cast("int")

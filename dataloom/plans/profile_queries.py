@@ -334,14 +334,15 @@ def _(s, d):
     return sc.canonical_match(n.select(F.upper("n_name").alias("column")).distinct(), cat)
 
 
-@query("sc_10_fuzzy_match", """WITH p AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'z' AS "column" FROM part),
+@query("sc_10_fuzzy_match", """WITH p AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT substr(name, 1, length(name) - 1) || 'z' AS "column" FROM p UNION SELECT 'q' || substr(name, 2) FROM p),
 b AS (SELECT "column", regexp_replace(regexp_replace(lower("column"), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS bare FROM q), c AS (SELECT name, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS c_bare FROM p),
-m AS (SELECT "column", name, 1 - levenshtein(bare, c_bare) / greatest(length(bare), length(c_bare)) AS s FROM b JOIN c ON substr(bare, 1, 1) = substr(c_bare, 1, 1) WHERE 1 - levenshtein(bare, c_bare) / greatest(length(bare), length(c_bare)) >= 0.85),
-w AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY s DESC, name) AS n FROM m) SELECT "column", name AS canonical_id, 'fuzzy' AS how FROM w WHERE n = 1""")
+m AS (SELECT "column", name, 1 - levenshtein(bare, c_bare) / greatest(length(bare), length(c_bare)) AS s FROM b, c WHERE 1 - levenshtein(bare, c_bare) / greatest(length(bare), length(c_bare)) >= 0.85),
+w AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY s DESC, name) AS n FROM m) SELECT "column", name AS canonical_id, 'fuzzy' AS how FROM w WHERE n = 1 AND "column" NOT IN (SELECT name FROM p)""")
 def _(s, d):
-    p = table(s, d, "part")
-    cat = p.select(F.col("p_name").alias("canonical_id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("alias")).distinct()
-    q = p.select(F.concat(F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit("z")).alias("column")).distinct()
+    """Names with another last letter, and with another first one."""
+    p = table(s, d, "part").select(F.col("p_name").alias("name")).distinct()
+    cat = p.select(F.col("name").alias("canonical_id"), "name", F.lit(None).cast("string").alias("alias"))
+    q = p.select(F.explode(F.array(F.concat(F.expr("substr(name, 1, length(name) - 1)"), F.lit("z")), F.concat(F.lit("q"), F.expr("substr(name, 2)")))).alias("column")).distinct()
     return sc.canonical_match(q, cat).where("how = 'fuzzy'")
 
 

@@ -12,6 +12,7 @@ from ..operators import completeness as cm
 from ..operators import duplicates as du
 from ..operators import formats as fv
 from ..operators import invariants as iv
+from ..operators import pair_statistics as ps
 from ..operators import plan as pl
 from ..operators import repair as rm
 from ..operators import rules as cs
@@ -129,7 +130,7 @@ def _(s, d):
 @query("rm_10_impute", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + " SELECT d0.row_id, coalesce(d0.ente, mp.value) AS ente FROM d0 LEFT JOIN mp ON mp.predictor = 'cod_ente' AND mp.target = 'ente' AND mp.key = d0.cod_ente")
 def _(s, d):
     x = clean_ente(s, d)
-    m = cs.single_hints(x, HINT_PAIRS, False)[1].where("predictor = 'cod_ente' and target = 'ente'")
+    m = ps.single_hints(x, HINT_PAIRS, False)[1].where("predictor = 'cod_ente' and target = 'ente'")
     return rm.impute(x, "ente", "cod_ente", m).select("row_id", "ente")
 
 
@@ -158,10 +159,18 @@ def _(s, d):
     return cell(s, d, Operation("apply_function", "ente", {"function": shouted}))
 
 
-@query("rm_15_check_function", "WITH $F SELECT value, conforming, CASE WHEN conforming THEN 'changes a conforming value' ELSE 'leaves a violating value' END AS issue FROM (SELECT value, regexp_full_match(value, 'L\\d+') AS conforming FROM f WHERE \"column\" = 'ente' AND value IS NOT NULL) WHERE conforming <> (upper(trim(value)) = value)")
+def month_of(value: str) -> str:
+    """A function with a fault of each kind: it changes '1', leaves 'mese 2', fails on 'mese 3' and makes no number of 'mese 4'."""
+    if value == "mese 3":
+        raise ValueError("no month")
+    return {"1": "01", "mese 2": "mese 2", "mese 4": "x"}.get(value, value.split()[-1])
+
+
+@query("rm_15_check_function", r"""WITH $F, w AS (SELECT value, regexp_full_match(value, '\d+') AS conforming FROM f WHERE "column" = 'mese' AND value IS NOT NULL)
+SELECT value, conforming, CASE value WHEN '1' THEN 'changes a conforming value' WHEN 'mese 2' THEN 'leaves a violating value' WHEN 'mese 3' THEN 'ValueError: no month' ELSE 'result is no integer' END AS issue FROM w WHERE value IN ('1', 'mese 2', 'mese 3', 'mese 4')""")
 def _(s, d):
-    f = frequencies(s, d, ["ente"]).where("value is not null").select("value", F.col("value").rlike(r"\AL\d+\z").alias("conforming"))
-    return rm.check_function(f, shouted, "string")
+    f = frequencies(s, d, ["mese"]).where("value is not null").select("value", F.col("value").rlike(r"\A\d+\z").alias("conforming"))
+    return rm.check_function(f, month_of, "integer")
 
 
 @query("rm_16_example_split", r"WITH $F, w AS (SELECT value, regexp_full_match(value, '\d{6}') AS conforming, cnt FROM f WHERE \"column\" = 'rata' AND value IS NOT NULL), r AS (SELECT value, conforming, row_number() OVER (PARTITION BY conforming ORDER BY cnt DESC, value)::INT AS rank FROM w) SELECT * FROM r WHERE rank <= 8".replace('\\"', '"'))

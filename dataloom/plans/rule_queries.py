@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.values import col
 from ..operators import anomalies as an
 from ..operators import duplicates as du
+from ..operators import pair_statistics as ps
 from ..operators import profile as pr
+from ..operators import repair as rm
 from ..operators import rules as cs
 from ..operators.completeness import fill_rates
 from ..sources.dirty import COLUMNS, ROW
@@ -48,10 +50,12 @@ def _(s, d):
     return cs.dependencies(cs.pair_counts(dirty(s, d), PAIRS))
 
 
-@query("cs_03_part_dependency", """WITH g AS (SELECT p_brand AS k, p_type AS v, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT k, max(n) AS top, sum(n) AS size FROM g GROUP BY 1), x AS (SELECT sum(top) / sum(size) AS p, count(*) FILTER (size >= 2) AS groups FROM t)
-SELECT 'p_brand' AS predictor, 'p_type' AS target, round(p, 4) AS purity, groups FROM x WHERE groups >= 3 AND p >= 0.9 AND p < 1""")
+@query("cs_03_part_dependency", """WITH e AS (SELECT p_size::VARCHAR AS k, CASE WHEN p_partkey % 20 = 0 THEN 'other' ELSE 'size ' || p_size END AS v FROM part), g AS (SELECT k, v, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT k, max(n) AS top, sum(n) AS size FROM g GROUP BY 1), x AS (SELECT sum(top) / sum(size) AS p, count(*) FILTER (size >= 2) AS groups FROM t)
+SELECT 'p_size' AS predictor, 'label' AS target, round(p, 4) AS purity, groups FROM x WHERE groups >= 3 AND p >= 0.9 AND p < 1""")
 def _(s, d):
-    return cs.dependencies(cs.pair_counts(table(s, d, "part"), [("p_brand", "p_type")]))
+    """Sizes and their labels, of which one in twenty is another."""
+    x = table(s, d, "part").withColumn("label", F.when(F.col("p_partkey") % 20 == 0, "other").otherwise(F.concat(F.lit("size "), "p_size")))
+    return cs.dependencies(cs.pair_counts(x, [("p_size", "label")]))
 
 
 @query("cs_04_dependency_violations", f"""WITH $D, {DEPENDENCIES}, b AS (SELECT ce.*, dm.top FROM ce JOIN gd ON gd.predictor = ce.predictor AND gd.target = ce.target JOIN dm ON dm.predictor = ce.predictor AND dm.target = ce.target AND dm.key = ce.key WHERE dm.size >= 2 AND ce.value <> dm.top),
@@ -158,12 +162,12 @@ def on_clean(sql: str) -> str:
 
 @query("cs_13_single_hints", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + " SELECT * FROM hn")
 def _(s, d):
-    return cs.single_hints(clean_ente(s, d), HINT_PAIRS, False)[0]
+    return ps.single_hints(clean_ente(s, d), HINT_PAIRS, False)[0]
 
 
 @query("cs_13_mapping", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + " SELECT * FROM mp")
 def _(s, d):
-    return cs.single_hints(clean_ente(s, d), HINT_PAIRS, False)[1]
+    return ps.single_hints(clean_ente(s, d), HINT_PAIRS, False)[1]
 
 
 PAIRED = "d0 AS (SELECT *, CASE WHEN ente IS NOT NULL AND stato IS NOT NULL THEN ente || '|' || stato END AS \"ente|stato\" FROM (SELECT * REPLACE (CASE WHEN ente = 'L99' THEN NULL ELSE upper(trim(ente)) END AS ente, CASE WHEN cod_ente <> 'N.D.' THEN cod_ente END AS cod_ente) FROM d))"
@@ -171,13 +175,68 @@ PAIRED = "d0 AS (SELECT *, CASE WHEN ente IS NOT NULL AND stato IS NOT NULL THEN
 
 @query("cs_14_pair_hints", "WITH $D, " + PAIRED + ", " + on_clean(hint_sql([("ente|stato", "cod_ente")], "count(*) FILTER (top_cnt = size) / count(*)")) + " SELECT * FROM hn")
 def _(s, d):
-    return cs.pair_hints(clean_ente(s, d), [("ente", "stato", "cod_ente")])[0]
+    return ps.pair_hints(clean_ente(s, d), [("ente", "stato", "cod_ente")])[0]
 
 
 @query("cs_15_chosen_hints", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + ", w AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY purity DESC, coverage DESC, normalized, predictor) AS n FROM hn) SELECT target, predictor, normalized, purity, coverage, CASE WHEN purity = 1 THEN 'strict' ELSE 'dominant' END AS confidence FROM w WHERE n = 1")
 def _(s, d):
     x = clean_ente(s, d)
-    return cs.choose_hints(cs.single_hints(x, HINT_PAIRS, False)[0].unionByName(cs.single_hints(x, HINT_PAIRS, True)[0]))
+    return cs.choose_hints(ps.single_hints(x, HINT_PAIRS, False)[0].unionByName(ps.single_hints(x, HINT_PAIRS, True)[0]))
+
+
+def in_two_batches(x, pairs, temporal=()):
+    """The statistics of even rows, then those of odd ones added."""
+    out = ps.PairStatistics(x.sparkSession, pairs, temporal)
+    return out.add(x.where("row_id % 2 = 0"), "even").add(x.where("row_id % 2 = 1"), "odd").add(x.where("row_id % 2 = 1"), "odd")
+
+
+@query("cs_03_added_batches", f"WITH $D, {DEPENDENCIES} SELECT predictor, target, round(p, 4) AS purity, groups FROM gd")
+def _(s, d):
+    return in_two_batches(dirty(s, d), PAIRS).dependencies()
+
+
+@query("cs_06_added_batches", f"WITH $D, {tops(PAIRS)}, x AS (SELECT predictor, target, sum(top_cnt) / sum(size) AS p, sum(size) AS n FROM dm GROUP BY 1, 2) SELECT target, round(max(p), 4) AS coherence FROM x WHERE n >= 6 GROUP BY 1")
+def _(s, d):
+    return in_two_batches(dirty(s, d), PAIRS).coherence()
+
+
+@query("cs_13_added_batches", "WITH $D, " + CLEAN_ENTE + ", " + on_clean(hint_sql(HINT_PAIRS, "sum(top_cnt) / sum(size)")) + " SELECT * FROM hn")
+def _(s, d):
+    return in_two_batches(clean_ente(s, d), HINT_PAIRS).hints()[0]
+
+
+#: Orders with a moment, its quarter, and the quarter with the status, of which some rows lack the latter two.
+MOMENTS = """d AS (SELECT o_orderkey AS row_id, o_orderdate::TIMESTAMP + to_hours((o_orderkey % 24)::INT) AS moment, o_orderstatus AS status, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS q,
+CASE WHEN o_orderkey % 17 <> 0 THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) END AS quarter, CASE WHEN o_orderkey % 19 <> 0 THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) || o_orderstatus END AS labelled FROM orders)"""
+
+
+def moments(s, d):
+    o = table(s, d, "orders")
+    q = F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate"))
+    at = F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return o.select(F.col("o_orderkey").alias("row_id"), at.alias("moment"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 17 != 0, q).alias("quarter"), F.when(F.col("o_orderkey") % 19 != 0, F.concat(q, "o_orderstatus")).alias("labelled"))
+
+
+def by_month_sql(key: str, predictor: str, target: str, purity: str) -> str:
+    return f"""WITH {MOMENTS}, g AS (SELECT {key} AS key, {target} AS value, count(*) AS n FROM d GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS r, sum(n) OVER (PARTITION BY key) AS size FROM g WHERE value IS NOT NULL AND key IS NOT NULL), m AS (SELECT key, value, n AS top_cnt, size FROM w WHERE r = 1),
+p AS (SELECT {purity} AS purity FROM m), c AS (SELECT sum(CASE WHEN m.top_cnt >= 0.95 * m.size THEN g.n ELSE 0 END) / sum(g.n) AS coverage FROM g LEFT JOIN m USING (key) WHERE g.value IS NULL)
+SELECT '{target}' AS target, '{predictor}' AS predictor, false AS normalized, round(purity, 4) AS purity, round(coverage, 4) AS coverage FROM p, c WHERE purity >= 0.95 AND coverage >= 0.5"""
+
+
+@query("cs_13_months_of_moments", by_month_sql("strftime(moment, '%Y-%m')", "moment", "quarter", "sum(top_cnt) / sum(size)"))
+def _(s, d):
+    return ps.single_hints(moments(s, d), [("moment", "quarter")], False, {"moment"})[0]
+
+
+@query("cs_14_months_of_moments", by_month_sql("strftime(moment, '%Y-%m') || '|' || status", "moment|status", "labelled", "count(*) FILTER (top_cnt = size) / count(*)"))
+def _(s, d):
+    return ps.pair_hints(moments(s, d), [("moment", "status", "labelled")], {"moment"})[0]
+
+
+@query("rm_10_months_of_moments", f"WITH {MOMENTS} SELECT row_id, coalesce(quarter, q) AS quarter FROM d")
+def _(s, d):
+    x = moments(s, d)
+    return rm.impute(x, "quarter", "moment", ps.single_hints(x, [("moment", "quarter")], False, {"moment"})[1], temporal={"moment"}).select("row_id", "quarter")
 
 
 RULES = f"""{DEPENDENCIES}, b AS (SELECT ce.predictor, ce.target, ce.row_id, ce.ord FROM ce JOIN gd ON gd.predictor = ce.predictor AND gd.target = ce.target JOIN dm ON dm.predictor = ce.predictor AND dm.target = ce.target AND dm.key = ce.key WHERE dm.size >= 2 AND ce.value <> dm.top),

@@ -168,6 +168,32 @@ def test_plan_execution(spark):
         Operation("guess", "x")
 
 
+def test_names_of_any_script(spark):
+    names = ["数量", "価格", "Łódź", "Città (IT)", "Ørsted", "%%", "Straße", "Ñandú", None, "Дата"]
+    got = {r["v"]: r["b"] for r in spark.createDataFrame([(n,) for n in names], "v string").select("v", schema.bare_name(F.col("v")).alias("b")).collect()}
+    assert got == {"数量": "数量", "価格": "価格", "Łódź": "lodz", "Città (IT)": "citta_it", "Ørsted": "orsted", "%%": "", "Straße": "strasse", "Ñandú": "nandu", None: None, "Дата": "дата"}
+    cat = spark.createDataFrame([(1, "数量", None), (2, "lodz", None), (3, "??", None), (4, "citta it", "comune")], "canonical_id long, name string, alias string")
+    found = schema.canonical_match(spark.createDataFrame([(n,) for n in ("価格", "Łódź", "%%", "Città-IT", "comune", "数量")], "column string"), cat).collect()
+    assert {r["column"]: (r["canonical_id"], r["how"]) for r in found} == {"Łódź": (2, "bare"), "Città-IT": (4, "bare"), "comune": (4, "alias"), "数量": (1, "exact")}
+
+
+def test_statistics_of_batches_add_up(spark):
+    from dataloom.operators.pair_statistics import PairStatistics
+    df = frame(spark, [(f"2024-0{1 + i % 6}-1{i % 9} 10:00:00", None if i % 5 == 0 else f"q{(i % 6) // 3}", "x|y" if i % 2 else None) for i in range(120)], "at string, q string, z string")
+    pairs = [("at", "q"), ("z", "q"), ("at|z", "q")]
+    whole = PairStatistics(spark, pairs, {"at"}).add(df)
+    parts = PairStatistics(spark, pairs, {"at"})
+    for k in (0, 1, 2, 1):  # the second batch twice, under its name
+        parts.add(df.where(F.col("row_id") % 3 == k), str(k))
+    for read in (lambda s: s.table(), lambda s: s.table(True), lambda s: s.hints()[0], lambda s: s.hints()[1], lambda s: s.coherence(), lambda s: s.chosen()):
+        assert sorted(map(tuple, read(parts).collect()), key=str) == sorted(map(tuple, read(whole).collect()), key=str)
+    assert PairStatistics(spark, pairs, {"at"}, whole.path).table().count() == whole.table().count()
+    best = whole.chosen().first()
+    assert (best["predictor"], best["purity"], best["coverage"]) == ("at", 1.0, 1.0)
+    filled = repair.impute(df, "q", "at", whole.hints()[1].where("predictor = 'at'"), temporal={"at"})
+    assert {(r["at"][5:7] >= "04", r["q"]) for r in filled.collect()} == {(False, "q0"), (True, "q1")}
+
+
 def test_levels_follow_conflicts(spark):
     plan = [Fix("a", (Operation("strip_whitespace", "x"),)), Fix("b", (Operation("normalize_numeric", "y"),)), Fix("c", (Operation("rename_column", "x", {"to": "z"}),)), Fix("d", (Operation("strip_whitespace", "z"),)),
             Fix("e", (Operation("collapse_casing", "w"),)), Fix("f", (Operation("strip_whitespace", "v"),), ("b",)), Fix("g", (Operation("drop_duplicate_rows"),)), Fix("h", (Operation("drop_column", "v"),))]
