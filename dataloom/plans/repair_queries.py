@@ -14,10 +14,12 @@ from ..operators import formats as fv
 from ..operators import invariants as iv
 from ..operators import pair_statistics as ps
 from ..operators import plan as pl
+from ..operators import remediation as rd
 from ..operators import repair as rm
 from ..operators import rules as cs
 from ..operators import schema as sc
 from ..operators import score as qs
+from ..operators.formats import Spec
 from ..operators.repair import Fix, Operation
 from ..sources import files as io
 from ..sources.dirty import COLUMNS, ROW
@@ -210,6 +212,40 @@ def _(s, d):
     return rm.rewritten_columns(x, rm.auto_remediate(x, ROW, "rata", {"year": "anno", "month": "mese"}), ROW)
 
 
+#: What the data alone decides: periods, their parts, and years completed from the moment that determines them.
+FOUND = f"""p1 AS (SELECT * REPLACE ({PERIOD_SQL} AS rata) FROM d), p2 AS (SELECT * REPLACE ({DERIVED['anno']} AS anno, {DERIVED['mese']} AS mese) FROM p1),
+g AS (SELECT "aggregation-time" AS k, rata AS v, count(*) AS n FROM p2 WHERE {PERIOD} GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r, sum(n) OVER (PARTITION BY k) AS size FROM g), m AS (SELECT k, v FROM w WHERE r = 1 AND n >= 0.95 * size),
+p3 AS (SELECT p2.* REPLACE (CASE WHEN {PERIOD.replace('rata', 'p2.rata')} THEN p2.rata ELSE coalesce(m.v, p2.rata) END AS rata) FROM p2 LEFT JOIN m ON m.k = p2."aggregation-time")"""
+
+
+def remedied(s, d):
+    return rd.remediate(dirty(s, d).select(ROW, "rata", "anno", "mese", "stato", "ente", "aggregation-time"), ROW, {"rata": Spec("date", pattern="%m/%Y"), "stato": SPECS["stato"]}, [("stato", "ente")])
+
+
+@query("rm_19_self_contained", f"WITH $D, {FOUND} SELECT row_id, rata, anno, mese, ente FROM p3")
+def _(s, d):
+    return remedied(s, d).data.select("row_id", "rata", "anno", "mese", "ente")
+
+
+@query("rm_19_contested", f"""WITH $D, {FOUND} SELECT "column" AS column_name, row_id, value FROM (SELECT 'anno' AS "column", row_id, anno AS value FROM p1 WHERE {PERIOD} AND {WELL.format(x=number('anno'), lo=1900, hi=2100)} AND {number('anno')} <> substr(trim(rata), 1, 4)::INT UNION ALL SELECT 'mese', row_id, mese FROM p1 WHERE {PERIOD} AND {WELL.format(x=number('mese'), lo=1, hi=12)} AND {number('mese')} <> substr(trim(rata), 5, 2)::INT)""")
+def _(s, d):
+    return remedied(s, d).contested.select("column_name", "row_id", "value")
+
+
+@query("rm_21_settled_corrections", f"""WITH $D, {FOUND}, c AS (SELECT DISTINCT 'rata' AS "column", rata AS value, 'x' AS "to" FROM d WHERE NOT {PERIOD} UNION ALL SELECT DISTINCT 'stato', stato, 'x' FROM d WHERE stato = 'Altro') SELECT * FROM c WHERE "column" = 'stato' OR value IN (SELECT rata FROM p3)""")
+def _(s, d):
+    x = dirty(s, d)
+    proposed = x.where(~nz.is_period(col("rata"))).select(F.lit("rata").alias("column"), F.col("rata").alias("value")).distinct().unionByName(x.where("stato = 'Altro'").select(F.lit("stato").alias("column"), F.col("stato").alias("value")).distinct())
+    return remedied(s, d).unsettled(ROW, proposed.withColumn("to", F.lit("x")))
+
+
+@query("rm_21_refreshed", f"WITH $D, {FOUND}, b AS ({bad_rows(('stato',))}) SELECT \"column\" AS column_name, row_id, 'format' AS kind FROM b UNION ALL SELECT 'rata', row_id, 'format' FROM p3 WHERE rata IS NOT NULL AND NOT {PERIOD} UNION ALL SELECT 'mese', row_id, 'consistency' FROM p1 WHERE {PERIOD} AND {WELL.format(x=number('mese'), lo=1, hi=12)} AND {number('mese')} <> substr(trim(rata), 5, 2)::INT")
+def _(s, d):
+    x = dirty(s, d)
+    before = fv.validate(x, ROW, {"rata": Spec("date", pattern="%m/%Y"), "stato": SPECS["stato"]}).unionByName(cs.identity_violations(x, ROW, "saldo", "entrate", "-", "uscite"))
+    return remedied(s, d).refreshed(ROW, before).select("column_name", "row_id", "kind")
+
+
 @query("rm_21_refresh", f"WITH $D, b AS ({bad_rows(('stato', 'cod_ente'))}), e AS (SELECT '{{}}' AS x) SELECT {FORMAT} FROM b UNION ALL SELECT {FORMAT} FROM (SELECT 'rata' AS \"column\", row_id, r AS value, '\\d{{6}}' AS said FROM (SELECT row_id, {PERIOD_SQL} AS r FROM d) WHERE r IS NOT NULL AND NOT regexp_full_match(r, '\\d{{6}}'))".replace(", e AS (SELECT '{}' AS x)", ""))
 def _(s, d):
     x = dirty(s, d)
