@@ -225,6 +225,22 @@ def example_split(freq: DataFrame, violations: DataFrame, column: str, most: int
     return f.select("value", "conforming", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
 
 
+def vet_function(freq: DataFrame, violations: DataFrame, column: str, function: Callable, dtype: str, most: int = 8) -> DataFrame:
+    """(value, conforming, issue): what speaks against a supplied function for a column; empty if nothing does.
+
+    It runs on the column's examples. Where no violation tells conforming values from others it runs on the column's most
+    frequent values, of which only exceptions count. A column without any value refuses the function: nothing shows that it works.
+    """
+    named = violations.where((F.col("column_name") == column) & F.col("value").isNotNull()).limit(1).count()
+    if named:
+        samples = example_split(freq, violations, column, most).select("value", "conforming")
+    else:
+        samples = freq.where((F.col("column") == column) & F.col("value").isNotNull()).orderBy(F.desc("cnt"), "value").limit(most).select("value", F.lit(None).cast("boolean").alias("conforming"))
+    if not samples.limit(1).count():
+        return freq.sparkSession.createDataFrame([(None, None, f"not validated: {column} has no value to run on")], "value string, conforming boolean, issue string")
+    return check_function(samples, function, dtype)
+
+
 def derive_part(df: DataFrame, period: str, column: str, part: str) -> DataFrame:
     """df with the column's values that aren't well formed taken from a canonical period. Row-local."""
     want = period_part(col(period), part)

@@ -180,6 +180,20 @@ def _(s, d):
     return rm.example_split(frequencies(s, d, ["rata"]), fv.validate(dirty(s, d), ROW, {"rata": SPECS["rata"]}), "rata")
 
 
+def known_states(value: str) -> str:
+    if value == "Altro":
+        raise ValueError("state")
+    return value
+
+
+@query("rm_16_vetted", "WITH $D SELECT DISTINCT stato AS value, NULL::BOOLEAN AS conforming, 'ValueError: state' AS issue FROM d WHERE stato = 'Altro' UNION ALL SELECT NULL, NULL, 'not validated: note has no value to run on'")
+def _(s, d):
+    """Without violations a function runs on the column's own values; on a column of nulls it is refused."""
+    none = fv.validate(dirty(s, d).limit(0), ROW, {"stato": SPECS["stato"]})
+    blank = value_freq(dirty(s, d).where("note is null"), ROW, ["note"])
+    return rm.vet_function(frequencies(s, d, ["stato"]), none, "stato", known_states, "string").unionByName(rm.vet_function(blank, none, "note", known_states, "string"))
+
+
 WELL = "coalesce({x} BETWEEN {lo} AND {hi} AND {x} = floor({x}), false)"
 DERIVED = {"anno": f"CASE WHEN NOT {WELL.format(x=number('anno'), lo=1900, hi=2100)} AND {PERIOD} THEN substr(trim(rata), 1, 4) ELSE anno END", "mese": f"CASE WHEN NOT {WELL.format(x=number('mese'), lo=1, hi=12)} AND {PERIOD} THEN ltrim(substr(trim(rata), 5, 2), '0') ELSE mese END"}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.formats import Spec
+from ..operators.repair import apply_function, replace_from_table
 from ..sources.shared import scratch
 from ..streaming import validate as st
 from .registry import query
@@ -39,3 +40,15 @@ def _(s, d):
 @query("st_03_dedup", "SELECT DISTINCT event_type FROM events")
 def _(s, d):
     return drain(s, st.deduplicate(events(s, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", ["event_type"], "3650 days").select("event_type"))
+
+
+@query("st_04_function", "SELECT event_id, upper(event_type) AS event_type FROM events")
+def _(s, d):
+    return drain(s, apply_function(events(s, d), "event_type", str.upper).select("event_id", "event_type"))
+
+
+@query("st_05_mapping", "SELECT event_id, CASE WHEN event_type LIKE '%i%' THEN upper(event_type) ELSE event_type END AS event_type FROM events")
+def _(s, d):
+    """A mapping table of any size: the stream's rows meet the table as it is when their micro-batch starts."""
+    known = s.read.parquet(f"{d}/events.parquet").select("event_type").where("event_type like '%i%'").distinct()
+    return drain(s, replace_from_table(events(s, d), "event_type", known.select(F.col("event_type").alias("old"), F.upper("event_type").alias("new"))).select("event_id", "event_type"))
