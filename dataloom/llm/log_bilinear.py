@@ -38,7 +38,7 @@ BATCH_BYTES = 2 << 20
 #: Most words whose counts are broadcast, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Tokens scored together, and contexts of one matrix product.
-SCORED, CONTEXTS = 1 << 19, 2048
+SCORED, CONTEXTS = 1 << 21, 2048
 
 _TABLE = byte_map(bytes(b for b in range(256) if b not in (0x20, *range(0x09, 0x0E))))
 
@@ -221,11 +221,17 @@ class Model:
 
     def log10(self, far: np.ndarray, near: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 P(symbol | far, near), normalised over all symbols; a context's logits are made once."""
-        pair, of = np.unique(far * np.int64(SYMBOLS + 1) + near, return_inverse=True)
+        context = far * np.int64(SYMBOLS + 1) + near
+        number = np.zeros((SYMBOLS + 1) ** 2, np.int32)  # a number for each context that is there, without a sort
+        number[context] = 1
+        pair = np.flatnonzero(number)
+        number[pair] = np.arange(len(pair))
+        of = number[context]
         ahead = (self.context @ self.near).astype(np.float32)[pair % (SYMBOLS + 1)] + (self.context @ self.far).astype(np.float32)[pair // (SYMBOLS + 1)]
         target, bias = self.target.T.astype(np.float32), self.bias.astype(np.float32)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(0, len(pair) + CONTEXTS, CONTEXTS))
+        block = (of // CONTEXTS).astype(np.uint16)  # sorted by radix
+        order = np.argsort(block, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=-(-len(pair) // CONTEXTS)))])
         out = np.empty(len(symbol))
         for k in range(len(edges) - 1):
             logits = ahead[k * CONTEXTS:(k + 1) * CONTEXTS] @ target
