@@ -93,10 +93,11 @@ def collapse_casing(df: DataFrame, mapping: DataFrame, columns: list[str]) -> Da
     n = mapping.count()
     if not columns or not n:
         return df
+    some = {r["column"] for r in mapping.select("column").distinct().collect()}  # names of columns
+    columns = [c for c in columns if c in some]
     if n <= MAPPED_ROWS:
-        some = {r["column"] for r in mapping.select("column").distinct().collect()}  # names of columns
-        maps = {c: mapping.where(F.col("column") == c).agg(F.map_from_entries(F.collect_list(F.struct("value", "to")))).scalar() for c in some}
-        return df.select(*[F.coalesce(F.try_element_at(maps[c], text(col(c))), text(col(c))).alias(c) if c in maps else (text(col(c)).alias(c) if c in columns else col(c)) for c in df.columns])
+        maps = {c: mapping.where(F.col("column") == c).agg(F.map_from_entries(F.collect_list(F.struct("value", "to")))).scalar() for c in columns}
+        return df.select(*[F.coalesce(F.try_element_at(maps[c], text(col(c))), text(col(c))).alias(c) if c in maps else col(c) for c in df.columns])
     tag = f"__{uuid.uuid4().hex[:8]}"
     rows = cut(df.select("*", F.monotonically_increasing_id().alias(tag)))
     cells = rows.select(tag, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(col(c)).alias("value")) for c in columns]))).where("value is not null")

@@ -229,7 +229,8 @@ def _(s, d):
 #: What the data alone decides: periods, their parts, and years completed from the moment that determines them.
 FOUND = f"""p1 AS (SELECT * REPLACE ({PERIOD_SQL} AS rata) FROM d), p2 AS (SELECT * REPLACE ({DERIVED['anno']} AS anno, {DERIVED['mese']} AS mese) FROM p1),
 g AS (SELECT "aggregation-time" AS k, rata AS v, count(*) AS n FROM p2 WHERE {PERIOD} GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r, sum(n) OVER (PARTITION BY k) AS size FROM g), m AS (SELECT k, v FROM w WHERE r = 1 AND n >= 0.95 * size),
-p3 AS (SELECT p2.* REPLACE (CASE WHEN {PERIOD.replace('rata', 'p2.rata')} THEN p2.rata ELSE coalesce(m.v, p2.rata) END AS rata) FROM p2 LEFT JOIN m ON m.k = p2."aggregation-time")"""
+ok AS (SELECT (SELECT sum(n) FILTER (r = 1) / sum(n) FROM w) >= 0.99 AND (SELECT count(m.v) / count(*) FROM p2 LEFT JOIN m ON m.k = p2."aggregation-time" WHERE p2.rata IS NOT NULL AND NOT {PERIOD}) >= 0.5 AS hint),
+p3 AS (SELECT p2.* REPLACE (CASE WHEN {PERIOD.replace('rata', 'p2.rata')} OR NOT (SELECT hint FROM ok) THEN p2.rata ELSE coalesce(m.v, p2.rata) END AS rata) FROM p2 LEFT JOIN m ON m.k = p2."aggregation-time")"""
 
 
 def remedied(s, d):

@@ -168,6 +168,38 @@ def test_plan_execution(spark):
         Operation("guess", "x")
 
 
+def test_remediation_finds_what_it_rests_on(spark):
+    from dataloom.operators import remediation
+    rows = []
+    for i in range(60):
+        m = i % 6 + 1
+        rata = (f"2024-{m:02d}", f"{m:02d}/2024", f"2024{m:02d}", "Rata 2024")[i % 4]
+        rows.append((rata, "x" if i == 5 else str(m % 6 + 1) if i == 8 else str(m), "7.2500000001" if i == 7 else f"{i}.25", f"c{m}", None if i == 10 else f"n{m}", "odd" if i % 30 else "even"))
+    df = frame(spark, rows, "rata string, mese string, x string, code string, name string, other string")
+    specs = {"rata": formats.Spec("date", pattern="%m/%Y"), "x": formats.Spec("range", low=0.25, high=59.2500000001)}
+    got = remediation.remediate(df, "row_id", specs, [("code", "name"), ("name", "other")])
+    steps = [(r["column"], r["operation"], r["cells_changed"]) for r in got.steps.orderBy("step").collect()]
+    assert steps == [("rata", "normalize_period", 30), ("mese", "derive_month_from_period", 1), ("x", "round_decimals", 1), ("rata", "complete_period_from_dependency", 15), ("name", "impute_from_lookup", 1)]
+    out = {r["row_id"]: r for r in got.data.collect()}
+    assert all(r["rata"] == f"2024{i % 6 + 1:02d}" for i, r in out.items()) and out[5]["mese"] == "6" and out[7]["x"] == "7.25" and out[10]["name"] == "n5" and got.data.columns == df.columns
+    assert [(r["column_name"], r["row_id"]) for r in got.contested.collect()] == [("mese", 8)]
+    assert got.specs["rata"].pattern == "%Y%m" and got.specs["x"].high == 59.25 and got.touched == ["rata", "mese", "x", "name"]
+    before = formats.validate(df, "row_id", specs).unionByName(completeness.missing_violations(df, "row_id"))
+    assert [(r["column_name"], r["kind"]) for r in got.refreshed("row_id", before).collect()] == [("mese", "consistency")]
+    proposed = spark.createDataFrame([("rata", "Rata 2024", None), ("rata", "202401", "x"), ("other", "gone", "x")], "column string, value string, to string")
+    assert sorted(r["value"] for r in got.unsettled("row_id", proposed).collect()) == ["202401", "gone"]
+
+
+def test_functions_without_findings_run_on_the_column(spark):
+    df = frame(spark, [("1",), ("x",), (None,)], "c string")
+    none = formats.validate(df.limit(0), "row_id", {"c": formats.Spec("enum", values=("1",))})
+    vet = lambda d, v, f: [(r["value"], r["issue"]) for r in repair.vet_function(value_freq(d, "row_id", ["c"]), v, "c", f, "integer").collect()]
+    assert vet(df, none, lambda v: v) == [] and vet(df, none, int)[0][0] == "x" and len(vet(df, none, int)) == 1
+    assert "no value" in vet(df.where("c is null"), none, lambda v: v)[0][1]
+    found = formats.validate(df, "row_id", {"c": formats.Spec("enum", values=("1",))})
+    assert vet(df, found, lambda v: v) == [("x", "leaves a violating value")]
+
+
 def test_names_of_any_script(spark):
     names = ["数量", "価格", "Łódź", "Città (IT)", "Ørsted", "%%", "Straße", "Ñandú", None, "Дата"]
     got = {r["v"]: r["b"] for r in spark.createDataFrame([(n,) for n in names], "v string").select("v", schema.bare_name(F.col("v")).alias("b")).collect()}
