@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +119,13 @@ def _minimizers(rows: DataFrame, length: int, common: np.ndarray, frequent: np.n
     return rows.mapInArrow(lambda it: _batches(names, types, parts(it)), "minimizer long, row long")
 
 
+def _flat(lists: pa.Array, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of n lists from number `at` on, and which of these lists, counted from 0, each is in; a null list has none."""
+    part = lists.slice(at, n)
+    size = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+    return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), size)
+
+
 def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
     """(minimizer, row, doc_id, start, words): the runs whose minimizer two rows have."""
     total = texts.count()
@@ -135,18 +143,16 @@ def _shared_runs(texts: DataFrame, length: int) -> DataFrame:
                 runs = Runs(words, length, common)
                 if not len(runs.text):
                     continue
-                keep = among(runs.minimizer, frequent)
-                cut = np.searchsorted(runs.text, np.arange(len(words.first)))
-                for i in range(len(words.first) - 1):
-                    own = lists_[at + i]
-                    if own.is_valid and cut[i] < cut[i + 1]:
-                        keep[cut[i]:cut[i + 1]] |= np.isin(runs.minimizer[cut[i]:cut[i + 1]], np.asarray(own.values))
+                own, text = _flat(lists_, at, len(words.first) - 1)
+                # Of a text and a minimizer one number; two that have the same only send a run that isn't shared.
+                keep = among(runs.minimizer, frequent) | np.isin(mix(runs.minimizer) + mix(runs.text), mix(own) + mix(text))
+                data, begin, end = words.joined()
                 for part in np.array_split(np.flatnonzero(keep), max(1, int(keep.sum()) // ROWS_OUT + 1)):
                     text, start = runs.text[part], runs.start[part]
-                    end = start + runs.windows[part] + length - 1
+                    first, last = begin[start].tolist(), end[start + runs.windows[part] + length - 2].tolist()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(runs.minimizer[part]), pa.array(ids[at + text]), pa.array(docs[at + text]), pa.array(start - words.first[text]),
-                         pa.array([words.text(a, z) for a, z in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())], columns)
+                         pa.array([data[a:z] for a, z in zip(first, last, strict=True)], pa.binary()).cast(pa.string())], columns)
 
     return stash(texts.join(lists, "row", "left").select("row", "doc_id", "text", "minimizers").mapInArrow(runs_of, "minimizer long, row long, doc_id long, start long, words string"), "runs", "zstd")
 
@@ -184,18 +190,20 @@ def match_shards(classes: DataFrame, length: int, shard_words: int | None = None
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             automaton = SuffixAutomaton((words, first) for _, _, words, first, _ in shard)
-            routes, texts, firsts = [], [], []
+            routes, texts, firsts, ends = [], [], [], [0]
             for route, text, words, _, last in shard:
-                least = [at for n, at in automaton.statistics(words, length)][length - 1:]
+                least = [at for _, at in automaton.statistics(words, length)][length - 1:]
                 if min(least) < last:
                     routes.append(route)
                     texts.append(text)
-                    firsts.append(least)
-            return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(texts, pa.string()), pa.array(firsts, pa.list_(pa.int64()))], ["route", "words", "firsts"])
+                    firsts += least
+                    ends.append(len(firsts))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(firsts, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(texts, pa.string()), lists], ["route", "words", "firsts"])
 
         shard, size, at = [], 0, None
         for b in batches:
-            for route, text, first, last in zip(*(b.column(x).to_pylist() for x in ("route", "words", "first_id", "last_id")), strict=True):
+            for route, text, first, last in zip(*(b.column(x).to_numpy(zero_copy_only=False).tolist() for x in ("route", "words", "first_id", "last_id")), strict=True):
                 if route != at and size >= most:
                     yield out()
                     shard, size = [], 0
@@ -256,20 +264,21 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("starts")
             total, gone, digest, kept = [], [], [], []
             for at, words in chunks(b.column("text")):
+                start, text = _flat(b.column("starts"), at, len(words.first) - 1)
+                start = start + words.first[text]
+                n = len(words.start)
+                stays = np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1))[:-1] == 0
+                data, begin, end = words.joined()
                 for i in range(len(words.first) - 1):
                     a, z = int(words.first[i]), int(words.first[i + 1])
-                    step = np.zeros(z - a + 1, np.int64)
-                    if lists[at + i].is_valid:
-                        start = np.asarray(lists[at + i].values)
-                        np.add.at(step, start, 1)
-                        np.add.at(step, start + length, -1)
-                    stays = np.flatnonzero(np.cumsum(step[:-1]) == 0) + a
-                    left = _join(words, stays)
+                    own = np.flatnonzero(stays[a:z]) + a
+                    cut = np.flatnonzero(np.diff(own) != 1)
+                    opens, closes = own[np.append(0, cut + 1)[:len(own)]], own[np.append(cut, len(own) - 1)[:len(own)]]
+                    left = b" ".join([data[p:q] for p, q in zip(begin[opens].tolist(), end[closes].tolist(), strict=True)])
                     total.append(z - a)
-                    gone.append(z - a - len(stays))
+                    gone.append(z - a - len(own))
                     digest.append(hashlib.sha256(left).hexdigest())
                     kept.append(left)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
@@ -279,21 +288,6 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     return texts.join(spans, "row", "left").select("doc_id", "text", "starts").mapInArrow(apply, schema)
 
 
-def _join(words: Words, stays: np.ndarray) -> bytes:
-    """The words numbered `stays`, joined by one space."""
-    if not len(stays):
-        return b""
-    begin, end = words.start[stays], words.end[stays]
-    size = end - begin + 1
-    out = np.full(int(size.sum()), 0x20, np.uint8)
-    to = np.cumsum(size) - size
-    at = np.repeat(begin - to, size) + np.arange(len(out))
-    gap = np.cumsum(size) - 1
-    out[:] = words.data[np.minimum(at, len(words.data) - 1)]
-    out[gap] = 0x20
-    return out[:-1].tobytes()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Sequence
 
+import numpy as np
+
 
 class SuffixAutomaton:
     """Of several sequences, each with an order number (its document); memory grows with their words.
@@ -15,57 +17,67 @@ class SuffixAutomaton:
     def __init__(self, sequences: Iterable[tuple[Sequence[Hashable], int]]):
         self.go: list[dict] = [{}]
         self.suffix, self.size, self.least = [-1], [0], [1 << 63]
+        go, suffix, size, least = self.go, self.suffix, self.size, self.least
         for words, order in sequences:
             at = 0
             for w in words:
-                at = self._append(at, w)
-                self.least[at] = min(self.least[at], order)
+                q = go[at].get(w)
+                if q is not None:  # another sequence has this beginning already
+                    at = q if size[q] == size[at] + 1 else self._clone(at, w, q)
+                    if order < least[at]:
+                        least[at] = order
+                    continue
+                new, p = len(size), at
+                go.append({})
+                size.append(size[at] + 1)
+                least.append(order)
+                while p >= 0:
+                    q = go[p].setdefault(w, new)
+                    if q != new:
+                        break
+                    p = suffix[p]
+                suffix.append(0)
+                if p >= 0:
+                    suffix[new] = q if size[q] == size[p] + 1 else self._clone(p, w, q)
+                at = new
         # Whatever ends where a longer substring ends occurs where that one does.
-        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            up = self.suffix[s]
-            self.least[up] = min(self.least[up], self.least[s])
-
-    def _state(self, go: dict, suffix: int, size: int) -> int:
-        self.go.append(go)
-        self.suffix.append(suffix)
-        self.size.append(size)
-        self.least.append(1 << 63)
-        return len(self.size) - 1
+        for s in np.argsort(size, kind="stable")[:0:-1].tolist():
+            up = suffix[s]
+            if least[s] < least[up]:
+                least[up] = least[s]
 
     def _clone(self, p: int, w: Hashable, q: int) -> int:
-        c = self._state(dict(self.go[q]), self.suffix[q], self.size[p] + 1)
-        self.suffix[q] = c
-        while p >= 0 and self.go[p].get(w) == q:
-            self.go[p][w] = c
-            p = self.suffix[p]
+        """A state for the substrings that end in w after those of p, split off from q."""
+        go, suffix, c = self.go, self.suffix, len(self.size)
+        go.append(go[q].copy())
+        suffix.append(suffix[q])
+        self.size.append(self.size[p] + 1)
+        self.least.append(1 << 63)
+        suffix[q] = c
+        while p >= 0 and go[p].get(w) == q:
+            go[p][w] = c
+            p = suffix[p]
         return c
 
-    def _append(self, last: int, w: Hashable) -> int:
-        q = self.go[last].get(w)
-        if q is not None:  # another sequence has this beginning already
-            return q if self.size[q] == self.size[last] + 1 else self._clone(last, w, q)
-        new = self._state({}, 0, self.size[last] + 1)
-        p = last
-        while p >= 0 and w not in self.go[p]:
-            self.go[p][w] = new
-            p = self.suffix[p]
-        if p >= 0:
-            q = self.go[p][w]
-            self.suffix[new] = q if self.size[q] == self.size[p] + 1 else self._clone(p, w, q)
-        return new
-
     def statistics(self, words: Sequence[Hashable], most: int) -> Iterable[tuple[int, int]]:
         """For each word the length, up to most, of the longest substring ending there that occurs in a sequence, and
         the smallest order number of such a sequence (meaningless at length 0)."""
+        go, suffix, size, least = self.go, self.suffix, self.size, self.least
+        lengths, firsts = [], []
         at = length = 0
         for w in words:
-            while at and w not in self.go[at]:
-                at = self.suffix[at]
-                length = self.size[at]
-            if w in self.go[at]:
-                at = self.go[at][w]
+            to = go[at].get(w)
+            while to is None and at:
+                at = suffix[at]
+                length = size[at]
+                to = go[at].get(w)
+            if to is not None:
+                at = to
                 length += 1
-            while at and self.size[self.suffix[at]] >= most:
-                at = self.suffix[at]
-            length = min(length, self.size[at])
-            yield min(length, most), self.least[at]
+                if length > most:  # drop the words before the last `most`
+                    length = most
+                    while size[suffix[at]] >= most:
+                        at = suffix[at]
+            lengths.append(length)
+            firsts.append(least[at])
+        return zip(lengths, firsts)

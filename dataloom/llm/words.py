@@ -21,6 +21,7 @@ HASH_BYTES = 128 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACES = bytes(0x20 if x else i for i, x in enumerate(_SPACE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -95,9 +96,16 @@ class Words:
             out = mix(out * np.uint64(0xD6E8FEB86659FD93) + self.hash[i:i + count])
         return out
 
-    def text(self, i: int, j: int) -> bytes:
-        """Words i to j - 1, joined by one space."""
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The texts with one space for every gap between two words, and where each word starts and ends in that."""
+        keep = ~_SPACE[self.data]
+        follows = ~np.append(keep, True)[self.end]  # where a text ends in a word, the next one's may follow at once
+        keep[self.end[follows]] = True
+        data = self.data if keep.all() else self.data[keep]
+        size = self.end - self.start
+        end = np.cumsum(size + follows)
+        begin = end - size - follows
+        return data.tobytes().translate(_SPACES), begin, begin + size
 
 
 def chunks(texts: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[tuple[int, Words]]:

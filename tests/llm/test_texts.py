@@ -3,8 +3,10 @@
 import io
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dataloom.llm import html_text, quality, shingle_join, signature_tree, substring_dedup, warc
@@ -97,6 +99,32 @@ def test_automaton_against_search():
                 assert least == min(o for s, o in seqs if has(s, q[k + 1 - n:k + 1]))
 
 
+def test_automaton_calls_no_function_a_word():
+    """Shards are most of op2's CPU time: states are made and streamed in one loop; only clones are calls."""
+    r = random.Random(6)
+    seqs = [([f"w{r.randrange(5000)}" for _ in range(30)], k) for k in range(200)]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        a = SuffixAutomaton(seqs)
+        firsts = [list(a.statistics(words, 13)) for words, _ in seqs]
+    finally:
+        sys.setprofile(None)
+    assert all(n == min(i + 1, 13) for x in firsts for i, (n, _) in enumerate(x)) and all(x[12][1] == k for k, x in enumerate(firsts))
+    assert len(calls) < 6000
+
+
+def test_joined_texts():
+    """Runs are cut from texts whose words one space parts, also where texts meet without one."""
+    texts = ["  a b", "c\t\n d ", None, "", " \r\n", "e", "f\x0bgé\x0c\x0c\u00a0h", "i  j"]
+    ((at, words),) = chunks(pa.array(texts))
+    data, begin, end = words.joined()
+    want = [re.findall("[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert at == 0 and [data[a:z].decode() for a, z in zip(begin, end)] == sum(want, [])
+    assert [data[begin[a]:end[z - 1]].decode() if z > a else "" for a, z in zip(words.first[:-1], words.first[1:])] == [" ".join(w) for w in want]
+    assert [x for _, w in chunks(pa.array(["", None])) for x in (w.joined()[0], len(w.joined()[1]))] == [b"", 0]
+
+
 def near(seed):
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
