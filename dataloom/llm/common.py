@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -41,14 +42,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dataloom/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
+def stash(df: DataFrame, name: str = "cut", compression: str = "snappy", file_rows: int = 0) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: a lineage cut that outlives lost executors.
 
     Unlike a cached or checkpointed frame the result carries no partitioning, so a later join shuffles both of its
-    sides and adaptive execution may split skewed keys.
+    sides and adaptive execution may split skewed keys. Where rows are large, file_rows bounds those of a file: a task
+    writes and reads a file by hundreds or thousands of rows at a time, however large they are.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -150,6 +152,20 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: int) -> Iterator[None]:
+    """The session's settings of spark.sql that are named, with _ for the dot, while frames are written."""
+    keys = {f"spark.sql.{k.replace('_', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def shared_pairs(pairs: DataFrame, key: str, id_col: str) -> DataFrame:
     """(key, id_col): the rows of keys that two different ids have, each once; both columns are longs without nulls.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stash
+from .common import bound_batches, settings, stash
 from .interning import Spans, Table, batches_of, byte_map
 
 #: Words that are symbols of their own, classes of the others, and numbers a vector has.
@@ -35,6 +35,8 @@ STEP, NOISE, SHUFFLED = 1024, 32, 1 << 18
 RATE = 0.02
 #: Bytes of text whose words are kept together.
 BATCH_BYTES = 2 << 20
+#: Most batches of a file and of an Arrow batch, and how many a task of the join has on average: these are rows of megabytes.
+FILE_ROWS, ARROW_ROWS, TASK_ROWS = 8, 2, 8
 #: Most words whose counts are broadcast, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Tokens scored together, and contexts of one matrix product.
@@ -103,7 +105,7 @@ def word_batches(docs: DataFrame) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     kind = "doc_id array<long>, held array<boolean>, ends array<long>, words array<string>, trained array<long>, kinds binary, codes binary"
-    return stash(docs.mapInArrow(run, kind).withColumn("batch", F.monotonically_increasing_id()), "words", "zstd")
+    return stash(docs.mapInArrow(run, kind).withColumn("batch", F.monotonically_increasing_id()), "words", "zstd", FILE_ROWS)
 
 
 @dataclass(frozen=True)
@@ -144,8 +146,11 @@ def symbol_rows(batches: DataFrame, counts: Counts, vocabulary: DataFrame, head:
     text's symbols and its end as unsigned numbers of 16 bits.
     """
     entries = batches.select("batch", F.posexplode("words").alias("code", "word"))
+    spark = batches.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-batches.count() // TASK_ROWS))
     rest = entries.join(F.broadcast(head.select("word")), "word", "left_anti").join(vocabulary, "word")
-    found = rest.groupBy("batch").agg(F.collect_list(F.struct("code", "n")).alias("found"))
+    # Dealt before they are grouped: a task that has some words of every batch would sort them to group them.
+    found = rest.select("batch", "code", "n").repartition(parts, "batch").groupBy("batch").agg(F.collect_list(F.struct("code", "n")).alias("found"))
     first = head.orderBy("rank").select("word", "n").toPandas()  # bounded by HEAD
     rank = {w: i for i, w in enumerate(first["word"])}
     head_n = np.append(first["n"].to_numpy(np.int64), 0)
@@ -188,7 +193,8 @@ def symbol_rows(batches: DataFrame, counts: Counts, vocabulary: DataFrame, head:
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "symbols"])
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, symbols binary"
-    return stash(ranked.join(found, "batch", "left").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "symbols", "zstd")
+    with settings(spark, execution_arrow_maxRecordsPerBatch=ARROW_ROWS):
+        return stash(ranked.repartition(parts, "batch").join(found, "batch", "left").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "symbols", "zstd")
 
 
 @dataclass

@@ -156,6 +156,19 @@ def test_scores_are_a_normalised_model(spark, monkeypatch):
     assert got[None]["held_out"] is False
 
 
+def test_batches_are_few_in_a_file(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "BATCH_BYTES", 100)
+    docs = [(i, f"w{i} the cat sat {'long ' * 20}") for i in range(300)]
+    rows = frame(spark, docs).coalesce(1).select("doc_id", "text", log_bilinear.held_out(F.col("doc_id")).alias("held"))
+    batches = log_bilinear.word_batches(rows)
+    files = batches.groupBy(F.input_file_name()).count().toDF("file", "n").collect()
+    assert sum(x["n"] for x in files) == 300 and max(x["n"] for x in files) <= log_bilinear.FILE_ROWS
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = log_bilinear.symbol_rows(batches, *log_bilinear.count(batches))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_tokens").collect()) == [(i, 25) for i in range(300)]
+
+
 def test_training_learns_what_follows_what(spark):
     """Texts that alternate between few words: the noise-contrastive model comes near their entropy, the unigram one doesn't."""
     r = random.Random(6)
