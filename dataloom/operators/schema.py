@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.values import col, columns_of, text
+from . import nearest
 from .completeness import SPARSE, fill_rates, violation_rows
 from .profile import castable
 
@@ -171,37 +172,33 @@ def canonical_match(names: DataFrame, catalogue: DataFrame, least: float = 0.85)
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("column", "canonical_id", F.element_at(F.array(*[F.lit(x) for x in ("exact", "alias", "bare", "fuzzy")]), F.col("how")).alias("how"))
 
 
-#: Queries that are broadcast if they are no more; else blocks of so many meet blocks of entries.
-QUERY_BLOCK = 2_000
+#: Queries of a block, and entries that a task lets stream by it.
+QUERY_BLOCK, LANE = 8_192, 4_096
 
 
 def retrieve_top_k(queries: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     """(query, rank, entry, score) of the k best catalogue entries for each query: cosine + 0.3 * shared samples / samples + 0.1 for the same type family.
 
-    queries and catalogue: (id, vector, samples, dtype). The queries are counted: up to QUERY_BLOCK are broadcast and entries stream by;
-    more are dealt into blocks that meet blocks of entries, each keeping the k best of a query before the final ranking.
+    queries and catalogue: (id, vector, samples, dtype). Blocks of queries meet lanes of entries, each pair of which keeps
+    the k best of a query before the final ranking (see `nearest`). A null sample is shared with none. A null vector or
+    component, or another length, gives a null score, which ranks last; the cosine of a vector of zeros is NaN, which
+    ranks first. Rows with a null id take no part.
     """
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("qv"), F.col("samples").alias("qs"), F.col("dtype").alias("qd"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = q.withColumn("qn", F.sqrt(dot(F.col("qv"), F.col("qv"))))
-    e = catalogue.select(F.col("id").alias("entry"), F.col("vector").alias("ev"), F.col("samples").alias("es"), F.col("dtype").alias("ed")).withColumn("en", F.sqrt(dot(F.col("ev"), F.col("ev"))))
-    count = queries.count()
-    if count <= QUERY_BLOCK:
-        pairs = e.join(F.broadcast(q), F.col("query") != F.col("entry")).withColumn("eb", F.lit(0))
-    else:
-        qs, es = -(-count // QUERY_BLOCK), max(1, -(-catalogue.count() // QUERY_BLOCK))
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q = q.withColumn("qb", block("query", qs)).withColumn("eb", each(es))
-        pairs = e.withColumn("eb", block("entry", es)).withColumn("qb", each(qs)).join(q, ["qb", "eb"]).where(F.col("query") != F.col("entry"))
-    shared = F.when(F.size("qs") > 0, F.size(F.array_intersect("qs", "es")) / F.size("qs")).otherwise(0.0)
-    score = dot(F.col("qv"), F.col("ev")) / (F.col("qn") * F.col("en")) + 0.3 * shared + F.when(F.col("qd") == F.col("ed"), 0.1).otherwise(0.0)
-    scored = pairs.select("query", "entry", "eb", score.alias("raw"))
-    if count > QUERY_BLOCK:
-        best = Window.partitionBy("query", "eb").orderBy(F.desc("raw"), "entry")
-        scored = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    blocks, lanes = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-catalogue.count() // LANE))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = [F.col("block") * lanes + F.col("lane"), "role", "id", "vector", F.array_compact(F.array_distinct("samples")), F.coalesce(F.size("samples"), F.lit(0)), "dtype"]
+    shape = lambda df, role: df.where("id is not null").withColumn("role", F.lit(role))
+    names = ["task", "role", "id", "vector", "samples", "many", "dtype"]
+    q = shape(queries, 0).withColumn("block", deal(blocks)).withColumn("lane", each(lanes)).select(columns).toDF(*names)
+    e = shape(catalogue, 1).withColumn("lane", deal(lanes)).withColumn("block", each(blocks)).select(columns).toDF(*names)
+    both = q.unionByName(e).repartition(2 * blocks * lanes, "task").sortWithinPartitions("task", "role", "id")
+    kind = both.schema["id"].dataType.simpleString()
+    scored = both.mapInArrow(nearest.search(k), f"query {kind}, entry {kind}, raw double")
     w = Window.partitionBy("query").orderBy(F.desc("raw"), "entry")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "entry", F.round("raw", 3).alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    types = queries.schema["id"].dataType, catalogue.schema["id"].dataType
+    return best.select(F.col("query").cast(types[0]).alias("query"), "rank", F.col("entry").cast(types[1]).alias("entry"), F.round("raw", 3).alias("score"))
 
 
 def detect_domain(names: DataFrame, catalogue: DataFrame) -> DataFrame:

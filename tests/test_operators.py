@@ -1,7 +1,9 @@
 """Cases on small frames: thresholds from both sides, negative cases, order and partition independence."""
 
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +365,40 @@ def test_top_k_in_blocks_is_that_of_a_broadcast(spark, monkeypatch):
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_top_k_of_odd_rows_and_many_pairs(spark, monkeypatch):
+    r, nan = random.Random(5), float("nan")
+    vector = lambda: [r.uniform(-1, 1) for _ in range(3)]
+    rows = [(i, vector(), [str(i % 4), "a" if i % 3 else None, "a"], str(i % 2)) for i in range(90)]
+    rows += [(90 + i, rows[3][1], rows[3][2], rows[3][3]) for i in range(9)]  # copies
+    rows += [(100, None, ["a"], "0"), (101, [0.0] * 3, ["a"], None), (102, [1.0], [], "1"), (103, [1.0, None, 2.0], None, "1"), (104, [nan, 1.0, 1.0], ["a"], "0"), (105, [1e200, 1e200, 0.0], None, "0"), (None, [1.0, 0.0, 0.0], ["a"], "1"), (3, [0.5, 0.5, 0.5], ["1"], "1")]
+    frame = lambda x: spark.createDataFrame(x, "id long, vector array<double>, samples array<string>, dtype string")
+
+    def score(q, e):
+        (_, a, s, d), (_, b, t, f) = q, e
+        if a is None or b is None or None in a or None in b or len(a) != len(b) or (s and t is None):
+            return None
+        dot = lambda x, y: functools.reduce(lambda total, p: total + p[0] * p[1], zip(x, y), 0.0)
+        with np.errstate(all="ignore"):
+            cosine = float(np.float64(dot(a, b)) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))))
+        return cosine + 0.3 * (len(set(s) & set(t) - {None}) / len(s) if s else 0.0) + (0.1 if d is not None and d == f else 0.0)
+
+    want = {}
+    for q in {x[0] for x in rows if x[0] is not None and (x[0] % 3 == 0 or x[0] >= 100)}:
+        found = [(score(x, y), y[0]) for x in rows if x[0] == q for y in rows if y[0] is not None and y[0] != q]
+        found.sort(key=lambda p: (p[0] is None, p[0] is not None and p[0] == p[0], -(p[0] or 0) if p[0] == p[0] else 0, p[1]))
+        want[q] = [y for _, y in found[:4]]
+    monkeypatch.setattr(schema, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(schema, "LANE", 30)
+    df = frame(rows)
+    got = {}
+    for x in schema.retrieve_top_k(df.where("id % 3 = 0 or id >= 100"), df, 4).orderBy("query", "rank").collect():
+        got.setdefault(x["query"], []).append(x["entry"])
+    assert got == want
+    assert schema.retrieve_top_k(df.where("false"), df).count() == schema.retrieve_top_k(df, df.where("false")).count() == 0
+    named = spark.createDataFrame([(f"c{i}", [float(i), 1.0], ["x"], "t") for i in range(5)], df.schema.simpleString()[7:-1].replace("id:bigint", "id string").replace(":", " "))
+    assert [x["entry"] for x in schema.retrieve_top_k(named.where("id = 'c4'"), named, 2).orderBy("rank").collect()] == ["c3", "c2"]
+
+
 def test_dates_in_mixed_notation(spark):
     for value, day in (("2024-01-02T03:04:05.123", "2024-01-02"), ("Jan 5, 2024", "2024-01-05"), ("2024-1-2T03:04", "2024-01-02"), ("5 January 2024", "2024-01-05"), ("3/4/2024 10:00", "2024-04-03"), ("12/25/2024", "2024-12-25"), ("31/31/2024", None), ("soon", None)):
         got = one(spark, nz.normalize_date, value)
