@@ -50,7 +50,7 @@ def stash(df: DataFrame, name: str = "cut", compression: str = "snappy", file_ro
     writes and reads a file by hundreds or thousands of rows at a time, however large they are.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.option("maxRecordsPerFile", file_rows).parquet(path, compression=compression)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
