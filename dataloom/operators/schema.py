@@ -172,8 +172,8 @@ def canonical_match(names: DataFrame, catalogue: DataFrame, least: float = 0.85)
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select("column", "canonical_id", F.element_at(F.array(*[F.lit(x) for x in ("exact", "alias", "bare", "fuzzy")]), F.col("how")).alias("how"))
 
 
-#: Queries of a block, and entries that a task lets stream by it.
-QUERY_BLOCK, LANE = 8_192, 4_096
+#: Queries of a block, entries that a task lets stream by it, and fewer ones where cores would stay idle.
+QUERY_BLOCK, LANE, SHORT = 8_192, 32_768, 4_096
 
 
 def retrieve_top_k(queries: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
@@ -184,7 +184,8 @@ def retrieve_top_k(queries: DataFrame, catalogue: DataFrame, k: int = 5) -> Data
     component, or another length, gives a null score, which ranks last; the cosine of a vector of zeros is NaN, which
     ranks first. Rows with a null id take no part.
     """
-    blocks, lanes = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-catalogue.count() // LANE))
+    blocks, entries = max(1, -(-queries.count() // QUERY_BLOCK)), catalogue.count()
+    lanes = max(1, -(-entries // LANE), min(-(-entries // SHORT), 2 * catalogue.sparkSession.sparkContext.defaultParallelism))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     columns = [F.col("block") * lanes + F.col("lane"), "role", "id", "vector", F.array_compact(F.array_distinct("samples")), F.coalesce(F.size("samples"), F.lit(0)), "dtype"]
